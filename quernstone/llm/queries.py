@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+from quernstone.llm.contamination import op7
+from quernstone.llm.jaccard import op9
+from quernstone.llm.language import op6
 from quernstone.llm.mixing import op3
+from quernstone.llm.quality import op2
 from quernstone.llm.sharding import op4
 
 QUERIES = {
+    "op2_quality": op2,
     "op3_mixing": op3,
     "op4_sharding": op4,
+    "op6_language": op6,
+    "op7_decontamination": op7,
+    "op9_jaccard_join": op9,
 }
 SQL: dict[str, str] = {}
