@@ -3,18 +3,24 @@
 from __future__ import annotations
 
 from quernstone.llm.contamination import op7
+from quernstone.llm.forest import op10
 from quernstone.llm.jaccard import op9
 from quernstone.llm.language import op6
 from quernstone.llm.mixing import op3
 from quernstone.llm.quality import op2
+from quernstone.llm.records import op5
 from quernstone.llm.sharding import op4
+from quernstone.llm.urls import op8
 
 QUERIES = {
     "op2_quality": op2,
     "op3_mixing": op3,
     "op4_sharding": op4,
+    "op5_records": op5,
     "op6_language": op6,
     "op7_decontamination": op7,
+    "op8_urls": op8,
     "op9_jaccard_join": op9,
+    "op10_forest": op10,
 }
 SQL: dict[str, str] = {}
