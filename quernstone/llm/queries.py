@@ -6,6 +6,7 @@ from quernstone.llm.contamination import op7
 from quernstone.llm.forest import op10
 from quernstone.llm.jaccard import op9
 from quernstone.llm.language import op6
+from quernstone.llm.lines import op1
 from quernstone.llm.mixing import op3
 from quernstone.llm.quality import op2
 from quernstone.llm.records import op5
@@ -13,6 +14,7 @@ from quernstone.llm.sharding import op4
 from quernstone.llm.urls import op8
 
 QUERIES = {
+    "op1_lines": op1,
     "op2_quality": op2,
     "op3_mixing": op3,
     "op4_sharding": op4,
