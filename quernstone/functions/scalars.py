@@ -179,7 +179,7 @@ def market_cap(millions: Column) -> Column:
 
 def without_thinking(text: Column) -> Column:
     """The text without ``<think>`` blocks and code fences."""
-    return F.trim(F.regexp_replace(F.regexp_replace(text, r"(?is)<think>.*?</think>", ""), r"```(?:json)?", ""))
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"(?is)<think>.*?</think>", ""), r"```(?:json)?", ""), r"\A\s+|\s+\z", "")
 
 
 def skippable(text: Column, section: Column) -> Column:

@@ -21,7 +21,7 @@ def main_document(raw: Column) -> Column:
     annual = F.slice(F.filter(documents, lambda d: d.rlike(r"(?im)<TYPE>\s*10-K(?:/[^\s<]*)?\s*(?:$|<|\n)")), 1, 1)
     longest = lambda xs: F.element_at(F.array_sort(xs, lambda a, b: F.length(b) - F.length(a)), 1)
     pick = F.when(F.size(annual) > 0, bodies(annual)).otherwise(bodies(documents))
-    return F.when(~raw.rlike("(?i)<TEXT>"), raw).otherwise(F.coalesce(F.trim(F.when(F.size(pick) > 0, longest(pick))), raw))
+    return F.when(~raw.rlike("(?i)<TEXT>"), raw).otherwise(F.coalesce(F.regexp_replace(F.when(F.size(pick) > 0, longest(pick)), r"\A\s+|\s+\z", ""), raw))
 
 
 def section_header(line: Column) -> Column:

@@ -47,6 +47,14 @@ def is_empty(df: DataFrame) -> bool:
     return df.limit(1).count() == 0
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, made longer until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 @atexit.register
 def _remove() -> None:
     for spark, path in _MADE:
