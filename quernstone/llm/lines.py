@@ -27,7 +27,7 @@ from quernstone.llm.components import components
 from quernstone.llm.kernels import U64, _powers, codepoints, mix
 from quernstone.llm.language import cut
 from quernstone.llm.meeting import connect, gather, packer, task_count
-from quernstone.workspace import materialize
+from quernstone.workspace import materialize, unused
 
 EDITS, MIN_CHARS = 2, 24
 _BASE = 0x9E3779B97F4A7C15
@@ -190,6 +190,29 @@ def _verified(edits: int):
     return run
 
 
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many characters of each line fall into each of 64 cells."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, 2048):
+            codes, offsets = codepoints(batch.column(1).slice(i, 2048).to_pylist())
+            n = np.diff(offsets)
+            counts = np.bincount(np.repeat(np.arange(len(n)), n) * 64 + codes % 64, minlength=len(n) * 64).reshape(-1, 64)
+            counts = np.minimum(counts, 65535).astype(np.uint16)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 2048), pa.array(n), pa.array([c.tobytes() for c in counts], pa.binary())], ["node", "size", "sketch"])
+
+
+def _possible(edits: int):
+    """An edit changes at most two cells by one each."""
+
+    def possible(s: np.ndarray, n: np.ndarray, t: np.ndarray, m: np.ndarray) -> np.ndarray:
+        differ = np.zeros((len(n), len(m)), np.int64)
+        for c in range(s.shape[1]):
+            differ += np.abs(s[:, c].astype(np.int64)[:, None] - t[:, c].astype(np.int64)[None, :])
+        return (differ <= 2 * edits) & (np.abs(n[:, None] - m[None, :]) <= edits)
+
+    return possible
+
+
 def exploded(docs: DataFrame) -> DataFrame:
     """``doc_id, place, line``: the lines of each text, from place 0; a null text has none."""
     return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("place", "line"))
@@ -223,7 +246,8 @@ def decide(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> D
         both = found.join(a, "a").join(b, "b").filter(F.abs(F.length("a_line") - F.length("b_line")) <= edits)
         return both.select("a", "b", "a_line", "b_line").mapInArrow(_verified(edits), "a long, b long")
 
-    names = components(connect(pairs, members, verify)).select(F.col("node").alias("line_id"), "root")
+    sketches = materialize(met.select("line_id", "line").mapInArrow(_sketches, "node long, size long, sketch binary"), "sketches")
+    names = components(connect(pairs, members, verify, sketches, _possible(edits), tasks)).select(F.col("node").alias("line_id"), "root")
     named = materialize(places.join(names, "line_id", "left").select("doc_id", "place", F.coalesce("root", "line_id").alias("root")), "named")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "place")
     first = named.filter("root IS NOT NULL").groupBy("root").agg(F.min(order).alias("first"), F.count("*").alias("n")).filter("n > 1")
@@ -236,10 +260,11 @@ def decide(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> D
 
 def apply(docs: DataFrame, decisions: DataFrame) -> DataFrame:
     """``docs`` with the dropped lines taken out of each text; all columns stay."""
-    wanted = decisions.filter(F.size("dropped") > 0).select(F.col("doc_id").alias("_doc"), F.col("dropped").alias("_dropped"))
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.coalesce(F.array_contains("_dropped", i), F.lit(False))), "\n")
-    out = docs.join(wanted, docs["doc_id"].eqNullSafe(F.col("_doc")), "left")
-    return out.select(*[(F.when(F.col("_dropped").isNull(), docs[c]).otherwise(kept).alias(c) if c == "text" else docs[c]) for c in docs.columns])
+    doc, gone = unused(docs, "_doc"), unused(docs, "_gone")
+    wanted = decisions.filter(F.size("dropped") > 0).select(F.col("doc_id").alias(doc), F.col("dropped").alias(gone))
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.coalesce(F.array_contains(F.col(gone), i), F.lit(False))), "\n")
+    out = docs.join(wanted, docs["doc_id"].eqNullSafe(F.col(doc)), "left")
+    return out.withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(kept)).select(docs.columns)
 
 
 def op1(spark, sf_dir: str) -> DataFrame:

@@ -2,9 +2,12 @@
 
 Signatures travel as packed arrays, a row for each bucket and flush, so the
 shuffle moves bytes, not rows.  A group of members with one signature gives
-only the pairs with its first member at first.  After these are verified and
-joined into components, the pairs between different components follow, so no
-link between components is lost and copies are not expanded into all pairs.
+only the pairs with its most connected member at first (the one that is in the
+most groups: of a family of copies, its original).  After these are verified
+and joined into components, members of different components that still share a
+signature are compared by sketches that bound their likeness from above, and
+the pairs that may link are verified too.  So no link between components is
+lost, and copies are not expanded into all pairs.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ def pack(sig: list[np.ndarray], member: list[np.ndarray], buckets: int) -> pa.Re
     order = np.argsort(bucket, kind="stable")
     ends = np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=buckets))])
     full = np.flatnonzero(np.diff(ends))
-    packed = (pa.array([x[order][ends[b] : ends[b + 1]].tobytes() for b in full], pa.binary()) for x in (sig, member))
+    packed = (pa.array([x[ends[b] : ends[b + 1]].tobytes() for b in full], pa.binary()) for x in (sig[order], member[order]))
     return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), *packed], ["bucket", "sigs", "members"])
 
 
@@ -50,7 +53,7 @@ def packer(signed: Iterator[tuple[np.ndarray, np.ndarray]], buckets: int) -> Ite
 
 
 def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Kind 0: pairs (first member, other).  Kind 1: (signature, member) where three or more share it."""
+    """Kind 0: pairs of members that alone share a signature.  Kind 1: (signature, member) where three or more do."""
     sig, member = [], []
     for batch in batches:
         for s, m in zip(batch.column(1), batch.column(2)):
@@ -76,8 +79,8 @@ def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     head[1:] = sig[1:] != sig[:-1]
     at = np.flatnonzero(head)
     count = np.diff(np.append(at, len(sig)))
-    first = np.repeat(member[at], count)[~head]
-    pairs = np.unique(np.stack([first, member[~head]], 1), axis=0) if len(first) else np.zeros((0, 2), U64)
+    two = at[count == 2]
+    pairs = np.unique(np.stack([member[two], member[two + 1]], 1), axis=0) if len(two) else np.zeros((0, 2), U64)
     many = np.repeat(count >= 3, count)
     for kind, x, y in ((0, pairs[:, 0], pairs[:, 1]), (1, sig[many], member[many])):
         for i in range(0, len(x), 100_000):
@@ -87,24 +90,63 @@ def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def gather(packed: DataFrame, tasks: int) -> tuple[DataFrame, DataFrame]:
-    """``(pairs, members)`` of packed signatures: distinct first pairs (a, b), and (sig, node) of the larger groups."""
+    """``(pairs, members)`` of packed signatures: distinct pairs (a, b) to begin with, and (sig, node) of the larger groups."""
     found = materialize(packed.repartition(tasks, "bucket").mapInArrow(meet, "kind int, x long, y long"), "found")
-    pairs = materialize(found.filter("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "pairs")
-    return pairs, found.filter("kind = 1").select(F.col("x").alias("sig"), F.col("y").alias("node"))
-
-
-def connect(pairs: DataFrame, members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Verified edges (a, b) that connect every component of the links."""
+    members = found.filter("kind = 1").select(F.col("x").alias("sig"), F.col("y").alias("node"))
+    weight = members.groupBy("node").agg(F.count("*").alias("w"))
+    middle = members.join(weight, "node").groupBy("sig").agg(F.max(F.struct("w", "node")).alias("m")).select("sig", F.col("m.node").alias("mid"))
+    stars = members.join(middle, "sig").filter("node <> mid").select(F.least("node", "mid").alias("a"), F.greatest("node", "mid").alias("b")).distinct()
+    alone = found.filter("kind = 0").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return materialize(alone.union(stars).distinct(), "pairs"), members
+
+
+def _across(possible: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]):
+    """Pairs of a group's members that are in different components and that their sketches do not rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns: list[list[np.ndarray]] = [[], [], [], []]
+        sketches = []
+        for batch in batches:
+            for i, held in enumerate(columns):
+                held.append(np.array(batch.column(i)))
+            sketches += batch.column(4).to_pylist()
+        if not sketches:
+            return
+        sig, node, root, size = (np.concatenate(x) for x in columns)
+        sketch = np.frombuffer(b"".join(sketches), np.uint16).reshape(len(sig), -1)
+        order = np.argsort(sig, kind="stable")
+        starts = np.flatnonzero(np.r_[True, np.diff(sig[order]) != 0])
+        seen: set[tuple[int, int]] = set()
+        for at, end in zip(starts, np.append(starts[1:], len(order))):
+            group = order[at:end]
+            for i in range(0, len(group), 32):
+                some = group[i : i + 32]
+                near = possible(sketch[some], size[some], sketch[group[i:]], size[group[i:]]) & (root[some][:, None] != root[group[i:]][None, :])
+                for x, y in zip(*np.nonzero(near)):
+                    a, b = int(node[some[x]]), int(node[group[i + y]])
+                    seen.add((min(a, b), max(a, b)))
+            if len(seen) > 200_000:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*seen)], ["a", "b"])
+                seen.clear()
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*seen)], ["a", "b"])
+
+    return run
+
+
+def connect(pairs: DataFrame, members: DataFrame, verify: Callable[[DataFrame], DataFrame], sketches: DataFrame, possible: Callable[..., np.ndarray], tasks: int) -> DataFrame:
+    """Verified edges (a, b) that connect every component of the links.
+
+    ``sketches(node, size, sketch)``: 16-bit counts; ``possible`` says for the
+    sketches and sizes of some rows, and of some columns, which may link.
+    """
     edges = materialize(verify(pairs), "links1")
     names = components(edges)
     members = members.join(names, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("root"))
     mixed = members.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("sig")
-    members = materialize(members.join(mixed, "sig", "left_semi"), "members")
-    left = members.select("sig", F.col("node").alias("a"), F.col("root").alias("ra"))
-    right = members.select("sig", F.col("node").alias("b"), F.col("root").alias("rb"))
-    known = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = left.join(right, "sig").filter("a < b AND ra <> rb").select("a", "b").distinct().join(known, ["a", "b"], "left_anti")
-    more = materialize(verify(rest), "links2")
+    apart = members.join(mixed, "sig", "left_semi").join(sketches, "node").select("sig", "node", "root", "size", "sketch")
+    rest = apart.repartition(tasks, "sig").mapInArrow(_across(possible), "a long, b long").distinct()
+    more = materialize(verify(rest.join(pairs, ["a", "b"], "left_anti")), "links2")
     return edges if is_empty(more) else edges.union(more)
 
 
