@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from quernstone.workspace import materialize
+from quernstone.workspace import materialize, unused
 
 WORDS = r"[^\x20\x09-\x0D]+"
 #: The sources' weights, in code-point order of their names, repeating; null comes last.
@@ -72,7 +72,8 @@ def plan(docs: DataFrame, seed: str = "mix", share: float = 1.5, most: float = 2
     takes part like any other value.  An empty table gives no rows.
     """
     spark = docs.sparkSession
-    unit = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), F.coalesce("source", F.lit("\0"))), 11).cast("double") + 0.5) / float(1 << 53)
+    name = F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("source", F.lit("")))
+    unit = (F.conv(F.substring(F.md5(name.cast("binary")), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
     narrow = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), (quality_weight(F.col("text"), F.col("text")) if weight is None else weight).alias("w"))
     # Ascending -ln(u)/w is ascending 1 - u^(1/w), which lies in [0, 1) and is dealt into ranges evenly.
     narrow = narrow.withColumn("at", F.greatest(F.lit(0.0), F.lit(1.0) - F.pow(unit, F.lit(1.0) / F.col("w")))).drop("w")
@@ -109,11 +110,11 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     The choice is joined by doc_id and source; repeated rows with one doc_id
     and one source get the same number of copies.
     """
-    copies = plan(docs, **options).groupBy("doc_id", "source").agg(F.max("copies").alias("_copies")).filter("_copies > 0")
-    copies = copies.withColumnsRenamed({"doc_id": "_doc", "source": "_source"})
-    out = docs.join(copies, docs["doc_id"].eqNullSafe(F.col("_doc")) & docs["source"].eqNullSafe(F.col("_source")))
-    out = out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return out.select(*[docs[c] for c in docs.columns])
+    doc, source, often, copy = (unused(docs, x) for x in ("_doc", "_source", "_often", "_copy"))
+    copies = plan(docs, **options).groupBy("doc_id", "source").agg(F.max("copies").alias(often)).filter(F.col(often) > 0)
+    copies = copies.withColumnsRenamed({"doc_id": doc, "source": source})
+    out = docs.join(copies, docs["doc_id"].eqNullSafe(F.col(doc)) & docs["source"].eqNullSafe(F.col(source)))
+    return out.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(often)))).select(docs.columns)
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from quernstone.llm.mixing import op3
 from quernstone.llm.quality import op2
 from quernstone.llm.records import op5
 from quernstone.llm.sharding import op4
-from quernstone.llm.urls import op8
+from quernstone.llm.urls import RULES, op8
 
 QUERIES = {
     "op1_lines": op1,
@@ -25,4 +25,71 @@ QUERIES = {
     "op9_jaccard_join": op9,
     "op10_forest": op10,
 }
-SQL: dict[str, str] = {}
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+_SHINGLES = "CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) END"
+
+_MIX = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, greatest(0.05::DOUBLE, 1.0::DOUBLE - coalesce(len(regexp_extract_all(text, '[^\p{L}\s.,]'))::DOUBLE / greatest(length(text), 1), 0.0::DOUBLE)) AS w,
+  (('0x' || left(md5(concat_ws('|', 'mix', coalesce(doc_id::VARCHAR, ''), coalesce(source, ''))), 13))::BIGINT::DOUBLE + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u FROM documents),
+k AS (SELECT doc_id, source, size, greatest(0.0::DOUBLE, 1.0::DOUBLE - pow(u, 1.0::DOUBLE / w)) AS place FROM d),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM k GROUP BY source),
+c AS (SELECT *, source_size * 2.0::DOUBLE AS cap, 1.5::DOUBLE * sum(source_size) OVER () AS total FROM s),
+l AS (SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE)) / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM c),
+t AS (SELECT source, source_size, least(cap, coalesce(max(CASE WHEN cap / weight > level THEN level END) OVER () * weight, cap)) AS target FROM l),
+e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS epochs FROM t),
+r AS (SELECT k.doc_id, k.source, size, source_size, target, epochs, greatest(0.0::DOUBLE, target - epochs * source_size) AS rest, sum(size) OVER (PARTITION BY k.source ORDER BY place, k.doc_id NULLS LAST) AS upto FROM k JOIN e ON k.source IS NOT DISTINCT FROM e.source),
+x AS (SELECT *, (epochs + CASE WHEN rest > 0 AND size > 0 AND upto - size * 0.5::DOUBLE <= rest THEN 1 ELSE 0 END)::INTEGER AS copies FROM r)
+SELECT doc_id, size::BIGINT AS size, source_size, target, (size * copies)::BIGINT AS taken, source, copies FROM x"""
+
+_LEAKS = f"""
+WITH i AS (SELECT item_id, unnest({_SHINGLES}) AS s FROM (SELECT item_id, {_WORDS} AS w FROM benchmark)),
+n AS (SELECT item_id, count(*) AS n FROM i GROUP BY item_id),
+d AS (SELECT doc_id, unnest({_SHINGLES}) AS s FROM (SELECT doc_id, {_WORDS} AS w FROM documents)),
+c AS (SELECT doc_id, item_id, count(*) AS c FROM d JOIN i USING (s) GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, n::INTEGER AS n_item, c::INTEGER AS n_common, round(c::DOUBLE / n, 6) AS containment FROM c JOIN n USING (item_id) WHERE 100 * c >= 75 * n"""
+
+_CLASSES = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_SHINGLES} AS sh FROM (SELECT doc_id, {_WORDS} AS w FROM documents)),
+n AS (SELECT doc_id, len(sh) AS n FROM d),
+x AS (SELECT doc_id, unnest(sh) AS s FROM d),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM x a JOIN x b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+e AS (SELECT a, b FROM c JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 75 * (na.n + nb.n - c)),
+u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r AS (SELECT a AS node, a AS root FROM u UNION SELECT u.b, r.root FROM r JOIN u ON u.a = r.node),
+m AS (SELECT node, min(root) AS root FROM r GROUP BY node)
+SELECT n.doc_id, n.n::BIGINT AS n_shingles, coalesce(m.root, n.doc_id) AS component_id FROM n LEFT JOIN m ON m.node = n.doc_id"""
+
+
+def _urls_sql(rounds: int = 12) -> str:
+    """The rules, and the rounds of the propagation as one common table each."""
+    host = "translate(regexp_extract(coalesce({}, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    fits = [(f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')", h + p, v) for h, p, v in sorted(RULES, key=lambda r: -len(r[0] + r[1]))]
+    rule, says = (f"CASE {' '.join(f"WHEN {f[0]} THEN '{f[i]}'" for f in fits)} END" for i in (1, 2))
+    steps = "".join(
+        f""",
+r{k} AS (SELECT kind, host, sum(rank) AS rank FROM (SELECT kind, host, rank FROM b UNION ALL SELECT m.kind, m.dst, r.rank * m.part * 0.85::DOUBLE FROM m JOIN {f"r{k - 1}" if k else "b"} r ON r.kind = m.kind AND r.host = m.src) GROUP BY kind, host)"""
+        for k in range(rounds)
+    )
+    return f"""
+WITH p AS (SELECT page_id, {host.format("url")} AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path, html FROM pages),
+j AS (SELECT *, {rule} AS rule, {says} AS says FROM p),
+a AS (SELECT host AS src, unnest(list_distinct(regexp_extract_all(html, '(?is)<a\\s[^>]*?href\\s*=\\s*["'']?((?:[a-z][a-z0-9+.-]*:)?//[^"''\\s>]+)', 1))) AS href FROM p),
+g AS (SELECT src, {host.format("CASE WHEN starts_with(href, '//') THEN 'x:' || href ELSE href END")} AS dst FROM a),
+e AS (SELECT src, dst, count(*) AS n FROM g WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY src, dst),
+f AS (SELECT 'trust' AS kind, src, dst, n FROM e UNION ALL SELECT 'distrust', dst, src, n FROM e),
+m AS (SELECT kind, src, dst, n / sum(n) OVER (PARTITION BY kind, src) AS part FROM f),
+h AS (SELECT host, sum((says = 'allow')::INT) AS t, sum((says = 'block')::INT) AS d FROM j WHERE host <> '' AND says IS NOT NULL GROUP BY host),
+b AS (SELECT 'trust' AS kind, host, 0.15::DOUBLE * t / (SELECT sum(t) FROM h) AS rank FROM h WHERE t > 0 UNION ALL SELECT 'distrust', host, 0.15::DOUBLE * d / (SELECT sum(d) FROM h) FROM h WHERE d > 0){steps},
+k AS (SELECT host, coalesce(sum(rank) FILTER (kind = 'trust'), 0.0::DOUBLE) AS trust, coalesce(sum(rank) FILTER (kind = 'distrust'), 0.0::DOUBLE) AS distrust FROM r{rounds - 1} GROUP BY host)
+SELECT page_id, j.host, path, rule, coalesce(says, CASE WHEN coalesce(distrust, 0) > coalesce(trust, 0) THEN 'block' ELSE 'allow' END) AS verdict, round(coalesce(trust, 0), 9) AS trust, round(coalesce(distrust, 0), 9) AS distrust FROM j LEFT JOIN k ON j.host = k.host"""
+
+
+#: Models, packing, tokens and the approximate search have no SQL; tests hold them against brute force or round trips.
+#: Line deduplication has none either: comparing all pairs of lines in SQL is too slow on whole tables.
+SQL: dict[str, str] = {
+    "op3_mixing": _MIX,
+    "op7_decontamination": _LEAKS,
+    "op8_urls": _urls_sql(),
+    "op9_jaccard_join": _CLASSES,
+}

@@ -103,4 +103,5 @@ def judge(pages: DataFrame, rules=RULES, ratio: float = 1.0, rounds: int = 12, d
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
-    return judge(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
+    out = judge(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
+    return out.withColumns({c: F.round(c, 9) for c in ("trust", "distrust")})
