@@ -13,17 +13,20 @@ lost tasks harmless.  They lie in the order of doc_id (null first), each within
 a range of doc_id.  The index is a Parquet table beside them: file, offset and
 length of each record, its tokens and the checksum of its ids.
 
-The tokenizer's pieces never cross a single blank between two other visible
-characters, so a text without other runs of blanks is cut there and each
-distinct piece is encoded once per worker; other texts are encoded whole.
+With a byte-level BPE tokenizer no piece crosses a single blank or line break
+between two other visible characters, so a text without runs of white space is
+cut there, and each distinct word is given to the tokenizer's model once per
+worker.  Other texts, and words of other kinds, are encoded whole.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -36,8 +39,11 @@ from quernstone.workspace import materialize, new_path
 FILE_BYTES = 12 << 20
 #: struct formats: length and checksum, a checksum, flags and doc_id.
 _HEAD, _SUM, _DOC = "<QI", "<I", "<Bq"
-_RUNS = re.compile(r" \s|\s ")
-CACHE = 400_000
+_RUNS = re.compile(r"\s\s")
+#: Letters, then ASCII marks without an apostrophe: pieces of their own.
+_PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-&(-/:-@\[-`{-~]*)")
+#: Words that a worker keeps.
+CACHE = 800_000
 
 
 def masked(data: bytes) -> int:
@@ -64,6 +70,13 @@ def parse(data: memoryview, at: int) -> tuple[int | None, np.ndarray, int]:
     return None if flags & 1 else doc_id, np.frombuffer(payload, "<u4" if flags & 2 else "<u2", offset=struct.calcsize(_DOC)).astype("<u4"), at + 17 + size
 
 
+def byte_characters() -> list[str]:
+    """The character that stands for each byte in byte-level vocabularies: itself if visible, else the next free one from 256."""
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in visible]
+    return [chr(b) if b in visible else chr(256 + hidden.index(b)) for b in range(256)]
+
+
 class Encoder:
     """Texts to bytes of ids, with the tokenizers library."""
 
@@ -72,26 +85,60 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.model = self.tokenizer.model
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
         self.kind = "<u4" if self.wide else "<u2"
-        self.blank: dict[str, bytes] = {}
+        how = json.loads(spec)
+        level = how.get("pre_tokenizer") or {}
+        self.cuts = how["model"].get("type") == "BPE" and not how.get("normalizer") and level.get("type") == "ByteLevel" and not level.get("add_prefix_space") and level.get("use_regex", True)
+        self.letters = str.maketrans({chr(b): c for b, c in enumerate(byte_characters())})
+        self.known: dict[str, bytes] = {}  # words after a blank
+        self.first: dict[str, bytes] = {}  # words at the start of a line
+        self.marks: dict[str, bytes] = {}
+        self.line = self.whole(["\n"])[0]
 
     def whole(self, rows: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(rows, add_special_tokens=False)]
 
+    def piece(self, text: str) -> bytes:
+        """The ids of one piece."""
+        letters = text.replace(" ", self.letters[32]) if text.isascii() else text.encode().decode("latin-1").translate(self.letters)
+        out = array("I" if self.wide else "H", [t.id for t in self.model.tokenize(letters)])
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
+
+    def word(self, word: str, blank: str = " ") -> bytes:
+        """The ids of a word after a blank, or of one at the start of a line."""
+        if "\n" in word:
+            head, *tail = word.split("\n")
+            return self.get(head, blank) + b"".join(self.line + self.get(x, "") for x in tail)
+        known = self.known if blank else self.first
+        found = _PLAIN.fullmatch(word)
+        if not found:
+            ids = self.whole([blank + word])[0]
+        elif found[2]:
+            marks = found[2]
+            if marks not in self.marks:
+                self.marks[marks] = self.piece(marks)
+            ids = self.get(found[1], blank) + self.marks[marks]
+        else:
+            ids = self.piece(blank + word)
+        if len(known) >= CACHE:
+            known.clear()
+            self.marks.clear()
+        known[word] = ids
+        return ids
+
+    def get(self, word: str, blank: str) -> bytes:
+        return (self.known if blank else self.first).get(word) or self.word(word, blank)
+
     def __call__(self, text: str) -> bytes:
-        if _RUNS.search(text) or not text or text[0] == " " or text[-1] == " ":
+        if not self.cuts or not text or text[0].isspace() or text[-1].isspace() or _RUNS.search(text):
             return self.whole([text])[0]
         first, *rest = text.split(" ")
-        known = self.blank
-        out = list(map(known.get, rest))
-        if None in out:
-            if len(known) > CACHE:
-                known.clear()
-            new = list({w for w in rest if w not in known})
-            known.update(zip(new, self.whole([" " + w for w in new])))
-            out = [known[w] for w in rest]
-        return b"".join((self.whole([first])[0], *out))
+        known, word = self.known.get, self.word
+        return b"".join([self.get(first, ""), *[known(w) or word(w) for w in rest]])
 
 
 def _encoder(spec: str) -> Encoder:
@@ -164,9 +211,17 @@ def read(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
 
 
 def starts(entries: DataFrame) -> DataFrame:
-    """The index with ``start``: the tokens of all records before it.  Only sums of files meet in one window."""
-    sums = entries.groupBy("file").agg(F.sum("n_tokens").alias("n"))
-    before = materialize(sums.select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("before")), "before")
+    """The index with ``start``: the tokens of all records before it.
+
+    Files are numbered by their names.  Sums of files meet in blocks of a
+    thousand, and only sums of blocks in one window.
+    """
+    number = F.regexp_extract("file", r"part-(\d+)", 1).cast("long")
+    sums = entries.groupBy("file").agg(F.sum("n_tokens").alias("n")).withColumn("block", F.floor(number / 1000))
+    blocks_ = sums.groupBy("block").agg(F.sum("n").alias("n"))
+    blocks_ = blocks_.select("block", (F.sum("n").over(Window.orderBy("block")) - F.col("n")).alias("outer"))
+    inner = F.sum("n").over(Window.partitionBy("block").orderBy("file")) - F.col("n")
+    before = materialize(sums.withColumn("inner", inner).join(blocks_, "block").select("file", (F.col("outer") + F.col("inner")).alias("before")), "before")
     inside = F.sum("n_tokens").over(Window.partitionBy("file").orderBy("offset")) - F.col("n_tokens")
     return entries.withColumn("inside", inside).join(before, "file").withColumn("start", F.col("before") + F.col("inside")).drop("before", "inside")
 
