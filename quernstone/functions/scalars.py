@@ -186,3 +186,25 @@ def skippable(text: Column, section: Column) -> Column:
     """Chunks not worth extracting from: under 20 words, or boilerplate sections without a telling word."""
     telling = any_of([F.lower(text).contains(w) for w in t.KEEP_WORDS])
     return (F.size(tokens(F.coalesce(text, F.lit("")))) < 20) | (F.coalesce(section, F.lit("")).rlike(f"(?i)({t.SKIPPABLE_SECTION})") & ~telling)
+
+
+def asks_metrics(question: Column) -> Column:
+    """Does a question ask about metrics: does it hold a keyword or a synonym's key?"""
+    low = F.lower(F.coalesce(question, F.lit("")))
+    return any_of([low.contains(w) for w in (*t.METRIC_KEYWORDS, *t.METRIC_SYNONYMS)])
+
+
+def valid_ticker(ticker: Column) -> Column:
+    """Letters and digits, with dots or dashes between."""
+    return F.coalesce(F.regexp_replace(ticker, "[.-]", "").rlike(r"\A[A-Za-z0-9]+\z"), F.lit(False))
+
+
+def ticker_key(ticker: Column) -> Column:
+    """The upper-cased ticker without dots and blanks, for comparison."""
+    return F.regexp_replace(F.upper(ticker), r"[.\s]", "")
+
+
+def hinted(metric: Column, hint: Column) -> Column:
+    """Does a metric's name hold the hint, or any word of it?"""
+    low = F.lower(hint)
+    return F.lower(metric).contains(low) | F.exists(tokens(low), lambda w: F.lower(metric).contains(w))

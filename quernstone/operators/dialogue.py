@@ -78,3 +78,39 @@ def gate(scored: DataFrame, names: list[str], least: float = 0.85) -> DataFrame:
     counts = [F.sum(F.coalesce(F.col(c), F.lit(False)).cast("int")).cast("bigint").alias(c) for c in names]
     out = scored.agg(F.count("*").alias("samples"), F.round(F.avg("score"), 6).alias("mean_score"), *counts)
     return out.withColumn("passed", F.col("mean_score") >= least)
+
+
+def append_turns(messages: DataFrame, more: DataFrame) -> DataFrame:
+    """Messages with new questions and answers after the last turn of their conversation, cut and trimmed.
+
+    ``more(conv_id, seq, question, answer)``; each row gives two messages.
+    """
+    last = messages.groupBy("conv_id").agg(F.max("turn").alias("last"))
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("seq")) - 1
+    said = more.withColumn("place", place).join(last, "conv_id", "left").withColumn("base", F.coalesce("last", F.lit(-1)) + 1 + 2 * F.col("place"))
+    both = F.array(F.struct(F.lit("user").alias("role"), F.col("question").alias("text"), F.col("base").alias("turn")), F.struct(F.lit("assistant").alias("role"), F.col("answer").alias("text"), (F.col("base") + 1).alias("turn")))
+    new = said.select("conv_id", F.explode(both).alias("m")).select("conv_id", F.col("m.turn").cast("bigint").alias("turn"), "m.role", "m.text")
+    return trim(messages.select("conv_id", "turn", "role", "text").unionByName(new))
+
+
+def sample_checks(samples: DataFrame, results: DataFrame, cited: DataFrame) -> DataFrame:
+    """The boolean checks of each evaluation sample.
+
+    ``samples(query_id, expected_ticker, expected_year, expected_section)``,
+    ``results(query_id, answer, dense, sparse, graph)`` with the sizes of the
+    lists, ``cited(query_id, company_ticker, fiscal_year, section_id)``.
+    """
+    sets = cited.groupBy("query_id").agg(F.collect_set(F.lower("company_ticker")).alias("tickers"), F.collect_set(F.col("fiscal_year").cast("string")).alias("years"), F.collect_set(F.lower("section_id")).alias("sections"), F.count("*").alias("n"))
+    rows = samples.join(results, "query_id", "left").join(sets, "query_id", "left")
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    return rows.select(
+        "query_id",
+        yes(F.trim("answer") != "").alias("has_answer"),
+        yes(F.col("n") > 0).alias("has_citations"),
+        yes(F.array_contains("tickers", F.lower("expected_ticker"))).alias("ticker_hit"),
+        yes(F.array_contains("years", F.col("expected_year").cast("string"))).alias("year_hit"),
+        yes(F.array_contains("sections", F.lower("expected_section"))).alias("section_hit"),
+        yes(F.col("dense") > 0).alias("dense_hit"),
+        yes(F.col("sparse") > 0).alias("sparse_hit"),
+        yes(F.col("graph") > 0).alias("graph_hit"),
+    )

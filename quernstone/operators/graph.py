@@ -159,8 +159,10 @@ def propagate_labels(edges: DataFrame, rounds: int = 5) -> DataFrame:
 
 def summaries(names: DataFrame, edges: DataFrame, k: int = 20, shown: int = 5) -> DataFrame:
     """The largest communities: size, first members, inner edges and a template summary (where a model may write one)."""
-    size = names.groupBy("community").agg(F.count("*").alias("size"), F.slice(F.array_sort(F.collect_list("node")), 1, shown).alias("top_entities"))
+    size = names.groupBy("community").agg(F.count("*").alias("size"))
     large = size.orderBy(F.desc("size"), F.asc("community")).limit(k)
+    first = top(names, ["community"], [F.asc("node")], shown).groupBy("community").agg(F.array_sort(F.collect_list("node")).alias("top_entities"))
+    large = large.join(first, "community")
     a, b = names.select(F.col("node").alias("a"), F.col("community").alias("ca")), names.select(F.col("node").alias("b"), F.col("community").alias("cb"))
     inner = edges.join(a, "a").join(b, "b").filter("ca = cb").groupBy(F.col("ca").alias("community")).agg(F.count("*").alias("n_edges"))
     out = large.join(inner, "community", "left").fillna(0, ["n_edges"])

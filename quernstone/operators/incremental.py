@@ -76,3 +76,8 @@ def fuzzy(names: DataFrame, query: str, least: float = 0.5, k: int = 5) -> DataF
     low = F.lower("name")
     score = 1 - F.levenshtein(low, F.lit(query.lower())) / F.greatest(F.length("name"), F.lit(len(query)))
     return names.select("name", F.round(score, 6).alias("score")).filter(F.col("score") >= least).orderBy(F.desc("score"), F.asc("name")).limit(k)
+
+
+def cached_files(manifest: DataFrame, listing: DataFrame) -> DataFrame:
+    """Manifest rows ``(company_ticker, fiscal_year, path)`` whose file still exists."""
+    return manifest.join(listing.select("path").distinct(), "path", "left_semi")

@@ -148,7 +148,42 @@ def message_gaps(spark: SparkSession, sf: str) -> DataFrame:
     return rows.filter((F.col("before") != F.col("turn") - 1) | (F.col("said") == F.col("role"))).select("conv_id", "turn")
 
 
-QUERIES = {f.__name__: f for f in (metric_slug_id, extract_years, extract_tickers, entity_candidates, company_canonical, year_coerce, calculator, market_caps, conversation_summary, conversation_trim, history_block, conversation_delete, intent_rules, followup_resolve, orphan_calls, news_relevance, suggestion_merge, fuzzy_company, eval_gate, message_gaps)}
+def conversation_append(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations after one more turn of every fifth, and a new one."""
+    old = tables.table(spark, sf, "conversations")
+    more = old.filter("turn = 0 AND conv_id % 5 = 0").select("conv_id", F.lit(1).alias("seq"), F.lit("q?").alias("question"), F.lit("a.").alias("answer"))
+    more = more.unionByName(spark.createDataFrame([(10**9, 1, "first", "one"), (10**9, 2, "second", "two")], "conv_id long, seq int, question string, answer string"))
+    return d.append_turns(old, more).filter("conv_id % 5 = 0").select("conv_id", "turn", "role", F.length("text").cast("bigint").alias("n_chars"))
+
+
+def metric_gate(spark: SparkSession, sf: str) -> DataFrame:
+    """Which user messages ask about metrics, where some have a keyword put before their text."""
+    said = F.concat(F.when(F.col("turn") % 3 == 0, "Total Assets of ").when(F.col("conv_id") % 3 == 0, "EPS? ").otherwise(""), F.substring("text", 1, 60))
+    return tables.table(spark, sf, "conversations").filter("role = 'user'").select("conv_id", "turn", s.asks_metrics(said).alias("asks"))
+
+
+def metric_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """Metrics of one year whose name a hint names."""
+    rows = tables.metrics(spark, sf).filter("fiscal_year = 1996").withColumn("metric", F.concat("name", F.lit(" of "), "ticker"))
+    return rows.filter(s.hinted(F.col("metric"), F.lit("sales REVENUE"))).select("metric_id", "fiscal_year")
+
+
+def valid_tickers(spark: SparkSession, sf: str) -> DataFrame:
+    """Suppliers' names as tickers: which are valid, and their keys."""
+    rows = tables.table(spark, sf, "supplier").select("s_suppkey", F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit("b."), F.col("s_suppkey").cast("string"))).otherwise(F.col("s_name")).alias("t"))
+    return rows.select("s_suppkey", s.valid_ticker(F.col("t")).alias("valid"), s.ticker_key(F.col("t")).alias("key"))
+
+
+def sample_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """The boolean checks of samples, one for each order, against their lines as citations."""
+    orders, line = tables.table(spark, sf, "orders"), tables.table(spark, sf, "lineitem")
+    samples = orders.select(F.col("o_orderkey").alias("query_id"), F.concat(F.lit("T"), F.col("o_orderkey") % 4).alias("expected_ticker"), (1992 + F.col("o_orderkey") % 7).alias("expected_year"), F.lit("O").alias("expected_section"))
+    results = orders.select(F.col("o_orderkey").alias("query_id"), F.when(F.col("o_orderkey") % 2 == 0, "yes").otherwise(" ").alias("answer"), (F.col("o_orderkey") % 3).alias("dense"), F.lit(1).alias("sparse"), F.lit(0).alias("graph"))
+    cited = line.select(F.col("l_orderkey").alias("query_id"), F.concat(F.lit("t"), F.col("l_linenumber")).alias("company_ticker"), F.year("l_shipdate").alias("fiscal_year"), F.lower("l_linestatus").alias("section_id"))
+    return d.sample_checks(samples, results, cited)
+
+
+QUERIES = {f.__name__: f for f in (metric_slug_id, extract_years, extract_tickers, entity_candidates, company_canonical, year_coerce, calculator, market_caps, conversation_summary, conversation_trim, history_block, conversation_delete, intent_rules, followup_resolve, orphan_calls, news_relevance, suggestion_merge, fuzzy_company, eval_gate, message_gaps, conversation_append, metric_gate, metric_lookup, valid_tickers, sample_checks)}
 _SPOKEN = """sp AS (SELECT conv_id, turn, CASE WHEN conv_id % 4 = 0 THEN 'añade MSFT ' || (2020 + turn % 9) || ': ' WHEN conv_id % 4 = 1 THEN 'no añadas AAPL 2024, ' WHEN conv_id % 4 = 2 AND turn = 0 THEN 'tell me of TSLA in 2023 ' ELSE 'and then ' END || substr(text, 1, 40) AS said FROM conversations WHERE role = 'user'),
 tk AS (SELECT *, list_sort(list_distinct(regexp_extract_all(upper(said), '\\b(?:AAPL|MSFT|AMZN|GOOGL|META|TSLA|NVDA|BRK\\.B)\\b')))[1] AS ticker, list_min(list_transform(regexp_extract_all(said, '\\b20(?:2[0-9]|19)\\b'), lambda y: y::BIGINT)) AS year FROM sp)"""
 SQL = {
@@ -174,4 +209,12 @@ SQL = {
     "eval_gate": """WITH c AS (SELECT quality IS NOT NULL AS a, coalesce(quality = 1, false) AS b, coalesce(toxic = 0, false) AS c, coalesce(n_chars > 500, false) AS d FROM documents LEFT JOIN labels USING (doc_id)), s AS (SELECT *, (a::INT + b::INT + c::INT + d::INT) / 4.0::DOUBLE AS score FROM c)
         SELECT count(*) AS samples, round(avg(score), 6) AS mean_score, sum(a::INT)::BIGINT AS has_label, sum(b::INT)::BIGINT AS is_good, sum(c::INT)::BIGINT AS is_clean, sum(d::INT)::BIGINT AS is_long, round(avg(score), 6) >= 0.85 AS passed FROM s""",
     "message_gaps": "SELECT conv_id, turn FROM conversations QUALIFY lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) <> turn - 1 OR lag(role) OVER (PARTITION BY conv_id ORDER BY turn) = role",
+    "conversation_append": """WITH m AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT conv_id, (SELECT max(turn) FROM conversations x WHERE x.conv_id = c.conv_id) + k, r, t FROM (SELECT DISTINCT conv_id FROM conversations WHERE turn = 0 AND conv_id % 5 = 0) c, (VALUES (1, 'user', 'q?'), (2, 'assistant', 'a.')) v(k, r, t)
+        UNION ALL SELECT * FROM (VALUES (1000000000, 0, 'user', 'first'), (1000000000, 1, 'assistant', 'one'), (1000000000, 2, 'user', 'second'), (1000000000, 3, 'assistant', 'two')) n(a, b, c, d))
+        SELECT conv_id, turn, role, length(substr(text, 1, 4000)) AS n_chars FROM m WHERE conv_id % 5 = 0 QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 100""",
+    "metric_gate": "WITH u AS (SELECT conv_id, turn, lower(CASE WHEN turn % 3 = 0 THEN 'Total Assets of ' WHEN conv_id % 3 = 0 THEN 'EPS? ' ELSE '' END || substr(text, 1, 60)) AS t FROM conversations WHERE role = 'user') SELECT conv_id, turn, regexp_matches(t, 'revenue|sales|net income|net earnings|eps|operating income|gross margin|total assets|cash|debt|liabilities|equity') AS asks FROM u",
+    "metric_lookup": "SELECT DISTINCT upper(s_name) || '_1996_revenue' AS metric_id, 1996::BIGINT AS fiscal_year FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE year(l_shipdate) = 1996",
+    "valid_tickers": "WITH t AS (SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'b.' || s_suppkey ELSE s_name END AS t FROM supplier) SELECT s_suppkey, regexp_full_match(regexp_replace(t, '[.-]', '', 'g'), '[A-Za-z0-9]+') AS valid, regexp_replace(upper(t), '[.\\s]', '', 'g') AS key FROM t",
+    "sample_checks": """WITH c AS (SELECT l_orderkey, list(DISTINCT 't' || l_linenumber) AS t, list(DISTINCT year(l_shipdate)) AS y, list(DISTINCT lower(l_linestatus)) AS s, count(*) AS n FROM lineitem GROUP BY l_orderkey)
+        SELECT o_orderkey AS query_id, o_orderkey % 2 = 0 AS has_answer, coalesce(n > 0, false) AS has_citations, coalesce(list_contains(t, 't' || (o_orderkey % 4)), false) AS ticker_hit, coalesce(list_contains(y, 1992 + o_orderkey % 7), false) AS year_hit, coalesce(list_contains(s, 'o'), false) AS section_hit, o_orderkey % 3 > 0 AS dense_hit, true AS sparse_hit, false AS graph_hit FROM orders LEFT JOIN c ON l_orderkey = o_orderkey""",
 }

@@ -131,7 +131,7 @@ def jaccard_pairs(spark: SparkSession, sf: str) -> DataFrame:
     items = tables.table(spark, sf, "benchmark").select("item_id", word_set(F.col("text")).alias("iw"))
     docs = tables.table(spark, sf, "documents").select("doc_id", word_set(F.col("text")).alias("dw"))
     probe = items.select("item_id", "iw", F.explode(F.slice(F.array_sort(F.filter("iw", lambda w: F.length(w) >= 10)), 1, 2)).alias("w"))
-    pairs = docs.select("doc_id", "dw", F.explode(F.filter("dw", lambda w: F.length(w) >= 10)).alias("w")).join(F.broadcast(probe), "w").dropDuplicates(["item_id", "doc_id"])
+    pairs = docs.select("doc_id", "dw", F.explode(F.filter("dw", lambda w: F.length(w) >= 10)).alias("w")).join(probe, "w").dropDuplicates(["item_id", "doc_id"])
     return pairs.select("item_id", "doc_id", F.round(jaccard(F.col("iw"), F.col("dw")), 6).alias("jaccard"))
 
 
