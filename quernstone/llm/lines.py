@@ -197,7 +197,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             codes, offsets = codepoints(batch.column(1).slice(i, 2048).to_pylist())
             n = np.diff(offsets)
             counts = np.bincount(np.repeat(np.arange(len(n)), n) * 64 + codes % 64, minlength=len(n) * 64).reshape(-1, 64)
-            counts = np.minimum(counts, 65535).astype(np.uint16)
+            counts = np.minimum(counts, 255).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 2048), pa.array(n), pa.array([c.tobytes() for c in counts], pa.binary())], ["node", "size", "sketch"])
 
 

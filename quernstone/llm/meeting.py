@@ -113,17 +113,19 @@ def _across(possible: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray],
         if not sketches:
             return
         sig, node, root, size = (np.concatenate(x) for x in columns)
-        sketch = np.frombuffer(b"".join(sketches), np.uint16).reshape(len(sig), -1)
+        sketch = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sig), -1)
         order = np.argsort(sig, kind="stable")
         starts = np.flatnonzero(np.r_[True, np.diff(sig[order]) != 0])
         seen: set[tuple[int, int]] = set()
         for at, end in zip(starts, np.append(starts[1:], len(order))):
             group = order[at:end]
-            for i in range(0, len(group), 32):
-                some = group[i : i + 32]
-                near = possible(sketch[some], size[some], sketch[group[i:]], size[group[i:]]) & (root[some][:, None] != root[group[i:]][None, :])
+            names, count = np.unique(root[group], return_counts=True)
+            outside = group[root[group] != names[count.argmax()]]  # each pair across has one end outside the largest component
+            for i in range(0, len(outside), 32):
+                some = outside[i : i + 32]
+                near = possible(sketch[some], size[some], sketch[group], size[group]) & (root[some][:, None] != root[group][None, :])
                 for x, y in zip(*np.nonzero(near)):
-                    a, b = int(node[some[x]]), int(node[group[i + y]])
+                    a, b = int(node[some[x]]), int(node[group[y]])
                     seen.add((min(a, b), max(a, b)))
             if len(seen) > 200_000:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*seen)], ["a", "b"])
@@ -137,8 +139,9 @@ def _across(possible: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray],
 def connect(pairs: DataFrame, members: DataFrame, verify: Callable[[DataFrame], DataFrame], sketches: DataFrame, possible: Callable[..., np.ndarray], tasks: int) -> DataFrame:
     """Verified edges (a, b) that connect every component of the links.
 
-    ``sketches(node, size, sketch)``: 16-bit counts; ``possible`` says for the
-    sketches and sizes of some rows, and of some columns, which may link.
+    ``sketches(node, size, sketch)``: counts of 8 bits, 255 for more; ``possible``
+    says for the sketches and sizes of some rows, and of some columns, which may
+    link.
     """
     edges = materialize(verify(pairs), "links1")
     names = components(edges)
