@@ -1,8 +1,8 @@
 """Quality classification by attention-based multiple-instance learning.
 
 A document is a bag of passages of ``WIDTH`` characters.  Each passage is
-described by the shares of its character classes and of their transitions,
-encoded by a learned layer, and weighted by gated attention
+described by the shares of its character classes, of their transitions and of
+repeated words, encoded by a learned layer, and weighted by gated attention
 ``softmax(w . (tanh(V h) * sigmoid(U h)))``; the weighted sum is scored by a
 logistic layer.  Only document labels are used.
 
@@ -29,7 +29,7 @@ WIDTH = 400
 MARKS = "!$%&#*|@<>{}[]()/\\_-:;\"'=+~^`?"
 SMALL = 9
 CLASSES = SMALL + len(MARKS)
-FEATURES = CLASSES + SMALL * SMALL + 2
+FEATURES = CLASSES + SMALL * SMALL + 3
 
 
 def _classes() -> np.ndarray:
@@ -63,7 +63,29 @@ def passages(rows: list[str]) -> tuple[np.ndarray, np.ndarray]:
     pair = (at[1:] * SMALL + small[:-1].astype(np.int64)) * SMALL + small[1:]
     two = np.bincount(pair[inner], minlength=first[-1] * SMALL * SMALL).reshape(-1, SMALL * SMALL) / n
     blank = (one[:, 5] + one[:, 6])[:, None]
-    return np.concatenate([one, two, 1 / (blank + 0.02) / 50, np.minimum(n / WIDTH, 1)], 1).astype(np.float32), count
+    again = _repeats(codes, (kind != 5) & (kind != 6), offsets, at, first[-1])
+    return np.concatenate([one, two, 1 / (blank + 0.02) / 50, np.minimum(n / WIDTH, 1), again[:, None]], 1).astype(np.float32), count
+
+
+def _repeats(codes: np.ndarray, inside: np.ndarray, offsets: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """The share of each passage's words that repeat the word before."""
+    start = inside.copy()
+    if not len(start):
+        return np.zeros(n)
+    start[1:] &= ~inside[:-1]
+    rows = offsets[:-1][offsets[:-1] < offsets[1:]]
+    start[rows] = inside[rows]
+    begin = np.flatnonzero(start)
+    if not len(begin):
+        return np.zeros(n)
+    span = np.diff(np.append(begin, len(codes)))
+    place = np.arange(begin[0], len(codes)) - np.repeat(begin, span)
+    part = (codes[begin[0] :].astype(np.uint64) + np.uint64(1)) * (place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0xD6E8FEB86659FD93))
+    part[~inside[begin[0] :]] = 0
+    word = np.add.reduceat(part, begin - begin[0])
+    same = np.zeros(len(word))
+    same[1:] = (word[1:] == word[:-1]) & (np.searchsorted(offsets, begin[1:], "right") == np.searchsorted(offsets, begin[:-1], "right"))
+    return np.bincount(at[begin], same, n) / np.maximum(np.bincount(at[begin], minlength=n), 1)
 
 
 def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
