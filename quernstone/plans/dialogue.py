@@ -71,8 +71,8 @@ def conversation_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def conversation_trim(spark: SparkSession, sf: str) -> DataFrame:
-    """The last three messages of each conversation, 80 characters each."""
-    return d.trim(tables.table(spark, sf, "conversations").select("conv_id", "turn", "role", "text"), 3, 80)
+    """The last 100 messages of each conversation, 4000 characters each."""
+    return d.trim(tables.table(spark, sf, "conversations").select("conv_id", "turn", "role", "text"))
 
 
 def history_block(spark: SparkSession, sf: str) -> DataFrame:
@@ -88,7 +88,7 @@ def conversation_delete(spark: SparkSession, sf: str) -> DataFrame:
 def _spoken(spark: SparkSession, sf: str) -> DataFrame:
     """User turns with a request put before their text."""
     said = F.when(F.col("conv_id") % 4 == 0, F.concat(F.lit("añade MSFT "), (2020 + F.col("turn") % 9).cast("string"), F.lit(": "))).when(F.col("conv_id") % 4 == 1, F.lit("no añadas AAPL 2024, ")).when((F.col("conv_id") % 4 == 2) & (F.col("turn") == 0), F.lit("tell me of TSLA in 2023 ")).otherwise(F.lit("and then "))
-    rows = tables.table(spark, sf, "conversations").filter("role = 'user'").withColumn("said", F.concat(said, F.substring("text", 1, 40)))
+    rows = tables.table(spark, sf, "conversations").filter("role = 'user'").withColumn("said", F.concat(said, F.col("text")))
     return rows.withColumn("ticker", F.element_at(F.array_append(s.mentioned(F.col("said"), {}, list(TICKERS)), F.lit(None)), 1)).withColumn("year", F.element_at(F.array_append(s.years(F.col("said")), F.lit(None).cast("bigint")), 1))
 
 
@@ -112,7 +112,7 @@ def orphan_calls(spark: SparkSession, sf: str) -> DataFrame:
 
 def news_relevance(spark: SparkSession, sf: str) -> DataFrame:
     """The six most relevant documents as news of one company."""
-    items = tables.table(spark, sf, "documents").select(F.col("doc_id").alias("item_id"), F.when(F.col("doc_id") % 97 == 0, F.lit("X, brk.b")).otherwise(F.col("source")).alias("related"), F.substring("text", 1, 40).alias("headline"), F.substring("text", 41, 200).alias("summary"), (F.col("doc_id") * 7919 % 1000).alias("at"))
+    items = tables.table(spark, sf, "documents").select(F.col("doc_id").alias("item_id"), F.when(F.col("doc_id") % 97 == 0, F.lit("X, brk.b")).otherwise(F.col("source")).alias("related"), F.col("source").alias("headline"), F.col("text").alias("summary"), (F.col("doc_id") * 7919 % 1000).alias("at"))
     return d.news(items, "BRKB", ["onesen", "therhe"]).select("item_id", "relevance", "at")
 
 
@@ -153,12 +153,12 @@ def conversation_append(spark: SparkSession, sf: str) -> DataFrame:
     old = tables.table(spark, sf, "conversations")
     more = old.filter("turn = 0 AND conv_id % 5 = 0").select("conv_id", F.lit(1).alias("seq"), F.lit("q?").alias("question"), F.lit("a.").alias("answer"))
     more = more.unionByName(spark.createDataFrame([(10**9, 1, "first", "one"), (10**9, 2, "second", "two")], "conv_id long, seq int, question string, answer string"))
-    return d.append_turns(old, more).filter("conv_id % 5 = 0").select("conv_id", "turn", "role", F.length("text").cast("bigint").alias("n_chars"))
+    return d.append_turns(old, more).select("conv_id", "turn", "role", F.length("text").cast("bigint").alias("n_chars"))
 
 
 def metric_gate(spark: SparkSession, sf: str) -> DataFrame:
     """Which user messages ask about metrics, where some have a keyword put before their text."""
-    said = F.concat(F.when(F.col("turn") % 3 == 0, "Total Assets of ").when(F.col("conv_id") % 3 == 0, "EPS? ").otherwise(""), F.substring("text", 1, 60))
+    said = F.concat(F.when(F.col("turn") % 3 == 0, "Total Assets of ").when(F.col("conv_id") % 3 == 0, "EPS? ").otherwise(""), F.col("text"))
     return tables.table(spark, sf, "conversations").filter("role = 'user'").select("conv_id", "turn", s.asks_metrics(said).alias("asks"))
 
 
@@ -184,7 +184,7 @@ def sample_checks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (metric_slug_id, extract_years, extract_tickers, entity_candidates, company_canonical, year_coerce, calculator, market_caps, conversation_summary, conversation_trim, history_block, conversation_delete, intent_rules, followup_resolve, orphan_calls, news_relevance, suggestion_merge, fuzzy_company, eval_gate, message_gaps, conversation_append, metric_gate, metric_lookup, valid_tickers, sample_checks)}
-_SPOKEN = """sp AS (SELECT conv_id, turn, CASE WHEN conv_id % 4 = 0 THEN 'añade MSFT ' || (2020 + turn % 9) || ': ' WHEN conv_id % 4 = 1 THEN 'no añadas AAPL 2024, ' WHEN conv_id % 4 = 2 AND turn = 0 THEN 'tell me of TSLA in 2023 ' ELSE 'and then ' END || substr(text, 1, 40) AS said FROM conversations WHERE role = 'user'),
+_SPOKEN = """sp AS (SELECT conv_id, turn, CASE WHEN conv_id % 4 = 0 THEN 'añade MSFT ' || (2020 + turn % 9) || ': ' WHEN conv_id % 4 = 1 THEN 'no añadas AAPL 2024, ' WHEN conv_id % 4 = 2 AND turn = 0 THEN 'tell me of TSLA in 2023 ' ELSE 'and then ' END || text AS said FROM conversations WHERE role = 'user'),
 tk AS (SELECT *, list_sort(list_distinct(regexp_extract_all(upper(said), '\\b(?:AAPL|MSFT|AMZN|GOOGL|META|TSLA|NVDA|BRK\\.B)\\b')))[1] AS ticker, list_min(list_transform(regexp_extract_all(said, '\\b20(?:2[0-9]|19)\\b'), lambda y: y::BIGINT)) AS year FROM sp)"""
 SQL = {
     "metric_slug_id": "SELECT p_partkey, upper(p_brand) || '_' || (2024 + p_size % 2) || '_' || CASE WHEN trim(regexp_replace(lower(trim(p_name)), '[^a-z0-9]+', '_', 'g'), '_') = '' THEN 'metric' ELSE left(trim(regexp_replace(lower(trim(p_name)), '[^a-z0-9]+', '_', 'g'), '_'), 80) END AS metric_id FROM part",
@@ -195,13 +195,13 @@ SQL = {
     "market_caps": """WITH v AS (SELECT s_suppkey, floor(s_acctbal) * CASE WHEN s_suppkey % 2 = 0 THEN 1000 ELSE 1 END * 1e6 AS v FROM supplier WHERE s_acctbal > 0)
         SELECT s_suppkey, CASE WHEN v >= 1e12 THEN printf('$%.2fT', v / 1e12) WHEN v >= 1e9 THEN printf('$%.1fB', v / 1e9) WHEN v >= 1e6 THEN printf('$%.0fM', v / 1e6) ELSE '' END AS cap FROM v""",
     "conversation_summary": "SELECT conv_id, arg_min(substr(text, 1, 60), turn) FILTER (role = 'user') AS title, count(*) // 2 AS turns, count(*) AS n_messages FROM conversations GROUP BY conv_id",
-    "conversation_trim": "SELECT conv_id, turn, role, substr(text, 1, 80) AS text FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 3",
+    "conversation_trim": "SELECT conv_id, turn, role, substr(text, 1, 4000) AS text FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 100",
     "history_block": "WITH m AS (SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'Prev Q: ' ELSE 'Prev A: ' END || substr(text, 1, 500) AS line FROM conversations WHERE role IN ('user', 'assistant') QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 8) SELECT conv_id, string_agg(line, chr(10) ORDER BY turn) AS history FROM m GROUP BY conv_id",
     "conversation_delete": "SELECT conv_id, count(*) AS n FROM conversations WHERE conv_id NOT IN (0, 3) GROUP BY conv_id",
     "intent_rules": f"WITH {_SPOKEN} SELECT conv_id, turn, CASE WHEN (contains(lower(said), 'añade') OR contains(lower(said), 'añadir') OR contains(lower(said), 'ingest') OR contains(lower(said), 'agrega') OR contains(lower(said), 'add ')) AND NOT (contains(lower(said), 'no añadas') OR contains(lower(said), 'no quiero que añadas') OR contains(lower(said), 'no agregues')) AND ticker IS NOT NULL AND year IS NOT NULL THEN 'ingest' ELSE 'retrieve' END AS intent, ticker, year FROM tk",
     "followup_resolve": f"WITH {_SPOKEN}, l AS (SELECT conv_id, turn, ticker, year, last_value(CASE WHEN ticker IS NOT NULL THEN {{'t': ticker, 'y': year}} END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM tk) SELECT conv_id, turn, coalesce(ticker, b.t) AS ticker, coalesce(year, b.y) AS year FROM l",
     "orphan_calls": "SELECT user_id || '-' || (event_id % 50) AS call_id, event_id, '(interrupted)' AS content FROM events WHERE event_type = 'click' AND user_id || '-' || (event_id % 50) NOT IN (SELECT user_id || '-' || (event_id % 50) FROM events WHERE event_type = 'purchase')",
-    "news_relevance": "WITH i AS (SELECT doc_id AS item_id, CASE WHEN doc_id % 97 = 0 THEN 3 WHEN contains(upper(substr(text, 1, 40) || ' ' || substr(text, 41, 200)), 'ONESEN') OR contains(upper(substr(text, 1, 40) || ' ' || substr(text, 41, 200)), 'THERHE') THEN 1 ELSE 0 END AS relevance, doc_id * 7919 % 1000 AS \"at\" FROM documents) SELECT item_id, relevance::BIGINT AS relevance, \"at\" FROM i WHERE relevance > 0 ORDER BY relevance DESC, \"at\" DESC, item_id LIMIT 6",
+    "news_relevance": "WITH i AS (SELECT doc_id AS item_id, CASE WHEN doc_id % 97 = 0 THEN 3 WHEN contains(upper(coalesce(source, '') || ' ' || coalesce(text, '')), 'ONESEN') OR contains(upper(coalesce(source, '') || ' ' || coalesce(text, '')), 'THERHE') THEN 1 ELSE 0 END AS relevance, doc_id * 7919 % 1000 AS \"at\" FROM documents) SELECT item_id, relevance::BIGINT AS relevance, \"at\" FROM i WHERE relevance > 0 ORDER BY relevance DESC, \"at\" DESC, item_id LIMIT 6",
     "suggestion_merge": """WITH a AS (SELECT n_name AS company_ticker, 'peers' AS origin, 0 AS place, n_nationkey AS pos FROM nation WHERE n_regionkey = 1 UNION ALL SELECT n_name, 'competitors', 1, n_nationkey FROM nation WHERE n_nationkey % 3 = 0 UNION ALL SELECT n_name, 'context', 2, n_nationkey FROM nation WHERE n_nationkey >= 20),
         f AS (SELECT * FROM a WHERE company_ticker IN (SELECT n_name FROM nation WHERE n_nationkey % 5 <> 0 AND n_nationkey <> 2) QUALIFY row_number() OVER (PARTITION BY company_ticker ORDER BY place, pos) = 1)
         SELECT company_ticker, origin, row_number() OVER (ORDER BY place, pos, company_ticker) AS rank FROM f QUALIFY rank <= 5""",
@@ -211,8 +211,8 @@ SQL = {
     "message_gaps": "SELECT conv_id, turn FROM conversations QUALIFY lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) <> turn - 1 OR lag(role) OVER (PARTITION BY conv_id ORDER BY turn) = role",
     "conversation_append": """WITH m AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT conv_id, (SELECT max(turn) FROM conversations x WHERE x.conv_id = c.conv_id) + k, r, t FROM (SELECT DISTINCT conv_id FROM conversations WHERE turn = 0 AND conv_id % 5 = 0) c, (VALUES (1, 'user', 'q?'), (2, 'assistant', 'a.')) v(k, r, t)
         UNION ALL SELECT * FROM (VALUES (1000000000, 0, 'user', 'first'), (1000000000, 1, 'assistant', 'one'), (1000000000, 2, 'user', 'second'), (1000000000, 3, 'assistant', 'two')) n(a, b, c, d))
-        SELECT conv_id, turn, role, length(substr(text, 1, 4000)) AS n_chars FROM m WHERE conv_id % 5 = 0 QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 100""",
-    "metric_gate": "WITH u AS (SELECT conv_id, turn, lower(CASE WHEN turn % 3 = 0 THEN 'Total Assets of ' WHEN conv_id % 3 = 0 THEN 'EPS? ' ELSE '' END || substr(text, 1, 60)) AS t FROM conversations WHERE role = 'user') SELECT conv_id, turn, regexp_matches(t, 'revenue|sales|net income|net earnings|eps|operating income|gross margin|total assets|cash|debt|liabilities|equity') AS asks FROM u",
+        SELECT conv_id, turn, role, length(substr(text, 1, 4000)) AS n_chars FROM m QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 100""",
+    "metric_gate": "WITH u AS (SELECT conv_id, turn, lower(CASE WHEN turn % 3 = 0 THEN 'Total Assets of ' WHEN conv_id % 3 = 0 THEN 'EPS? ' ELSE '' END || text) AS t FROM conversations WHERE role = 'user') SELECT conv_id, turn, regexp_matches(t, 'revenue|sales|net income|net earnings|eps|operating income|gross margin|total assets|cash|debt|liabilities|equity') AS asks FROM u",
     "metric_lookup": "SELECT DISTINCT upper(s_name) || '_1996_revenue' AS metric_id, 1996::BIGINT AS fiscal_year FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE year(l_shipdate) = 1996",
     "valid_tickers": "WITH t AS (SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'b.' || s_suppkey ELSE s_name END AS t FROM supplier) SELECT s_suppkey, regexp_full_match(regexp_replace(t, '[.-]', '', 'g'), '[A-Za-z0-9]+') AS valid, regexp_replace(upper(t), '[.\\s]', '', 'g') AS key FROM t",
     "sample_checks": """WITH c AS (SELECT l_orderkey, list(DISTINCT 't' || l_linenumber) AS t, list(DISTINCT year(l_shipdate)) AS y, list(DISTINCT lower(l_linestatus)) AS s, count(*) AS n FROM lineitem GROUP BY l_orderkey)

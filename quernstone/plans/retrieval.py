@@ -127,10 +127,10 @@ def sigmoid_threshold(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def jaccard_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """Word-set similarity of each benchmark item with the chunks that share its first rare words."""
+    """Word-set similarity of each benchmark item with the chunks that share one of its long words."""
     items = tables.table(spark, sf, "benchmark").select("item_id", word_set(F.col("text")).alias("iw"))
     docs = tables.table(spark, sf, "documents").select("doc_id", word_set(F.col("text")).alias("dw"))
-    probe = items.select("item_id", "iw", F.explode(F.slice(F.array_sort(F.filter("iw", lambda w: F.length(w) >= 10)), 1, 2)).alias("w"))
+    probe = items.select("item_id", "iw", F.explode(F.filter("iw", lambda w: F.length(w) >= 10)).alias("w"))
     pairs = docs.select("doc_id", "dw", F.explode(F.filter("dw", lambda w: F.length(w) >= 10)).alias("w")).join(probe, "w").dropDuplicates(["item_id", "doc_id"])
     return pairs.select("item_id", "doc_id", F.round(jaccard(F.col("iw"), F.col("dw")), 6).alias("jaccard"))
 
@@ -184,7 +184,7 @@ SQL = {
         j AS (SELECT *, CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0::DOUBLE ELSE len(list_intersect(a, b))::DOUBLE / (len(a) + len(b) - len(list_intersect(a, b))) END AS j FROM s)
         SELECT query_id, chunk_id, round(1 / (1 + exp(-(8 * j - 1))), 6) AS score FROM j WHERE round(1 / (1 + exp(-(8 * j - 1))), 6) >= 0.3""",
     "jaccard_pairs": f"""WITH i AS (SELECT item_id, {_SETS.format("text")} AS iw FROM benchmark), d AS (SELECT doc_id, {_SETS.format("text")} AS dw FROM documents),
-        probe AS (SELECT item_id, iw, unnest(list_sort(list_filter(iw, lambda w: len(w) >= 10))[1:2]) AS w FROM i),
+        probe AS (SELECT item_id, iw, unnest(list_filter(iw, lambda w: len(w) >= 10)) AS w FROM i),
         p AS (SELECT DISTINCT item_id, doc_id, iw, dw FROM probe JOIN (SELECT doc_id, dw, unnest(dw) AS w FROM d) USING (w))
         SELECT item_id, doc_id, round(len(list_intersect(iw, dw))::DOUBLE / (len(iw) + len(dw) - len(list_intersect(iw, dw))), 6) AS jaccard FROM p""",
     "query_expansion": f"""WITH q AS (SELECT col0::BIGINT AS query_id, col1 AS question FROM (VALUES {_values()}))
