@@ -30,6 +30,7 @@ from quernstone.llm.meeting import connect, gather, packer, task_count
 from quernstone.workspace import materialize, unused
 
 EDITS, MIN_CHARS = 2, 24
+SALTS = 8
 _BASE = 0x9E3779B97F4A7C15
 #: _BASE times this is 1 modulo 2^64.
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -251,7 +252,10 @@ def decide(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> D
     named = materialize(places.join(names, "line_id", "left").select("doc_id", "place", F.coalesce("root", "line_id").alias("root")), "named")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "place")
     first = named.filter("root IS NOT NULL").groupBy("root").agg(F.min(order).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    marked = named.join(first.select("root", "first"), "root", "left")
+    # Very common lines are marked in several tasks: their rows are salted, and each first occurrence is there for every salt.
+    named = named.withColumn("salt", F.pmod(F.xxhash64("doc_id", "place"), F.lit(SALTS)))
+    first = first.select("root", "first", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    marked = named.join(first, ["root", "salt"], "left")
     is_first = F.col("first").isNull() | ((F.col("place") == F.col("first.place")) & F.col("doc_id").eqNullSafe(F.col("first.doc_id")))
     counts = marked.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count(F.when(is_first, 1)).alias("n_kept"), F.array_sort(F.collect_list(F.when(~is_first, F.col("place")))).alias("dropped"))
     missing = docs.groupBy("doc_id").agg(F.max(F.col("text").isNotNull()).alias("has")).filter("NOT has")
