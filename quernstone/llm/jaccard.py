@@ -1,19 +1,21 @@
 """N-gram Jaccard join by PartEnum signatures.
 
 Texts become sets of hashed 5-word shingles; two sets link when their Jaccard
-similarity is ``percent`` / 100 or more.  Sets are put into size bands whose
-ends grow by 100 / percent, so linked sets lie in one band or in neighbours;
-each set is signed for its own band and the next.  In a band linked sets differ
-in at most ``k`` elements.  The domain is partitioned by hash into ``k // (k2 +
-1) + 1`` parts, so at least one part holds at most ``k2`` differences; a part
-is cut into ``n2``, and each choice of ``n2 - k2`` of them is one signature.
-Small bands take 4 of 8, the others 2 of 3.
-
-Of the random parts of a large band ``PARTS`` are enumerated: at the threshold
-itself each of them agrees with a probability of over 0.3, so all of them fail
-for less than one pair in a million.  Signatures of very few elements are not
-kept, as unrelated texts share them.  Sets of a few elements use the prefix of
-their sorted elements, which misses nothing.
+similarity is ``percent`` / 100 or more.  Sets of at most ``SMALL`` elements, and
+larger ones that may link with them, are found by the prefix of their elements
+in one order for all sets, which misses nothing.  Shingles that many texts hold
+come last in that order, so that they seldom make candidates; which ones these
+are is read from a sample, and any choice of them finds the same links.
+
+Larger sets are put into size bands whose ends grow by 100 / percent, so linked
+sets lie in one band or in neighbours; each set is signed for its own band and
+the next.  In a band linked sets differ in at most ``k`` elements.  The domain
+is partitioned by hash into ``k // 2 + 1`` parts, so at least one part holds at
+most one difference; a part is cut into three, and each choice of two of the
+three is one signature.  Of the random parts ``PARTS`` are enumerated: at the
+threshold itself each of them agrees with a probability of over 0.3, so all of
+them fail for less than one pair in a million.  Signatures of fewer than
+``LEAST`` elements are not kept, as unrelated texts share them.
 
 Equal sets are one member from the start.  The members meet as ``meeting``
 says, and every link is verified on the whole sets.
@@ -34,10 +36,10 @@ from quernstone.llm.meeting import connect, gather, packer, task_count
 from quernstone.workspace import is_empty, materialize
 
 PARTS = 40
-#: Sets of at most SMALL elements are found by prefixes alone; bands that end at MIDDLE take 4 of 8.
-SMALL, MIDDLE = 10, 80
-#: n2 and k2 of the middle and the large bands.
-ENUMERATE = ((8, 4), (3, 1))
+#: Sets of at most SMALL elements are found by prefixes alone; beyond, every band has more than PARTS parts.
+SMALL, LEAST = 277, 3
+#: Rows read for the common shingles, how many of them hold one, and how many shingles are told apart.
+SAMPLE, OFTEN, COMMON = 10_000, 4, 32_768
 CELLS = 512
 
 
@@ -51,45 +53,57 @@ def bands(percent: int) -> np.ndarray:
 
 def parts_of(end: np.ndarray, percent: int) -> np.ndarray:
     """The number of parts for sets of a band that ends there."""
-    differ = 2 * (100 - percent) * end // (100 + percent)
-    return differ // np.where(end <= MIDDLE, ENUMERATE[0][1] + 1, ENUMERATE[1][1] + 1) + 1
+    return 2 * (100 - percent) * end // (100 + percent) // 2 + 1
 
 
-def signatures(values: np.ndarray, bounds: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+def prefix_of(size: np.ndarray, percent: int) -> np.ndarray:
+    """How many elements of a set are looked up one by one: linked sets share one of them in any common order."""
+    return np.where((size > 0) & (size <= SMALL * 100 // percent), size + (-percent * size // 100) + 1, 0)
+
+
+def prefixes(values: np.ndarray, bounds: np.ndarray, percent: int, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first elements of each set, those in ``common`` (sorted) after all others, and the set of each."""
+    size = np.diff(bounds)
+    length, owner = prefix_of(size, percent), np.repeat(np.arange(len(size)), size)
+    late = np.zeros(len(values), bool)
+    if len(common):
+        late = common[np.minimum(np.searchsorted(common, values), len(common) - 1)] == values
+    before = np.concatenate([[0], np.cumsum(~late)])
+    early = before[:-1] - before[bounds[:-1]][owner]
+    place = np.arange(len(values)) - bounds[:-1][owner]
+    rank = np.where(late, place - early + (before[bounds[1:]] - before[bounds[:-1]])[owner], early)
+    kept = rank < length[owner]
+    return mix(values[kept] ^ U64(0x5851F42D4C957F2D)), owner[kept]
+
+
+def signatures(values: np.ndarray, bounds: np.ndarray, percent: int, common: np.ndarray = np.zeros(0, U64)) -> tuple[np.ndarray, np.ndarray]:
     """Signatures of the sets in ``values`` between ``bounds``, and the set of each."""
     size, ends = np.diff(bounds), bands(percent)
-    rank = np.arange(len(values)) - np.repeat(bounds[:-1], size)
     owner = np.repeat(np.arange(len(size)), size)
-    prefix = np.where((size > 0) & (size <= SMALL * 100 // percent), size + (-percent * size // 100) + 1, 0)
-    kept = rank < prefix[owner]
-    out, of = [mix(values[kept] ^ U64(0x5851F42D4C957F2D))], [owner[kept]]
-    scrambled = mix(values + U64(0x2545F4914F6CDD1D))
-    low, high = values & U64(0xFFFFFFFF), values >> U64(32)
-    band = np.searchsorted(ends, size)
-    for up in (0, 1):
-        for n2, k2 in ENUMERATE:
-            chosen = np.flatnonzero((size > SMALL) & ((ends[band + up] <= MIDDLE) == (n2 == ENUMERATE[0][0])))
-            if not len(chosen):
-                continue
-            tag = band[chosen] + up
+    out, of = ([x] for x in prefixes(values, bounds, percent, common))
+    chosen = np.flatnonzero(size > SMALL)
+    if len(chosen):
+        scrambled = mix(values + U64(0x2545F4914F6CDD1D))
+        low, high = values & U64(0xFFFFFFFF), values >> U64(32)
+        band = np.searchsorted(ends, size[chosen])
+        slot = np.full(len(size), -1)
+        slot[chosen] = np.arange(len(chosen))
+        row = slot[owner]
+        for tag in (band, band + 1):
             parts = parts_of(ends[tag], percent)
             used = np.minimum(parts, PARTS)
             base = np.concatenate([[0], np.cumsum(used)])
-            slot = np.full(len(size), -1)
-            slot[chosen] = np.arange(len(chosen))
-            row = slot[owner]
             part = (high * parts[row].astype(U64) >> U64(32)).astype(np.int64)
             take = np.flatnonzero((row >= 0) & (part < used[row]))
-            cell = (base[row[take]] + part[take]) * n2 + (low[take] * U64(n2) >> U64(32)).astype(np.int64)
-            sums = np.zeros(base[-1] * n2, U64)
+            cell = (base[row[take]] + part[take]) * 3 + (low[take] * U64(3) >> U64(32)).astype(np.int64)
+            sums = np.zeros(base[-1] * 3, U64)
             np.add.at(sums, cell, scrambled[take])
-            sums, count = sums.reshape(-1, n2), np.bincount(cell, minlength=base[-1] * n2).reshape(-1, n2)
+            sums, count = sums.reshape(-1, 3), np.bincount(cell, minlength=base[-1] * 3).reshape(-1, 3)
             who = np.repeat(np.arange(len(chosen)), used)
             salt = mix((tag[who] * 1_000_003 + np.arange(base[-1]) - base[who]).astype(U64))
-            least = np.where(size[chosen] > 16, 3, 2)[who]
-            for j, subset in enumerate(combinations(range(n2), n2 - k2)):
+            for j, subset in enumerate(combinations(range(3), 2)):
                 some = list(subset)
-                good = count[:, some].sum(1) >= least
+                good = count[:, some].sum(1) >= LEAST
                 out.append(mix(sums[:, some].sum(1, dtype=U64) + salt + U64(j))[good])
                 of.append(chosen[who[good]])
     return np.concatenate(out), np.concatenate(of)
@@ -99,8 +113,8 @@ def expected(size: np.ndarray, percent: int) -> np.ndarray:
     """At most so many signatures has a set of each size."""
     ends = bands(percent)
     band = np.searchsorted(ends, size)
-    total = sum(np.minimum(parts_of(ends[b], percent), PARTS) * np.where(ends[b] <= MIDDLE, 70, 3) for b in (band, band + 1))
-    return np.where(size > SMALL, total, 0) + np.where(size <= SMALL * 100 // percent, size - percent * size // 100 + 1, 0)
+    total = sum(np.minimum(parts_of(ends[b], percent), PARTS) * 3 for b in (band, band + 1))
+    return np.where(size > SMALL, total, 0) + prefix_of(size, percent)
 
 
 def _profile(percent: int, width: int):
@@ -133,7 +147,27 @@ def _pick(values: np.ndarray, bounds: np.ndarray, rows: np.ndarray) -> tuple[np.
     return values[mask], np.concatenate([[0], np.cumsum(np.diff(bounds)[rows])]).astype(np.int64)
 
 
-def _sign(percent: int, width: int, buckets: int):
+def _elements(percent: int, width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = utf8(batch.column(0))
+            for i, j in blocks(offsets):
+                values, bounds = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width)
+                values, _ = _pick(values, bounds, prefix_of(np.diff(bounds), percent) > 0)
+                yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64))], ["item"])
+
+    return run
+
+
+def common_elements(docs: DataFrame, rows: int, percent: int, width: int) -> np.ndarray:
+    """The elements that most rows of a sample hold, sorted; they order the prefixes and decide nothing else."""
+    sample = docs.select("text").sample(min(1.0, SAMPLE / max(rows, 1)), 5)
+    counts = sample.mapInArrow(_elements(percent, width), "item long").groupBy("item").count().filter(F.col("count") >= OFTEN)
+    found = counts.orderBy(F.desc("count"), "item").limit(COMMON).collect()
+    return np.sort(np.array([r["item"] for r in found], np.int64).view(U64))
+
+
+def _sign(percent: int, width: int, buckets: int, common: np.ndarray):
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         seen: set = set()
         for batch in batches:
@@ -142,7 +176,7 @@ def _sign(percent: int, width: int, buckets: int):
                 values, bounds = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width)
                 fps = fingerprint(values, bounds)
                 fresh = _fresh(seen, fps)
-                sig, of = signatures(*_pick(values, bounds, fresh), percent)
+                sig, of = signatures(*_pick(values, bounds, fresh), percent, common)
                 yield sig, fps[fresh][of]
 
     return lambda batches: packer(signed(batches), buckets)
@@ -212,8 +246,10 @@ def links(docs: DataFrame, percent: int = 75, width: int = 5) -> tuple[DataFrame
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     profile = docs.mapInArrow(_profile(percent, width), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, n_shingles long, fp long, n_sigs long")
     profile = materialize(profile, "profile")
-    tasks = task_count(docs.sparkSession, profile.agg(F.sum("n_sigs")).head()[0] or 0)
-    packed = docs.select("text").mapInArrow(_sign(percent, width, tasks * 8), "bucket int, sigs binary, members binary")
+    rows, total = profile.agg(F.count("*"), F.sum("n_sigs")).head()
+    tasks = task_count(docs.sparkSession, total or 0)
+    common = common_elements(docs, rows, percent, width)
+    packed = docs.select("text").mapInArrow(_sign(percent, width, tasks * 8, common), "bucket int, sigs binary, members binary")
     pairs, members = gather(packed, tasks)
     wanted = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "fp")
     hashes = profile.join(wanted, "fp", "left_semi").groupBy("fp").agg(F.min("text_hash").alias("text_hash")).select("text_hash").distinct()

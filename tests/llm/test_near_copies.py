@@ -73,6 +73,27 @@ def test_no_pair_at_the_threshold_lacks_a_signature():
         assert all(len(np.intersect1d(sig[of == 2 * k], sig[of == 2 * k + 1])) for k in range(50)), n
 
 
+@pytest.mark.parametrize("common", [0, 300])
+def test_every_pair_of_short_sets_shares_a_signature(common):
+    r = np.random.default_rng(6)
+    cases = [(m, n) for m in (*range(11, 61), 66, 67, 88, 89, 117, 156, 208, 209, 277) for n in sorted({m, m + 1, (m + m * 4 // 3) // 2, m * 4 // 3})]
+    for m, n in cases:
+        both = -(-75 * (m + n) // 175)
+        if both > m:
+            continue
+        pairs = 2000 if m <= 20 else 100
+        values, bounds, often = [], [0], []
+        for _ in range(pairs):
+            h = r.permutation(r.integers(0, 2**63, m + n - both).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            often.append(h[: common * m // 1000])
+            for own in (h[:m], h[m - both :]):
+                values.append(np.sort(own))
+                bounds.append(bounds[-1] + len(own))
+        sig, of = jaccard.signatures(np.concatenate(values), np.array(bounds), 75, *([np.sort(np.concatenate(often))] if common else []))
+        sides = [set(zip((of[of % 2 == k] // 2).tolist(), sig[of % 2 == k].tolist())) for k in (0, 1)]
+        assert len({k for k, _ in sides[0] & sides[1]}) == pairs, (m, n)
+
+
 def test_keep_first_keeps_one_of_each_class_and_all_columns(spark):
     docs = frame(spark)
     classes = {r["component_id"] for r in jaccard.classes(docs).collect()}
