@@ -259,6 +259,18 @@ def links(docs: DataFrame, percent: int = 75, width: int = 5) -> tuple[DataFrame
     return profile, connect(pairs, members, lambda found: verify(found, sets, percent), sketches, _possible(percent), tasks)
 
 
+def _classed(docs: DataFrame, percent: int, width: int) -> DataFrame:
+    """The profile with ``component_id`` and ``root``, a name that a class has alone; both are null without shingles."""
+    profile, edges = links(docs, percent, width)
+    names = components(edges)
+    first = profile.filter("fp <> 0").groupBy("fp").agg(F.min("doc_id").alias("least"))
+    first = first.join(names.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    first = materialize(first, "least")
+    whole = first.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n")).filter("n > 1")
+    first = first.join(whole, "root", "left").select("fp", "root", F.coalesce("component_id", "least").alias("component_id"))
+    return profile.join(first, "fp", "left")
+
+
 def classes(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFrame:
     """``doc_id, n_shingles, component_id``, a row for each row of ``docs``.
 
@@ -267,24 +279,31 @@ def classes(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFrame:
     text, an empty one and one without words has no shingles and is alone; a
     null doc_id is never the smallest.  An empty table gives no rows.
     """
-    profile, edges = links(docs, percent, width)
-    names = components(edges)
-    first = profile.filter("fp <> 0").groupBy("fp").agg(F.min("doc_id").alias("least"))
-    first = first.join(names.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    first = materialize(first, "least")
-    whole = first.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n")).filter("n > 1")
-    first = first.join(whole, "root", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    out = profile.join(first, "fp", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return _classed(docs, percent, width).select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_first(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFrame:
-    """The rows of ``docs`` without all but one document of each class; its columns stay."""
-    out = materialize(classes(docs, percent, width), "classes")
-    drop = out.filter("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(drop.hint("shuffle_hash"), "doc_id", "left_anti").select(docs.columns)
-    repeated = out.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1")
-    return kept if is_empty(repeated) else kept.dropDuplicates(["doc_id"])
+    """The rows of ``docs`` without all but one row of each class; its columns stay.
+
+    The row with the smallest doc_id stays, null last, then the one with the
+    smallest hash of its text, then of all columns.  Only rows of the same
+    class go, whatever doc_id they share with others; rows without shingles
+    all stay.
+    """
+    out = materialize(_classed(docs, percent, width).select("doc_id", "text_hash", "root", "component_id"), "classes").filter("root IS NOT NULL")
+    heads = out.filter("doc_id <=> component_id").groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("n"))
+    heads = materialize(heads, "heads")
+    heads = heads.join(heads.groupBy("root").agg(F.min("text_hash").alias("least")), "root")
+    key = (F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"))
+    drop = out.filter("NOT (doc_id <=> component_id)").select(*key).union(heads.filter("text_hash <> least").select(*key)).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_text") == F.col("_hash"))
+    kept = docs.withColumn("_text", F.xxhash64("text")).join(drop.hint("shuffle_hash"), same, "left_anti")
+    repeated = materialize(heads.filter("text_hash = least AND n > 1").select(*key), "repeated")
+    if is_empty(repeated):
+        return kept.select(docs.columns)
+    whole = F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("row")
+    one = kept.join(repeated, same, "left_semi").groupBy("doc_id", "_text").agg(whole).select("row.*")
+    return kept.join(repeated, same, "left_anti").select(docs.columns).union(one)
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

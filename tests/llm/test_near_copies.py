@@ -109,6 +109,20 @@ def test_jaccard_empty_table_and_null_ids(spark):
     assert jaccard.keep_first(frame(spark, data[1:])).count() == 1
 
 
+def test_keep_first_goes_by_rows_of_a_class_not_by_doc_id(spark):
+    r = random.Random(12)
+    base, clean, other, nulls = (sentence(r, 60) for _ in range(4))
+    copy = " ".join(base.split(" ")[:-1])
+    texts = [(1, base), (1, base), (2, copy), (2, clean), (None, copy), (None, other), (None, nulls), (None, nulls), (None, nulls + " x"), (5, ""), (5, ""), (None, None), (None, None), (7, sentence(r, 50)), (7, sentence(r, 50))]
+    data = [(i, t, *[None] * 5, "clash", k) for k, (i, t) in enumerate(texts)]
+    kept = jaccard.keep_first(frame(spark, data))
+    assert kept.columns == frame(spark, data).columns
+    got = sorted(((x["doc_id"], x["text"]) for x in kept.collect()), key=repr)
+    left = [x for x in got if x[0] is not None or not (x[1] or "").startswith(nulls)]
+    assert left == sorted([texts[k] for k in (0, 3, 5, 9, 10, 11, 12, 13, 14)], key=repr)
+    assert len(got) == len(left) + 1
+
+
 def mutated(r, s, n):
     s = list(s)
     for _ in range(n):
