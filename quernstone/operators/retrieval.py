@@ -9,12 +9,17 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quernstone.functions.scalars import bm25_tokens, jaccard, sigmoid, word_set
 
 K1, B, EPSILON, RRF_K = 1.5, 0.75, 0.25, 60
+#: Items that are held against all documents at once, and rows that a task sends at once.
+ITEMS, ROWS = 500, 200_000
 
 
 def top(rows: DataFrame, by: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
@@ -161,3 +166,48 @@ def citations(ranked: DataFrame, metric_chunks: DataFrame) -> DataFrame:
 def batches(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The identity, as the place to put a model that scores whole batches."""
     yield from rows
+
+
+def _similarity(names: list[str], block: list[tuple]):
+    """The rows of a block of ``(item_id, words)`` with each document of which it shares a word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = {w: k for k, w in enumerate(sorted({w for _, words in block for w in words}))}
+        vocabulary, ids = pa.array(list(place), pa.string()), pa.array([i for i, _ in block], pa.int64())
+        size, has = np.array([len(words) for _, words in block]), np.zeros((len(place), len(block)), np.int32)
+        for k, (_, words) in enumerate(block):
+            has[[place[w] for w in words], k] = 1
+        for batch in batches:
+            lists = batch.column(1)
+            lengths = pc.fill_null(lists.value_lengths(), 0).to_numpy(zero_copy_only=False)
+            word = pc.fill_null(pc.index_in(lists.flatten(), value_set=vocabulary), -1).to_numpy(zero_copy_only=False)
+            ends, held, rows = np.concatenate([[0], np.cumsum(lengths)]), [], 0
+            for d in range(len(lengths)):
+                mine = word[ends[d] : ends[d + 1]]
+                common = has[mine[mine >= 0]].sum(0)
+                some = np.flatnonzero(common)
+                held.append((some, np.full(len(some), d), common[some] / (size[some] + lengths[d] - common[some])))
+                rows += len(some)
+                if rows >= ROWS or d == len(lengths) - 1:
+                    item, doc, score = (np.concatenate(x) for x in zip(*held))
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(item)), batch.column(0).take(pa.array(doc)), pa.array(score)], names)
+                    held, rows = [], 0
+
+    return run
+
+
+def set_similarity(items: DataFrame, docs: DataFrame) -> DataFrame:
+    """``item_id, doc_id, jaccard`` of the word sets of each row of ``items(item_id, text)`` with each of ``docs(doc_id, text)``.
+
+    Every pair of rows with a common word is there; all others have a similarity
+    of 0.  Items are taken in bounded blocks, and documents are not shuffled.
+    """
+    words = docs.select("doc_id", word_set(F.col("text")).alias("dw"))
+    schema = f"item_id long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, jaccard double"
+    n = max(-(-items.count() // ITEMS), 1)
+    out = None
+    for k in range(n):
+        part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).select(F.col("item_id").cast("long"), word_set(F.coalesce("text", F.lit(""))))
+        found = words.mapInArrow(_similarity(["item_id", "doc_id", "jaccard"], [tuple(r) for r in part.collect()]), schema)
+        out = found if out is None else out.union(found)
+    return out

@@ -135,6 +135,12 @@ def jaccard_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.select("item_id", "doc_id", F.round(jaccard(F.col("iw"), F.col("dw")), 6).alias("jaccard"))
 
 
+def jaccard_all_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Word-set similarity of each benchmark item with every chunk that shares a word, long or short."""
+    items, docs = tables.table(spark, sf, "benchmark"), tables.table(spark, sf, "documents")
+    return _rounded(r.set_similarity(items, docs), "jaccard")
+
+
 def query_expansion(spark: SparkSession, sf: str) -> DataFrame:
     """Questions with the synonyms of the metrics they name."""
     return questions(spark).select("query_id", expanded_query(F.col("question")).alias("expanded"))
@@ -170,6 +176,7 @@ QUERIES = {
     "mmr_rerank": mmr_rerank,
     "sigmoid_threshold": sigmoid_threshold,
     "jaccard_pairs": jaccard_pairs,
+    "jaccard_all_pairs": jaccard_all_pairs,
     "query_expansion": query_expansion,
     "hybrid_query": hybrid_query,
 }
@@ -187,6 +194,9 @@ SQL = {
         probe AS (SELECT item_id, iw, unnest(list_filter(iw, lambda w: len(w) >= 10)) AS w FROM i),
         p AS (SELECT DISTINCT item_id, doc_id, iw, dw FROM probe JOIN (SELECT doc_id, dw, unnest(dw) AS w FROM d) USING (w))
         SELECT item_id, doc_id, round(len(list_intersect(iw, dw))::DOUBLE / (len(iw) + len(dw) - len(list_intersect(iw, dw))), 6) AS jaccard FROM p""",
+    "jaccard_all_pairs": f"""WITH i AS (SELECT item_id, {_SETS.format("text")} AS iw FROM benchmark), d AS (SELECT doc_id, {_SETS.format("text")} AS dw FROM documents),
+        p AS (SELECT item_id, doc_id, len(iw) + len(dw) AS n, len(list_intersect(iw, dw)) AS c FROM i, d)
+        SELECT item_id, doc_id, round(c::DOUBLE / (n - c), 6) AS jaccard FROM p WHERE c > 0""",
     "query_expansion": f"""WITH q AS (SELECT col0::BIGINT AS query_id, col1 AS question FROM (VALUES {_values()}))
         SELECT query_id, concat_ws(' ', question, CASE WHEN contains(lower(question), 'revenue') THEN 'net sales total net sales sales revenues total revenues net revenue' END, CASE WHEN contains(lower(question), 'net income') THEN 'net earnings profit earnings' END,
         CASE WHEN contains(lower(question), 'operating income') THEN 'operating profit income from operations' END, CASE WHEN contains(lower(question), 'eps') THEN 'earnings per share diluted eps' END, CASE WHEN contains(lower(question), 'total assets') THEN 'assets' END) AS expanded FROM q""",

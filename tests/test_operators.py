@@ -177,3 +177,11 @@ def test_dialogue(spark):
     assert [(x["ticker"], x["year"]) for x in dialogue.follow_up(turns).orderBy("turn").collect()] == [("AAPL", 2024), ("AAPL", 2023), ("AAPL", 2024)]
     news = spark.createDataFrame([(1, "h", "s", "X,BRK.B", 1), (2, "Apple up", "s", "", 5), (3, "h", "s", "", 9)], "item_id long, headline string, summary string, related string, at long")
     assert [(x["item_id"], x["relevance"]) for x in dialogue.news(news, "BRKB", ["APPLE", "x"]).collect()] == [(1, 3), (2, 1)]
+
+
+def test_similarity_covers_items_of_short_words(spark, monkeypatch):
+    monkeypatch.setattr(r, "ITEMS", 2)
+    items = [(1, "a few short words"), (2, "Extraordinarily long"), (3, None), (4, "zzz"), (5, "")]
+    docs = [(10, "words, SHORT few a"), (11, "long way"), (11, "long way"), (None, "a b"), (12, None), (13, "")]
+    got = r.set_similarity(spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string"))
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted([(1, 10, 1.0), (2, 11, 1 / 3), (2, 11, 1 / 3), (1, None, 0.2)], key=repr)
