@@ -11,7 +11,7 @@ from quernstone.llm.mixing import op3
 from quernstone.llm.quality import op2
 from quernstone.llm.records import op5
 from quernstone.llm.sharding import op4
-from quernstone.llm.urls import RULES, op8
+from quernstone.llm.urls import RULES, op8, op8_settled
 
 QUERIES = {
     "op1_lines": op1,
@@ -22,6 +22,7 @@ QUERIES = {
     "op6_language": op6,
     "op7_decontamination": op7,
     "op8_urls": op8,
+    "op8_urls_settled": op8_settled,
     "op9_jaccard_join": op9,
     "op10_forest": op10,
 }

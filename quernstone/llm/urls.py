@@ -7,7 +7,8 @@ hosts with blocked pages against the links (who links to a blocked host is
 suspect).  A host whose distrust exceeds ``ratio`` times its trust is blocked.
 
 A rank is ``r = (1 - d) * seed + d * sum over links of r / links out``, carried
-on for a fixed number of rounds; what reaches a host without links stays there.
+on for a fixed number of rounds, or until no rank changes by more than
+``SETTLED`` of itself; what reaches a host without links stays there.
 Seeds of a kind share a total of 1, by their numbers of pages.  Both
 kinds move in one job per round; links are counted once per pair of hosts
 before anything moves, so a host with very many links is aggregated first.
@@ -15,6 +16,8 @@ before anything moves, so a host with very many links is aggregated first.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quernstone.workspace import is_empty, materialize
@@ -27,6 +30,8 @@ RULES = (
     ("net", "/es/", "block"),
     ("net", "/fr/", "block"),
 )
+#: Ranks have settled when none is new and none changes by more than this part of itself in four rounds.
+SETTLED = 1e-9
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SPLIT = r"(?s)\A.*?://([^/?#]*)([^?#]*)"
 _LINK = r"(?is)<a\s[^>]*?href\s*=\s*[\"']?((?:[a-z][a-z0-9+.-]*:)?//[^\"'\s>]+)"
@@ -59,8 +64,11 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.filter("src <> '' AND dst <> '' AND src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = 12, damping: float = 0.85) -> DataFrame:
-    """``host, trust, distrust`` from ``edges(src, dst, n)`` and ``seeds(host, trust, distrust)``."""
+def propagate(edges: DataFrame, seeds: DataFrame, rounds: int | None = 12, damping: float = 0.85) -> DataFrame:
+    """``host, trust, distrust`` from ``edges(src, dst, n)`` and ``seeds(host, trust, distrust)``.
+
+    Without a number of ``rounds`` they go on until the ranks have settled.
+    """
     if is_empty(edges):
         return seeds.select("host", *((F.col(c) * (1 - damping)).alias(c) for c in ("trust", "distrust")))
     forward = edges.select(F.lit("trust").alias("kind"), "src", "dst", "n")
@@ -69,17 +77,22 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = 12, damping: flo
     moves = materialize(both.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("n") / F.col("out")).alias("part")), "moves")
     base = seeds.select("host", F.explode(F.create_map(F.lit("trust"), "trust", F.lit("distrust"), "distrust")).alias("kind", "seed")).filter("seed > 0")
     base = materialize(base.select("kind", "host", (F.col("seed") * (1 - damping)).alias("rank")), "seeds")
-    rank = base
-    for k in range(rounds):
+    rank = last = base
+    for k in count() if rounds is None else range(rounds):
         moved = moves.join(rank.withColumnRenamed("host", "src"), ["kind", "src"]).select("kind", F.col("dst").alias("host"), (F.col("rank") * F.col("part") * damping).alias("rank"))
         rank = base.union(moved).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
-        if k % 4 == 3 or k == rounds - 1:
+        if k % 4 == 3 or k + 1 == rounds:
             rank = materialize(rank, "rank")
+            if rounds is None:
+                before = last.select("kind", "host", F.col("rank").alias("was"))
+                if is_empty(rank.join(before, ["kind", "host"], "left").filter(F.col("was").isNull() | (F.col("rank") - F.col("was") > SETTLED * F.col("rank")))):
+                    break
+                last = rank
     pick = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("rank"))), F.lit(0.0)).alias(kind)
     return rank.groupBy("host").agg(pick("trust"), pick("distrust"))
 
 
-def judge(pages: DataFrame, rules=RULES, ratio: float = 1.0, rounds: int = 12, damping: float = 0.85) -> DataFrame:
+def judge(pages: DataFrame, rules=RULES, ratio: float = 1.0, rounds: int | None = 12, damping: float = 0.85) -> DataFrame:
     """``page_id, host, path, rule, verdict, trust, distrust``, a row for each row.
 
     ``pages(page_id, url, html)``.  A null url, and one without ``://``, has an
@@ -102,6 +115,10 @@ def judge(pages: DataFrame, rules=RULES, ratio: float = 1.0, rounds: int = 12, d
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "trust", "distrust")
 
 
-def op8(spark, sf_dir: str) -> DataFrame:
-    out = judge(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
+def op8(spark, sf_dir: str, rounds: int | None = 12) -> DataFrame:
+    out = judge(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"), rounds=rounds)
     return out.withColumns({c: F.round(c, 9) for c in ("trust", "distrust")})
+
+
+def op8_settled(spark, sf_dir: str) -> DataFrame:
+    return op8(spark, sf_dir, None)

@@ -202,5 +202,15 @@ def test_ranks_equal_power_iteration(spark):
     assert got["f.org"]["verdict"] == "block" and got["e.org"]["verdict"] == "allow"
 
 
+def test_settled_ranks_reach_hosts_far_from_a_seed(spark):
+    pages = [(0, "http://h0.net/es/x", "")] + [(i, f"http://h{i}.org/", f'<a href="http://h{i - 1}.{"org" if i > 1 else "net"}/">x</a>') for i in range(1, 16)]
+    pages += [(20, "http://p.org/", '<a href="http://q.org/">x</a>'), (21, "http://q.org/", '<a href="http://p.org/">x</a><a href="http://a.com/">x</a>'), (22, "http://a.com/", '<a href="http://p.org/">x</a>')]
+    got = {r["page_id"]: r for r in urls.judge(spark.createDataFrame(pages, "page_id long, url string, html string"), rounds=None).collect()}
+    for i in range(16):
+        assert got[i]["verdict"] == "block" and got[i]["distrust"] == pytest.approx(0.15 * 0.85**i)
+    p = 0.15 * 0.85 / (1 - 0.85**2 / 2 - 0.85**3 / 2)
+    assert got[20]["trust"] == pytest.approx(p) and got[21]["trust"] == pytest.approx(0.85 * p) and got[20]["distrust"] == 0
+
+
 def test_urls_of_an_empty_table(spark):
     assert urls.judge(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
