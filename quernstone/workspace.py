@@ -1,7 +1,7 @@
-"""Intermediate tables in the folder that all executors share.
+"""Intermediate tables in the folder that all executors share, and what keeps tasks bounded.
 
-The folder is the session's ``spark.checkpoint.dir``.  Only where it is unset
-(a local test session) a temporary folder of this machine is used.
+The folder is the session's ``spark.checkpoint.dir``.  Only a session on one
+machine may do without: it then gets a temporary folder of that machine.
 """
 
 from __future__ import annotations
@@ -9,17 +9,26 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 _LOCAL: dict[str, str] = {}
 _MADE: list[tuple[SparkSession, str]] = []
+#: Bytes of rows that go to a Python worker at once.
+BATCH_BYTES = 4 << 20
+#: A key is hot from this part of all rows on, so there are fewer than HOT hot keys; never below LEAST rows.
+HOT, LEAST = 2048, 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder's URL, without a slash at its end."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all machines of {master} share")
         at = _LOCAL.setdefault("dir", tempfile.mkdtemp(prefix="quernstone-"))
     return at.rstrip("/")
 
@@ -43,6 +52,38 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """``df.mapInArrow`` with batches of at most about ``BATCH_BYTES``.
+
+    The limit is a setting of the session and stays set: plans read it when
+    they run.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
+    return df.mapInArrow(run, schema)
+
+
+def split_join(left: DataFrame, right: DataFrame, key: str, spread: Column, how: str = "inner", rows: DataFrame | None = None) -> DataFrame:
+    """``left`` joined with ``right`` by ``key``, with the hot keys of ``left`` cut into pieces.
+
+    ``right`` has one row for each key.  Rows of a hot key are dealt by
+    ``spread``, a long, and that key's row of ``right`` goes to every piece.
+    Which keys are hot is counted in ``rows``, a written table (``left`` if
+    not given).
+    """
+    rows = left if rows is None else rows
+    least = max(LEAST, rows.count() // HOT)
+    hot = rows.groupBy(key).agg(F.count("*").alias("n")).filter((F.col("n") > least) & F.col(key).isNotNull())
+    hot = hot.select(key, F.ceil(F.col("n") / least).cast("int").alias("n")).collect()  # fewer than HOT rows
+    if not hot:
+        return left.join(right, key, how)
+    piece, pieces = unused(left, "_piece"), unused(left, "_pieces")
+    table = pa.table({key: [r[0] for r in hot], pieces: pa.array([r[1] for r in hot], pa.int32())})
+    cut = F.broadcast(left.sparkSession.createDataFrame(table))
+    dealt = left.join(cut, key, "left").withColumn(piece, F.pmod(spread, F.coalesce(pieces, F.lit(1))).cast("int")).drop(pieces)
+    many = right.join(cut, key, "left").withColumn(piece, F.explode(F.sequence(F.lit(0), F.coalesce(pieces, F.lit(1)) - 1))).drop(pieces)
+    return dealt.join(many, [key, piece], how).drop(piece)
+
+
 def is_empty(df: DataFrame) -> bool:
     return df.limit(1).count() == 0
 
