@@ -1,24 +1,27 @@
 """N-gram Jaccard join by PartEnum signatures.
 
 Texts become sets of hashed 5-word shingles; two sets link when their Jaccard
-similarity is ``percent`` / 100 or more.  Sets of at most ``SMALL`` elements, and
-larger ones that may link with them, are found by the prefix of their elements
-in one order for all sets, which misses nothing.  Shingles that many texts hold
-come last in that order, so that they seldom make candidates; which ones these
-are is read from a sample, and any choice of them finds the same links.
-
-Larger sets are put into size bands whose ends grow by 100 / percent, so linked
-sets lie in one band or in neighbours; each set is signed for its own band and
-the next.  In a band linked sets differ in at most ``k`` elements.  The domain
-is partitioned by hash into ``k // 2 + 1`` parts, so at least one part holds at
-most one difference; a part is cut into three, and each choice of two of the
-three is one signature.  Of the random parts ``PARTS`` are enumerated: at the
-threshold itself each of them agrees with a probability of over 0.3, so all of
-them fail for less than one pair in a million.  Signatures of fewer than
-``LEAST`` elements are not kept, as unrelated texts share them.
+similarity is ``percent`` / 100 or more.  Sets are put into size bands whose ends
+grow by 100 / percent, so linked sets lie in one band or in neighbours; each set
+is signed for its own band and the next.  In a band linked sets differ in at
+most ``k`` elements.  The domain is partitioned by hash into ``k // 2 + 1``
+parts, so at least one part holds at most one difference; a part is cut into
+three, and each choice of two of the three is one signature.
+
+Some signatures are withheld: those of fewer than ``LEAST`` elements, which
+unrelated texts share, and in large bands those of the parts after the first
+``PARTS``.  Both sets of a pair withhold the signature that they share, or
+neither does.  So the rest is found exactly: every set that withholds a
+signature is also looked up by the prefix of its elements in one order for all
+sets, and linked sets share an element of their prefixes.  Shingles that many
+texts hold come last in that order, so that they seldom make candidates; which
+ones these are is read from a sample, and any choice of them finds the same
+links.
 
 Equal sets are one member from the start.  The members meet as ``meeting``
-says, and every link is verified on the whole sets.
+says, and every link is verified on the whole sets.  A set's identity is its
+fingerprint of 64 bits; that two unequal sets have one is as likely as one in
+2^64 for each pair.
 """
 
 from __future__ import annotations
@@ -33,21 +36,20 @@ from pyspark.sql import DataFrame, functions as F
 from quernstone.llm.components import components
 from quernstone.llm.kernels import U64, blocks, fingerprint, mix, shingles, utf8
 from quernstone.llm.meeting import connect, gather, packer, task_count
-from quernstone.workspace import is_empty, materialize
+from quernstone.workspace import in_arrow, is_empty, materialize, split_join
 
-PARTS = 40
-#: Sets of at most SMALL elements are found by prefixes alone; beyond, every band has more than PARTS parts.
-SMALL, LEAST = 277, 3
+#: Parts enumerated at most (None: all), and elements of a signature at least; what they withhold the prefixes find.
+PARTS, LEAST = 16, 3
 #: Rows read for the common shingles, how many of them hold one, and how many shingles are told apart.
 SAMPLE, OFTEN, COMMON = 10_000, 4, 32_768
 CELLS = 512
 
 
 def bands(percent: int) -> np.ndarray:
-    """The largest size of each band, from SMALL on."""
-    out = [SMALL]
+    """The largest size of each band."""
+    out = [1]
     while out[-1] < 1 << 40:
-        out.append(out[-1] * 100 // percent)
+        out.append(max(out[-1] + 1, out[-1] * 100 // percent, out[-1] * 101 // 100))
     return np.array(out)
 
 
@@ -57,14 +59,14 @@ def parts_of(end: np.ndarray, percent: int) -> np.ndarray:
 
 
 def prefix_of(size: np.ndarray, percent: int) -> np.ndarray:
-    """How many elements of a set are looked up one by one: linked sets share one of them in any common order."""
-    return np.where((size > 0) & (size <= SMALL * 100 // percent), size + (-percent * size // 100) + 1, 0)
+    """How many elements of a set are its prefix: linked sets share one of them in any common order."""
+    return np.where(size > 0, size + (-percent * size // 100) + 1, 0)
 
 
-def prefixes(values: np.ndarray, bounds: np.ndarray, percent: int, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The first elements of each set, those in ``common`` (sorted) after all others, and the set of each."""
+def prefixes(values: np.ndarray, bounds: np.ndarray, length: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``length`` elements of each set, those in ``common`` (sorted) after all others, and the set of each."""
     size = np.diff(bounds)
-    length, owner = prefix_of(size, percent), np.repeat(np.arange(len(size)), size)
+    owner = np.repeat(np.arange(len(size)), size)
     late = np.zeros(len(values), bool)
     if len(common):
         late = common[np.minimum(np.searchsorted(common, values), len(common) - 1)] == values
@@ -76,25 +78,23 @@ def prefixes(values: np.ndarray, bounds: np.ndarray, percent: int, common: np.nd
     return mix(values[kept] ^ U64(0x5851F42D4C957F2D)), owner[kept]
 
 
-def signatures(values: np.ndarray, bounds: np.ndarray, percent: int, common: np.ndarray = np.zeros(0, U64)) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of the sets in ``values`` between ``bounds``, and the set of each."""
+def enumerated(values: np.ndarray, bounds: np.ndarray, percent: int, parts: int | None = PARTS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """PartEnum signatures of the sets in ``values`` between ``bounds``, the set of each, and which sets withhold some."""
     size, ends = np.diff(bounds), bands(percent)
-    owner = np.repeat(np.arange(len(size)), size)
-    out, of = ([x] for x in prefixes(values, bounds, percent, common))
-    chosen = np.flatnonzero(size > SMALL)
+    withheld, out, of = np.zeros(len(size), bool), [np.zeros(0, U64)], [np.zeros(0, np.int64)]
+    chosen = np.flatnonzero(size > 0)
     if len(chosen):
         scrambled = mix(values + U64(0x2545F4914F6CDD1D))
         low, high = values & U64(0xFFFFFFFF), values >> U64(32)
         band = np.searchsorted(ends, size[chosen])
-        slot = np.full(len(size), -1)
-        slot[chosen] = np.arange(len(chosen))
-        row = slot[owner]
+        row = np.repeat(np.arange(len(chosen)), size[chosen])
         for tag in (band, band + 1):
-            parts = parts_of(ends[tag], percent)
-            used = np.minimum(parts, PARTS)
+            total = parts_of(ends[tag], percent)
+            used = total if parts is None else np.minimum(total, parts)
+            withheld[chosen] |= used < total
             base = np.concatenate([[0], np.cumsum(used)])
-            part = (high * parts[row].astype(U64) >> U64(32)).astype(np.int64)
-            take = np.flatnonzero((row >= 0) & (part < used[row]))
+            part = (high * total[row].astype(U64) >> U64(32)).astype(np.int64)
+            take = np.flatnonzero(part < used[row])
             cell = (base[row[take]] + part[take]) * 3 + (low[take] * U64(3) >> U64(32)).astype(np.int64)
             sums = np.zeros(base[-1] * 3, U64)
             np.add.at(sums, cell, scrambled[take])
@@ -106,18 +106,26 @@ def signatures(values: np.ndarray, bounds: np.ndarray, percent: int, common: np.
                 good = count[:, some].sum(1) >= LEAST
                 out.append(mix(sums[:, some].sum(1, dtype=U64) + salt + U64(j))[good])
                 of.append(chosen[who[good]])
-    return np.concatenate(out), np.concatenate(of)
+                withheld[chosen[who[~good]]] = True
+    return np.concatenate(out), np.concatenate(of), withheld
+
 
+def signatures(values: np.ndarray, bounds: np.ndarray, percent: int, common: np.ndarray = np.zeros(0, U64), parts: int | None = PARTS) -> tuple[np.ndarray, np.ndarray]:
+    """All signatures of the sets, prefixes included, and the set of each."""
+    sig, of, withheld = enumerated(values, bounds, percent, parts)
+    single, whose = prefixes(values, bounds, np.where(withheld, prefix_of(np.diff(bounds), percent), 0), common)
+    return np.concatenate([sig, single]), np.concatenate([of, whose])
 
-def expected(size: np.ndarray, percent: int) -> np.ndarray:
+
+def expected(size: np.ndarray, percent: int, parts: int | None = PARTS) -> np.ndarray:
     """At most so many signatures has a set of each size."""
     ends = bands(percent)
     band = np.searchsorted(ends, size)
-    total = sum(np.minimum(parts_of(ends[b], percent), PARTS) * 3 for b in (band, band + 1))
-    return np.where(size > SMALL, total, 0) + prefix_of(size, percent)
+    total = (parts_of(ends[b], percent) for b in (band, band + 1))
+    return np.where(size > 0, sum(3 * (t if parts is None else np.minimum(t, parts)) for t in total), 0) + prefix_of(size, percent)
 
 
-def _profile(percent: int, width: int):
+def _profile(percent: int, width: int, parts: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column(1))
@@ -125,14 +133,15 @@ def _profile(percent: int, width: int):
                 values, bounds = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width)
                 size = np.diff(bounds)
                 part = batch.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(size), pa.array(fingerprint(values, bounds).view(np.int64)), pa.array(expected(size, percent))], ["doc_id", "text_hash", "n_shingles", "fp", "n_sigs"])
+                made = (size, fingerprint(values, bounds).view(np.int64), expected(size, percent, parts))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *map(pa.array, made)], ["doc_id", "text_hash", "n_shingles", "fp", "n_sigs"])
 
     return run
 
 
 def _fresh(seen: set, fps: np.ndarray) -> np.ndarray:
     """Which sets this task has not met before; the memory of it is bounded."""
-    if len(seen) > 500_000:
+    if len(seen) > 200_000:
         seen.clear()
     out = np.zeros(len(fps), bool)
     for i, f in enumerate(fps.tolist()):
@@ -147,27 +156,26 @@ def _pick(values: np.ndarray, bounds: np.ndarray, rows: np.ndarray) -> tuple[np.
     return values[mask], np.concatenate([[0], np.cumsum(np.diff(bounds)[rows])]).astype(np.int64)
 
 
-def _elements(percent: int, width: int):
+def _elements(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column(0))
             for i, j in blocks(offsets):
-                values, bounds = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width)
-                values, _ = _pick(values, bounds, prefix_of(np.diff(bounds), percent) > 0)
+                values, _ = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width)
                 yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64))], ["item"])
 
     return run
 
 
-def common_elements(docs: DataFrame, rows: int, percent: int, width: int) -> np.ndarray:
+def common_elements(docs: DataFrame, rows: int, width: int) -> np.ndarray:
     """The elements that most rows of a sample hold, sorted; they order the prefixes and decide nothing else."""
     sample = docs.select("text").sample(min(1.0, SAMPLE / max(rows, 1)), 5)
-    counts = sample.mapInArrow(_elements(percent, width), "item long").groupBy("item").count().filter(F.col("count") >= OFTEN)
+    counts = in_arrow(sample, _elements(width), "item long").groupBy("item").count().filter(F.col("count") >= OFTEN)
     found = counts.orderBy(F.desc("count"), "item").limit(COMMON).collect()
     return np.sort(np.array([r["item"] for r in found], np.int64).view(U64))
 
 
-def _sign(percent: int, width: int, buckets: int, common: np.ndarray):
+def _sign(percent: int, width: int, buckets: int, common: np.ndarray, parts: int | None):
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         seen: set = set()
         for batch in batches:
@@ -176,7 +184,7 @@ def _sign(percent: int, width: int, buckets: int, common: np.ndarray):
                 values, bounds = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width)
                 fps = fingerprint(values, bounds)
                 fresh = _fresh(seen, fps)
-                sig, of = signatures(*_pick(values, bounds, fresh), percent, common)
+                sig, of = signatures(*_pick(values, bounds, fresh), percent, common, parts)
                 yield sig, fps[fresh][of]
 
     return lambda batches: packer(signed(batches), buckets)
@@ -208,35 +216,31 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _possible(percent: int) -> Callable[..., np.ndarray]:
-    """The elements that two sets share are at most the smaller counts of their cells; first by groups of four cells."""
-
-    def enough(common: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        return 100 * common >= percent * (sizes - common)
+    """The elements that two sets share are at most the smaller counts of their cells."""
 
     def possible(s: np.ndarray, n: np.ndarray, t: np.ndarray, m: np.ndarray) -> np.ndarray:
-        some, all_ = (x.reshape(len(x), -1, 4).sum(2, dtype=np.uint16) for x in (s, t))
-        common = np.zeros((len(n), len(m)), np.int32)
-        for c in range(some.shape[1]):
-            common += np.minimum(some[:, c][:, None], all_[:, c][None, :])
-        full = (s == 255).any(1)[:, None] | (t == 255).any(1)[None, :]  # counts cut off bound nothing
-        out = enough(common, n[:, None] + m[None, :]) & ~full
-        x, y = np.nonzero(out)
-        for i in range(0, len(x), 4096):
-            a, b = x[i : i + 4096], y[i : i + 4096]
-            out[a, b] = enough(np.minimum(s[a], t[b]).sum(1, dtype=np.int64), n[a] + m[b])
-        return out | full
+        out = 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
+        at = np.flatnonzero(out)
+        for i in range(0, len(at), 4096):
+            k = at[i : i + 4096]
+            a, b = s[k], t[k]
+            common = np.minimum(a, b).sum(1, dtype=np.int64)
+            full = ((a == 255) | (b == 255)).any(1)  # counts cut off bound nothing
+            out[k] = full | (100 * common >= percent * (n[k] + m[k] - common))
+        return out
 
     return possible
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``(a, b)`` whose sets reach the threshold, by whole intersections."""
+    """The pairs ``(a, b)`` of a written table whose sets reach the threshold, by whole intersections."""
     a, b = (sets.select(F.col("fp").alias(k), F.col("items").alias(f"{k}_items")) for k in "ab")
-    both = pairs.join(a, "a").join(b, "b").withColumn("common", F.size(F.array_intersect("a_items", "b_items")))
+    both = split_join(split_join(pairs, a, "a", F.xxhash64("b")), b, "b", F.xxhash64("a"), rows=pairs)
+    both = both.withColumn("common", F.size(F.array_intersect("a_items", "b_items")))
     return both.filter(F.col("common") * 100 >= percent * (F.size("a_items") + F.size("b_items") - F.col("common"))).select("a", "b")
 
 
-def links(docs: DataFrame, percent: int = 75, width: int = 5) -> tuple[DataFrame, DataFrame]:
+def links(docs: DataFrame, percent: int = 75, width: int = 5, parts: int | None = PARTS) -> tuple[DataFrame, DataFrame]:
     """``(profile, edges)`` of ``docs(doc_id, text)``.
 
     ``profile``: doc_id, n_shingles and the fingerprint ``fp`` of the set for
@@ -244,19 +248,20 @@ def links(docs: DataFrame, percent: int = 75, width: int = 5) -> tuple[DataFrame
     every component.
     """
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    profile = docs.mapInArrow(_profile(percent, width), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, n_shingles long, fp long, n_sigs long")
-    profile = materialize(profile, "profile")
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, n_shingles long, fp long, n_sigs long"
+    profile = materialize(in_arrow(docs, _profile(percent, width, parts), schema), "profile")
     rows, total = profile.agg(F.count("*"), F.sum("n_sigs")).head()
     tasks = task_count(docs.sparkSession, total or 0)
-    common = common_elements(docs, rows, percent, width)
-    packed = docs.select("text").mapInArrow(_sign(percent, width, tasks * 8, common), "bucket int, sigs binary, members binary")
+    common = common_elements(docs, rows, width)
+    packed = in_arrow(docs.select("text"), _sign(percent, width, tasks * 8, common, parts), "bucket int, sigs binary, members binary")
     pairs, members = gather(packed, tasks)
     wanted = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "fp")
     hashes = profile.join(wanted, "fp", "left_semi").groupBy("fp").agg(F.min("text_hash").alias("text_hash")).select("text_hash").distinct()
-    sets = docs.select("text", "text_hash").join(hashes.hint("shuffle_hash"), "text_hash", "left_semi").select("text").mapInArrow(_sets(width), "fp long, items array<long>")
+    texts = docs.select("text", "text_hash").join(hashes.hint("shuffle_hash"), "text_hash", "left_semi").select("text")
+    sets = in_arrow(texts, _sets(width), "fp long, items array<long>")
     sets = materialize(sets.groupBy("fp").agg(F.first("items").alias("items")), "sets")
-    sketches = materialize(sets.mapInArrow(_sketches, "node long, size long, sketch binary"), "sketches")
-    return profile, connect(pairs, members, lambda found: verify(found, sets, percent), sketches, _possible(percent), tasks)
+    sketches = materialize(in_arrow(sets, _sketches, "node long, size long, sketch binary"), "sketches")
+    return profile, connect(pairs, members, lambda found: verify(found, sets, percent), sketches, _possible(percent))
 
 
 def _classed(docs: DataFrame, percent: int, width: int) -> DataFrame:
@@ -268,7 +273,7 @@ def _classed(docs: DataFrame, percent: int, width: int) -> DataFrame:
     first = materialize(first, "least")
     whole = first.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n")).filter("n > 1")
     first = first.join(whole, "root", "left").select("fp", "root", F.coalesce("component_id", "least").alias("component_id"))
-    return profile.join(first, "fp", "left")
+    return split_join(profile, materialize(first, "first"), "fp", F.xxhash64("doc_id", "text_hash"), "left")
 
 
 def classes(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFrame:

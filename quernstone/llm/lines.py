@@ -206,10 +206,12 @@ def _possible(edits: int):
     """An edit changes at most two cells by one each."""
 
     def possible(s: np.ndarray, n: np.ndarray, t: np.ndarray, m: np.ndarray) -> np.ndarray:
-        differ = np.zeros((len(n), len(m)), np.int64)
-        for c in range(s.shape[1]):
-            differ += np.abs(s[:, c].astype(np.int64)[:, None] - t[:, c].astype(np.int64)[None, :])
-        return (differ <= 2 * edits) & (np.abs(n[:, None] - m[None, :]) <= edits)
+        out = np.abs(n - m) <= edits
+        at = np.flatnonzero(out)
+        for i in range(0, len(at), 16384):
+            k = at[i : i + 16384]
+            out[k] = np.abs(s[k].astype(np.int16) - t[k]).sum(1) <= 2 * edits
+        return out
 
     return possible
 
@@ -248,7 +250,7 @@ def decide(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> D
         return both.select("a", "b", "a_line", "b_line").mapInArrow(_verified(edits), "a long, b long")
 
     sketches = materialize(met.select("line_id", "line").mapInArrow(_sketches, "node long, size long, sketch binary"), "sketches")
-    names = components(connect(pairs, members, verify, sketches, _possible(edits), tasks)).select(F.col("node").alias("line_id"), "root")
+    names = components(connect(pairs, members, verify, sketches, _possible(edits))).select(F.col("node").alias("line_id"), "root")
     named = materialize(places.join(names, "line_id", "left").select("doc_id", "place", F.coalesce("root", "line_id").alias("root")), "named")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "place")
     first = named.filter("root IS NOT NULL").groupBy("root").agg(F.min(order).alias("first"), F.count("*").alias("n")).filter("n > 1")

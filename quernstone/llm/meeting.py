@@ -1,13 +1,18 @@
 """Where members with a common signature meet: shared by the signature joins.
 
 Signatures travel as packed arrays, a row for each bucket and flush, so the
-shuffle moves bytes, not rows.  A group of members with one signature gives
-only the pairs with its most connected member at first (the one that is in the
-most groups: of a family of copies, its original).  After these are verified
-and joined into components, members of different components that still share a
-signature are compared by sketches that bound their likeness from above, and
-the pairs that may link are verified too.  So no link between components is
-lost, and copies are not expanded into all pairs.
+shuffle moves bytes, not rows.  Groups of the same members, whatever their
+signatures, count once.  A group gives only the pairs with its most connected
+member at first (the one that is in the most groups: of a family of copies, its
+original).  After these are verified and joined into components, members of
+different components that still share a signature are compared by sketches that
+bound their likeness from above, and the pairs that may link are verified too.
+So no link between components is lost, and copies are not expanded into all
+pairs.
+
+Nothing gathers a whole group: members outside a group's largest component meet
+all its members in cells of about ``CHUNK`` by ``CHUNK``, which tasks take one
+after the other; joins by members cut hot ones into pieces.
 """
 
 from __future__ import annotations
@@ -20,11 +25,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from quernstone.llm.components import components
 from quernstone.llm.kernels import U64
-from quernstone.workspace import is_empty, materialize
+from quernstone.workspace import in_arrow, is_empty, materialize, split_join
 
 #: Signatures that a map task holds before it sends them, and that one task gathers.
-FLUSH = 1_500_000
-TASK = 1_500_000
+FLUSH = 1_000_000
+TASK = 1_000_000
+#: Members on a side of a cell, and rows of cells that one task takes.
+CHUNK = 1024
+ROWS = 50_000
 
 
 def pack(sig: list[np.ndarray], member: list[np.ndarray], buckets: int) -> pa.RecordBatch:
@@ -91,65 +99,106 @@ def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def gather(packed: DataFrame, tasks: int) -> tuple[DataFrame, DataFrame]:
     """``(pairs, members)`` of packed signatures: distinct pairs (a, b) to begin with, and (sig, node) of the larger groups."""
-    found = materialize(packed.repartition(tasks, "bucket").mapInArrow(meet, "kind int, x long, y long"), "found")
+    found = materialize(in_arrow(packed.repartition(tasks, "bucket"), meet, "kind int, x long, y long"), "found")
     members = found.filter("kind = 1").select(F.col("x").alias("sig"), F.col("y").alias("node"))
+    # Two hashes of 64 bits and the number of members say which groups are the same.
+    made_of = members.groupBy("sig").agg(F.bit_xor(F.xxhash64("node")).alias("one"), F.bit_xor(F.xxhash64(F.lit("two"), "node")).alias("two"), F.count("*").alias("n"))
+    members = materialize(members.join(made_of.groupBy("one", "two", "n").agg(F.min("sig").alias("sig")).select("sig"), "sig", "left_semi"), "members")
     weight = members.groupBy("node").agg(F.count("*").alias("w"))
-    middle = members.join(weight, "node").groupBy("sig").agg(F.max(F.struct("w", "node")).alias("m")).select("sig", F.col("m.node").alias("mid"))
-    stars = members.join(middle, "sig").filter("node <> mid").select(F.least("node", "mid").alias("a"), F.greatest("node", "mid").alias("b")).distinct()
+    weighed = materialize(split_join(members, weight, "node", F.col("sig")), "weighed")
+    middle = weighed.groupBy("sig").agg(F.max(F.struct("w", "node")).alias("m")).select("sig", F.col("m.node").alias("mid"))
+    stars = split_join(members, middle, "sig", F.col("node")).filter("node <> mid").select(F.least("node", "mid").alias("a"), F.greatest("node", "mid").alias("b")).distinct()
     alone = found.filter("kind = 0").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     return materialize(alone.union(stars).distinct(), "pairs"), members
 
 
-def _across(possible: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]):
-    """Pairs of a group's members that are in different components and that their sketches do not rule out."""
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+    """The columns of one cell after the other, from rows sorted by cell."""
+    held: list[pa.RecordBatch] = []
+
+    def whole() -> dict[str, np.ndarray]:
+        table = pa.Table.from_batches(held)
+        out = {c: table.column(c).to_numpy() for c in ("left", "node", "root", "size")}
+        out["sketch"] = np.frombuffer(b"".join(x.as_buffer() for x in table.column("sketch").combine_chunks()), np.uint8).reshape(len(table), -1)
+        return out
+
+    last = None
+    for batch in batches:
+        keys = np.stack([np.array(batch.column(i)) for i in range(3)], 1)
+        cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
+        for i, j in zip(np.r_[0, cuts], np.r_[cuts, len(keys)]):
+            if held and tuple(keys[i]) != last:
+                yield whole()
+                held = []
+            held.append(batch.slice(i, j - i))
+            last = tuple(keys[i])
+    if held:
+        yield whole()
+
+
+def _across(possible: Callable[..., np.ndarray]):
+    """Pairs of a cell's left and other members that are in different components and that their sketches do not rule out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns: list[list[np.ndarray]] = [[], [], [], []]
-        sketches = []
-        for batch in batches:
-            for i, held in enumerate(columns):
-                held.append(np.array(batch.column(i)))
-            sketches += batch.column(4).to_pylist()
-        if not sketches:
-            return
-        sig, node, root, size = (np.concatenate(x) for x in columns)
-        sketch = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sig), -1)
-        order = np.argsort(sig, kind="stable")
-        starts = np.flatnonzero(np.r_[True, np.diff(sig[order]) != 0])
-        seen: set[tuple[int, int]] = set()
-        for at, end in zip(starts, np.append(starts[1:], len(order))):
-            group = order[at:end]
-            names, count = np.unique(root[group], return_counts=True)
-            outside = group[root[group] != names[count.argmax()]]  # each pair across has one end outside the largest component
-            for i in range(0, len(outside), 32):
-                some = outside[i : i + 32]
-                near = possible(sketch[some], size[some], sketch[group], size[group]) & (root[some][:, None] != root[group][None, :])
-                for x, y in zip(*np.nonzero(near)):
-                    a, b = int(node[some[x]]), int(node[group[y]])
-                    seen.add((min(a, b), max(a, b)))
-            if len(seen) > 200_000:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*seen)], ["a", "b"])
-                seen.clear()
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*seen)], ["a", "b"])
+        for cell in _cells(batches):
+            outside, all_ = np.flatnonzero(cell["left"]), np.flatnonzero(~cell["left"])
+            for i in range(0, len(outside), 64):
+                some = outside[i : i + 64]
+                x, y = np.nonzero(cell["root"][some][:, None] != cell["root"][all_][None, :])
+                x, y = some[x], all_[y]
+                for j in range(0, len(x), 8192):
+                    a, b = x[j : j + 8192], y[j : j + 8192]
+                    near = possible(cell["sketch"][a], cell["size"][a], cell["sketch"][b], cell["size"][b])
+                    if near.any():
+                        a, b = cell["node"][a[near]], cell["node"][b[near]]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     return run
 
 
-def connect(pairs: DataFrame, members: DataFrame, verify: Callable[[DataFrame], DataFrame], sketches: DataFrame, possible: Callable[..., np.ndarray], tasks: int) -> DataFrame:
+def _near(possible: Callable[..., np.ndarray]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in filter(len, batches):
+            n, m = (np.array(batch.column(i)) for i in (2, 4))
+            s, t = (np.frombuffer(b"".join(x.as_buffer() for x in batch.column(i)), np.uint8).reshape(batch.num_rows, -1) for i in (3, 5))
+            yield batch.select(["a", "b"]).filter(pa.array(possible(s, n, t, m)))
+
+    return run
+
+
+def _likely(pairs: DataFrame, sketches: DataFrame, possible: Callable[..., np.ndarray], name: str) -> DataFrame:
+    """The pairs (a, b) that their sketches do not rule out."""
+    a, b = (sketches.select(F.col("node").alias(k), F.col("size").alias(f"{k}_size"), F.col("sketch").alias(f"{k}_sketch")) for k in "ab")
+    both = split_join(split_join(pairs, a, "a", F.xxhash64("b")), b, "b", F.xxhash64("a"), rows=pairs).select("a", "b", "a_size", "a_sketch", "b_size", "b_sketch")
+    return materialize(in_arrow(both, _near(possible), "a long, b long"), name)
+
+
+def connect(pairs: DataFrame, members: DataFrame, verify: Callable[[DataFrame], DataFrame], sketches: DataFrame, possible: Callable[..., np.ndarray]) -> DataFrame:
     """Verified edges (a, b) that connect every component of the links.
 
     ``sketches(node, size, sketch)``: counts of 8 bits, 255 for more; ``possible``
-    says for the sketches and sizes of some rows, and of some columns, which may
-    link.
+    says for rows of sketches and sizes on either side which may link.
     """
-    edges = materialize(verify(pairs), "links1")
+    spark = pairs.sparkSession
+    edges = materialize(verify(_likely(pairs, sketches, possible, "likely1")), "links1")
     names = components(edges)
-    members = members.join(names, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("root"))
-    mixed = members.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("sig")
-    apart = members.join(mixed, "sig", "left_semi").join(sketches, "node").select("sig", "node", "root", "size", "sketch")
-    rest = apart.repartition(tasks, "sig").mapInArrow(_across(possible), "a long, b long").distinct()
-    more = materialize(verify(rest.join(pairs, ["a", "b"], "left_anti")), "links2")
+    named = members.join(names, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("root"))
+    named = materialize(named, "named")
+    # Of each group with several components: its members, those outside the largest, and which that is.
+    parts = named.groupBy("sig", "root").agg(F.count("*").alias("n"))
+    mixed = parts.groupBy("sig").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("most"), F.count("*").alias("parts")).filter("parts > 1")
+    mixed = mixed.select("sig", F.col("most.root").alias("main"), *(F.ceil(x / CHUNK).cast("int").alias(c) for c, x in (("lefts", F.col("n") - F.col("most.n")), ("alls", F.col("n")))))
+    apart = materialize(split_join(named, mixed, "sig", F.col("node")), "apart")
+    deal, every = (lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")), (lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)))
+    left = apart.filter("root <> main").select("sig", deal("lefts").alias("i"), every("alls").alias("j"), F.lit(True).alias("left"), "node", "root")
+    right = apart.select("sig", every("lefts").alias("i"), deal("alls").alias("j"), F.lit(False).alias("left"), "node", "root")
+    cells = materialize(left.union(right), "cells")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-cells.count() // ROWS))
+    cells = split_join(cells, sketches, "node", F.xxhash64("sig", "i", "j")).select("sig", "i", "j", "left", "node", "root", "size", "sketch")
+    cells = cells.repartition(tasks, "sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+    rest = in_arrow(cells, _across(possible), "a long, b long").distinct()
+    rest = materialize(rest.join(pairs, ["a", "b"], "left_anti"), "rest")
+    more = materialize(verify(rest), "links2")
     return edges if is_empty(more) else edges.union(more)
 
 
