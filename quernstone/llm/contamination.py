@@ -3,30 +3,39 @@
 An item is contained in a document if at least ``percent`` of its distinct
 5-word shingles are in the document.  Items are partitioned by their number of
 shingles (powers of two); in a partition whose largest item has ``hi``
-shingles, each item's sketch is its ``floor((1 - t) * hi) + 1`` smallest
-shingle hashes, a bottom-k MinHash.  By the pigeonhole principle a document
-that contains the item has at least one value of its sketch, however long the
-document is, so nothing is missed.  (Banded MinHash signatures of whole
-documents cannot find a short item in a long one: their Jaccard similarity may
-be under 0.001.)  Candidates are verified on the shingles themselves.
-
-Documents are not shuffled.  The items are taken in blocks of a bounded number
-of rows, and each block is held against all documents.
+shingles, each item's sketch is its ``floor((1 - t) * hi) + 1`` smallest shingle
+hashes, a bottom-k MinHash.  A document's sketch for a partition is all its
+hashes up to the partition's largest sketch value, so that sketches of a short
+item and of a document of any length compare for containment.  By the
+pigeonhole principle a document that contains an item with ``n`` shingles has
+all but ``floor((1 - t) * n)`` values of the item's sketch, and nothing is
+missed.  (Banded MinHash signatures of whole documents cannot find a short item
+in a long one: their Jaccard similarity may be under 0.001.)  Candidates are
+verified on the words of the shingles themselves.
+
+Items and documents meet in joins, however many there are of either.  A bit
+table of the items' sketches, of a bounded size, goes to all tasks, so that
+only values that an item may hold leave a document.  Documents are read twice
+and are not shuffled, except those with candidates.  Equal texts are one
+candidate; a text's identity is its MD5.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from quernstone.llm.kernels import blocks, shingles, utf8
+from quernstone.llm.kernels import U64, blocks, shingles, utf8
+from quernstone.workspace import in_arrow, materialize, split_join, unused
 
-BLOCK_ITEMS = 20_000
+#: The bit table has at most 2^BITS bits, and bits for each sketch value.
+BITS, SPARSE = 26, 32
+#: So many leaking texts may be sent to all tasks; more are joined.
+SENT, SALTS = 200_000, 64
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = {i: i + 32 for i in range(65, 91)}
 
@@ -37,56 +46,100 @@ def shingle_set(text: str | None, width: int = 5) -> set[tuple[str, ...]]:
     return {tuple(words[i : i + width]) for i in range(max(len(words) - width + 1, min(len(words), 1)))}
 
 
-def _sketches(texts: list[str | None], percent: int, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted sketch hashes of all items, and the item of each."""
-    values, bounds = shingles(*utf8(pa.array(texts, pa.string())), width)
-    found, owner = [], []
-    for i in range(len(texts)):
-        own = values[bounds[i] : bounds[i + 1]]  # sorted: the smallest come first
-        if len(own):
-            hi = 1 << (len(own) - 1).bit_length()
-            k = min((100 - percent) * hi // 100 + 1, len(own))
-            found.append(own[:k])
-            owner.append(np.full(k, i))
-    if not found:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    found, owner = np.concatenate(found), np.concatenate(owner)
-    order = np.argsort(found, kind="stable")
-    return found[order], owner[order]
-
-
-def finder(items: list[tuple[int, str | None]], percent: int, width: int):
-    """A function from an Arrow string column to its leaks: (row, item_id, item's shingles, common shingles)."""
-    sketch, owner = _sketches([t for _, t in items], percent, width)
-    sets: dict[int, set] = {}
-
-    def find(column: pa.Array) -> Iterator[tuple[int, int, int, int]]:
-        data, offsets = utf8(column)
-        for i, j in blocks(offsets):
-            values, bounds = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width)
-            lo, hi = np.searchsorted(sketch, values, "left"), np.searchsorted(sketch, values, "right")
-            at = np.flatnonzero(hi > lo)
-            rows = np.searchsorted(bounds, at, "right") - 1
-            pairs = sorted({(int(r), int(k)) for r, x in zip(rows, at) for k in owner[lo[x] : hi[x]]})
-            last, text = -1, set()
-            for r, k in pairs:
-                if r != last:
-                    last, text = r, shingle_set(column[i + r].as_py(), width)
-                if k not in sets:
-                    sets[k] = shingle_set(items[k][1], width)
-                want = sets[k]
-                common = len(want & text)
-                if 100 * common >= percent * len(want):
-                    yield i + r, items[k][0], len(want), common
-
-    return find
-
-
-def _blocks(items: DataFrame) -> Iterator[list[tuple[int, str | None]]]:
-    """The items in bounded blocks, by the hash of their text."""
-    n = -(-items.count() // BLOCK_ITEMS)
-    for k in range(n):
-        yield [tuple(r) for r in items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).select("item_id", "text").collect()]
+def identity(text: Column) -> Column:
+    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+
+
+def _sketches(percent: int, width: int):
+    """``item, need, value``: the sketch of each text, and how many of its values a document must hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = utf8(batch.column(1))
+            for i, j in blocks(offsets):
+                values, bounds = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width)
+                n = np.diff(bounds)
+                hi = 1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64)
+                k = np.minimum((100 - percent) * hi // 100 + 1, n)
+                need = k - (100 - percent) * n // 100
+                place = np.arange(len(values)) - np.repeat(bounds[:-1], n)  # sorted: the smallest come first
+                kept = place < np.repeat(k, n)
+                row = np.repeat(np.arange(len(n)), n)[kept]
+                item = batch.column(0).slice(i, j - i).take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([item, pa.array(need[row]), pa.array(values[kept].view(np.int64))], ["item", "need", "value"])
+
+    return run
+
+
+def _bit_table(sketches: DataFrame) -> tuple[np.ndarray, int]:
+    """Words of a table with a bit set for the first ``bits`` bits of each value, and ``bits``."""
+    bits = int(min(BITS, max(12, (SPARSE * max(sketches.count(), 1) - 1).bit_length())))
+    at = F.shiftrightunsigned("value", 64 - bits)
+    words = sketches.select(F.shiftright(at, 6).alias("word"), F.expr("shiftleft(1L, CAST(shiftrightunsigned(value, %d) & 63 AS INT))" % (64 - bits)).alias("bit"))
+    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    table = np.zeros(1 << (bits - 6), np.int64)
+    table[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
+    return table.view(U64), bits
+
+
+def _probe(table, bits: int, top: int, width: int):
+    """``text_key, value``: the values of each document's sketch that an item may hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = table.value
+        for batch in batches:
+            data, offsets = utf8(batch.column(1))
+            for i, j in blocks(offsets):
+                values, bounds = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width)
+                at = values >> U64(64 - bits)
+                hit = np.flatnonzero((values <= U64(top)) & ((words[(at >> U64(6)).astype(np.int64)] >> (at & U64(63))) & U64(1)).astype(bool))
+                rows = np.searchsorted(bounds, hit, "right") - 1
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).take(pa.array(rows)), pa.array(values[hit].view(np.int64))], ["text_key", "value"])
+
+    return run
+
+
+def _verified(percent: int, width: int):
+    """Exact containment, row by row; the rows of one document come together, if any."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, have = None, set()
+        for batch in batches:
+            counts = []
+            for key, text, item in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3)):
+                if key != last:
+                    last, have = key, shingle_set(text.as_py(), width)
+                want = shingle_set(item.as_py(), width)
+                counts.append((len(want), len(want & have)))
+            n, common = np.array(counts, np.int32).reshape(-1, 2).T
+            good = pa.array(100 * common.astype(np.int64) >= percent * n.astype(np.int64))
+            yield pa.RecordBatch.from_arrays([*batch.select([0, 1]).columns, pa.array(n), pa.array(common)], ["text_key", "item", "n_item", "n_common"]).filter(good)
+
+    return run
+
+
+def _found(docs: DataFrame, items: DataFrame, percent: int, width: int) -> DataFrame | None:
+    """``text_key, item, n_item, n_common`` of the different texts that contain the different items; None without items."""
+    spark = docs.sparkSession
+    known = items.select(identity(F.col("text")).alias("item"), F.coalesce("text", F.lit("")).alias("item_text")).dropDuplicates(["item"])
+    known = materialize(known, "items")
+    sketches = materialize(in_arrow(known, _sketches(percent, width), "item string, need long, value long"), "sketches")
+    # Values are unsigned: the largest has its sign bit set, if any has.
+    ends = sketches.agg(F.max(F.when(F.col("value") < 0, F.col("value"))), F.max("value")).head()
+    if ends[1] is None:
+        return None
+    table, bits = _bit_table(sketches)
+    top = int(np.int64(ends[1] if ends[0] is None else ends[0]).view(U64))
+    probe = _probe(spark.sparkContext.broadcast(table), bits, top, width)  # at most 2^BITS bits
+    texts = docs.select(identity(F.col("text")).alias("text_key"), F.coalesce("text", F.lit("")).alias("text"))
+    hits = materialize(in_arrow(texts, probe, "text_key string, value long").distinct(), "hits")
+    met = split_join(hits, sketches, "value", F.xxhash64("text_key"))
+    pairs = met.groupBy("text_key", "item").agg(F.count("*").alias("n"), F.first("need").alias("need")).filter("n >= need")
+    pairs = materialize(pairs.select("text_key", "item"), "candidates")
+    wanted = texts.join(pairs.select("text_key").distinct().hint("shuffle_hash"), "text_key", "left_semi")
+    one = wanted.groupBy("text_key").agg(F.first("text").alias("text"))
+    both = split_join(split_join(pairs, known, "item", F.xxhash64("text_key")), materialize(one, "texts"), "text_key", F.xxhash64("item"), rows=pairs)
+    return in_arrow(both.select("text_key", "item", "text", "item_text"), _verified(percent, width), "text_key string, item string, n_item int, n_common int")
 
 
 def leaks(docs: DataFrame, items: DataFrame, percent: int = 75, width: int = 5) -> DataFrame:
@@ -94,40 +147,41 @@ def leaks(docs: DataFrame, items: DataFrame, percent: int = 75, width: int = 5)
 
     An item with fewer words than ``width`` is found only where it is the whole
     text; an item without words, and a null or empty text, is never found.
-    Repeated documents and items each give their rows.  Empty tables on either
-    side give none.
+    Repeated documents and items each give their rows; null ids are ids like
+    others.  A very long text is searched as a whole.  Empty tables on either
+    side give no rows; other columns are not read.
     """
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {items.schema['item_id'].dataType.simpleString()}, n_item int, n_common int"
-    parts = []
-    for block in _blocks(items):
-
-        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            find = finder(block, percent, width)
-            for batch in batches:
-                if found := list(find(batch.column(1))):
-                    row, item, n, common = zip(*found)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(item), pa.array(n, pa.int32()), pa.array(common, pa.int32())], ["doc_id", "item_id", "n_item", "n_common"])
-
-        parts.append(docs.select("doc_id", "text").mapInArrow(run, schema))
-    if not parts:
-        return docs.sparkSession.createDataFrame([], schema)
-    return reduce(DataFrame.unionByName, parts)
+    rows = docs.select("doc_id", identity(F.col("text")).alias("text_key"))
+    names = items.select("item_id", identity(F.col("text")).alias("item"))
+    found = _found(docs, items, percent, width)
+    if found is None:
+        return rows.join(names.withColumnRenamed("item", "text_key"), "text_key").select("doc_id", "item_id", F.lit(0).alias("n_item"), F.lit(0).alias("n_common")).limit(0)
+    found = materialize(found, "found")
+    rows = materialize(rows.join(found.select("text_key").distinct().hint("shuffle_hash"), "text_key", "left_semi"), "rows")
+    names = materialize(names, "names")
+    out = split_join(rows, found, "text_key", F.xxhash64("doc_id"))
+    return out.join(names, "item").select("doc_id", "item_id", "n_item", "n_common")
 
 
 def clean(docs: DataFrame, items: DataFrame, percent: int = 75, width: int = 5) -> DataFrame:
-    """The rows of ``docs`` that contain no item, with all their columns."""
-    schema, at = docs.schema, docs.columns.index("text")
-    for block in _blocks(items):
-
-        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            find = finder(block, percent, width)
-            for batch in batches:
-                good = np.ones(batch.num_rows, bool)
-                good[[x[0] for x in find(batch.column(at))]] = False
-                yield batch.filter(pa.array(good))
-
-        docs = docs.mapInArrow(run, schema)
-    return docs
+    """The rows of ``docs`` that contain no item, with all their columns.
+
+    Null, empty and wordless texts stay; a very long text is searched as a
+    whole; repeated rows stay or go together, whatever their ids.  Without
+    items every row stays.
+    """
+    found = _found(docs, items, percent, width)
+    if found is None:
+        return docs
+    key, salt = unused(docs, "_key"), unused(docs, "_salt")
+    gone = materialize(found.select(F.col("text_key").alias(key)).distinct(), "gone")
+    out = docs.withColumn(key, identity(F.col("text")))
+    if gone.count() <= SENT:
+        return out.join(F.broadcast(gone), key, "left_anti").select(docs.columns)
+    # A text that many rows share is dealt over the salts.
+    out = out.withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
+    gone = gone.withColumn(salt, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return out.join(gone, [key, salt], "left_anti").select(docs.columns)
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
