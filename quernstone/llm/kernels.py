@@ -55,6 +55,14 @@ def blocks(offsets: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]
         i = min(j, n)
 
 
+def slices(batch: pa.RecordBatch, text: int, most: int = 1 << 20, wide: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most ``wide`` rows whose texts hold at most ``most`` bytes, or of a single row."""
+    _, offsets = utf8(batch.column(text))
+    for i, j in blocks(offsets, most):
+        for k in range(i, j, wide):
+            yield batch.slice(k, min(wide, j - k))
+
+
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A hash of each lower-cased word, and its row."""
     n = len(data)

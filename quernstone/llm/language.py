@@ -14,26 +14,25 @@ language, chosen by the hash of doc_id.
 
 from __future__ import annotations
 
-import sys
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from quernstone.llm.kernels import codepoints, texts
+from quernstone.llm.kernels import codepoints, slices, texts
+from quernstone.workspace import in_arrow
 
 DIMS = 4096
 BLOCK = 500_000
 
 
+@lru_cache
 def letters() -> np.ndarray:
     """By code point: is it a letter?  Built once in a process."""
-    key = "_quernstone_letters"
-    if key not in sys.__dict__:
-        sys.__dict__[key] = np.fromiter((unicodedata.category(chr(i))[0] == "L" for i in range(0x110000)), bool, 0x110000)
-    return sys.__dict__[key]
+    return np.fromiter((unicodedata.category(chr(i))[0] == "L" for i in range(0x110000)), bool, 0x110000)
 
 
 def grams(rows: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -74,19 +73,17 @@ def cut(rows: list[str], most: int = BLOCK, wide: int = 128) -> Iterator[slice]:
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total, n = np.zeros(DIMS, np.int64), 0
     for batch in batches:
-        rows = texts(batch.column(0))
-        n += len(rows)
-        for part in cut(rows):
-            total += (grams(rows[part])[0] > 0).sum(0)
+        n += batch.num_rows
+        for part in slices(batch, 0, BLOCK, 128):
+            total += (grams(texts(part.column(0)))[0] > 0).sum(0)
     yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, DIMS)), pa.array(np.concatenate([[n], total]))], ["dim", "df"])
 
 
 def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows, langs = texts(batch.column(0)), batch.column(1).to_pylist()
-        for part in cut(rows):
-            x, _ = grams(rows[part])
-            yield pa.RecordBatch.from_arrays([pa.array(langs[part], pa.string()), pa.array([v.tobytes() for v in x], pa.binary())], ["lang", "v"])
+        for part in slices(batch, 0, BLOCK, 128):
+            x, _ = grams(texts(part.column(0)))
+            yield pa.RecordBatch.from_arrays([part.column(1), pa.array([v.tobytes() for v in x], pa.binary())], ["lang", "v"])
 
 
 def weigh(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -108,24 +105,31 @@ def centroids(x: np.ndarray, k: int, rounds: int = 15, seed: int = 7) -> np.ndar
 
 
 def fit(learn: DataFrame, per_language: int = 300, clusters: int = 4) -> dict:
-    """The model from ``learn(doc_id, text, lang)``; rows without a lang teach nothing."""
+    """The model from ``learn(doc_id, text, lang)``; rows without a lang teach nothing.
+
+    Repeated rows count each; null and empty texts count as texts without a
+    gram; a very long text is read as a whole.
+    """
     learn = learn.filter("lang IS NOT NULL")
     counts = {r["lang"]: r["count"] for r in learn.groupBy("lang").count().collect()}
     if not counts:
         return {"langs": [], "idf": np.ones(DIMS, np.float32), "centres": np.zeros((0, DIMS), np.float32), "of": np.zeros(0, int)}
-    unit = F.pmod(F.xxhash64(F.lit("language"), F.col("doc_id")), F.lit(1 << 20)) / float(1 << 20)
-    odds = F.element_at(F.create_map(*[y for k, n in counts.items() for y in (F.lit(k), F.lit(min(1.0, per_language / n)))]), F.col("lang"))
-    rows = learn.filter(unit < odds).select("text", "lang").mapInArrow(_sample, "lang string, v binary").collect()
-    if not rows:  # a few rows may all miss their odds
-        rows = learn.select("text", "lang").limit(per_language).mapInArrow(_sample, "lang string, v binary").collect()
-    df = {r["dim"]: r["n"] for r in learn.select("text").mapInArrow(_frequencies, "dim long, df long").groupBy("dim").agg(F.sum("df").alias("n")).collect()}
+    unit = F.pmod(F.xxhash64(F.lit("language"), F.col("doc_id"), F.xxhash64("text")), F.lit(1 << 20)) / float(1 << 20)
+    # Few rows of a language are all taken, so that they can't all miss their odds.
+    share = {k: 1.0 if n <= 4 * per_language else per_language / n for k, n in counts.items()}
+    odds = F.element_at(F.create_map(*[y for k, part in share.items() for y in (F.lit(k), F.lit(part))]), F.col("lang"))
+    rows = in_arrow(learn.filter(unit < odds).select("text", "lang"), _sample, "lang string, v binary").collect()
+    rows.sort(key=lambda r: (r["lang"], r["v"]))  # whatever the order of arrival
+    counted = in_arrow(learn.select("text"), _frequencies, "dim long, df long").groupBy("dim").agg(F.sum("df").alias("n"))
+    df = {r["dim"]: r["n"] for r in counted.collect()}
     n = df.pop(-1)
     idf = np.log((1 + n) / (1 + np.array([df[i] for i in range(DIMS)], float))).astype(np.float32) + np.float32(1)
     x = weigh(np.stack([np.frombuffer(r["v"], np.float32) for r in rows]), idf)
     of = np.array([r["lang"] for r in rows])
     langs = sorted(set(of))
     found = [centroids(x[of == lang], clusters) for lang in langs]
-    return {"langs": langs, "idf": idf, "centres": np.concatenate(found).astype(np.float32), "of": np.repeat(np.arange(len(langs)), [len(f) for f in found])}
+    of_centre = np.repeat(np.arange(len(langs)), [len(f) for f in found])
+    return {"langs": langs, "idf": idf, "centres": np.concatenate(found).astype(np.float32), "of": of_centre}
 
 
 def predict(docs: DataFrame, model: dict, reject_below: float = 0.1, sharpness: float = 20.0) -> DataFrame:
@@ -134,16 +138,16 @@ def predict(docs: DataFrame, model: dict, reject_below: float = 0.1, sharpness:
     ``score`` is the winner's share of ``exp(sharpness * cosine)`` over the
     languages' best cosines; ties go to the first language by name.  A null
     text, and a text without a letter, is ``und`` with score 0 and counts as
-    rejected; so is everything when the model knows no language.  Empty tables
+    rejected; so is everything when the model knows no language.  Repeated
+    rows are judged alike, very long texts by all their grams.  Empty tables
     give no rows.
     """
     langs, idf, centres, of = model["langs"], model["idf"], model["centres"], model["of"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = texts(batch.column(1))
-            for part in cut(rows):
-                counts, has = grams(rows[part])
+            for part in slices(batch, 1, BLOCK, 128):
+                counts, has = grams(texts(part.column(1)))
                 if langs:
                     cos = weigh(counts, idf) @ centres.T
                     best = np.stack([cos[:, of == i].max(1) for i in range(len(langs))], 1).astype(float)
@@ -153,9 +157,10 @@ def predict(docs: DataFrame, model: dict, reject_below: float = 0.1, sharpness:
                 else:
                     has, win, top, score = np.zeros(len(has), bool), np.zeros(len(has), int), np.zeros(len(has)), np.zeros(len(has))
                 names = [langs[w] if h else "und" for w, h in zip(win, has)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.start, part.stop - part.start), pa.array(names, pa.string()), pa.array(score), pa.array(~has | (top < reject_below))], ["doc_id", "lang_pred", "score", "rejected"])
+                made = (pa.array(names, pa.string()), pa.array(score), pa.array(~has | (top < reject_below)))
+                yield pa.RecordBatch.from_arrays([part.column(0), *made], ["doc_id", "lang_pred", "score", "rejected"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, rejected boolean")
+    return in_arrow(docs.select("doc_id", "text"), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, rejected boolean")
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

@@ -33,6 +33,37 @@ def test_language_held_out_accuracy_and_edges(spark):
     assert got[None]["lang_pred"] == "xx" and all(0 <= r["score"] <= 1 for r in got.values())
 
 
+def test_language_vectors_and_scores_equal_brute_force(spark):
+    docs = frame(spark, language_rows())
+    model = language.fit(docs.filter(F.col("doc_id") % 4 != 2), per_language=50, clusters=2)
+    rows_ = [x[1] or "" for x in language_rows()]
+    counts, has = language.grams(rows_)
+    for i in (0, 7, 100):
+        letters = "".join(c if c.isalpha() else " " for c in rows_[i].lower())
+        n = len(" ".join(letters.split())) + 1
+        assert counts[i].sum() == n + (n - 1) + (n - 2)
+    got = {x["doc_id"]: x for x in language.predict(docs, model).collect()}
+    for (doc, *_), c, h in zip(language_rows(), counts, has):
+        if not h:
+            continue
+        v = np.log1p(c.astype(float)) * model["idf"]
+        v /= np.linalg.norm(v)
+        best = {}
+        for centre, k in zip(model["centres"], model["of"]):
+            best[model["langs"][k]] = max(best.get(model["langs"][k], -2), float(v @ centre))
+        top = max(best.values())
+        assert best[got[doc]["lang_pred"]] > top - 1e-5
+        assert abs(got[doc]["score"] - 1 / sum(np.exp(20 * (b - top)) for b in best.values())) < 1e-4
+
+
+def test_language_repeated_rows_and_long_texts(spark):
+    data = language_rows()[:30] * 2 + [(500, "abc def " * 100_000, None, *[None] * 6)]
+    model = language.fit(frame(spark, data))
+    got = language.predict(frame(spark, data), model).collect()
+    assert len(got) == 61 and len({(x["doc_id"], x["lang_pred"], x["score"]) for x in got}) == 31
+    assert {x["lang_pred"] for x in got if x["doc_id"] == 500} == {"xx"}
+
+
 def test_language_without_labels_and_rows(spark):
     model = language.fit(frame(spark, []))
     assert language.predict(frame(spark, []), model).count() == 0
@@ -73,13 +104,48 @@ def test_quality_without_labels_and_rows(spark):
     assert quality.score(frame(spark, []), model).count() == 0
 
 
-def test_quality_gradients():
+def test_quality_gradients_equal_differences_of_the_loss():
     r = np.random.default_rng(0)
-    bags = [r.normal(size=(k, 5)) + (i % 2) for i, k in enumerate([1, 2, 3, 4] * 20)]
-    y = np.array([i % 2 for i in range(80)], float)
-    m = quality.train(bags, y, np.ones(80), hidden=4, gate=3, epochs=80, batch=16)
-    f = quality.forward(m, np.concatenate(bags), np.concatenate([[0], np.cumsum([len(b) for b in bags])[:-1]]))
-    assert ((f["score"] >= 0.5) == y).mean() > 0.9
+    count = np.array([1, 2, 3, 4, 1, 6])
+    x, y, weight = r.normal(size=(count.sum(), 5)), np.array([0.0, 1, 1, 0, 1, 0]), r.uniform(0.5, 2, 6)
+    starts = np.concatenate([[0], np.cumsum(count)[:-1]])
+    m = quality.initial(x, 4, 3, 1)
+
+    def loss():
+        s = quality.forward(m, x, starts)["score"]
+        return -(weight * (y * np.log(s) + (1 - y) * np.log(1 - s))).sum() / weight.sum()
+
+    for name, grad in quality.gradients(m, x, count, y, weight).items():
+        for i in np.ndindex(m[name].shape):
+            m[name][i] += 1e-6
+            up = loss()
+            m[name][i] -= 2e-6
+            down = loss()
+            m[name][i] += 1e-6
+            assert abs((up - down) / 2e-6 - grad[i]) < 1e-6, name
+
+
+def test_quality_attention_equals_the_formula_passage_by_passage():
+    r = np.random.default_rng(4)
+    bags = [r.normal(size=(k, 5)) for k in (1, 3, 7)]
+    m = quality.initial(np.concatenate(bags), 4, 3, 2)
+    got = quality.forward(m, np.concatenate(bags), np.array([0, 1, 4]))["score"]
+    for s, bag in zip(got, bags):
+        h = [np.tanh(((p - m["mean"]) / m["std"]) @ m["E"] + m["e"]) for p in bag]
+        a = np.array([np.exp(m["w"] @ (np.tanh(x @ m["V"]) / (1 + np.exp(-(x @ m["U"]))))) for x in h])
+        bagged = sum(w * x for w, x in zip(a / a.sum(), h))
+        assert s == 1 / (1 + np.exp(-(bagged @ m["c"] + m["b"][0]))) or abs(s - 1 / (1 + np.exp(-(bagged @ m["c"] + m["b"][0])))) < 1e-12
+
+
+def test_quality_passages_count_characters_and_words():
+    rows = ["Aa b!", "", "x " * 500, "same same other"]
+    x, count = quality.passages(rows)
+    assert count.tolist() == [1, 1, 3, 1] and x.shape == (6, quality.FEATURES)
+    assert x[0, 1] == np.float32(2 / 5) and x[0, 2] == np.float32(1 / 5)
+    assert not x[1, : quality.CLASSES].any()
+    again = quality.FEATURES - quality.WORDS - 1
+    assert x[5, again] == np.float32(1 / 3) and x[2, again] > 0.9
+    assert np.allclose(x[[0, 2, 3, 4, 5], quality.FEATURES - quality.WORDS :].sum(1), 10)
 
 
 def vectors(seed, n, dims=16):
