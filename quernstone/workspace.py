@@ -19,7 +19,7 @@ _MADE: list[tuple[SparkSession, str]] = []
 #: Bytes of rows that go to a Python worker at once.
 BATCH_BYTES = 4 << 20
 #: A key is hot from this part of all rows on, so there are fewer than HOT hot keys; never below LEAST rows.
-HOT, LEAST = 2048, 1000
+HOT, LEAST = 2048, 250
 
 
 def shared_dir(spark: SparkSession) -> str:
