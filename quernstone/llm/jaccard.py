@@ -8,15 +8,19 @@ most ``k`` elements.  The domain is partitioned by hash into ``k // 2 + 1``
 parts, so at least one part holds at most one difference; a part is cut into
 three, and each choice of two of the three is one signature.
 
-Some signatures are withheld: those of fewer than ``LEAST`` elements, which
-unrelated texts share, and in large bands those of the parts after the first
-``PARTS``.  Both sets of a pair withhold the signature that they share, or
-neither does.  So the rest is found exactly: every set that withholds a
-signature is also looked up by the prefix of its elements in one order for all
-sets, and linked sets share an element of their prefixes.  Shingles that many
-texts hold come last in that order, so that they seldom make candidates; which
-ones these are is read from a sample, and any choice of them finds the same
-links.
+Signatures of fewer than ``LEAST`` elements are withheld, as unrelated texts
+share them.  Both sets of a pair withhold the signature that they share, or
+neither does.  So the rest is found exactly: a set that withholds a signature is
+also looked up by the prefix of its elements in one order for all sets, and
+linked sets share an element of their prefixes.  Shingles that many texts hold
+come last in that order, so that they seldom make candidates; which ones these
+are is read from a sample, and any choice of them finds the same links.
+
+Bands of more than ``parts`` parts (sets of over 277 shingles at 75 percent)
+enumerate only so many of their parts, which are random: at the threshold itself
+each of 40 agrees with a probability of over 0.3, so all of them fail for less
+than one pair in a million.  ``parts=None`` enumerates all, and misses nothing
+whatever the size.
 
 Equal sets are one member from the start.  The members meet as ``meeting``
 says, and every link is verified on the whole sets.  A set's identity is its
@@ -38,8 +42,8 @@ from quernstone.llm.kernels import U64, blocks, fingerprint, mix, shingles, utf8
 from quernstone.llm.meeting import connect, gather, packer, task_count
 from quernstone.workspace import in_arrow, is_empty, materialize, split_join
 
-#: Parts enumerated at most (None: all), and elements of a signature at least; what they withhold the prefixes find.
-PARTS, LEAST = 16, 3
+#: Parts enumerated at most (None: all), and elements of a signature at least.
+PARTS, LEAST = 40, 3
 #: Rows read for the common shingles, how many of them hold one, and how many shingles are told apart.
 SAMPLE, OFTEN, COMMON = 10_000, 4, 32_768
 CELLS = 512
@@ -79,7 +83,7 @@ def prefixes(values: np.ndarray, bounds: np.ndarray, length: np.ndarray, common:
 
 
 def enumerated(values: np.ndarray, bounds: np.ndarray, percent: int, parts: int | None = PARTS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """PartEnum signatures of the sets in ``values`` between ``bounds``, the set of each, and which sets withhold some."""
+    """PartEnum signatures of the sets in ``values`` between ``bounds``, the set of each, and which sets withhold some in a band with all parts."""
     size, ends = np.diff(bounds), bands(percent)
     withheld, out, of = np.zeros(len(size), bool), [np.zeros(0, U64)], [np.zeros(0, np.int64)]
     chosen = np.flatnonzero(size > 0)
@@ -91,7 +95,6 @@ def enumerated(values: np.ndarray, bounds: np.ndarray, percent: int, parts: int
         for tag in (band, band + 1):
             total = parts_of(ends[tag], percent)
             used = total if parts is None else np.minimum(total, parts)
-            withheld[chosen] |= used < total
             base = np.concatenate([[0], np.cumsum(used)])
             part = (high * total[row].astype(U64) >> U64(32)).astype(np.int64)
             take = np.flatnonzero(part < used[row])
@@ -106,7 +109,7 @@ def enumerated(values: np.ndarray, bounds: np.ndarray, percent: int, parts: int
                 good = count[:, some].sum(1) >= LEAST
                 out.append(mix(sums[:, some].sum(1, dtype=U64) + salt + U64(j))[good])
                 of.append(chosen[who[good]])
-                withheld[chosen[who[~good]]] = True
+                withheld[chosen[who[~good & (used == total)[who]]]] = True
     return np.concatenate(out), np.concatenate(of), withheld
 
 
