@@ -7,16 +7,17 @@ target is chosen by Efraimidis-Spirakis keys ``-ln(u) / weight`` in ascending
 order, prefix-summed up to the budget.  The document at the boundary is taken
 if that comes nearer to the target.
 
-No source is sorted in one task.  The keys are dealt into many ranges, whose
-sums say in which range a source's boundary lies; that range is cut again, and
-only the rows of the last small range are ranked.
+No source is sorted in one task.  The keys are dealt into many ranges, spread
+evenly by the source's mean key; the ranges' sums say in which one a source's
+boundary lies; that range is cut again, and only the rows of the last small
+range are ranked.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from quernstone.workspace import materialize, unused
+from quernstone.workspace import materialize, split_join, unused
 
 WORDS = r"[^\x20\x09-\x0D]+"
 #: The sources' weights, in code-point order of their names, repeating; null comes last.
@@ -29,8 +30,11 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORDS)), F.lit(0)).cast("long")
 
 
-def quality_weight(text: Column, words: Column) -> Column:
-    """A document's weight in (0, 1]: the share of letters and spaces in its text, at least 0.05."""
+def quality_weight(text: Column) -> Column:
+    """The default weight of a document, in (0, 1]: the share of letters and spaces in its text, at least 0.05.
+
+    A caller with better scores, such as a classifier's, gives them as a column.
+    """
     noise = F.regexp_count(text, F.lit(r"[^\p{L}\s.,]"))
     return F.greatest(F.lit(0.05), F.lit(1.0) - F.coalesce(noise / F.greatest(F.length(text), F.lit(1)), F.lit(0.0)))
 
@@ -60,60 +64,72 @@ def _cut(rows: DataFrame, key: str) -> DataFrame:
     return sums.groupBy("source").agg(F.min_by(F.struct(F.col(key), (F.col("upto") - F.col("part")).alias("before")), key).alias("cut"))
 
 
+def row_key(seed: str) -> Column:
+    """What a row's random key depends on: doc_id, source and text; null is not an empty string."""
+    known = (F.coalesce(F.concat(F.lit(mark), F.col(c).cast("string")), F.lit("")) for mark, c in (("d", "doc_id"), ("s", "source")))
+    return F.md5(F.concat_ws("|", F.lit(seed), *known, F.md5(F.coalesce("text", F.lit("")).cast("binary"))).cast("binary"))
+
+
 def plan(docs: DataFrame, seed: str = "mix", share: float = 1.5, most: float = 2.0, weights: tuple[float, ...] = WEIGHTS, weight: Column | None = None) -> DataFrame:
     """How often each document is taken.
 
     ``docs(doc_id, text, source)`` gives ``doc_id, source, size, source_size,
-    target, copies``.  The choice depends on doc_id, text and source only, so
-    reruns agree whatever the partitioning.  Repeated rows (one doc_id, one
-    text) share a key and are chosen together or, at the boundary, all counted.
-    Null and empty texts have size 0 and are never taken beyond the complete
-    epochs; a null source is a source of its own, the last one.  A null doc_id
-    takes part like any other value.  An empty table gives no rows.
+    target, copies, row_key``.  ``weight`` is a column of ``docs``, taken as at
+    least 1e-9.  The choice depends on doc_id, text and source only, so reruns
+    agree whatever the partitioning.  Rows equal in all three share a key and
+    are chosen together or, at the boundary, all counted.  Null and empty texts
+    have size 0 and are never taken beyond the complete epochs; a null source
+    is a source of its own, the last one.  A null doc_id takes part like any
+    other value.  An empty table gives no rows.
     """
-    spark = docs.sparkSession
-    name = F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("source", F.lit("")))
-    unit = (F.conv(F.substring(F.md5(name.cast("binary")), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
-    narrow = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), (quality_weight(F.col("text"), F.col("text")) if weight is None else weight).alias("w"))
-    # Ascending -ln(u)/w is ascending 1 - u^(1/w), which lies in [0, 1) and is dealt into ranges evenly.
-    narrow = narrow.withColumn("at", F.greatest(F.lit(0.0), F.lit(1.0) - F.pow(unit, F.lit(1.0) / F.col("w")))).drop("w")
-    narrow = materialize(narrow, "keys")
-    sized = materialize(targets(narrow.groupBy("source").agg(F.sum("size").alias("source_size")), share, most, weights), "targets")
+    chance = quality_weight(F.col("text")) if weight is None else F.greatest(weight.cast("double"), F.lit(1e-9))
+    narrow = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), chance.alias("w"), row_key(seed).alias("row_key"))
+    unit = (F.conv(F.substring("row_key", 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
+    narrow = materialize(narrow.withColumn("at", -F.log(unit) / F.col("w")).drop("w"), "keys")
+    sizes = narrow.groupBy("source").agg(F.sum("size").alias("source_size"), F.avg("at").alias("mean"))
+    sized = targets(sizes, share, most, weights).join(sizes.select(F.col("source").alias("s"), "mean"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    sized = materialize(sized, "targets")
     sized = sized.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
     sized = sized.withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("epochs") * F.col("source_size")))
-    rests = sized.select(F.col("source").alias("s"), "rest", "source_size", "target", "epochs")
+    rests = sized.select(F.col("source").alias("s"), "rest", "source_size", "target", "epochs", "mean")
     keyed = narrow.join(rests, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
-    keyed = keyed.withColumn("r1", F.least(F.floor(F.col("at") * RANGES), F.lit(RANGES - 1)).cast("int"))
-    keyed = keyed.withColumn("r2", F.floor((F.col("at") * RANGES - F.col("r1")) * RANGES).cast("int"))
-    first = materialize(_cut(keyed, "r1").select(F.col("source").alias("s"), F.col("cut.r1").alias("c1"), F.col("cut.before").alias("b1")), "cut1")
+    # at / (at + mean) rises with at, lies in [0, 1) and spreads keys over the ranges; it orders nothing itself.
+    keyed = keyed.withColumn("even", F.col("at") / (F.col("at") + F.col("mean")) * RANGES).drop("mean")
+    keyed = keyed.withColumn("r1", F.least(F.floor("even"), F.lit(RANGES - 1)).cast("int"))
+    keyed = keyed.withColumn("r2", F.floor((F.col("even") - F.col("r1")) * RANGES).cast("int")).drop("even")
+    first = _cut(keyed, "r1").select(F.col("source").alias("s"), F.col("cut.r1").alias("c1"), F.col("cut.before").alias("b1"))
+    first = materialize(first, "cut1")
     inner = keyed.join(first, F.col("source").eqNullSafe(F.col("s")) & (F.col("r1") == F.col("c1"))).drop("s")
-    second = _cut(inner.withColumn("rest", F.col("rest") - F.col("b1")), "r2").select(F.col("source").alias("s"), F.col("cut.r2").alias("c2"), F.col("cut.before").alias("b2"))
-    inner = inner.join(materialize(second, "cut2"), F.col("source").eqNullSafe(F.col("s")) & (F.col("r2") == F.col("c2"))).drop("s")
-    run = Window.partitionBy("source").orderBy("at", F.col("doc_id").asc_nulls_last())
+    second = _cut(inner.withColumn("rest", F.col("rest") - F.col("b1")), "r2")
+    second = materialize(second.select(F.col("source").alias("s"), F.col("cut.r2").alias("c2"), F.col("cut.before").alias("b2")), "cut2")
+    inner = inner.join(second, F.col("source").eqNullSafe(F.col("s")) & (F.col("r2") == F.col("c2"))).drop("s")
+    run = Window.partitionBy("source").orderBy("at", "row_key")
     ranked = inner.withColumn("upto", F.sum("size").over(run)).withColumn("left", F.col("rest") - F.col("b1") - F.col("b2"))
     # Taken up to the boundary; the document that crosses it only if that comes nearer.
     taken = ranked.filter(F.col("upto") - F.col("size") * 0.5 <= F.col("left"))
-    ends = taken.groupBy("source").agg(F.max(F.struct("at", "doc_id")).alias("end"))
-    cuts = first.join(ranked.select(F.col("source").alias("s2"), F.col("c2")).distinct(), F.col("s").eqNullSafe(F.col("s2")), "left").drop("s2")
+    ends = taken.groupBy("source").agg(F.max(F.struct("at", "row_key")).alias("end"))
+    cuts = first.join(ranked.select(F.col("source").alias("s2"), "c2").distinct(), F.col("s").eqNullSafe(F.col("s2")), "left").drop("s2")
     cuts = cuts.join(ends.withColumnRenamed("source", "s3"), F.col("s").eqNullSafe(F.col("s3")), "left").drop("s3")
     cuts = materialize(cuts.select("s", "c1", "c2", "end"), "cuts")
     out = keyed.join(cuts, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
     below = (F.col("r1") < F.col("c1")) | ((F.col("r1") == F.col("c1")) & (F.col("r2") < F.col("c2")))
-    at_cut = (F.col("r1") == F.col("c1")) & (F.col("r2") == F.col("c2")) & ((F.col("at") < F.col("end.at")) | ((F.col("at") == F.col("end.at")) & (F.col("doc_id") <= F.col("end.doc_id"))))
-    extra = F.when((F.col("rest") > 0) & (F.col("size") > 0) & (F.coalesce(below, F.lit(False)) | F.coalesce(at_cut, F.lit(False))), 1).otherwise(0)
-    return out.select("doc_id", "source", "size", "source_size", F.col("target").cast("double").alias("target"), (F.col("epochs") + extra).cast("int").alias("copies"))
+    at_cut = (F.col("r1") == F.col("c1")) & (F.col("r2") == F.col("c2")) & (F.struct("at", "row_key") <= F.col("end"))
+    chosen = F.coalesce(below, F.lit(False)) | F.coalesce(at_cut, F.lit(False))
+    extra = F.when((F.col("rest") > 0) & (F.col("size") > 0) & chosen, 1).otherwise(0)
+    copies = (F.col("epochs") + extra).cast("int").alias("copies")
+    return out.select("doc_id", "source", "size", "source_size", F.col("target").cast("double").alias("target"), copies, "row_key")
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
+def mix(docs: DataFrame, seed: str = "mix", **options) -> DataFrame:
     """``docs`` with each row as often as the mix takes it; its columns stay.
 
-    The choice is joined by doc_id and source; repeated rows with one doc_id
-    and one source get the same number of copies.
+    Rows equal in doc_id, source and text get the same number of copies; rows
+    that share only some of these, nulls included, are chosen by themselves.
     """
-    doc, source, often, copy = (unused(docs, x) for x in ("_doc", "_source", "_often", "_copy"))
-    copies = plan(docs, **options).groupBy("doc_id", "source").agg(F.max("copies").alias(often)).filter(F.col(often) > 0)
-    copies = copies.withColumnsRenamed({"doc_id": doc, "source": source})
-    out = docs.join(copies, docs["doc_id"].eqNullSafe(F.col(doc)) & docs["source"].eqNullSafe(F.col(source)))
+    key, often, copy = (unused(docs, x) for x in ("_key", "_often", "_copy"))
+    planned = materialize(plan(docs, seed, **options).select(F.col("row_key").alias(key), F.col("copies").alias(often)), "plan")
+    copies = planned.groupBy(key).agg(F.max(often).alias(often)).filter(F.col(often) > 0)
+    out = split_join(docs.withColumn(key, row_key(seed)), copies, key, F.monotonically_increasing_id(), rows=planned)
     return out.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(often)))).select(docs.columns)
 
 

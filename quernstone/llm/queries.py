@@ -31,15 +31,16 @@ _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRS
 _SHINGLES = "CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) END"
 
 _MIX = r"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, greatest(0.05::DOUBLE, 1.0::DOUBLE - coalesce(len(regexp_extract_all(text, '[^\p{L}\s.,]'))::DOUBLE / greatest(length(text), 1), 0.0::DOUBLE)) AS w,
-  (('0x' || left(md5(concat_ws('|', 'mix', coalesce(doc_id::VARCHAR, ''), coalesce(source, ''))), 13))::BIGINT::DOUBLE + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u FROM documents),
-k AS (SELECT doc_id, source, size, greatest(0.0::DOUBLE, 1.0::DOUBLE - pow(u, 1.0::DOUBLE / w)) AS place FROM d),
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+  greatest(0.05::DOUBLE, 1.0::DOUBLE - coalesce(len(regexp_extract_all(text, '[^\p{L}\s.,]'))::DOUBLE / greatest(length(text), 1), 0.0::DOUBLE)) AS w,
+  md5(concat_ws('|', 'mix', coalesce('d' || doc_id::VARCHAR, ''), coalesce('s' || source, ''), md5(coalesce(text, '')))) AS key FROM documents),
+k AS (SELECT doc_id, source, size, key, -ln((('0x' || left(key, 13))::BIGINT::DOUBLE + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE) / w AS place FROM d),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM k GROUP BY source),
 c AS (SELECT *, source_size * 2.0::DOUBLE AS cap, 1.5::DOUBLE * sum(source_size) OVER () AS total FROM s),
 l AS (SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE)) / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM c),
 t AS (SELECT source, source_size, least(cap, coalesce(max(CASE WHEN cap / weight > level THEN level END) OVER () * weight, cap)) AS target FROM l),
 e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS epochs FROM t),
-r AS (SELECT k.doc_id, k.source, size, source_size, target, epochs, greatest(0.0::DOUBLE, target - epochs * source_size) AS rest, sum(size) OVER (PARTITION BY k.source ORDER BY place, k.doc_id NULLS LAST) AS upto FROM k JOIN e ON k.source IS NOT DISTINCT FROM e.source),
+r AS (SELECT k.doc_id, k.source, size, source_size, target, epochs, greatest(0.0::DOUBLE, target - epochs * source_size) AS rest, sum(size) OVER (PARTITION BY k.source ORDER BY place, key) AS upto FROM k JOIN e ON k.source IS NOT DISTINCT FROM e.source),
 x AS (SELECT *, (epochs + CASE WHEN rest > 0 AND size > 0 AND upto - size * 0.5::DOUBLE <= rest THEN 1 ELSE 0 END)::INTEGER AS copies FROM r)
 SELECT doc_id, size::BIGINT AS size, source_size, target, (size * copies)::BIGINT AS taken, source, copies FROM x"""
 
