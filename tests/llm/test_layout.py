@@ -74,6 +74,92 @@ def test_heavier_documents_come_first(spark):
     assert often[0] > often[1]
 
 
+def test_keys_of_light_documents_have_no_ties(spark):
+    data = [(i, "a b c d e f g h i j", None, ("a", "b", "c")[min(i % 40, 2)], 0, "", 0, "", 0) for i in range(4000)]
+    out = mixing.plan(frame(spark, data), weight=F.lit(0.05)).filter("source = 'c'").collect()
+    least = min(x["copies"] for x in out)
+    left = [x["doc_id"] for x in out if x["copies"] == least]
+    assert len({x["row_key"] for x in out}) == len(out) and 20 < len(left) < len(out) - 20
+    middle = np.median([x["doc_id"] for x in out])
+    assert 0.3 < np.mean([i < middle for i in left]) < 0.7
+
+
+def test_mix_is_the_efraimidis_spirakis_prefix(spark):
+    data = [(i, f"w{i} " + "x " * (i % 7), None, "abc"[min(i % 9, 2)], 0, "", 0, "", 0) for i in range(600)]
+    got = mixing.plan(frame(spark, data), weight=F.col("doc_id") % 3 + 0.5).collect()
+    for source in "abc":
+        own = [x for x in got if x["source"] == source]
+        epochs = int(own[0]["target"] // own[0]["source_size"])
+        rest = own[0]["target"] - epochs * own[0]["source_size"]
+        key = {x["doc_id"]: -np.log((int(x["row_key"][:13], 16) + 0.5) / 2**52) / (x["doc_id"] % 3 + 0.5) for x in own}
+        upto = 0
+        for x in sorted(own, key=lambda x: key[x["doc_id"]]):
+            upto += x["size"]
+            assert x["copies"] == epochs + (upto - x["size"] / 2 <= rest)
+
+
+def test_mix_of_null_and_repeated_ids_keeps_rows_apart(spark):
+    data = [(None, f"text {i} " + "x " * 5, None, "a", 0, "", 0, "", 0) for i in range(100)] + [(7, f"other {i} " + "y " * 5, None, None, 0, "", 0, "", 0) for i in range(300)]
+    data += [(8, "same row", None, "c", 0, "", 0, "", 0)] * 3
+    plan = {x["row_key"]: x["copies"] for x in mixing.plan(frame(spark, data)).collect()}
+    assert len(plan) == 401
+    out = collections.Counter(x["text"] for x in mixing.mix(frame(spark, data)).collect())
+    assert sum(out.values()) == sum(plan.values()) + 2 * out["same row"] // 3
+    assert len({out[f"other {i} " + "y " * 5] for i in range(300)}) == 2
+
+
+def slot_law(got, data, shards):
+    """Rows are whole, slots gapless, sizes and checksums right; the bytes of each shard."""
+    size, slots, rows_ = collections.Counter(), collections.defaultdict(list), collections.Counter()
+    for x in got:
+        size[x["shard"]] += x["size"]
+        slots[x["shard"]].append(x["slot"])
+        rows_[x["doc_id"], x["size"], x["text_crc32"]] += 1
+    assert rows_ == collections.Counter((d[0], len((d[1] or "").encode()) + 16, zlib.crc32((d[1] or "").encode())) for d in data)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and set(slots) <= set(range(shards))
+    return size
+
+
+def test_shards_of_hot_groups_with_null_and_repeated_ids(spark):
+    r = random.Random(8)
+    for doc_id in (None, 5):
+        data = [(doc_id, "same text " * 15, *[None] * 7)] * 400 + [(i, sentence(r, 20), *[None] * 7) for i in range(100)]
+        size = slot_law(sharding.assign(frame(spark, data), 8).collect(), data, 8)
+        assert len(size) == 8 and max(size.values()) <= 1.25 * min(size.values())
+
+
+def test_whole_rows_keep_clashing_columns(spark):
+    docs = frame(spark).withColumn("shard", F.lit("clash")).withColumn("slot", F.lit("clash"))
+    out = sharding.assign(docs, 8, whole=True)
+    assert out.columns == [*docs.columns, "size_", "text_crc32", "shard_", "slot_"]
+    assert collections.Counter(map(tuple, out.select(docs.columns).collect())) == collections.Counter(map(tuple, docs.collect()))
+    plain = {(x["doc_id"], x["shard"], x["slot"]) for x in sharding.assign(docs, 8).collect()}
+    assert {(x["doc_id"], x["shard_"], x["slot_"]) for x in out.collect()} == plain
+
+
+def test_placement_equals_brute_force():
+    r = np.random.default_rng(1)
+    need = np.concatenate([r.exponential(0.02, (300, 3)), r.exponential(0.3, (20, 3))])
+    need *= 5 / need.sum(0)
+    left = np.ones((5, 3))
+    got = sharding.place(need, left)
+    free = [[1.0, 1.0, 1.0] for _ in range(5)]
+    for i in sorted(range(len(need)), key=lambda i: -max(v * w**0.5 for v, w in zip(need[i], sharding.WEIGHTS))):
+        dots = [sum(f * v * w for f, v, w in zip(free[s], need[i], sharding.WEIGHTS)) for s in range(5)]
+        assert dots[got[i]] >= max(dots) - 1e-9
+        free[got[i]] = [f - v for f, v in zip(free[got[i]], need[i])]
+    assert np.allclose(left, free)
+
+
+def test_many_groups_are_packed_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "PART", 100)
+    r = random.Random(5)
+    data = [(i, sentence(r, r.randint(1, 60)), *[None] * 7) for i in range(1500)]
+    got = sharding.assign(frame(spark, data), 4).collect()
+    size, count = slot_law(got, data, 4), collections.Counter(x["shard"] for x in got)
+    assert max(size.values()) <= 1.02 * min(size.values()) and max(count.values()) <= 1.05 * min(count.values())
+
+
 def test_shards_balance_bytes_and_keep_copies_together(spark):
     r = random.Random(3)
     data = [(i, sentence(r, r.randint(5, 200)), *[None] * 7) for i in range(1200)]
