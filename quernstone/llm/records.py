@@ -9,14 +9,16 @@ of data holding checksums stay sound.
 
 Files are written by Spark's text sink, whose line feed ends each frame: any
 file system Spark can write to will do, and the committer makes retried and
-lost tasks harmless.  They lie in the order of doc_id (null first), each within
-a range of doc_id.  The index is a Parquet table beside them: file, offset and
-length of each record, its tokens and the checksum of its ids.
+lost tasks harmless.  They lie in the order of doc_id (null first), then of the
+text's hash; a file holds a range of that order, so rows that share a doc_id may
+lie in several files.  The index is a Parquet table beside them: file, offset
+and length of each record, its tokens and the checksum of its ids.
 
 With a byte-level BPE tokenizer no piece crosses a single blank or line break
 between two other visible characters, so a text without runs of white space is
 cut there, and each distinct word is given to the tokenizer's model once per
-worker.  Other texts, and words of other kinds, are encoded whole.
+worker.  Other texts, texts that hold the string of an added token, and words of
+other kinds are encoded whole, as the library does it.
 """
 
 from __future__ import annotations
@@ -28,13 +30,15 @@ import sys
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from quernstone.workspace import materialize, new_path
+from quernstone.llm.kernels import slices
+from quernstone.workspace import in_arrow, materialize, new_path
 
 FILE_BYTES = 12 << 20
 #: struct formats: length and checksum, a checksum, flags and doc_id.
@@ -84,13 +88,14 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
         self.kind = "<u4" if self.wide else "<u2"
         how = json.loads(spec)
         level = how.get("pre_tokenizer") or {}
-        self.cuts = how["model"].get("type") == "BPE" and not how.get("normalizer") and level.get("type") == "ByteLevel" and not level.get("add_prefix_space") and level.get("use_regex", True)
+        byte_level = level.get("type") == "ByteLevel" and not level.get("add_prefix_space") and level.get("use_regex", True)
+        self.cuts = how["model"].get("type") == "BPE" and not how.get("normalizer") and byte_level
         self.letters = str.maketrans({chr(b): c for b, c in enumerate(byte_characters())})
         self.known: dict[str, bytes] = {}  # words after a blank
         self.first: dict[str, bytes] = {}  # words at the start of a line
@@ -134,19 +139,17 @@ class Encoder:
         return (self.known if blank else self.first).get(word) or self.word(word, blank)
 
     def __call__(self, text: str) -> bytes:
-        if not self.cuts or not text or text[0].isspace() or text[-1].isspace() or _RUNS.search(text):
+        if not self.cuts or not text or text[0].isspace() or text[-1].isspace() or _RUNS.search(text) or any(t in text for t in self.added):
             return self.whole([text])[0]
         first, *rest = text.split(" ")
         known, word = self.known.get, self.word
         return b"".join([self.get(first, ""), *[known(w) or word(w) for w in rest]])
 
 
+@lru_cache(2)
 def _encoder(spec: str) -> Encoder:
     """The worker's own encoder, kept from task to task."""
-    key = f"_quernstone_encoder_{zlib.crc32(spec.encode())}"
-    if key not in sys.__dict__:
-        sys.__dict__[key] = Encoder(spec)
-    return sys.__dict__[key]
+    return Encoder(spec)
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 2, file_bytes: int = FILE_BYTES) -> None:
@@ -154,8 +157,10 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 2, fi
 
     ``tokenizer`` is the path of a tokenizers JSON file on the driver; its
     content goes to the workers.  A null or empty text is a record with the end
-    id alone.  Repeated rows are records of their own, side by side.  An empty
-    table writes no record.
+    id alone; a very long text is one record.  Repeated rows are records of
+    their own, side by side, and so are rows with a null doc_id, which come
+    first.  However many share a doc_id, files keep their size.  An empty table
+    writes no record.
     """
     spec = Path(tokenizer).read_text()
     shared = docs.sparkSession.sparkContext.broadcast(spec)  # one tokenizer's vocabulary
@@ -165,13 +170,15 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 2, fi
         encoder = _encoder(shared.value)
         end = b"" if end_id is None else np.array([end_id], encoder.kind).tobytes()
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
+            for part in slices(batch, 1, 1 << 20, 256):
                 rows = [frame(d, encoder(t or "") + end, encoder.wide) for d, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist())]
                 yield pa.RecordBatch.from_arrays([pa.array([r[:-1] for r in rows], pa.binary())], ["record"])  # the sink adds the line feed
 
-    sorted_ = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(max(1, -(-total // file_bytes)), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    sorted_.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\n").text(f"{path}/records")
+    order = [F.col("doc_id").asc_nulls_first(), "h", "row"]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("row"))
+    rows = rows.repartitionByRange(max(1, -(-total // file_bytes)), *order).sortWithinPartitions(*order)
+    records = in_arrow(rows.select("doc_id", "text"), run, "record binary")
+    records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\n").text(f"{path}/records")
 
 
 def index(spark: SparkSession, path: str) -> DataFrame:
@@ -190,7 +197,8 @@ def index(spark: SparkSession, path: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], ["file", "offset", "length", "doc_id", "n_tokens", "ids_crc32"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/records")
-    out = files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content").mapInArrow(run, "file string, offset long, length long, doc_id long, n_tokens long, ids_crc32 long")
+    named = files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
+    out = in_arrow(named, run, "file string, offset long, length long, doc_id long, n_tokens long, ids_crc32 long")
     out.write.parquet(f"{path}/index")
     return spark.read.schema(out.schema).parquet(f"{path}/index")
 
@@ -205,9 +213,10 @@ def read(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
                 found = [parse(data, at)[:2] for at in offsets]
                 yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in found], pa.int64()), pa.array([ids.tolist() for _, ids in found], pa.list_(pa.int64()))], ["doc_id", "ids"])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/records").select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/records")
+    files = files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
     asked = wanted.groupBy("file").agg(F.collect_list("offset").alias("offsets"))  # of one file, whose size is bounded
-    return files.join(asked, "file").select("content", "offsets").mapInArrow(run, "doc_id long, ids array<long>")
+    return in_arrow(files.join(asked, "file").select("content", "offsets"), run, "doc_id long, ids array<long>")
 
 
 def starts(entries: DataFrame) -> DataFrame:

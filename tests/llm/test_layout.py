@@ -194,13 +194,12 @@ def test_records_round_trip(spark, tmp_path):
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("byte_bpe_50k.json")
-    texts = [None, "", " ", "a  b", " lead", "trail ", "tab\t x", "Don't stop. It's 12,000 now!\n\nNew", "naïve Straße 漢字 😀 x y", "<|endoftext|> in text", "a b c", "x \n y", sentence(random.Random(1), 5000), "a b", "a b"]
+    texts = [None, "", " ", "a  b", " lead", "trail ", "tab\t x", "Don't stop. It's 12,000 now!\n\nNew", "naïve Straße 漢字 😀 x y", "<|endoftext|> in text", "x<|endoftext|>y <|endoftext|>", "a b c", "x \n y", sentence(random.Random(1), 5000), "a b", "a b"]
     data = [(i * 3, t, *[None] * 7) for i, t in enumerate(texts)] + [(None, "null id", *[None] * 7), (0, "again", *[None] * 7)]
     where = str(tmp_path / "out")
     records.write(frame(spark, data), where, path, file_bytes=2000)
     got = records.starts(records.index(spark, where)).orderBy("start").collect()
     encoder = Tokenizer.from_file(path)
-    encoder.encode_special_tokens = True
     ids = {i: encoder.encode(t or "", add_special_tokens=False).ids + [2] for i, t, *_ in data if i not in (0, None)}
     assert len(got) == len(data) and got[0]["doc_id"] is None
     assert [r["doc_id"] for r in got[1:]] == sorted(d[0] for d in data if d[0] is not None)
@@ -214,6 +213,31 @@ def test_records_round_trip(spark, tmp_path):
     assert back == {i: x for i, x in ids.items() if i % 6 == 0}
 
 
+def test_encoder_equals_the_library():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    whole, encoder = Tokenizer.from_file(path), records.Encoder(open(path).read())
+    r = random.Random(4)
+    pieces = ["Straße", "it's", "12,000", "<|endoftext|>", "漢字", "a", "I'll", "--", "\n", "😀", "e\u0301", "x<|endoftext|>", "''", "\u00a0", "end."]
+    for k in range(3000):
+        text = " ".join(r.choices(pieces, k=r.randint(1, 12)))
+        assert np.frombuffer(encoder(text), encoder.kind).tolist() == whole.encode(text, add_special_tokens=False).ids, text
+
+
+def test_records_of_a_hot_doc_id_fill_several_files(spark, tmp_path):
+    r = random.Random(2)
+    for doc_id in (None, 3):
+        data = [(doc_id, sentence(r, 60), *[None] * 7) for _ in range(300)] + [(i, "x y", *[None] * 7) for i in (1, 9)]
+        where = str(tmp_path / f"hot{doc_id}")
+        records.write(frame(spark, data), where, public_tokenizers.path("byte_bpe_50k.json"), file_bytes=20_000)
+        got = records.starts(records.index(spark, where)).orderBy("start").collect()
+        assert len(got) == 302 and len({x["file"] for x in got if x["doc_id"] == doc_id}) > 2
+        ids = [x["doc_id"] for x in got]
+        assert ids == sorted(ids, key=lambda i: (i is not None, i or 0))
+        assert [x["start"] for x in got] == [0, *np.cumsum([x["n_tokens"] for x in got])[:-1].tolist()]
+
+
 def test_damaged_records_are_noticed():
     good = records.frame(7, np.array([1, 2, 3], "<u2").tobytes(), False)
     doc, ids, after = records.parse(memoryview(good), 0)
