@@ -20,7 +20,7 @@ from itertools import count
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quernstone.workspace import is_empty, materialize
+from quernstone.workspace import is_empty, materialize, split_join
 
 #: (host, path, verdict)
 RULES = (
@@ -97,9 +97,10 @@ def judge(pages: DataFrame, rules=RULES, ratio: float = 1.0, rounds: int | None
 
     ``pages(page_id, url, html)``.  A null url, and one without ``://``, has an
     empty host and path; no rule fits it, no link reaches it, and it is
-    allowed.  A null html has no links.  Without a link to a seed both ranks
-    are 0 and the page is allowed.  Repeated rows are judged alike; an empty
-    table gives no rows.
+    allowed.  A null or empty html has no links, a very long one gives all of
+    its.  Without a link to a seed both ranks are 0 and the page is allowed.
+    Repeated rows are judged alike, and each counts; an empty table gives no
+    rows.
     """
     page = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "html")
     rule, says = rule_of(F.col("host"), F.col("path"), rules)
@@ -110,7 +111,8 @@ def judge(pages: DataFrame, rules=RULES, ratio: float = 1.0, rounds: int | None
     total = seeds.agg(F.sum("trust").alias("t"), F.sum("distrust").alias("d")).head()
     seeds = seeds.select("host", (F.col("trust") / max(total["t"] or 0.0, 1.0)).alias("trust"), (F.col("distrust") / max(total["d"] or 0.0, 1.0)).alias("distrust"))
     ranks = materialize(propagate(edges, seeds, rounds, damping), "ranks").filter("host <> ''")
-    out = page.drop("html").join(ranks, "host", "left").fillna(0.0, ["trust", "distrust"])
+    page = materialize(page.drop("html").withColumn("row", F.monotonically_increasing_id()), "judged")
+    out = split_join(page, ranks, "host", F.col("row"), "left").fillna(0.0, ["trust", "distrust"])
     verdict = F.coalesce("says", F.when(F.col("distrust") > F.col("trust") * ratio, "block").otherwise("allow"))
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "trust", "distrust")
 
