@@ -1,18 +1,19 @@
 """Line deduplication by a segment-partition edit join.
 
-Lines are near-copies when they have at least ``min_chars`` characters and
-their edit distance is at most ``edits``; shorter lines only when equal.  Each
-line of length l is cut into ``edits + 1`` even segments; by the pigeonhole
-principle a near-copy holds one of them unchanged.  A line signs its own
-segments, and for each length from its own down to ``edits`` less the
-substrings where such a segment can lie (the multi-match-aware window), so
-that the signature holds length, segment number and characters.  Lines that
-meet are verified by banded bit-parallel edit distance.
+Lines are near-copies when their edit distance is at most one edit for each
+``per`` characters of the shorter line, and at most ``edits``.  For each number
+``e`` of edits, a line whose length allows ``e`` is cut into ``e + 1`` even
+segments; by the pigeonhole principle a near-copy that is not shorter holds one
+of them unchanged.  A line signs its own segments, and for each length from its
+own down to ``edits`` less, with the edits that this length allows, the
+substrings where such a segment can lie (the multi-match-aware window), so that
+the signature holds length, segment number and characters.  Lines that meet are
+verified by banded bit-parallel edit distance.
 
 A class is a connected component of near-copies.  Of each class the first line
-in the order of (doc_id, place) stays, once in the whole corpus.  Blank lines
-are never dropped.  Equal lines are one member from the start; the members meet
-as ``meeting`` says.
+in the order of (doc_id, hash of the text, row, place) stays, once in the whole
+corpus.  Blank lines are never dropped.  Equal lines are one member from the
+start, by a hash of 64 bits; the members meet as ``meeting`` says.
 """
 
 from __future__ import annotations
@@ -24,13 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from quernstone.llm.components import components
-from quernstone.llm.kernels import U64, _powers, codepoints, mix
-from quernstone.llm.language import cut
+from quernstone.llm.kernels import U64, _powers, codepoints, mix, slices
 from quernstone.llm.meeting import connect, gather, packer, task_count
-from quernstone.workspace import materialize, unused
+from quernstone.workspace import in_arrow, materialize, split_join, unused
 
-EDITS, MIN_CHARS = 2, 24
-SALTS = 8
+#: At most EDITS edits, and one for each PER characters.
+EDITS, PER = 2, 12
 _BASE = 0x9E3779B97F4A7C15
 #: _BASE times this is 1 modulo 2^64.
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -47,13 +47,13 @@ def segments(length: np.ndarray, edits: int) -> list[tuple[np.ndarray, np.ndarra
     return out
 
 
-def signatures(lines: list[str], edits: int) -> tuple[np.ndarray, np.ndarray]:
+def signatures(lines: list[str], edits: int, per: int = PER) -> tuple[np.ndarray, np.ndarray]:
     """Signatures of the lines' segments and of the substrings to probe, and the line of each."""
     codes, offsets = codepoints(lines)
     start, n = offsets[:-1], np.diff(offsets)
     power, inverse = _powers(_BASE, len(codes) + 1), _powers(_INVERSE, len(codes) + 1)
     total = np.concatenate([np.zeros(1, U64), np.cumsum((codes.astype(U64) + U64(1)) * power[: len(codes)], dtype=U64)])
-    out, of = [], []
+    out, of = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
 
     def sign(rows: np.ndarray, at: np.ndarray, size: np.ndarray, length: np.ndarray, i: int) -> None:
         a = start[rows] + at
@@ -61,18 +61,18 @@ def signatures(lines: list[str], edits: int) -> tuple[np.ndarray, np.ndarray]:
         out.append(mix(value ^ mix(length.astype(U64) * U64(64) + U64(i))))
         of.append(rows)
 
-    every = np.arange(len(lines))
-    for i, (at, size) in enumerate(segments(n, edits)):
-        sign(every, at, size, n, i)
-    for less in range(edits + 1):
-        length = n - less
-        for i, (at, size) in enumerate(segments(length, edits)):
-            low = np.maximum(np.maximum(at - i, at + less - (edits - i)), 0)
-            high = np.minimum(np.minimum(at + i, at + less + (edits - i)), n - size)
-            for shift in range(-edits, edits + less + 1):
-                where = at + shift
-                rows = np.flatnonzero((where >= low) & (where <= high) & (size > 0) & ((less > 0) | (shift != 0)))
-                sign(rows, where[rows], size[rows], length[rows], i)
+    for e in range(1, edits + 1):
+        for less in range(e + 1):
+            length = n - less
+            allowed = np.minimum(length // per, edits) == e
+            for i, (at, size) in enumerate(segments(length, e)):
+                low = np.maximum(np.maximum(at - i, at + less - (e - i)), 0)
+                high = np.minimum(np.minimum(at + i, at + less + (e - i)), n - size)
+                for shift in range(-e, e + less + 1):
+                    where = at + shift
+                    own = (less == 0) & (shift == 0)  # the line's own segments
+                    rows = np.flatnonzero(allowed & (size > 0) & (own | ((where >= low) & (where <= high))))
+                    sign(rows, where[rows], size[rows], length[rows], i)
     return np.concatenate(out), np.concatenate(of)
 
 
@@ -164,29 +164,26 @@ def _banded(pairs: list[tuple[str, str]], edits: int) -> np.ndarray:
     return result <= edits
 
 
-def _signed(edits: int, buckets: int):
+def _signed(edits: int, per: int, buckets: int):
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        seen: set[int] = set()
         for batch in batches:
-            fresh: dict[int, str] = {}
-            for line, line_id in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if line_id not in seen:
-                    fresh[line_id] = line
-            if len(seen) > 500_000:  # the memory of what this task has signed is bounded
-                seen.clear()
-            seen.update(fresh)
-            rows, ids = list(fresh.values()), np.array(list(fresh), np.int64).view(U64)
-            for part in cut(rows, wide=4096):
-                sig, of = signatures(rows[part], edits)
-                yield sig, ids[part][of]
+            for part in slices(batch, 1, 1 << 19, 4096):
+                sig, of = signatures(part.column(1).to_pylist(), edits, per)
+                yield sig, np.array(part.column(0)).view(U64)[of]
 
     return lambda batches: packer(signed(batches), buckets)
 
 
-def _verified(edits: int):
+def _verified(edits: int, per: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.select(["a", "b"]).filter(pa.array(within(batch.column(2).to_pylist(), batch.column(3).to_pylist(), edits)))
+            left, right = (batch.column(i).to_pylist() for i in (2, 3))
+            allowed = np.array([min(edits, min(len(a), len(b)) // per) for a, b in zip(left, right)], int)
+            good = np.zeros(batch.num_rows, bool)
+            for e in range(1, edits + 1):
+                some = np.flatnonzero(allowed == e)
+                good[some] = within([left[i] for i in some], [right[i] for i in some], e)
+            yield batch.select(["a", "b"]).filter(pa.array(good))
 
     return run
 
@@ -194,12 +191,12 @@ def _verified(edits: int):
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How many characters of each line fall into each of 64 cells."""
     for batch in batches:
-        for i in range(0, batch.num_rows, 2048):
-            codes, offsets = codepoints(batch.column(1).slice(i, 2048).to_pylist())
+        for part in slices(batch, 1, 1 << 20, 4096):
+            codes, offsets = codepoints(part.column(1).to_pylist())
             n = np.diff(offsets)
             counts = np.bincount(np.repeat(np.arange(len(n)), n) * 64 + codes % 64, minlength=len(n) * 64).reshape(-1, 64)
             counts = np.minimum(counts, 255).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 2048), pa.array(n), pa.array([c.tobytes() for c in counts], pa.binary())], ["node", "size", "sketch"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array([c.tobytes() for c in counts], pa.binary())], ["node", "size", "sketch"])
 
 
 def _possible(edits: int):
@@ -217,59 +214,76 @@ def _possible(edits: int):
 
 
 def exploded(docs: DataFrame) -> DataFrame:
-    """``doc_id, place, line``: the lines of each text, from place 0; a null text has none."""
-    return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("place", "line"))
+    """``place, line`` after the columns of ``docs``: the lines of each text, from place 0; a null text has none."""
+    return docs.select(*(c for c in docs.columns if c != "text"), F.posexplode(F.split("text", "\n")).alias("place", "line"))
+
+
+def _decided(rows: DataFrame, edits: int, per: int) -> DataFrame:
+    """``row, n_lines, n_kept, dropped`` of the written ``rows(row, doc_id, text_hash, text)`` that have lines."""
+    spark = rows.sparkSession
+    lines = exploded(rows).withColumn("line_id", F.when(F.trim("line") != "", F.xxhash64("line")))
+    places = materialize(lines.select("row", "doc_id", "text_hash", "place", "line_id"), "places")
+    long_ = lines.filter(F.col("line_id").isNotNull() & (F.length("line") >= per)).select("line_id", "line")
+    unique = materialize(long_.groupBy("line_id").agg(F.min("line").alias("line")), "unique")
+    # A line of length l probes at most so many substrings: its segments for each length, at each shift.
+    most = sum((e + 1) * (2 * e + 1 + less) for e in (edits,) for less in range(e + 1))
+    tasks = task_count(spark, unique.count() * most)
+    packed = in_arrow(unique, _signed(edits, per, tasks * 8), "bucket int, sigs binary, members binary")
+    pairs, members = gather(packed, tasks)
+    wanted = pairs.select(F.col("a").alias("line_id")).union(pairs.select("b")).distinct()
+    met = materialize(unique.join(wanted, "line_id", "left_semi"), "met")
+
+    def verify(found: DataFrame) -> DataFrame:
+        a, b = (met.select(F.col("line_id").alias(k), F.col("line").alias(f"{k}_line")) for k in "ab")
+        both = split_join(split_join(found, a, "a", F.xxhash64("b")), b, "b", F.xxhash64("a"), rows=found)
+        return in_arrow(both.select("a", "b", "a_line", "b_line"), _verified(edits, per), "a long, b long")
 
+    sketches = materialize(in_arrow(met.select("line_id", "line"), _sketches, "node long, size long, sketch binary"), "sketches")
+    names = components(connect(pairs, members, verify, sketches, _possible(edits))).select(F.col("node").alias("line_id"), "root")
+    spread = F.xxhash64("row", "place")
+    named = split_join(places, names, "line_id", spread, "left").withColumn("root", F.coalesce("root", "line_id"))
+    named = materialize(named.drop("line_id"), "named_lines")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash", "row", "place")
+    first = named.filter("root IS NOT NULL").groupBy("root").agg(F.min(order).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    first = first.select("root", F.col("first.row").alias("first_row"), F.col("first.place").alias("first_place"))
+    marked = split_join(named, materialize(first, "first"), "root", spread, "left")
+    is_first = F.col("first_row").isNull() | ((F.col("place") == F.col("first_place")) & (F.col("row") == F.col("first_row")))
+    gone = F.array_sort(F.collect_list(F.when(~is_first, F.col("place"))))
+    return marked.groupBy("row").agg(F.count("*").alias("n_lines"), F.count(F.when(is_first, 1)).alias("n_kept"), gone.alias("dropped"))
 
-def decide(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``doc_id, n_lines, n_kept, dropped``, a row for each doc_id of ``docs(doc_id, text)``.
+
+def decide(docs: DataFrame, edits: int = EDITS, per: int = PER) -> DataFrame:
+    """``doc_id, n_lines, n_kept, dropped``, a row for each row of ``docs(doc_id, text)``.
 
     ``dropped`` are the places (from 0) of lines that have an earlier copy or
     near-copy, in ascending order.  A null text has no line, an empty one a
-    blank line.  Rows that repeat a doc_id are taken as one document whose
-    first row comes first.  A null doc_id comes after all others.  An empty
-    table gives no rows.
+    blank line; a very long text or line counts whole.  Rows that repeat a
+    doc_id are documents of their own, ordered by a hash of their text; of
+    equal rows one comes first, whichever.  A null doc_id comes after all
+    others.  An empty table gives no rows.
     """
-    spark = docs.sparkSession
-    lines = exploded(docs).withColumn("line_id", F.xxhash64("line"))
-    full = lines.filter(F.trim("line") != "")
-    places = materialize(lines.select("doc_id", "place", F.when(F.trim("line") != "", F.col("line_id")).alias("line_id"), F.length("line").alias("chars")), "places")
-    long_ = full.filter(F.length("line") >= min_chars).select("line", "line_id")
-    # At most so many signatures has a line: its segments, and the places of segments of each length.
-    most = (edits + 1) * (1 + sum(2 * edits + 1 for _ in range(edits + 1)))
-    tasks = task_count(spark, places.filter(F.col("line_id").isNotNull() & (F.col("chars") >= min_chars)).count() * min(most, 4 * (edits + 1)))
-    packed = long_.mapInArrow(_signed(edits, tasks * 8), "bucket int, sigs binary, members binary")
-    pairs, members = gather(packed, tasks)
-    wanted = materialize(pairs.select(F.col("a").alias("line_id")).union(pairs.select("b")).distinct(), "wanted")
-    met = long_.join(wanted.hint("shuffle_hash"), "line_id", "left_semi").groupBy("line_id").agg(F.min("line").alias("line"))
-    met = materialize(met, "met")
+    return _reported(_rows(docs.select("doc_id", "text")), edits, per)
 
-    def verify(found: DataFrame) -> DataFrame:
-        a, b = (met.select(F.col("line_id").alias(k), F.col("line").alias(f"{k}_line")) for k in "ab")
-        both = found.join(a, "a").join(b, "b").filter(F.abs(F.length("a_line") - F.length("b_line")) <= edits)
-        return both.select("a", "b", "a_line", "b_line").mapInArrow(_verified(edits), "a long, b long")
 
-    sketches = materialize(met.select("line_id", "line").mapInArrow(_sketches, "node long, size long, sketch binary"), "sketches")
-    names = components(connect(pairs, members, verify, sketches, _possible(edits))).select(F.col("node").alias("line_id"), "root")
-    named = materialize(places.join(names, "line_id", "left").select("doc_id", "place", F.coalesce("root", "line_id").alias("root")), "named")
-    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "place")
-    first = named.filter("root IS NOT NULL").groupBy("root").agg(F.min(order).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    # Very common lines are marked in several tasks: their rows are salted, and each first occurrence is there for every salt.
-    named = named.withColumn("salt", F.pmod(F.xxhash64("doc_id", "place"), F.lit(SALTS)))
-    first = first.select("root", "first", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
-    marked = named.join(first, ["root", "salt"], "left")
-    is_first = F.col("first").isNull() | ((F.col("place") == F.col("first.place")) & F.col("doc_id").eqNullSafe(F.col("first.doc_id")))
-    counts = marked.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count(F.when(is_first, 1)).alias("n_kept"), F.array_sort(F.collect_list(F.when(~is_first, F.col("place")))).alias("dropped"))
-    missing = docs.groupBy("doc_id").agg(F.max(F.col("text").isNotNull()).alias("has")).filter("NOT has")
-    return counts.unionByName(missing.select("doc_id", F.lit(0).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_kept"), F.array().cast("array<int>").alias("dropped")))
-
-
-def apply(docs: DataFrame, decisions: DataFrame) -> DataFrame:
-    """``docs`` with the dropped lines taken out of each text; all columns stay."""
-    doc, gone = unused(docs, "_doc"), unused(docs, "_gone")
-    wanted = decisions.filter(F.size("dropped") > 0).select(F.col("doc_id").alias(doc), F.col("dropped").alias(gone))
+def _rows(docs: DataFrame) -> DataFrame:
+    return materialize(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("text_hash"), "text"), "rows")
+
+
+def _reported(rows: DataFrame, edits: int, per: int) -> DataFrame:
+    decided = _decided(rows, edits, per)
+    none = F.lit(0).cast("long")
+    full = rows.select("row", "doc_id").join(decided, "row", "left")
+    return full.select("doc_id", F.coalesce("n_lines", none).alias("n_lines"), F.coalesce("n_kept", none).alias("n_kept"), F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"))
+
+
+def apply(docs: DataFrame, edits: int = EDITS, per: int = PER) -> DataFrame:
+    """``docs`` with the dropped lines taken out of each text; rows and columns stay."""
+    row, gone = unused(docs, "_row"), unused(docs, "_gone")
+    whole = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "whole")
+    rows = whole.select(F.col(row).alias("row"), "doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    decided = _decided(rows, edits, per).filter(F.size("dropped") > 0).select(F.col("row").alias(row), F.col("dropped").alias(gone))
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.coalesce(F.array_contains(F.col(gone), i), F.lit(False))), "\n")
-    out = docs.join(wanted, docs["doc_id"].eqNullSafe(F.col(doc)), "left")
+    out = whole.join(decided, row, "left")
     return out.withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(kept)).select(docs.columns)
 
 
