@@ -1,20 +1,26 @@
 """Approximate nearest neighbours by a forest of random-projection trees.
 
 Each tree splits space by hyperplanes between two random members of the node,
-until a leaf holds few of the training vectors.  The trees are built on the
-driver from a bounded, documented sample; every row is indexed.  For largest
-inner products, vectors are first made equally long by one more dimension
-(``sqrt(longest^2 - length^2)``, 0 for queries), which keeps the order.
+until a leaf would hold about ``LEAF`` rows of the table.  The trees are built on
+the driver from a bounded sample: ``SAMPLE`` vectors, or one in 32 up to
+``MOST``; every row is indexed.  For largest inner products, vectors are first
+made equally long by one more dimension (``sqrt(longest^2 - length^2)``, 0 for
+queries), which keeps the order.
 
 A query walks all trees with one priority queue, ordered by the smallest
 margin on the way, and visits leaves until they hold a number of the sampled
-vectors that ``calibrate`` has found to give the wanted recall on the sample.  The visits meet the rows leaf by leaf; leaves with many rows are cut
+vectors.  ``calibrate`` finds that number: for ``ASKED`` of the queries the true
+neighbours among all rows are computed, and the number is what reaches the
+wanted part of them.  So the rows that a query meets are no more than its
+recall needs, and their part falls as the table grows and neighbours come
+nearer.  The visits meet the rows leaf by leaf; leaves with many rows are cut
 into pieces by the hash of the vector, and the query visits every piece.
 Candidates are scored exactly on the original vectors, in double precision,
 summed from the first dimension to the last.
 
 Rows with equal vectors are one member with their smallest ids, since with ties
-going to the smaller id no others can be among the nearest.
+going to the smaller id no others can be among the nearest.  Members meet again
+by a hash of 63 bits of their vectors.
 """
 
 from __future__ import annotations
@@ -26,13 +32,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from quernstone.workspace import materialize
+from quernstone.workspace import in_arrow, materialize
 
-SAMPLE = 20_000
+SAMPLE, MOST = 20_000, 100_000
 TREES = 12
 LEAF = 256
+#: Queries whose true neighbours are computed to calibrate the search.
+ASKED = 100
 #: A piece of a leaf has about so many members.
 PIECE = 4_000
+SALTS = 32
 
 
 def build(x: np.ndarray, trees: int, leaf: int, seed: int = 3) -> list[dict]:
@@ -97,28 +106,23 @@ def visits(forest: list[dict], x: np.ndarray, visit: int) -> Iterator[tuple[int,
             heapq.heappush(heap, (max(worst, -m), k, right))
 
 
-def calibrate(forest: list[dict], x: np.ndarray, k: int, recall: float, queries: int = 100) -> int:
-    """How many sampled vectors to visit so that sampled queries find ``recall`` of their neighbours.
+def calibrate(forest: list[dict], queries: np.ndarray, near: list[np.ndarray], recall: float) -> int:
+    """How many sampled vectors to visit so that ``queries`` find ``recall`` of their true neighbours ``near``.
 
-    ``x`` are the sampled vectors, lifted.  Neighbours in the whole data are
-    nearer than those in the sample, so the sample errs on the safe side.
+    All vectors are lifted, those of the queries with a last dimension of 0.
     """
-    asked = np.unique(np.linspace(0, len(x) - 1, min(queries, len(x))).astype(int))
-    near = np.argsort(-(x[asked, :-1] @ x[:, :-1].T), 1, kind="stable")[:, 1 : k + 1]
-    if not near.size:
-        return 1
-    members = [np.split(o := np.argsort(at, kind="stable"), np.cumsum(np.bincount(at, minlength=len(t["sizes"])))[:-1]) for t in forest for at in [leaves(t, x)]]
-    lifted = x[asked].copy()
-    lifted[:, -1] = 0
-    need = np.full(near.shape, len(x) * len(forest))
-    open_, last, seen = np.ones(near.shape, bool), -1, 0
-    for q, t, leaf in visits(forest, lifted, 2 * len(x)):
+    whole = sum(sum(t["sizes"]) for t in forest)
+    need = [np.full(len(n), whole) for n in near]
+    at = [[leaves(t, n) for t in forest] for n in near]
+    open_, last, seen = [np.ones(len(n), bool) for n in near], -1, 0
+    for q, t, leaf in visits(forest, queries, whole):
         seen, last = (0 if q != last else seen) + forest[t]["sizes"][leaf], q
         if open_[q].any():
-            hit = open_[q] & np.isin(near[q], members[t][leaf])
-            need[q, hit] = seen
+            hit = open_[q] & (at[q][t] == leaf)
+            need[q][hit] = seen
             open_[q] &= ~hit
-    return int(np.quantile(need, recall, method="higher")) + 1
+    need = np.concatenate([*need, np.zeros(0, int)])
+    return int(np.quantile(need, recall, method="higher")) + 1 if len(need) else 1
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -135,134 +139,217 @@ def _usable(v: Column) -> Column:
     return v.isNotNull() & (F.size(v) > 0) & finite & F.exists(v, lambda c: c != 0)
 
 
-def _fewest(keep: int):
-    """Equal vectors of a batch as one row with their smallest ids, before the shuffle."""
+def _unpack(column: pa.Array, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
+
+
+def _packed(kind: str, name: str):
+    """Ids and the bytes of their vectors; -0 counts as 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in filter(len, batches):
+            v = [(x + x.dtype.type(0)).tobytes() for x in _matrix(part.column(1)).astype(kind)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(v, pa.binary())], [name, "v"])
+
+    return run
+
+
+def _truth(asked: np.ndarray, keep: int, kind: str):
+    """The ``keep`` members nearest to each asked vector among those of a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            held: dict[bytes, list] = {}
-            for i, v in zip(batch.column(0).to_pylist(), _matrix(batch.column(1)).astype(np.float32)):
-                held.setdefault((v + np.float32(0)).tobytes(), []).append(i)
-            yield pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.binary()), pa.array([sorted(x)[:keep] for x in held.values()], pa.list_(pa.int64()))], ["v", "ids"])
+        held, score = np.zeros((len(asked), 0), object), np.zeros((len(asked), 0))
+        for batch in filter(len, batches):
+            v = np.array(batch.column(0).to_pylist(), object)
+            near = asked @ _unpack(batch.column(0), kind).astype(np.float64).T
+            top = np.argsort(-near, 1, kind="stable")[:, :keep]
+            held = np.concatenate([held, v[top]], 1)
+            score = np.concatenate([score, np.take_along_axis(near, top, 1)], 1)
+            top = np.argsort(-score, 1, kind="stable")[:, :keep]
+            held, score = np.take_along_axis(held, top, 1), np.take_along_axis(score, top, 1)
+        q = np.repeat(np.arange(len(asked)), score.shape[1])
+        yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(score.ravel()), pa.array(held.ravel().tolist(), pa.binary())], ["q", "score", "v"])
 
     return run
 
 
-def _pair(forest: list[dict], longest: float, visit: int, pieces: dict, keep: int):
+def _pair(forest, longest: float, visit: int, pieces: dict, kind: str):
     """Rows of the index (kind 0) and visits of the queries (kind 1), by tree, leaf and piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees = forest.value
         for whole in batches:
             for start in range(0, whole.num_rows, 1000):
                 batch = whole.slice(start, 1000)
-                raw = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.float32).reshape(batch.num_rows, -1).astype(np.float64)
+                raw = _unpack(batch.column(0), kind).astype(np.float64)
                 is_query, key = np.array(batch.column(2)), np.array(batch.column(3))
                 lifted = _lift(raw, longest)
                 rows, places = [], []
-                for k, tree in enumerate(forest):
+                for k, tree in enumerate(trees):
                     for i, leaf in enumerate(leaves(tree, lifted)):
                         rows.append((i, 0))
                         places.append((k, int(leaf), int(key[i] % pieces.get((k, int(leaf)), 1))))
                 asked = np.flatnonzero(is_query)
                 lifted[:, -1] = 0
-                for q, k, leaf in visits(forest, lifted[asked], visit):
-                    for piece in range(pieces.get((k, leaf), 1)):
-                        rows.append((int(asked[q]), 1))
-                        places.append((k, leaf, piece))
-                row, kind = (np.array(x) for x in zip(*rows))
-                k, leaf, piece = (np.array(x) for x in zip(*places))
-                ids = batch.column(1).take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int32)) for x in (k, leaf, piece, kind)] + [pa.array(key[row]), batch.column(0).take(pa.array(row)), ids], ["tree", "leaf", "piece", "kind", "key", "v", "ids"])
+                for some in np.split(asked, range(100, len(asked), 100)):
+                    for q, k, leaf in visits(trees, lifted[some], visit):
+                        for piece in range(pieces.get((k, leaf), 1)):
+                            rows.append((int(some[q]), 1))
+                            places.append((k, leaf, piece))
+                row, side = (np.array(x) for x in zip(*rows))
+                order = np.arange(len(row))
+                for part in np.split(order, range(20_000, len(order), 20_000)):
+                    where = np.array([places[i] for i in part], np.int32).reshape(-1, 3)
+                    own = pa.array(row[part])
+                    columns = [*(pa.array(where[:, i]) for i in range(3)), pa.array(side[part].astype(np.int32)), pa.array(key[row[part]])]
+                    columns += [batch.column(0).take(own), batch.column(1).take(own)]
+                    yield pa.RecordBatch.from_arrays(columns, ["tree", "leaf", "piece", "kind", "key", "v", "ids"])
 
     return run
 
 
-def _search(keep: int):
+class _Best:
+    """The best members for each query, exactly scored; ``floor`` is what a member must reach to be among them."""
+
+    def __init__(self, queries: int, keep: int):
+        self.keep, self.floor, self.held, self.new = keep, np.full(queries, -np.inf), np.zeros((0, 3)), []
+        self.waiting = 0
+
+    def add(self, query: np.ndarray, member: np.ndarray, score: np.ndarray) -> None:
+        self.new.append(np.stack([query, member, score], 1))
+        self.waiting += len(query)
+        if self.waiting > 200_000:
+            self.prune()
+
+    def prune(self) -> np.ndarray:
+        """(query, member, score), the best ``keep`` members of each query and those that tie with the last."""
+        rows = np.concatenate([self.held, *self.new])
+        rows = rows[np.lexsort((rows[:, 1], -rows[:, 2], rows[:, 0]))]
+        fresh = np.ones(len(rows), bool)
+        fresh[1:] = (rows[1:, :2] != rows[:-1, :2]).any(1)
+        rows = rows[fresh]
+        first = np.searchsorted(rows[:, 0], rows[:, 0], "left")
+        last = np.minimum(first + self.keep - 1, np.searchsorted(rows[:, 0], rows[:, 0], "right") - 1)
+        self.held, self.new, self.waiting = rows[rows[:, 2] >= rows[last, 2]], [], 0
+        full = last - first == self.keep - 1
+        self.floor[rows[full, 0].astype(int)] = rows[last[full], 2]
+        return self.held
+
+
+def _search(keep: int, kind: str):
     """The best members for each query among those that share a leaf's piece, exactly scored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, kind, key, vec, ids = [], [], [], [], []
-        for b in batches:
-            place.append(np.stack([np.array(b.column(i)) for i in range(3)], 1))
-            kind.append(np.array(b.column(3)))
-            key.append(np.array(b.column(4)))
-            vec.append(np.frombuffer(b"".join(b.column(5).to_pylist()), np.float32).reshape(b.num_rows, -1))
-            ids += b.column(6).to_pylist()
-        if not kind:
+        table = [b for b in batches if len(b)]
+        if not table:
             return
-        place, kind, key, vec = (np.concatenate(x) for x in (place, kind, key, vec))
-        order = np.lexsort((kind, place[:, 2], place[:, 1], place[:, 0]))
-        place = place[order]
-        starts = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]).any(1)])
-        best: dict[int, dict[int, tuple[float, list]]] = {}
+        table = pa.Table.from_batches(table)
+        place = np.stack([table.column(i).to_numpy() for i in range(3)], 1)
+        side, key = table.column("kind").to_numpy(), table.column("key").to_numpy()
+        vec = np.frombuffer(b"".join(x.as_buffer() for x in table.column("v")), kind).reshape(len(key), -1)
+        member, number = np.unique(key, return_inverse=True)
+        ids = dict(zip(number.tolist(), table.column("ids")))
+        order = np.lexsort((side, place[:, 2], place[:, 1], place[:, 0]))
+        ordered = place[order]
+        starts = np.flatnonzero(np.r_[True, (ordered[1:] != ordered[:-1]).any(1)])
+        best = _Best(len(member), keep)
         for at, end in zip(starts, np.append(starts[1:], len(order))):
             group = order[at:end]
-            rows, asks = group[kind[group] == 0], group[kind[group] == 1]
+            rows, asks = group[side[group] == 0], group[side[group] == 1]
             if not len(rows) or not len(asks):
                 continue
             x = vec[rows].astype(np.float64)
             for some in np.split(asks, range(500, len(asks), 500)):
                 q = vec[some].astype(np.float64)
                 near = q @ x.T
-                top = np.argpartition(-near, keep, 1)[:, :keep] if len(rows) > keep else np.broadcast_to(np.arange(len(rows)), near.shape)
-                exact = np.cumsum(q[:, None, :] * x[top], 2)[:, :, -1]  # in order, so that every task gets the same sum
-                for i, ask in enumerate(some):
-                    found = best.setdefault(int(key[ask]), {})
-                    for j, s in zip(top[i].tolist(), exact[i].tolist()):
-                        found[int(key[rows[j]])] = (s, ids[rows[j]])
-                    if len(found) > 8 * keep:
-                        best[int(key[ask])] = dict(sorted(found.items(), key=lambda y: -y[1][0])[: 2 * keep])
-        for ask, found in best.items():
-            flat = sorted(((-s, i) for s, own in found.values() for i in own))[:keep]
-            yield pa.RecordBatch.from_arrays([pa.array([ask] * len(flat), pa.int64()), pa.array([i for _, i in flat], pa.int64()), pa.array([-s for s, _ in flat], pa.float64())], ["key", "vec_id", "score"])
+                floor = best.floor[number[some]]
+                if len(rows) > keep:
+                    floor = np.maximum(floor, np.partition(near, len(rows) - keep, 1)[:, len(rows) - keep])
+                # Products summed in another order differ by less than this from the exact scores.
+                slack = 1e-12 * np.linalg.norm(q, axis=1) * np.linalg.norm(x, axis=1).max()
+                i, j = np.nonzero(near >= (floor - slack)[:, None])
+                for part in range(0, len(i), 8192):
+                    a, b = i[part : part + 8192], j[part : part + 8192]
+                    exact = np.cumsum(q[a] * x[b], 1)[:, -1]  # in order, so that every task gets the same sum
+                    best.add(number[some[a]], number[rows[b]], exact)
+        found = best.prune()
+        out: list[tuple[int, int, float]] = []
+        ends = np.flatnonzero(np.r_[np.diff(found[:, 0]) != 0, True]) + 1 if len(found) else []
+        for at, end in zip(np.r_[0, ends[:-1]].astype(int) if len(ends) else [], ends):
+            flat = sorted((-s, i) for _, m, s in found[at:end] for i in ids[int(m)].as_py())[:keep]
+            out += [(int(member[int(found[at, 0])]), i, -s) for s, i in flat]
+        for part in range(0, len(out), 50_000):
+            columns = zip(*out[part : part + 50_000])
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, (pa.int64(), pa.int64(), pa.float64()))], ["key", "vec_id", "score"])
 
     return run
 
 
-def nearest(rows: DataFrame, is_query: Column, k: int = 20, recall: float = 0.96, trees: int = TREES, leaf: int = LEAF, sample: int = SAMPLE) -> DataFrame:
+def _fewest_ids(packed: DataFrame, keep: int) -> DataFrame:
+    """``v, ids``: the ``keep`` smallest ids of each vector, dealt over tasks first where many rows share one."""
+    smallest = lambda ids: F.slice(F.array_sort(F.array_distinct(ids)), 1, keep)
+    dealt = packed.groupBy("v", F.pmod("vec_id", F.lit(SALTS)).alias("salt"), (F.floor(F.col("vec_id") / SALTS) % SALTS).alias("salt2"))
+    once = dealt.agg(smallest(F.collect_set("vec_id")).alias("ids"))
+    half = once.groupBy("v", "salt").agg(smallest(F.flatten(F.collect_list("ids"))).alias("ids"))
+    return half.groupBy("v").agg(smallest(F.flatten(F.collect_list("ids"))).alias("ids"))
+
+
+def nearest(rows: DataFrame, is_query: Column, k: int = 20, recall: float = 0.94, trees: int = TREES, leaf: int = LEAF, sample: int = SAMPLE) -> DataFrame:
     """``query_id, rank, vec_id, score``: the nearest rows of each query but itself.
 
-    ``rows(vec_id, embedding)``.  Vectors that are null, empty, zero or hold a
-    null or non-finite component take no part, nor do vectors of another
-    length than the most common one.  Ties go to the smaller vec_id; repeated
-    ids are one row.  With fewer candidates than ``k`` all found are returned;
-    an empty table gives no rows.
+    ``rows(vec_id, embedding)``, an array of floats or doubles, is scored as it
+    is.  Vectors that are null, empty, zero or hold a null or non-finite
+    component take no part, nor do vectors of another length than the most
+    common one.  Ties go to the smaller vec_id; repeated ids are one row.  With
+    fewer candidates than ``k`` all found are returned; an empty table gives no
+    rows.
     """
     spark, keep = rows.sparkSession, k + 4
-    good = rows.withColumn("_q", F.coalesce(is_query, F.lit(False))).filter(_usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select("vec_id", "embedding", "_q")
+    kind = "<f4" if rows.schema["embedding"].dataType.elementType.simpleString() == "float" else "<f8"
+    good = rows.withColumn("_q", F.coalesce(is_query, F.lit(False))).filter(_usable(F.col("embedding")) & F.col("vec_id").isNotNull())
+    good = good.select("vec_id", "embedding", "_q")
     length = good.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").head()
-    schema = "query_id long, rank int, vec_id long, score double"
     if length is None:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     good = good.filter(F.size("embedding") == length["n"])
-    members = good.select("vec_id", "embedding").mapInArrow(_fewest(keep), "v binary, ids array<long>")
-    members = members.groupBy("v").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, keep).alias("ids"))
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(0, b.num_rows, 1000):
-                part = b.slice(i, 1000)
-                v = [(x + np.float32(0)).tobytes() for x in _matrix(part.column(1)).astype(np.float32)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(v, pa.binary())], ["query_id", "v"])
-
+    packed = in_arrow(good.select("vec_id", "embedding"), _packed(kind, "vec_id"), "vec_id long, v binary")
     key = F.xxhash64("v").alias("key")
-    asked = materialize(good.filter("_q").select("vec_id", "embedding").mapInArrow(keyed, "query_id long, v binary").select("query_id", key).distinct(), "asked")
-    members = members.select("v", "ids", key).join(asked.select("key").distinct().withColumn("q", F.lit(True)), "key", "left")
-    members = materialize(members.select("v", "ids", F.coalesce("q", F.lit(False)).alias("q"), F.shiftrightunsigned("key", 1).alias("spread"), "key"), "members")
-    count = members.count()
-    taken = members.filter(F.pmod(F.xxhash64(F.lit("sample"), "key"), F.lit(1 << 20)) < F.lit(int(min(1.0, sample / max(count, 1)) * (1 << 20)))).select("v").collect()
-    x = np.stack(sorted((np.frombuffer(r["v"], np.float32) for r in taken), key=bytes)).astype(np.float64) if taken else np.zeros((1, length["n"]))
+    asked = in_arrow(good.filter("_q").select("vec_id", "embedding"), _packed(kind, "query_id"), "query_id long, v binary")
+    asked = materialize(asked.select("query_id", key).distinct(), "asked")
+    members = _fewest_ids(packed, keep).select("v", "ids", key).join(asked.select("key").distinct().withColumn("q", F.lit(True)), "key", "left")
+    members = members.select("v", "ids", F.coalesce("q", F.lit(False)).alias("q"), F.shiftrightunsigned("key", 1).alias("spread"), "key")
+    members = materialize(members, "members")
+    count, queries = members.agg(F.count("*"), F.count(F.when(F.col("q"), 1))).head()
+
+    def drawn(among: DataFrame, mark: str, wanted: int, n: int) -> np.ndarray:
+        odds = F.lit(int(min(1.0, wanted / max(n, 1)) * (1 << 30)))
+        taken = among.filter(F.pmod(F.xxhash64(F.lit(mark), "key"), F.lit(1 << 30)) < odds).select("v").collect()
+        found = sorted((np.frombuffer(r["v"], kind) for r in taken), key=bytes)
+        return np.stack(found).astype(np.float64) if found else np.zeros((0, length["n"]))
+
+    x = drawn(members, "sample", max(sample, min(count // 32, MOST)), count)
     squares = good.select(F.max(F.aggregate("embedding", F.lit(0.0), lambda a, c: a + c.cast("double") * c.cast("double")))).head()[0]
     longest = float(np.sqrt(squares))
-    forest = build(_lift(x, longest), trees, leaf)
-    visit = calibrate(forest, _lift(x, longest), k, recall)
-    # The sample says how many rows a leaf has; a hot one is cut into pieces.
     scale = count / max(len(x), 1)
+    forest = build(_lift(x, longest), trees, max(8, int(leaf / max(scale, 1))))
+    tried = drawn(members.filter("q"), "asked", ASKED, queries)
+    true = in_arrow(members.select("v"), _truth(tried, k + 1, kind), "q long, score double, v binary") if len(tried) else None
+    near = [np.zeros((0, length["n"]))] * len(tried)
+    if true is not None:
+        best = true.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "v"))).filter(F.col("r") <= k + 1).collect()
+        for i in range(len(tried)):  # but for the query itself
+            own = [np.frombuffer(r["v"], kind).astype(np.float64) for r in best if r["q"] == i]
+            near[i] = np.array([v for v in own if not np.array_equal(v, tried[i])][:k]).reshape(-1, length["n"])
+    flat = np.concatenate([tried, np.zeros((len(tried), 1))], 1)
+    visit = calibrate(forest, flat, [_lift(n, longest) for n in near], recall) if len(x) else 1
+    # The sample says how many rows a leaf has; a hot one is cut into pieces.
     pieces = {(t, i): int(n) for t, tree in enumerate(forest) for i, s in enumerate(tree["sizes"]) if (n := -(-s * scale // PIECE)) > 1}
-    placed = members.select("v", "ids", "q", "spread").mapInArrow(_pair(forest, longest, visit, pieces, keep), "tree int, leaf int, piece int, kind int, key long, v binary, ids array<long>")
+    shared = spark.sparkContext.broadcast(forest)  # of at most MOST vectors
+    pair = _pair(shared, longest, visit, pieces, kind)
+    placed = in_arrow(members.select("v", "ids", "q", "spread"), pair, "tree int, leaf int, piece int, kind int, key long, v binary, ids array<long>")
     # A query's key is its member's spread, so that searches and queries meet again by it.
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-count * trees // 200_000))
-    found = placed.repartition(tasks, "tree", "leaf", "piece").mapInArrow(_search(keep), "key long, vec_id long, score double").distinct()
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-count * trees // 100_000))
+    found = in_arrow(placed.repartition(tasks, "tree", "leaf", "piece"), _search(keep, kind), "key long, vec_id long, score double").distinct()
     best = found.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score"), "vec_id"))).filter(F.col("r") <= k + 1).drop("r")
     best = best.join(asked.select("query_id", F.shiftrightunsigned("key", 1).alias("key")), "key").filter("query_id <> vec_id")
     best = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))

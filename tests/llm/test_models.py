@@ -188,6 +188,14 @@ def test_neighbours_ties_hot_vectors_and_bad_rows(spark):
     assert got == brute([d for d in data if d[0] < 307], lambda i: i % 20 == 0, 20)
 
 
+def test_neighbours_of_doubles_and_ties_at_the_cut(spark):
+    r = np.random.default_rng(3)
+    data = [(i, (r.normal(size=8) + 1e-12 * r.normal(size=8)).tolist()) for i in range(120)]
+    data += [(1000 + i, [1.0, float(i), 0.0, 0.0, 0.0, 0.0, 0.0, 0.0]) for i in range(80)] + [(2000, [3.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    assert found(forest.nearest(df, F.col("vec_id") == 2000, k=20, recall=1.0)) == brute(data, lambda i: i == 2000, 20)
+
+
 def test_neighbours_of_few_and_no_rows(spark):
     schema = "vec_id long, embedding array<float>"
     assert forest.nearest(spark.createDataFrame([], schema), F.col("vec_id") % 20 == 0).count() == 0
