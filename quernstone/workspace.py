@@ -18,6 +18,8 @@ _LOCAL: dict[str, str] = {}
 _MADE: list[tuple[SparkSession, str]] = []
 #: Bytes of rows that go to a Python worker at once.
 BATCH_BYTES = 4 << 20
+#: Narrow rows in a file of a table whose size is known.
+FILE_ROWS = 200_000
 #: A key is hot from this part of all rows on, so there are fewer than HOT hot keys; never below LEAST rows.
 HOT, LEAST = 2048, 250
 
@@ -40,14 +42,17 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs the tasks it was running, not
-    the work of the stages before.
+    the work of the stages before.  With an estimate of ``rows``, narrow ones,
+    small tables do not become a file for each shuffle partition.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
