@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from quernstone.workspace import is_empty, materialize
+from quernstone.workspace import materialize
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -16,20 +16,21 @@ def components(edges: DataFrame) -> DataFrame:
     size.  Each round's tables are written to the shared folder.  Null ends are
     dropped; no edges give no rows.
     """
-    left = materialize(edges.select("a", "b").dropna().filter("a <> b").distinct(), "edges")
-    names = None
-    while not is_empty(left):
+    left = materialize(edges.select("a", "b").dropna().filter("a <> b").distinct(), "edges", edges.count())
+    jumps: list[DataFrame] = []
+    while n := left.count():
         both = left.union(left.select("b", "a"))
-        step = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("to")), "step")
+        step = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("to")), "step", 2 * n)
         hop = step.select(F.col("node").alias("to"), F.col("to").alias("next"))
-        step = materialize(step.join(hop, "to").select("node", F.col("next").alias("to")), "jump")
-        names = step.withColumnRenamed("to", "root") if names is None else names.withColumnRenamed("root", "mid").join(
-            step.select(F.col("node").alias("mid"), F.col("to").alias("next")), "mid", "left"
-        ).select("node", F.coalesce("next", "mid").alias("root"))
-        names = materialize(names, "names")
+        step = materialize(step.join(hop, "to").select("node", F.col("next").alias("to")), "jump", 2 * n)
+        jumps.append(step)
         at, bt = step.select(F.col("node").alias("a"), F.col("to").alias("x")), step.select(F.col("node").alias("b"), F.col("to").alias("y"))
         left = left.join(at, "a").join(bt, "b").filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        left = materialize(left, "edges")
-    if names is None:
+        left = materialize(left, "edges", n)
+    if not jumps:
         return left.select(F.col("a").alias("node"), F.col("b").alias("root")).limit(0)
-    return names
+    names = jumps[0].withColumnRenamed("to", "root")
+    for step in jumps[1:]:
+        after = step.select(F.col("node").alias("root"), "to")
+        names = names.join(after, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    return materialize(names, "names", jumps[0].count())

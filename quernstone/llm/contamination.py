@@ -34,6 +34,8 @@ from quernstone.workspace import in_arrow, materialize, split_join, unused
 
 #: The bit table has at most 2^BITS bits, and bits for each sketch value.
 BITS, SPARSE = 26, 32
+#: A row with a text counts as so many narrow ones.
+WIDE = 64
 #: So many leaking texts may be sent to all tasks; more are joined.
 SENT, SALTS = 200_000, 64
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -122,7 +124,8 @@ def _found(docs: DataFrame, items: DataFrame, percent: int, width: int) -> DataF
     """``text_key, item, n_item, n_common`` of the different texts that contain the different items; None without items."""
     spark = docs.sparkSession
     known = items.select(identity(F.col("text")).alias("item"), F.coalesce("text", F.lit("")).alias("item_text")).dropDuplicates(["item"])
-    known = materialize(known, "items")
+    n = items.count()
+    known = materialize(known, "items", WIDE * n)
     sketches = materialize(in_arrow(known, _sketches(percent, width), "item string, need long, value long"), "sketches")
     # Values are unsigned: the largest has its sign bit set, if any has.
     ends = sketches.agg(F.max(F.when(F.col("value") < 0, F.col("value"))), F.max("value")).head()
@@ -134,11 +137,12 @@ def _found(docs: DataFrame, items: DataFrame, percent: int, width: int) -> DataF
     texts = docs.select(identity(F.col("text")).alias("text_key"), F.coalesce("text", F.lit("")).alias("text"))
     hits = materialize(in_arrow(texts, probe, "text_key string, value long").distinct(), "hits")
     met = split_join(hits, sketches, "value", F.xxhash64("text_key"))
+    n = hits.count()
     pairs = met.groupBy("text_key", "item").agg(F.count("*").alias("n"), F.first("need").alias("need")).filter("n >= need")
-    pairs = materialize(pairs.select("text_key", "item"), "candidates")
+    pairs = materialize(pairs.select("text_key", "item"), "candidates", n)
     wanted = texts.join(pairs.select("text_key").distinct().hint("shuffle_hash"), "text_key", "left_semi")
     one = wanted.groupBy("text_key").agg(F.first("text").alias("text"))
-    both = split_join(split_join(pairs, known, "item", F.xxhash64("text_key")), materialize(one, "texts"), "text_key", F.xxhash64("item"), rows=pairs)
+    both = split_join(split_join(pairs, known, "item", F.xxhash64("text_key")), materialize(one, "texts", WIDE * pairs.count()), "text_key", F.xxhash64("item"), rows=pairs)
     return in_arrow(both.select("text_key", "item", "text", "item_text"), _verified(percent, width), "text_key string, item string, n_item int, n_common int")
 
 

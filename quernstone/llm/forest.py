@@ -315,7 +315,7 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20, recall: float = 0.94
     packed = in_arrow(good.select("vec_id", "embedding"), _packed(kind, "vec_id"), "vec_id long, v binary")
     key = F.xxhash64("v").alias("key")
     asked = in_arrow(good.filter("_q").select("vec_id", "embedding"), _packed(kind, "query_id"), "query_id long, v binary")
-    asked = materialize(asked.select("query_id", key).distinct(), "asked")
+    asked = materialize(asked.select("query_id", key).distinct(), "asked", good.count())
     members = _fewest_ids(packed, keep).select("v", "ids", key).join(asked.select("key").distinct().withColumn("q", F.lit(True)), "key", "left")
     members = members.select("v", "ids", F.coalesce("q", F.lit(False)).alias("q"), F.shiftrightunsigned("key", 1).alias("spread"), "key")
     members = materialize(members, "members")

@@ -273,10 +273,11 @@ def _classed(docs: DataFrame, percent: int, width: int) -> DataFrame:
     names = components(edges)
     first = profile.filter("fp <> 0").groupBy("fp").agg(F.min("doc_id").alias("least"))
     first = first.join(names.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    first = materialize(first, "least")
+    n = profile.count()
+    first = materialize(first, "least", n)
     whole = first.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n")).filter("n > 1")
     first = first.join(whole, "root", "left").select("fp", "root", F.coalesce("component_id", "least").alias("component_id"))
-    return split_join(profile, materialize(first, "first"), "fp", F.xxhash64("doc_id", "text_hash"), "left")
+    return split_join(profile, materialize(first, "first", n), "fp", F.xxhash64("doc_id", "text_hash"), "left")
 
 
 def classes(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFrame:
@@ -300,13 +301,13 @@ def keep_first(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFrame:
     """
     out = materialize(_classed(docs, percent, width).select("doc_id", "text_hash", "root", "component_id"), "classes").filter("root IS NOT NULL")
     heads = out.filter("doc_id <=> component_id").groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("n"))
-    heads = materialize(heads, "heads")
+    heads = materialize(heads, "heads", out.count())
     heads = heads.join(heads.groupBy("root").agg(F.min("text_hash").alias("least")), "root")
     key = (F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"))
     drop = out.filter("NOT (doc_id <=> component_id)").select(*key).union(heads.filter("text_hash <> least").select(*key)).distinct()
     same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_text") == F.col("_hash"))
     kept = docs.withColumn("_text", F.xxhash64("text")).join(drop.hint("shuffle_hash"), same, "left_anti")
-    repeated = materialize(heads.filter("text_hash = least AND n > 1").select(*key), "repeated")
+    repeated = materialize(heads.filter("text_hash = least AND n > 1").select(*key), "repeated", 0)
     if is_empty(repeated):
         return kept.select(docs.columns)
     whole = F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("row")

@@ -242,11 +242,12 @@ def _decided(rows: DataFrame, edits: int, per: int) -> DataFrame:
     names = components(connect(pairs, members, verify, sketches, _possible(edits))).select(F.col("node").alias("line_id"), "root")
     spread = F.xxhash64("row", "place")
     named = split_join(places, names, "line_id", spread, "left").withColumn("root", F.coalesce("root", "line_id"))
-    named = materialize(named.drop("line_id"), "named_lines")
+    n = places.count()
+    named = materialize(named.drop("line_id"), "named_lines", n)
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash", "row", "place")
     first = named.filter("root IS NOT NULL").groupBy("root").agg(F.min(order).alias("first"), F.count("*").alias("n")).filter("n > 1")
     first = first.select("root", F.col("first.row").alias("first_row"), F.col("first.place").alias("first_place"))
-    marked = split_join(named, materialize(first, "first"), "root", spread, "left")
+    marked = split_join(named, materialize(first, "first", n), "root", spread, "left")
     is_first = F.col("first_row").isNull() | ((F.col("place") == F.col("first_place")) & (F.col("row") == F.col("first_row")))
     gone = F.array_sort(F.collect_list(F.when(~is_first, F.col("place"))))
     return marked.groupBy("row").agg(F.count("*").alias("n_lines"), F.count(F.when(is_first, 1)).alias("n_kept"), gone.alias("dropped"))

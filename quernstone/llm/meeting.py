@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from quernstone.llm.components import components
 from quernstone.llm.kernels import U64
-from quernstone.workspace import in_arrow, is_empty, materialize, split_join
+from quernstone.workspace import in_arrow, materialize, split_join
 
 #: Signatures that a map task holds before it sends them, and that one task gathers.
 FLUSH = 1_000_000
@@ -33,6 +33,8 @@ TASK = 1_000_000
 #: Members on a side of a cell, and rows of cells that one task takes.
 CHUNK = 1024
 ROWS = 50_000
+#: A row of pairs with what is compared counts as so many narrow ones.
+WIDE = 16
 
 
 def pack(sig: list[np.ndarray], member: list[np.ndarray], buckets: int) -> pa.RecordBatch:
@@ -100,16 +102,18 @@ def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def gather(packed: DataFrame, tasks: int) -> tuple[DataFrame, DataFrame]:
     """``(pairs, members)`` of packed signatures: distinct pairs (a, b) to begin with, and (sig, node) of the larger groups."""
     found = materialize(in_arrow(packed.repartition(tasks, "bucket"), meet, "kind int, x long, y long"), "found")
+    n = found.count()
     members = found.filter("kind = 1").select(F.col("x").alias("sig"), F.col("y").alias("node"))
     # Two hashes of 64 bits and the number of members say which groups are the same.
     made_of = members.groupBy("sig").agg(F.bit_xor(F.xxhash64("node")).alias("one"), F.bit_xor(F.xxhash64(F.lit("two"), "node")).alias("two"), F.count("*").alias("n"))
-    members = materialize(members.join(made_of.groupBy("one", "two", "n").agg(F.min("sig").alias("sig")).select("sig"), "sig", "left_semi"), "members")
+    first = made_of.groupBy("one", "two", "n").agg(F.min("sig").alias("sig")).select("sig")
+    members = materialize(members.join(first, "sig", "left_semi"), "members", n)
     weight = members.groupBy("node").agg(F.count("*").alias("w"))
-    weighed = materialize(split_join(members, weight, "node", F.col("sig")), "weighed")
+    weighed = materialize(split_join(members, weight, "node", F.col("sig")), "weighed", n)
     middle = weighed.groupBy("sig").agg(F.max(F.struct("w", "node")).alias("m")).select("sig", F.col("m.node").alias("mid"))
     stars = split_join(members, middle, "sig", F.col("node")).filter("node <> mid").select(F.least("node", "mid").alias("a"), F.greatest("node", "mid").alias("b")).distinct()
     alone = found.filter("kind = 0").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    return materialize(alone.union(stars).distinct(), "pairs"), members
+    return materialize(alone.union(stars).distinct(), "pairs", n), members
 
 
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
@@ -170,7 +174,7 @@ def _likely(pairs: DataFrame, sketches: DataFrame, possible: Callable[..., np.nd
     """The pairs (a, b) that their sketches do not rule out."""
     a, b = (sketches.select(F.col("node").alias(k), F.col("size").alias(f"{k}_size"), F.col("sketch").alias(f"{k}_sketch")) for k in "ab")
     both = split_join(split_join(pairs, a, "a", F.xxhash64("b")), b, "b", F.xxhash64("a"), rows=pairs).select("a", "b", "a_size", "a_sketch", "b_size", "b_sketch")
-    return materialize(in_arrow(both, _near(possible), "a long, b long"), name)
+    return materialize(in_arrow(both, _near(possible), "a long, b long"), name, WIDE * pairs.count())
 
 
 def connect(pairs: DataFrame, members: DataFrame, verify: Callable[[DataFrame], DataFrame], sketches: DataFrame, possible: Callable[..., np.ndarray]) -> DataFrame:
@@ -180,26 +184,29 @@ def connect(pairs: DataFrame, members: DataFrame, verify: Callable[[DataFrame],
     says for rows of sketches and sizes on either side which may link.
     """
     spark = pairs.sparkSession
-    edges = materialize(verify(_likely(pairs, sketches, possible, "likely1")), "links1")
+    likely = _likely(pairs, sketches, possible, "likely")
+    edges = materialize(verify(likely), "links", WIDE * likely.count())
     names = components(edges)
     named = members.join(names, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("root"))
-    named = materialize(named, "named")
+    n = members.count()
+    named = materialize(named, "named", n)
     # Of each group with several components: its members, those outside the largest, and which that is.
     parts = named.groupBy("sig", "root").agg(F.count("*").alias("n"))
     mixed = parts.groupBy("sig").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("most"), F.count("*").alias("parts")).filter("parts > 1")
     mixed = mixed.select("sig", F.col("most.root").alias("main"), *(F.ceil(x / CHUNK).cast("int").alias(c) for c, x in (("lefts", F.col("n") - F.col("most.n")), ("alls", F.col("n")))))
-    apart = materialize(split_join(named, mixed, "sig", F.col("node")), "apart")
+    apart = materialize(split_join(named, mixed, "sig", F.col("node")), "apart", n)
     deal, every = (lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")), (lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)))
     left = apart.filter("root <> main").select("sig", deal("lefts").alias("i"), every("alls").alias("j"), F.lit(True).alias("left"), "node", "root")
     right = apart.select("sig", every("lefts").alias("i"), deal("alls").alias("j"), F.lit(False).alias("left"), "node", "root")
-    cells = materialize(left.union(right), "cells")
+    cells = materialize(left.union(right), "cells", 2 * n)
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-cells.count() // ROWS))
     cells = split_join(cells, sketches, "node", F.xxhash64("sig", "i", "j")).select("sig", "i", "j", "left", "node", "root", "size", "sketch")
     cells = cells.repartition(tasks, "sig", "i", "j").sortWithinPartitions("sig", "i", "j")
     rest = in_arrow(cells, _across(possible), "a long, b long").distinct()
-    rest = materialize(rest.join(pairs, ["a", "b"], "left_anti"), "rest")
-    more = materialize(verify(rest), "links2")
-    return edges if is_empty(more) else edges.union(more)
+    rest = materialize(rest.join(pairs, ["a", "b"], "left_anti"), "rest", n)
+    if not (found := rest.count()):
+        return edges
+    return edges.union(materialize(verify(rest), "more_links", WIDE * found))
 
 
 def task_count(spark, signatures: int) -> int:

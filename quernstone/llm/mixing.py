@@ -23,6 +23,8 @@ WORDS = r"[^\x20\x09-\x0D]+"
 #: The sources' weights, in code-point order of their names, repeating; null comes last.
 WEIGHTS = (5.0, 2.0, 1.0)
 RANGES = 1024
+#: Sources in a file of a table with a row for each.
+SOURCES = 100_000
 
 
 def word_count(text: Column) -> Column:
@@ -88,7 +90,7 @@ def plan(docs: DataFrame, seed: str = "mix", share: float = 1.5, most: float = 2
     narrow = materialize(narrow.withColumn("at", -F.log(unit) / F.col("w")).drop("w"), "keys")
     sizes = narrow.groupBy("source").agg(F.sum("size").alias("source_size"), F.avg("at").alias("mean"))
     sized = targets(sizes, share, most, weights).join(sizes.select(F.col("source").alias("s"), "mean"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    sized = materialize(sized, "targets")
+    sized = materialize(sized, "targets", SOURCES)
     sized = sized.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
     sized = sized.withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("epochs") * F.col("source_size")))
     rests = sized.select(F.col("source").alias("s"), "rest", "source_size", "target", "epochs", "mean")
@@ -98,10 +100,10 @@ def plan(docs: DataFrame, seed: str = "mix", share: float = 1.5, most: float = 2
     keyed = keyed.withColumn("r1", F.least(F.floor("even"), F.lit(RANGES - 1)).cast("int"))
     keyed = keyed.withColumn("r2", F.floor((F.col("even") - F.col("r1")) * RANGES).cast("int")).drop("even")
     first = _cut(keyed, "r1").select(F.col("source").alias("s"), F.col("cut.r1").alias("c1"), F.col("cut.before").alias("b1"))
-    first = materialize(first, "cut1")
+    first = materialize(first, "cut1", SOURCES)
     inner = keyed.join(first, F.col("source").eqNullSafe(F.col("s")) & (F.col("r1") == F.col("c1"))).drop("s")
     second = _cut(inner.withColumn("rest", F.col("rest") - F.col("b1")), "r2")
-    second = materialize(second.select(F.col("source").alias("s"), F.col("cut.r2").alias("c2"), F.col("cut.before").alias("b2")), "cut2")
+    second = materialize(second.select(F.col("source").alias("s"), F.col("cut.r2").alias("c2"), F.col("cut.before").alias("b2")), "cut2", SOURCES)
     inner = inner.join(second, F.col("source").eqNullSafe(F.col("s")) & (F.col("r2") == F.col("c2"))).drop("s")
     run = Window.partitionBy("source").orderBy("at", "row_key")
     ranked = inner.withColumn("upto", F.sum("size").over(run)).withColumn("left", F.col("rest") - F.col("b1") - F.col("b2"))
@@ -110,7 +112,7 @@ def plan(docs: DataFrame, seed: str = "mix", share: float = 1.5, most: float = 2
     ends = taken.groupBy("source").agg(F.max(F.struct("at", "row_key")).alias("end"))
     cuts = first.join(ranked.select(F.col("source").alias("s2"), "c2").distinct(), F.col("s").eqNullSafe(F.col("s2")), "left").drop("s2")
     cuts = cuts.join(ends.withColumnRenamed("source", "s3"), F.col("s").eqNullSafe(F.col("s3")), "left").drop("s3")
-    cuts = materialize(cuts.select("s", "c1", "c2", "end"), "cuts")
+    cuts = materialize(cuts.select("s", "c1", "c2", "end"), "cuts", SOURCES)
     out = keyed.join(cuts, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
     below = (F.col("r1") < F.col("c1")) | ((F.col("r1") == F.col("c1")) & (F.col("r2") < F.col("c2")))
     at_cut = (F.col("r1") == F.col("c1")) & (F.col("r2") == F.col("c2")) & (F.struct("at", "row_key") <= F.col("end"))

@@ -83,14 +83,15 @@ def assign(docs: DataFrame, shards: int = 40, whole: bool = False) -> DataFrame:
     )
     narrow = materialize(narrow, "narrow")
     total = narrow.agg(*(F.coalesce(x, F.lit(0)).cast("double") for x in (F.sum("size"), F.sum("tokens"), F.count("*")))).head()
+    n = int(total[2])
     mean = np.maximum(np.array(total[:3]) / shards, 1e-9)
     groups = narrow.groupBy("h").agg(F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count("*").alias("rows"))
     pieces = F.when(F.col("bytes") > mean[0], F.least(F.col("rows"), F.ceil(F.col("bytes") * 4 / mean[0]))).otherwise(1).cast("long")
-    groups = materialize(groups.withColumn("pieces", pieces), "groups")
+    groups = materialize(groups.withColumn("pieces", pieces), "groups", n)
     # Groups cut into pieces are fewer than the shards.  Where one doc_id or null has many rows of one, ids can't deal them.
     cut = groups.filter("pieces > 1").select("h", "pieces")
     often = narrow.join(F.broadcast(cut), "h").groupBy("h", "doc_id").count().groupBy("h").agg(F.max("count").alias("most"))
-    cut = materialize(cut.join(often, "h").select("h", "pieces", (F.col("most") == 1).alias("ids")), "cut")
+    cut = materialize(cut.join(often, "h").select("h", "pieces", (F.col("most") == 1).alias("ids")), "cut", shards)
     keyed = narrow.join(F.broadcast(cut), "h", "left")
     deal = F.when(F.col("ids"), F.xxhash64(F.lit("row"), "doc_id")).otherwise(F.xxhash64(F.lit("row"), "row"))
     keyed = keyed.withColumn("piece", F.when(F.col("pieces").isNotNull(), F.pmod(deal, F.col("pieces"))))
@@ -104,11 +105,11 @@ def assign(docs: DataFrame, shards: int = 40, whole: bool = False) -> DataFrame:
     known = pa.table({"h": pa.array(alone["item"], pa.int64()), "shard": pa.array(first, pa.int32())})
     small = groups.filter((F.col("pieces") == 1) & ~large).select("h", "bytes", "tokens", "rows")
     parts = max(1, -(-small.count() // PART))
-    where = materialize(_packed(small, mean, left, parts).union(spark.createDataFrame(known)), "where").withColumnRenamed("h", "item")
+    where = materialize(_packed(small, mean, left, parts).union(spark.createDataFrame(known)), "where", n).withColumnRenamed("h", "item")
     placed = split_join(keyed, where, "item", F.col("row"))
     slices = max(1, int(-(-mean[2] // SLICE)))
     placed = placed.withColumn("slice", F.pmod(F.xxhash64(F.lit("slice"), "doc_id", "h", F.when(F.col("doc_id").isNull(), F.col("row"))), F.lit(slices)))
-    placed = materialize(placed.select("row", "doc_id", "size", "text_crc32", "shard", "slice", "h"), "placed")
+    placed = materialize(placed.select("row", "doc_id", "size", "text_crc32", "shard", "slice", "h"), "placed", n)
     starts = placed.groupBy("shard", "slice").agg(F.count("*").alias("n"))
     starts = starts.withColumn("start", F.sum("n").over(Window.partitionBy("shard").orderBy("slice")) - F.col("n")).drop("n")
     inside = F.row_number().over(Window.partitionBy("shard", "slice").orderBy(F.col("doc_id").asc_nulls_last(), "h", "row")) - 1

@@ -71,18 +71,19 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int | None = 12, dampi
     """
     if is_empty(edges):
         return seeds.select("host", *((F.col(c) * (1 - damping)).alias(c) for c in ("trust", "distrust")))
+    n = edges.count()
     forward = edges.select(F.lit("trust").alias("kind"), "src", "dst", "n")
     both = forward.union(edges.select(F.lit("distrust"), "dst", "src", "n"))
     out = both.groupBy("kind", "src").agg(F.sum("n").alias("out"))
-    moves = materialize(both.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("n") / F.col("out")).alias("part")), "moves")
+    moves = materialize(both.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("n") / F.col("out")).alias("part")), "moves", 2 * n)
     base = seeds.select("host", F.explode(F.create_map(F.lit("trust"), "trust", F.lit("distrust"), "distrust")).alias("kind", "seed")).filter("seed > 0")
-    base = materialize(base.select("kind", "host", (F.col("seed") * (1 - damping)).alias("rank")), "seeds")
+    base = materialize(base.select("kind", "host", (F.col("seed") * (1 - damping)).alias("rank")), "seeds", 2 * seeds.count())
     rank = last = base
     for k in count() if rounds is None else range(rounds):
         moved = moves.join(rank.withColumnRenamed("host", "src"), ["kind", "src"]).select("kind", F.col("dst").alias("host"), (F.col("rank") * F.col("part") * damping).alias("rank"))
         rank = base.union(moved).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
         if k % 4 == 3 or k + 1 == rounds:
-            rank = materialize(rank, "rank")
+            rank = materialize(rank, "rank", 4 * n)
             if rounds is None:
                 before = last.select("kind", "host", F.col("rank").alias("was"))
                 if is_empty(rank.join(before, ["kind", "host"], "left").filter(F.col("was").isNull() | (F.col("rank") - F.col("was") > SETTLED * F.col("rank")))):
@@ -105,12 +106,12 @@ def judge(pages: DataFrame, rules=RULES, ratio: float = 1.0, rounds: int | None
     page = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "html")
     rule, says = rule_of(F.col("host"), F.col("path"), rules)
     page = page.withColumn("rule", rule).withColumn("says", says)
-    edges = materialize(host_edges(page), "edges")
+    edges = materialize(host_edges(page), "edges", page.count())
     seeds = page.filter("host <> '' AND says IS NOT NULL").groupBy("host").agg(*(F.sum(F.when(F.col("says") == s, 1.0).otherwise(0.0)).alias(c) for c, s in (("trust", "allow"), ("distrust", "block"))))
-    seeds = materialize(seeds, "counts")
+    seeds = materialize(seeds, "counts", page.count())
     total = seeds.agg(F.sum("trust").alias("t"), F.sum("distrust").alias("d")).head()
     seeds = seeds.select("host", (F.col("trust") / max(total["t"] or 0.0, 1.0)).alias("trust"), (F.col("distrust") / max(total["d"] or 0.0, 1.0)).alias("distrust"))
-    ranks = materialize(propagate(edges, seeds, rounds, damping), "ranks").filter("host <> ''")
+    ranks = materialize(propagate(edges, seeds, rounds, damping), "ranks", seeds.count() + 2 * edges.count()).filter("host <> ''")
     page = materialize(page.drop("html").withColumn("row", F.monotonically_increasing_id()), "judged")
     out = split_join(page, ranks, "host", F.col("row"), "left").fillna(0.0, ["trust", "distrust"])
     verdict = F.coalesce("says", F.when(F.col("distrust") > F.col("trust") * ratio, "block").otherwise("allow"))
