@@ -19,7 +19,9 @@ _MADE: list[tuple[SparkSession, str]] = []
 #: Bytes of rows that go to a Python worker at once.
 BATCH_BYTES = 4 << 20
 #: Narrow rows in a file of a table whose size is known.
-FILE_ROWS = 200_000
+FILE_ROWS = 50_000
+#: Shuffle partitions that one task may take for it; each holds memory until the task ends.
+TOGETHER = 16
 #: A key is hot from this part of all rows on, so there are fewer than HOT hot keys; never below LEAST rows.
 HOT, LEAST = 2048, 250
 
@@ -47,12 +49,13 @@ def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
 
     This cuts the lineage: a lost executor costs the tasks it was running, not
     the work of the stages before.  With an estimate of ``rows``, narrow ones,
-    small tables do not become a file for each shuffle partition.
+    a small table takes a file for some ``TOGETHER`` shuffle partitions instead
+    of one for each.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
     if rows is not None:
-        df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
+        df = df.coalesce(max(-(-rows // FILE_ROWS), -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // TOGETHER)))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
