@@ -259,8 +259,9 @@ def links(docs: DataFrame, percent: int = 75, width: int = 5, parts: int | None
     packed = in_arrow(docs.select("text"), _sign(percent, width, tasks * 8, common, parts), "bucket int, sigs binary, members binary")
     pairs, members = gather(packed, tasks)
     wanted = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "fp")
-    hashes = profile.join(wanted, "fp", "left_semi").groupBy("fp").agg(F.min("text_hash").alias("text_hash")).select("text_hash").distinct()
-    texts = docs.select("text", "text_hash").join(hashes.hint("shuffle_hash"), "text_hash", "left_semi").select("text")
+    one = profile.groupBy("fp").agg(F.min("text_hash").alias("text_hash"))
+    hashes = one.join(wanted, "fp", "left_semi").select("text_hash").distinct()
+    texts = split_join(docs.select("text", "text_hash"), hashes, "text_hash", F.monotonically_increasing_id(), "left_semi", rows=profile).select("text")
     sets = in_arrow(texts, _sets(width), "fp long, items array<long>")
     sets = materialize(sets.groupBy("fp").agg(F.first("items").alias("items")), "sets")
     sketches = materialize(in_arrow(sets, _sketches, "node long, size long, sketch binary"), "sketches")
