@@ -27,11 +27,11 @@ class Engine:
         self.extractor, self.embedder, self.scorer = extractor, embedder, scorer
 
     def _table(self, name: str, schema: str) -> DataFrame:
-        path = f"{self.home}/{name}"
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        if not where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where):
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(path)
+        for path in (f"{self.home}/{name}", f"{self.home}/{name}.old"):  # the latter after a switch that broke off
+            where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            if where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where):
+                return self.spark.read.schema(schema).parquet(path)
+        return self.spark.createDataFrame([], schema)
 
     @property
     def chunks(self) -> DataFrame:
@@ -42,11 +42,10 @@ class Engine:
         return self._table("edges", _EDGES)
 
     def ingest(self, folder: str, ticker: str, year: int) -> None:
-        """Read the filings of a folder, chunk them, and replace what is stored of the company and year."""
-        texts = files.texts(files.of_year(files.filings(self.spark, folder), year))
-        filings = texts.groupBy().agg(F.max_by("text", F.length("text")).alias("text")).filter("text IS NOT NULL")
-        filings = filings.select(F.lit(ticker).alias("company_ticker"), F.lit(year).cast("bigint").alias("fiscal_year"), "text")
-        found = chunking.table_chunks(chunking.sections(filings))
+        """Read all filings of a folder, chunk them, and replace what is stored of the company and year."""
+        texts = files.texts(files.of_year(files.filings(self.spark, folder), year)).filter("text IS NOT NULL")
+        filings = texts.select(F.lit(ticker).alias("company_ticker"), F.lit(year).cast("bigint").alias("fiscal_year"), F.col("path").alias("filing"), "text")
+        found = chunking.table_chunks(chunking.sections(filings)).dropDuplicates(["chunk_id"])
         sinks.save_chunks(found.select("chunk_id", "text", "section_id", "chunk_seq", "token_count", "company_ticker", "fiscal_year"), f"{self.home}/chunks")
         if self.extractor is not None:
             own = self.chunks.filter((F.col("company_ticker") == ticker) & (F.col("fiscal_year") == year))
@@ -67,14 +66,21 @@ class Engine:
         return gaps()
 
     def purge(self, ticker: str, year: int) -> None:
-        """Remove a company and year: its chunks, their edges, its metrics."""
+        """Remove a company and year: its chunks, their edges, its metrics.
+
+        The new edges are written whole before they take the old ones' place;
+        these are read until then, under another name in between.
+        """
         chunks, edges = self.chunks, self.edges
         kept = incremental.purge_edges(edges.withColumnsRenamed({"src": "_src", "chunk_id": "src"}), chunks, ticker, year).withColumnsRenamed({"src": "chunk_id", "_src": "src"})
         kept.select(edges.columns).write.mode("overwrite").parquet(f"{self.home}/edges.new")
         where = self.spark._jvm.org.apache.hadoop.fs.Path
         fs = where(self.home).getFileSystem(self.spark._jsc.hadoopConfiguration())
-        fs.delete(where(f"{self.home}/edges"), True)
+        if fs.exists(where(f"{self.home}/edges")):
+            fs.delete(where(f"{self.home}/edges.old"), True)
+            fs.rename(where(f"{self.home}/edges"), where(f"{self.home}/edges.old"))
         fs.rename(where(f"{self.home}/edges.new"), where(f"{self.home}/edges"))
+        fs.delete(where(f"{self.home}/edges.old"), True)
         fs.delete(where(f"{self.home}/chunks/company_ticker={ticker}/fiscal_year={year}"), True)
 
     def query(self, questions: list[str], k: int = 5, tickers: tuple[str, ...] = TICKERS) -> dict[str, DataFrame]:
@@ -91,20 +97,34 @@ class Engine:
         nodes = edges.select(F.col("src_label").alias("label"), F.col("src").alias("key")).union(edges.select("dst_label", "dst")).distinct()
         candidates = asked.select("query_id", F.explode(entity_candidates(F.col("question"))).alias("candidate"))
         starts = graph.find_entities(nodes, candidates).select("query_id", "label", "key").distinct()
+        # Full tickers: those that the words name, and those of the companies that were found.
+        companies = starts.filter("label = 'Company'")
+        matched = companies.groupBy("query_id").agg(F.collect_set("key").alias("found"))
+        named = F.array_sort(F.array_union("tickers", F.coalesce("found", F.array().cast("array<string>"))))
+        asked = asked.join(matched, "query_id", "left").withColumn("tickers", named).drop("found")
         reached = graph.hops(edges.drop("chunk_id"), starts)
         cited = graph.mentions(edges).select("chunk_id", "label", "key")
         hits = hits.unionByName(graph.traverse(reached, cited).select("query_id", F.lit("graph").alias("source"), "chunk_id", "rank"))
         fused = retrieval.rrf(hits).join(chunks, "chunk_id")
         kept = retrieval.keep_first(retrieval.ground(fused, asked.select("query_id", "tickers")))
         ranked = retrieval.rerank(kept.join(asked.select("query_id", "question"), "query_id"), k, 0.0, scorer=self.scorer)
-        companies = starts.filter("label = 'Company'")
         return {
             "ranked": ranked,
             "contexts": retrieval.contexts(ranked.join(chunks, "chunk_id")),
+            "citations": retrieval.citations(ranked, self._metric_chunks(edges, asked)),
             "facts": graph.facts(edges.drop("chunk_id"), companies),
             "tickers": asked.select("query_id", "tickers", years(F.col("question")).alias("years"), asks_metrics(F.col("question")).alias("asks_metrics")),
         }
 
+    def _metric_chunks(self, edges: DataFrame, asked: DataFrame) -> DataFrame:
+        """``query_id, chunk_id``: the first chunk of each metric that questions about metrics may mean, by their tickers and years."""
+        metrics = edges.filter("dst_label = 'FinancialMetric'").groupBy(F.col("dst").alias("metric_id")).agg(F.min("chunk_id").alias("chunk_id"))
+        wanted = asked.filter(asks_metrics(F.col("question"))).select("query_id", F.explode("tickers").alias("ticker"), years(F.col("question")).alias("years"))
+        parts = F.split("metric_id", "_")
+        metrics = metrics.select("metric_id", "chunk_id", parts[0].alias("ticker"), F.get(parts, F.lit(1)).try_cast("bigint").alias("year"))
+        rows = metrics.join(wanted, "ticker").filter((F.size("years") == 0) | F.array_contains("years", F.col("year")))
+        return retrieval.top(rows, ["query_id"], [F.asc("ticker"), F.asc("year"), F.asc("metric_id")], 20).select("query_id", "chunk_id")
+
     def communities(self) -> DataFrame:
         """The largest communities of the graph."""
         pairs = self.edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).filter("a <> b").distinct()

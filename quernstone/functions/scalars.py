@@ -208,3 +208,22 @@ def hinted(metric: Column, hint: Column) -> Column:
     """Does a metric's name hold the hint, or any word of it?"""
     low = F.lower(hint)
     return F.lower(metric).contains(low) | F.exists(tokens(low), lambda w: F.lower(metric).contains(w))
+
+
+def epoch_date(seconds: Column) -> Column:
+    """The day (UTC) of a Unix time as text; empty for null and 0."""
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(seconds / 86400).cast("int")).cast("string")
+    return F.when(F.coalesce(seconds, F.lit(0)) == 0, "").otherwise(day)
+
+
+def within_days(day: Column, today: Column, days: Column) -> Column:
+    """Is a day one of the last ``days`` (7 for null and 0; at least 1, at most 30) before ``today``, both ends included?"""
+    wanted = F.when(F.coalesce(days, F.lit(0)) == 0, 7).otherwise(days)
+    return day.between(F.date_sub(today, F.greatest(F.lit(1), F.least(wanted, F.lit(30))).cast("int")), today)
+
+
+def merged(record: Column, extra: Column) -> Column:
+    """A map of a record's values with another's put over it; a null map adds nothing."""
+    none = F.create_map().cast("map<string,string>")
+    extra = F.coalesce(extra, none)
+    return F.map_concat(F.map_filter(record, lambda k, v: ~F.map_contains_key(extra, k)), extra)

@@ -45,14 +45,16 @@ def sections(filings: DataFrame) -> DataFrame:
     ``filings(company_ticker, fiscal_year, text)``.  Blank lines, contents rows,
     what stands before the first heading, and headings without content go.  A
     filing is one row and stays in one task; its lines are folded in the order
-    of their places.
+    of their places.  A column ``filing`` keeps several filings of one pair
+    apart, and stays.
     """
-    lines = filings.select("company_ticker", "fiscal_year", F.posexplode(F.split(F.translate("text", " ", " "), r"\r\n|\r|\n")).alias("place", "line")).filter(F.trim("line") != "")
+    keys = [c for c in ("company_ticker", "fiscal_year", "filing") if c in filings.columns]
+    lines = filings.select(*keys, F.posexplode(F.split(F.translate("text", " ", " "), r"\r\n|\r|\n")).alias("place", "line")).filter(F.trim("line") != "")
     lines = lines.withColumn("header", section_header(F.trim("line")))
     lines = lines.filter(F.col("header").isNotNull() | ~contents_row(F.trim("line")))
-    run = Window.partitionBy("company_ticker", "fiscal_year").orderBy("place")
+    run = Window.partitionBy(*keys).orderBy("place")
     lines = lines.withColumn("section_no", F.count("header").over(run)).withColumn("section_id", F.last("header", ignorenulls=True).over(run))
-    body = lines.filter("header IS NULL AND section_no > 0").groupBy("company_ticker", "fiscal_year", "section_no", "section_id")
+    body = lines.filter("header IS NULL AND section_no > 0").groupBy(*keys, "section_no", "section_id")
     return body.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "line"))), lambda x: x["line"]), "\n").alias("content"))
 
 

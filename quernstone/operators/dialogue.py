@@ -20,6 +20,12 @@ def summaries(messages: DataFrame) -> DataFrame:
     return out.select("conv_id", "title", F.floor(F.col("n_messages") / 2).alias("turns"), "n_messages")
 
 
+def listing(messages: DataFrame) -> DataFrame:
+    """``summaries`` with ``updated_at``, the newest conversations first, from ``messages`` with a column ``at``."""
+    newest = messages.groupBy("conv_id").agg(F.max("at").alias("updated_at"))
+    return summaries(messages).join(newest, "conv_id").orderBy(F.desc_nulls_last("updated_at"), "conv_id")
+
+
 def trim(messages: DataFrame, kept: int = KEPT, chars: int = TEXT_CHARS) -> DataFrame:
     """The last ``kept`` messages of each conversation, each cut to ``chars`` characters."""
     back = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))

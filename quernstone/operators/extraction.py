@@ -148,28 +148,40 @@ def label_of(relation: Column, side: int) -> Column:
 def typed(parsed: DataFrame, chunks: DataFrame) -> DataFrame:
     """Triplets with labels and primary keys, ready for the graph.
 
-    Joined with ``chunks(chunk_id, company_ticker, fiscal_year)``; triplets
-    without a valid end, and those from a node to itself, go.
+    Joined with ``chunks(chunk_id, company_ticker, fiscal_year, text)``; triplets
+    without a valid end, and those from a node to itself, go.  A metric without
+    a year gets the last one before its value in the text (where ``chunks`` has
+    it), else the filing's.
     """
-    rows = parsed.join(chunks.select(F.col("chunk_id").cast("string").alias("chunk_id"), "company_ticker", "fiscal_year"), "chunk_id")
+    text = F.col("text") if "text" in chunks.columns else F.lit(None).cast("string")
+    rows = parsed.join(chunks.select(F.col("chunk_id").cast("string").alias("chunk_id"), "company_ticker", "fiscal_year", text.alias("text")), "chunk_id")
     out = rows.withColumns({"src_label": label_of(F.col("relation"), 0), "dst_label": label_of(F.col("relation"), 1)})
     for end, side in (("src", "source"), ("dst", "target")):
         props = F.col(f"{side}_props")
         said = F.substring(F.trim(F.coalesce(props["year"], props["fiscal_year"])), 1, 4).try_cast("bigint")
+        if side == "target":
+            near = metric_year(F.col("text"), props["value"], F.col(side))
+            unsaid = F.coalesce(props["year"], props["fiscal_year"], F.lit("")) == ""
+            said = F.when(unsaid & F.lower("relation").isin("reported_metric", "impacts_revenue"), near).otherwise(said)
         year = F.when(said.between(2015, 2030), said).otherwise(F.col("fiscal_year").cast("bigint"))
         out = out.withColumn(end, entity_key(F.col(side), F.col(f"{end}_label"), F.col("company_ticker"), year))
     out = out.filter(F.col("src").isNotNull() & F.col("dst").isNotNull() & ~((F.col("src_label") == F.col("dst_label")) & (F.col("src") == F.col("dst"))))
     return out.select("chunk_id", F.upper("relation").alias("rel"), "src_label", "src", "source_props", "dst_label", "dst", "target_props").dropDuplicates(["chunk_id", "rel", "src_label", "src", "dst_label", "dst"])
 
 
-def metric_year(text: str, value: str, name: str, reach: int = 400) -> int | None:
-    """The last year that stands at most ``reach`` characters before a metric's value (or its name)."""
-    digits = re.sub(r"[^0-9]", "", value or "")[:6]
-    at = text.find(digits) if digits else -1
-    if at < 0:
-        at = text.lower().find((name or "").lower()) if name else -1
-    found = [m for m in re.finditer(r"\b20(?:2[0-9]|19)\b", text[: max(at, 0)]) if at - m.start() < reach]
-    return int(found[-1].group()) if found else None
+def metric_year(text: Column, value: Column, name: Column, reach: int = 400) -> Column:
+    """The last year that begins less than ``reach`` characters before a metric's value, or before its name where the value isn't found.
+
+    Null without a value, without either in the text, and without a year.
+    """
+    digits = F.substring(F.regexp_replace(value, "[^0-9]", ""), 1, 6)
+    by_value, by_name = F.when(digits != "", F.instr(text, digits)).otherwise(0), F.instr(F.lower(text), F.lower(F.coalesce(name, F.lit(""))))
+    at = F.when(by_value > 0, by_value).otherwise(by_name)
+    # A character before and one after: the year neither begins further off nor where the value does.
+    low = F.greatest(at + 1 - reach, F.lit(1))
+    window = F.substring(F.concat(F.lit(" "), text, F.lit(" ")), low, at + 5 - low)
+    found = F.regexp_extract_all(window, F.lit(r"(?<=[\s\S])\b(20(?:2[0-9]|19))\b(?=[\s\S])"), F.lit(1))
+    return F.when((F.coalesce(value, F.lit("")) != "") & (at > 0), F.try_element_at(found, F.lit(-1))).cast("bigint")
 
 
 def after_json(text: str, least: int = 20) -> str:

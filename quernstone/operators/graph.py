@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quernstone.functions.scalars import noise_name, noisy_company
-from quernstone.functions.tables import LABELS, MENTIONS, RELATIONS
+from quernstone.functions.tables import LABELS, MENTIONS, QUERY_ALIASES, RELATIONS
 from quernstone.operators.retrieval import top
 from quernstone.workspace import is_empty, materialize
 
@@ -51,19 +51,33 @@ def mentions(triplets: DataFrame) -> DataFrame:
     return rows.select(F.element_at(rels, F.col("end.label")).alias("rel"), "chunk_id", "end.label", "end.key").distinct()
 
 
-def find_entities(nodes: DataFrame, candidates: DataFrame) -> DataFrame:
+#: So many candidates may be sent to all tasks.
+SENT = 50_000
+
+
+def find_entities(nodes: DataFrame, candidates: DataFrame, aliases: dict[str, str] = QUERY_ALIASES) -> DataFrame:
     """``query_id, candidate, label, key``: for each candidate and label the best node.
 
     ``nodes(label, key)``, ``candidates(query_id, candidate)``.  Companies match
-    by key, then all by lower-cased key, then by part of the key; ties go to the
-    smallest key.  Equal keys are an equi-join; parts are a scan of the nodes
-    with the (few) candidates sent to it.
+    by key, the candidate's or that of the company it is an alias of; then all
+    match by lower-cased key, then by part of the key; ties go to the smallest
+    key.  The first two are equi-joins.  Parts scan the nodes, only for the
+    candidates and labels that these left open.
     """
-    asked = F.broadcast(candidates.withColumn("low", F.lower("candidate")))
-    rows = nodes.withColumn("low_key", F.lower("key")).join(asked, F.col("low_key").contains(F.col("low")))
-    tier = F.when((F.col("label") == "Company") & (F.col("key") == F.col("candidate")), 0).when(F.col("low_key") == F.col("low"), 1).otherwise(2)
-    best = top(rows.withColumn("tier", tier), ["query_id", "candidate", "label"], [F.asc("tier"), F.asc("key")], 1)
-    return best.select("query_id", "candidate", "label", "key")
+    known = F.create_map(*[F.lit(x) for kv in aliases.items() for x in kv])
+    asked = candidates.withColumns({"low": F.lower("candidate"), "exact": F.coalesce(F.element_at(known, F.lower("candidate")), F.col("candidate"))})
+    nodes = nodes.withColumn("low_key", F.lower("key"))
+    out = ["query_id", "candidate", "label", "key"]
+    own = asked.join(nodes.filter("label = 'Company'"), F.col("exact") == F.col("key")).select(*out, F.lit(0).alias("tier"))
+    same = asked.join(nodes, F.col("low") == F.col("low_key")).select(*out, F.lit(1).alias("tier"))
+    met = top(own.union(same), ["query_id", "candidate", "label"], [F.asc("tier"), F.asc("key")], 1).select(out)
+    open_ = asked.withColumn("label", F.explode(F.array(*map(F.lit, LABELS))))
+    open_ = open_.join(met.select("query_id", "candidate", "label"), ["query_id", "candidate", "label"], "left_anti")
+    open_ = materialize(open_, "open_candidates")
+    if open_.count() <= SENT:
+        open_ = F.broadcast(open_)
+    inside = open_.join(nodes, (open_["label"] == nodes["label"]) & F.col("low_key").contains(F.col("low"))).select("query_id", "candidate", nodes["label"], "key")
+    return met.union(top(inside, ["query_id", "candidate", "label"], [F.asc("key")], 1).select(out))
 
 
 def hops(edges: DataFrame, starts: DataFrame, max_hops: int = 3, fan_out: int = 50) -> DataFrame:
@@ -170,6 +184,11 @@ def summaries(names: DataFrame, edges: DataFrame, k: int = 20, shown: int = 5) -
     return out.select("community", "size", F.array_join("top_entities", ", ").alias("top_entities"), "n_edges", text.alias("summary"))
 
 
+def details(names: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``name, type`` of the nodes ``(label, key)`` whose key is one of ``names(name)``; a name may have several labels."""
+    return nodes.join(names.select(F.col("name").alias("key")).distinct(), "key", "left_semi").select(F.col("key").alias("name"), F.col("label").alias("type")).distinct()
+
+
 def drop_noisy(nodes: DataFrame) -> DataFrame:
     """Nodes without companies that are none."""
     return nodes.filter(~((F.col("label") == "Company") & noisy_company(F.col("key"))))

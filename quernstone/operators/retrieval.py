@@ -163,11 +163,6 @@ def citations(ranked: DataFrame, metric_chunks: DataFrame) -> DataFrame:
     return ranked.select("query_id", "chunk_id", "score", F.lit("context").alias("source")).unionByName(extra.select("query_id", "chunk_id", F.lit(1.0).alias("score"), F.lit("metrics").alias("source")))
 
 
-def batches(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The identity, as the place to put a model that scores whole batches."""
-    yield from rows
-
-
 def _similarity(names: list[str], block: list[tuple]):
     """The rows of a block of ``(item_id, words)`` with each document of which it shares a word."""
 

@@ -142,12 +142,39 @@ def eval_gate(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def message_gaps(spark: SparkSession, sf: str) -> DataFrame:
-    """Turns whose predecessor is missing or of the same role."""
+    """Turns whose predecessor is missing or of the same role, where one in five has been lost and one in seven is a system's."""
     run = Window.partitionBy("conv_id").orderBy("turn")
-    rows = tables.table(spark, sf, "conversations").withColumn("before", F.lag("turn").over(run)).withColumn("said", F.lag("role").over(run))
+    rows = tables.table(spark, sf, "conversations").filter((F.col("conv_id") * 3 + F.col("turn")) % 5 != 4)
+    rows = rows.withColumn("role", F.when((F.col("conv_id") + F.col("turn")) % 7 < 2, "system").otherwise(F.col("role")))
+    rows = rows.withColumn("before", F.lag("turn").over(run)).withColumn("said", F.lag("role").over(run))
     return rows.filter((F.col("before") != F.col("turn") - 1) | (F.col("said") == F.col("role"))).select("conv_id", "turn")
 
 
+def conversation_list(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations, the newest first; each message's time follows from its numbers."""
+    at = F.col("conv_id") * 7919 % 1000 * 100 + F.col("turn")
+    return d.listing(tables.table(spark, sf, "conversations").withColumn("at", at))
+
+
+def news_dates(spark: SparkSession, sf: str) -> DataFrame:
+    """The days of events from their Unix times, and which lie in the last days before the end of January."""
+    rows = tables.table(spark, sf, "events").select("event_id", F.when(F.col("event_id") % 50 == 0, 0).when(F.col("event_id") % 50 != 1, F.unix_timestamp("ts")).alias("at"))
+    rows = rows.withColumn("day", s.epoch_date(F.col("at")))
+    days = F.when(F.col("event_id") % 3 == 0, 0).otherwise(F.col("event_id") % 40 - 2).cast("int")
+    inside = s.within_days(F.when(F.col("day") != "", F.col("day")).cast("date"), F.lit("2024-01-31").cast("date"), days)
+    return rows.select("event_id", "day", F.coalesce(inside, F.lit(False)).alias("recent"))
+
+
+def metadata_merge(spark: SparkSession, sf: str) -> DataFrame:
+    """Records of documents with the metadata of their labels put over them."""
+    docs, labels = tables.table(spark, sf, "documents"), tables.table(spark, sf, "labels")
+    text = lambda c: F.col(c).cast("string")
+    marks = labels.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    rows = docs.join(marks, "doc_id", "left").select("doc_id", F.create_map(F.lit("lang"), "lang", F.lit("source"), "source", F.lit("quality"), F.lit("none")).alias("record"), F.when(F.col("toxic").isNotNull(), F.create_map(F.lit("quality"), text("quality"), F.lit("toxic"), text("toxic"))).alias("extra"))
+    kept = s.merged(F.col("record"), F.col("extra"))
+    return rows.select("doc_id", *(F.try_element_at(kept, F.lit(k)).alias(k) for k in ("lang", "source", "quality", "toxic")))
+
+
 def conversation_append(spark: SparkSession, sf: str) -> DataFrame:
     """Conversations after one more turn of every fifth, and a new one."""
     old = tables.table(spark, sf, "conversations")
@@ -183,7 +210,7 @@ def sample_checks(spark: SparkSession, sf: str) -> DataFrame:
     return d.sample_checks(samples, results, cited)
 
 
-QUERIES = {f.__name__: f for f in (metric_slug_id, extract_years, extract_tickers, entity_candidates, company_canonical, year_coerce, calculator, market_caps, conversation_summary, conversation_trim, history_block, conversation_delete, intent_rules, followup_resolve, orphan_calls, news_relevance, suggestion_merge, fuzzy_company, eval_gate, message_gaps, conversation_append, metric_gate, metric_lookup, valid_tickers, sample_checks)}
+QUERIES = {f.__name__: f for f in (metric_slug_id, extract_years, extract_tickers, entity_candidates, company_canonical, year_coerce, calculator, market_caps, conversation_summary, conversation_trim, history_block, conversation_delete, intent_rules, followup_resolve, orphan_calls, news_relevance, suggestion_merge, fuzzy_company, eval_gate, message_gaps, conversation_list, news_dates, metadata_merge, conversation_append, metric_gate, metric_lookup, valid_tickers, sample_checks)}
 _SPOKEN = """sp AS (SELECT conv_id, turn, CASE WHEN conv_id % 4 = 0 THEN 'añade MSFT ' || (2020 + turn % 9) || ': ' WHEN conv_id % 4 = 1 THEN 'no añadas AAPL 2024, ' WHEN conv_id % 4 = 2 AND turn = 0 THEN 'tell me of TSLA in 2023 ' ELSE 'and then ' END || text AS said FROM conversations WHERE role = 'user'),
 tk AS (SELECT *, list_sort(list_distinct(regexp_extract_all(upper(said), '\\b(?:AAPL|MSFT|AMZN|GOOGL|META|TSLA|NVDA|BRK\\.B)\\b')))[1] AS ticker, list_min(list_transform(regexp_extract_all(said, '\\b20(?:2[0-9]|19)\\b'), lambda y: y::BIGINT)) AS year FROM sp)"""
 SQL = {
@@ -208,7 +235,11 @@ SQL = {
     "fuzzy_company": "SELECT n_name AS name, round(1 - levenshtein(lower(n_name), 'natin_12')::DOUBLE / greatest(length(n_name), 8), 6) AS score FROM nation WHERE round(1 - levenshtein(lower(n_name), 'natin_12')::DOUBLE / greatest(length(n_name), 8), 6) >= 0.5 ORDER BY score DESC, name LIMIT 5",
     "eval_gate": """WITH c AS (SELECT quality IS NOT NULL AS a, coalesce(quality = 1, false) AS b, coalesce(toxic = 0, false) AS c, coalesce(n_chars > 500, false) AS d FROM documents LEFT JOIN labels USING (doc_id)), s AS (SELECT *, (a::INT + b::INT + c::INT + d::INT) / 4.0::DOUBLE AS score FROM c)
         SELECT count(*) AS samples, round(avg(score), 6) AS mean_score, sum(a::INT)::BIGINT AS has_label, sum(b::INT)::BIGINT AS is_good, sum(c::INT)::BIGINT AS is_clean, sum(d::INT)::BIGINT AS is_long, round(avg(score), 6) >= 0.85 AS passed FROM s""",
-    "message_gaps": "SELECT conv_id, turn FROM conversations QUALIFY lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) <> turn - 1 OR lag(role) OVER (PARTITION BY conv_id ORDER BY turn) = role",
+    "message_gaps": "WITH m AS (SELECT conv_id, turn, CASE WHEN (conv_id + turn) % 7 < 2 THEN 'system' ELSE role END AS role FROM conversations WHERE (conv_id * 3 + turn) % 5 <> 4) SELECT conv_id, turn FROM m QUALIFY lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) <> turn - 1 OR lag(role) OVER (PARTITION BY conv_id ORDER BY turn) = role",
+    "conversation_list": "SELECT conv_id, arg_min(substr(text, 1, 60), turn) FILTER (role = 'user') AS title, count(*) // 2 AS turns, count(*) AS n_messages, max(conv_id * 7919 % 1000 * 100 + turn) AS updated_at FROM conversations GROUP BY conv_id ORDER BY updated_at DESC, conv_id",
+    "news_dates": """WITH e AS (SELECT event_id, CASE WHEN event_id % 50 IN (0, 1) THEN '' ELSE strftime(ts, '%Y-%m-%d') END AS day, CASE WHEN event_id % 3 = 0 OR event_id % 40 = 2 THEN 7 ELSE greatest(1, least(event_id % 40 - 2, 30)) END AS days FROM events)
+        SELECT event_id, day, coalesce(try_cast(day AS DATE) BETWEEN DATE '2024-01-31' - days::INTEGER AND DATE '2024-01-31', false) AS recent FROM e""",
+    "metadata_merge": "WITH m AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id) SELECT doc_id, lang, source, CASE WHEN toxic IS NULL THEN 'none' ELSE quality::VARCHAR END AS quality, toxic::VARCHAR AS toxic FROM documents LEFT JOIN m USING (doc_id)",
     "conversation_append": """WITH m AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT conv_id, (SELECT max(turn) FROM conversations x WHERE x.conv_id = c.conv_id) + k, r, t FROM (SELECT DISTINCT conv_id FROM conversations WHERE turn = 0 AND conv_id % 5 = 0) c, (VALUES (1, 'user', 'q?'), (2, 'assistant', 'a.')) v(k, r, t)
         UNION ALL SELECT * FROM (VALUES (1000000000, 0, 'user', 'first'), (1000000000, 1, 'assistant', 'one'), (1000000000, 2, 'user', 'second'), (1000000000, 3, 'assistant', 'two')) n(a, b, c, d))
         SELECT conv_id, turn, role, length(substr(text, 1, 4000)) AS n_chars FROM m QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 100""",

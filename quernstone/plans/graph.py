@@ -93,6 +93,14 @@ def entity_lookup(spark: SparkSession, sf: str) -> DataFrame:
     return g.find_entities(named, asked)
 
 
+def entity_details(spark: SparkSession, sf: str) -> DataFrame:
+    """Name and type of the entities that the graph's communities of suppliers show."""
+    edges = tables.graph_edges(spark, sf).filter("rel = 'OPERATES_IN'")
+    nodes = edges.select(F.col("src_label").alias("label"), F.col("src").alias("key")).union(edges.select("dst_label", "dst")).distinct()
+    names = edges.select(F.explode(F.array("src", "dst")).alias("name"))
+    return g.details(names.filter(F.col("name").endswith("1") | F.col("name").endswith("5")), nodes)
+
+
 def _rivals(spark: SparkSession, sf: str) -> DataFrame:
     """Customers joined by a part of their number, in chains within a nation."""
     c = tables.table(spark, sf, "customer").select(F.col("c_custkey").alias("a"), "c_nationkey")
@@ -117,7 +125,7 @@ def community_summaries(spark: SparkSession, sf: str) -> DataFrame:
     return g.summaries(names, rivals)
 
 
-QUERIES = {f.__name__: f for f in (graph_nodes, graph_edges, graph_mentions, graph_khop, graph_traversal, graph_facts, metrics_table, markdown_table, metrics_yoy, entity_lookup, connected_components, label_propagation, community_summaries)}
+QUERIES = {f.__name__: f for f in (graph_nodes, graph_edges, graph_mentions, graph_khop, graph_traversal, graph_facts, metrics_table, markdown_table, metrics_yoy, entity_lookup, entity_details, connected_components, label_propagation, community_summaries)}
 EDGES = """
 e AS (SELECT DISTINCT 'OPERATES_IN' AS rel, 'Company' AS src_label, s_name AS src, 'BusinessSegment' AS dst_label, p_brand AS dst FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey
   UNION ALL SELECT 'COMPETES_WITH', 'Company', a.s_name, 'Company', b.s_name FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_name <> b.s_name
@@ -143,6 +151,7 @@ reach AS (SELECT a AS node, a AS r FROM un UNION SELECT un.b, reach.r FROM reach
 cc AS (SELECT node, min(r) AS component FROM reach GROUP BY node)"""
 SQL = {
     "graph_nodes": f"WITH {EDGES} SELECT src_label AS label, src AS key FROM e UNION SELECT dst_label, dst FROM e",
+    "entity_details": f"WITH {EDGES}, o AS (SELECT * FROM e WHERE rel = 'OPERATES_IN') SELECT DISTINCT name, type FROM (SELECT src AS name, src_label AS type FROM o UNION SELECT dst, dst_label FROM o) WHERE name LIKE '%1' OR name LIKE '%5'",
     "graph_edges": f"WITH {EDGES} SELECT rel, src, count(*) AS n, min(dst) AS first FROM e WHERE NOT (dst_label = 'BusinessSegment' AND dst LIKE '%5') GROUP BY rel, src",
     "graph_mentions": f"WITH {_MENTIONS} SELECT chunk_id, rel, count(*) AS n FROM m GROUP BY chunk_id, rel",
     "graph_khop": f"WITH {_HOPS} SELECT * FROM h",

@@ -32,11 +32,11 @@ def filings(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = ("txt"
 
 
 def pdf_text(data: bytes) -> str:
-    """Text of a PDF's pages, if a reader is installed; else an empty string."""
+    """Text of a PDF's pages; an error without a reader, as a filing without text would vanish unseen."""
     try:
         from pypdf import PdfReader
-    except ImportError:
-        return ""
+    except ImportError as missing:
+        raise RuntimeError("PDF filings need the package pypdf on the workers") from missing
     return "\n".join(x for x in (p.extract_text() or "" for p in PdfReader(io.BytesIO(data)).pages) if x.strip())
 
 

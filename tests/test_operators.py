@@ -111,8 +111,37 @@ def test_unwrapping_and_prose():
     assert extraction.unwrapped("<think>never closed") == ""
     assert extraction.after_json('{"a": "}"} ' + "prose " * 5) == "prose " * 5
     assert extraction.after_json('{"a": 1} short') == '{"a": 1} short' and extraction.after_json("plain") == "plain"
-    assert extraction.metric_year("In 2023 x. In 2024 revenue was 391035 m", "391,035", "revenue") == 2024
-    assert extraction.metric_year("2023" + " " * 500 + "revenue", "", "revenue") is None
+
+
+def test_metric_years_stand_before_the_value(spark):
+    cases = [
+        ("In 2023 x. In 2024 revenue was 391035 m", "391,035", "revenue", 2024),
+        ("2023 Revenue, then 2024", "5 billion", "revenue", 2023),
+        ("2023" + " " * 500 + "revenue 77", "77", "revenue", None),
+        ("2021" + " " * 395 + "77", "77", "", 2021),
+        ("2021" + " " * 396 + "77", "77", "", None),
+        ("in 2022 of 2023 shares", "2023", "shares", 2022),
+        ("in 12022 of 555", "555", "x", None),
+        ("2024 revenue", "", "revenue", None),
+        ("2024 revenue", None, "revenue", None),
+        ("2024 nothing", "9", "revenue", None),
+    ]
+    rows = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, text string, value string, name string, want long")
+    got = rows.select("i", "want", extraction.metric_year(F.col("text"), F.col("value"), F.col("name")).alias("got")).collect()
+    assert {x["i"]: x["got"] for x in got} == {x["i"]: x["want"] for x in got}
+
+
+def test_typed_metrics_take_the_year_before_their_value(spark):
+    output = '[{"source": "Apple", "relation": "reported_metric", "target": {"name": "Revenue", "value": "391,035"}}]'
+    chunks = spark.createDataFrame([("c", "AAPL", 2025, "In 2023 revenue was 391035", output)], "chunk_id string, company_ticker string, fiscal_year long, text string, output string")
+    assert "_2023_" in extraction.typed(extraction.parse(chunks), chunks).head()["dst"]
+    assert "_2025_" in extraction.typed(extraction.parse(chunks), chunks.drop("text")).head()["dst"]
+
+
+def test_aliases_find_companies_before_parts(spark):
+    nodes = spark.createDataFrame([("Company", "AAPL"), ("Company", "Apple Growers"), ("RiskFactor", "apple shortage")], "label string, key string")
+    asked = spark.createDataFrame([(1, "apple"), (2, "Growers")], "query_id long, candidate string")
+    assert {tuple(r) for r in graph.find_entities(nodes, asked).collect()} == {(1, "apple", "Company", "AAPL"), (1, "apple", "RiskFactor", "apple shortage"), (2, "Growers", "Company", "Apple Growers")}
 
 
 def test_triplets(spark):
