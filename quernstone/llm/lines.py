@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from quernstone.llm.components import components
 from quernstone.llm.kernels import U64, _powers, codepoints, mix, slices
@@ -31,6 +31,7 @@ from quernstone.workspace import in_arrow, materialize, split_join, unused
 
 #: At most EDITS edits, and one for each PER characters.
 EDITS, PER = 2, 12
+CELLS = 128
 _BASE = 0x9E3779B97F4A7C15
 #: _BASE times this is 1 modulo 2^64.
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -166,10 +167,18 @@ def _banded(pairs: list[tuple[str, str]], edits: int) -> np.ndarray:
 
 def _signed(edits: int, per: int, buckets: int):
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        seen: set[int] = set()
         for batch in batches:
             for part in slices(batch, 1, 1 << 19, 4096):
-                sig, of = signatures(part.column(1).to_pylist(), edits, per)
-                yield sig, np.array(part.column(0)).view(U64)[of]
+                fresh: dict[int, int] = {}
+                for i, line_id in enumerate(part.column(0).to_pylist()):
+                    if line_id not in seen:
+                        fresh[line_id] = i
+                if len(seen) > 200_000:  # the memory of what this task has signed is bounded
+                    seen.clear()
+                seen.update(fresh)
+                sig, of = signatures(part.column(1).take(pa.array(fresh.values(), pa.int64())).to_pylist(), edits, per)
+                yield sig, np.array(list(fresh), np.int64).view(U64)[of]
 
     return lambda batches: packer(signed(batches), buckets)
 
@@ -189,49 +198,57 @@ def _verified(edits: int, per: int):
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many characters of each line fall into each of 64 cells."""
+    """How many characters of each line fall into each of CELLS cells, and how many pairs of neighbours."""
     for batch in batches:
         for part in slices(batch, 1, 1 << 20, 4096):
             codes, offsets = codepoints(part.column(1).to_pylist())
-            n = np.diff(offsets)
-            counts = np.bincount(np.repeat(np.arange(len(n)), n) * 64 + codes % 64, minlength=len(n) * 64).reshape(-1, 64)
-            counts = np.minimum(counts, 255).astype(np.uint8)
+            n, code = np.diff(offsets), codes.astype(U64)
+            of = np.repeat(np.arange(len(n)), n)
+            same = of[1:] == of[:-1]
+            pair = mix(code[:-1] * U64(0x110000) + code[1:])[same] % U64(CELLS)
+            counts = []
+            for row, cell in ((of, code % U64(CELLS)), (of[1:][same], pair)):
+                counts.append(np.bincount(row * CELLS + cell.astype(np.int64), minlength=len(n) * CELLS).reshape(-1, CELLS))
+            counts = np.minimum(np.concatenate(counts, 1), 255).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array([c.tobytes() for c in counts], pa.binary())], ["node", "size", "sketch"])
 
 
-def _possible(edits: int):
-    """An edit changes at most two cells by one each."""
+def _possible(edits: int, per: int):
+    """An edit changes at most two cells of characters by one each, and at most four of pairs."""
 
     def possible(s: np.ndarray, n: np.ndarray, t: np.ndarray, m: np.ndarray) -> np.ndarray:
-        out = np.abs(n - m) <= edits
+        allowed = np.minimum(np.minimum(n, m) // per, edits)
+        out = np.abs(n - m) <= allowed
         at = np.flatnonzero(out)
         for i in range(0, len(at), 16384):
             k = at[i : i + 16384]
-            out[k] = np.abs(s[k].astype(np.int16) - t[k]).sum(1) <= 2 * edits
+            apart = np.abs(s[k].astype(np.int16) - t[k])
+            out[k] = (apart[:, :CELLS].sum(1) <= 2 * allowed[k]) & (apart[:, CELLS:].sum(1) <= 4 * allowed[k])
         return out
 
     return possible
 
 
 def exploded(docs: DataFrame) -> DataFrame:
-    """``place, line`` after the columns of ``docs``: the lines of each text, from place 0; a null text has none."""
-    return docs.select(*(c for c in docs.columns if c != "text"), F.posexplode(F.split("text", "\n")).alias("place", "line"))
+    """``place, line`` after the columns of ``docs``: the lines of each text, from place 0; a null text has one null line without a place."""
+    return docs.select(*(c for c in docs.columns if c != "text"), F.posexplode_outer(F.split("text", "\n")).alias("place", "line"))
 
 
 def _decided(rows: DataFrame, edits: int, per: int) -> DataFrame:
-    """``row, n_lines, n_kept, dropped`` of the written ``rows(row, doc_id, text_hash, text)`` that have lines."""
+    """``row, doc_id, n_lines, n_kept, dropped`` of ``rows(row, doc_id, text_hash, text)``."""
     spark = rows.sparkSession
     lines = exploded(rows).withColumn("line_id", F.when(F.trim("line") != "", F.xxhash64("line")))
     places = materialize(lines.select("row", "doc_id", "text_hash", "place", "line_id"), "places")
-    long_ = lines.filter(F.col("line_id").isNotNull() & (F.length("line") >= per)).select("line_id", "line")
-    unique = materialize(long_.groupBy("line_id").agg(F.min("line").alias("line")), "unique")
+    long_ = exploded(rows.select("text")).filter((F.trim("line") != "") & (F.length("line") >= per)).select(F.xxhash64("line").alias("line_id"), "line")
+    n = places.count()
     # A line of length l probes at most so many substrings: its segments for each length, at each shift.
-    most = sum((e + 1) * (2 * e + 1 + less) for e in (edits,) for less in range(e + 1))
-    tasks = task_count(spark, unique.count() * most)
-    packed = in_arrow(unique, _signed(edits, per, tasks * 8), "bucket int, sigs binary, members binary")
+    most = sum((edits + 1) * (2 * edits + 1 + less) for less in range(edits + 1))
+    tasks = task_count(spark, n * most // 4)
+    packed = in_arrow(long_, _signed(edits, per, tasks * 8), "bucket int, sigs binary, members binary")
     pairs, members = gather(packed, tasks)
-    wanted = pairs.select(F.col("a").alias("line_id")).union(pairs.select("b")).distinct()
-    met = materialize(unique.join(wanted, "line_id", "left_semi"), "met")
+    wanted = materialize(pairs.select(F.col("a").alias("line_id")).union(pairs.select("b")).distinct(), "wanted", n)
+    met = split_join(long_, wanted, "line_id", F.monotonically_increasing_id(), "left_semi", rows=places)
+    met = materialize(met.groupBy("line_id").agg(F.min("line").alias("line")), "met")
 
     def verify(found: DataFrame) -> DataFrame:
         a, b = (met.select(F.col("line_id").alias(k), F.col("line").alias(f"{k}_line")) for k in "ab")
@@ -239,18 +256,22 @@ def _decided(rows: DataFrame, edits: int, per: int) -> DataFrame:
         return in_arrow(both.select("a", "b", "a_line", "b_line"), _verified(edits, per), "a long, b long")
 
     sketches = materialize(in_arrow(met.select("line_id", "line"), _sketches, "node long, size long, sketch binary"), "sketches")
-    names = components(connect(pairs, members, verify, sketches, _possible(edits))).select(F.col("node").alias("line_id"), "root")
+    names = components(connect(pairs, members, verify, sketches, _possible(edits, per))).select(F.col("node").alias("line_id"), "root")
     spread = F.xxhash64("row", "place")
     named = split_join(places, names, "line_id", spread, "left").withColumn("root", F.coalesce("root", "line_id"))
-    n = places.count()
     named = materialize(named.drop("line_id"), "named_lines", n)
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash", "row", "place")
     first = named.filter("root IS NOT NULL").groupBy("root").agg(F.min(order).alias("first"), F.count("*").alias("n")).filter("n > 1")
     first = first.select("root", F.col("first.row").alias("first_row"), F.col("first.place").alias("first_place"))
     marked = split_join(named, materialize(first, "first", n), "root", spread, "left")
     is_first = F.col("first_row").isNull() | ((F.col("place") == F.col("first_place")) & (F.col("row") == F.col("first_row")))
-    gone = F.array_sort(F.collect_list(F.when(~is_first, F.col("place"))))
-    return marked.groupBy("row").agg(F.count("*").alias("n_lines"), F.count(F.when(is_first, 1)).alias("n_kept"), gone.alias("dropped"))
+    kept = F.count(F.when(F.col("place").isNotNull() & is_first, 1)).alias("n_kept")
+    gone = F.array_sort(F.collect_list(F.when(~is_first, F.col("place")))).alias("dropped")
+    return marked.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.count("place").alias("n_lines"), kept, gone)
+
+
+def _rows(docs: DataFrame, row: Column) -> DataFrame:
+    return docs.select(row.alias("row"), "doc_id", F.xxhash64("text").alias("text_hash"), "text")
 
 
 def decide(docs: DataFrame, edits: int = EDITS, per: int = PER) -> DataFrame:
@@ -263,25 +284,14 @@ def decide(docs: DataFrame, edits: int = EDITS, per: int = PER) -> DataFrame:
     equal rows one comes first, whichever.  A null doc_id comes after all
     others.  An empty table gives no rows.
     """
-    return _reported(_rows(docs.select("doc_id", "text")), edits, per)
-
-
-def _rows(docs: DataFrame) -> DataFrame:
-    return materialize(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("text_hash"), "text"), "rows")
-
-
-def _reported(rows: DataFrame, edits: int, per: int) -> DataFrame:
-    decided = _decided(rows, edits, per)
-    none = F.lit(0).cast("long")
-    full = rows.select("row", "doc_id").join(decided, "row", "left")
-    return full.select("doc_id", F.coalesce("n_lines", none).alias("n_lines"), F.coalesce("n_kept", none).alias("n_kept"), F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"))
+    return _decided(_rows(docs, F.monotonically_increasing_id()), edits, per).drop("row")
 
 
 def apply(docs: DataFrame, edits: int = EDITS, per: int = PER) -> DataFrame:
     """``docs`` with the dropped lines taken out of each text; rows and columns stay."""
     row, gone = unused(docs, "_row"), unused(docs, "_gone")
     whole = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "whole")
-    rows = whole.select(F.col(row).alias("row"), "doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    rows = _rows(whole, F.col(row))
     decided = _decided(rows, edits, per).filter(F.size("dropped") > 0).select(F.col("row").alias(row), F.col("dropped").alias(gone))
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.coalesce(F.array_contains(F.col(gone), i), F.lit(False))), "\n")
     out = whole.join(decided, row, "left")

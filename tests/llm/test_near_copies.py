@@ -197,6 +197,20 @@ def test_lines_within_the_distance_share_a_signature():
     assert met > 1000
 
 
+def test_sketches_rule_out_no_near_copy():
+    r = random.Random(2)
+    possible = lines._possible(2, 12)
+    for _ in range(1500):
+        a = "".join(r.choices("abcdefgh é", k=r.randint(10, 90)))
+        b = mutated(r, a, r.randint(0, 3))
+        batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([a, b])], ["line_id", "line"])
+        (got,) = lines._sketches([batch])
+        sketch = np.frombuffer(b"".join(got.column(2).to_pylist()), np.uint8).reshape(2, -1)
+        n = np.array([len(a), len(b)])
+        if lines.distance(a, b) <= allowed(a, b):
+            assert possible(sketch[:1], n[:1], sketch[1:], n[1:])[0]
+
+
 def line_docs():
     r = random.Random(4)
     long_ = [sentence(r, 12) for _ in range(30)]
