@@ -34,8 +34,8 @@ from quernstone.workspace import in_arrow, materialize, split_join, unused
 
 #: The bit table has at most 2^BITS bits, and bits for each sketch value.
 BITS, SPARSE = 26, 32
-#: So many leaking texts may be sent to all tasks; more are joined.
-SENT, SALTS = 200_000, 64
+#: The keys of so many texts may be sent to all tasks; more are joined.
+SENT, SALTS = 100_000, 64
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = {i: i + 32 for i in range(65, 91)}
 
@@ -118,6 +118,16 @@ def _verified(percent: int, width: int):
     return run
 
 
+def _only(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """The ``rows`` whose text_key is in the written table ``found``; a text that many rows share is dealt over the salts."""
+    keys = materialize(found.select("text_key").distinct(), "keys")
+    if keys.count() <= SENT:
+        return rows.join(F.broadcast(keys), "text_key", "left_semi")
+    rows = rows.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
+    keys = keys.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return rows.join(keys.hint("shuffle_hash"), ["text_key", "salt"], "left_semi").drop("salt")
+
+
 def _found(docs: DataFrame, items: DataFrame, percent: int, width: int) -> DataFrame | None:
     """``text_key, item, n_item, n_common`` of the different texts that contain the different items; None without items."""
     spark = docs.sparkSession
@@ -136,8 +146,7 @@ def _found(docs: DataFrame, items: DataFrame, percent: int, width: int) -> DataF
     met = split_join(hits, sketches, "value", F.xxhash64("text_key"))
     pairs = met.groupBy("text_key", "item").agg(F.count("*").alias("n"), F.first("need").alias("need")).filter("n >= need")
     pairs = materialize(pairs.select("text_key", "item"), "candidates")
-    wanted = texts.join(pairs.select("text_key").distinct().hint("shuffle_hash"), "text_key", "left_semi")
-    one = wanted.groupBy("text_key").agg(F.first("text").alias("text"))
+    one = _only(texts, pairs).groupBy("text_key").agg(F.first("text").alias("text"))
     both = split_join(split_join(pairs, known, "item", F.xxhash64("text_key")), materialize(one, "texts"), "text_key", F.xxhash64("item"), rows=pairs)
     return in_arrow(both.select("text_key", "item", "text", "item_text"), _verified(percent, width), "text_key string, item string, n_item int, n_common int")
 
@@ -157,7 +166,7 @@ def leaks(docs: DataFrame, items: DataFrame, percent: int = 75, width: int = 5)
     if found is None:
         return rows.join(names.withColumnRenamed("item", "text_key"), "text_key").select("doc_id", "item_id", F.lit(0).alias("n_item"), F.lit(0).alias("n_common")).limit(0)
     found = materialize(found, "found")
-    rows = materialize(rows.join(found.select("text_key").distinct().hint("shuffle_hash"), "text_key", "left_semi"), "rows")
+    rows = materialize(_only(rows, found), "rows")
     names = materialize(names, "names")
     out = split_join(rows, found, "text_key", F.xxhash64("doc_id"))
     return out.join(names, "item").select("doc_id", "item_id", "n_item", "n_common")

@@ -284,6 +284,19 @@ def test_leaks_equal_brute_force(spark):
     assert clean.columns == frame(spark, data).columns
 
 
+def test_leaks_do_not_depend_on_what_is_sent_to_all_tasks(spark, monkeypatch):
+    r = random.Random(3)
+    items = spark.createDataFrame([(i, sentence(r, 12)) for i in range(5)] + [(None, sentence(r, 9))], "item_id long, text string")
+    texts = [x["text"] for x in items.collect()]
+    data = [(i, sentence(r, 30) + (" " + texts[i % 6] if i % 3 else ""), *[None] * 7) for i in range(60)] + [(None, texts[0], *[None] * 7)] * 30
+    docs = frame(spark, data)
+    one = sorted(map(tuple, contamination.leaks(docs, items).collect()), key=repr)
+    kept = sorted((x["doc_id"] for x in contamination.clean(docs, items).collect()), key=repr)
+    monkeypatch.setattr(contamination, "SENT", 0)
+    assert sorted(map(tuple, contamination.leaks(docs, items).collect()), key=repr) == one and len(one) == 70
+    assert sorted((x["doc_id"] for x in contamination.clean(docs, items).collect()), key=repr) == kept == sorted(range(0, 60, 3), key=repr)
+
+
 def test_leaks_of_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert contamination.leaks(frame(spark), none).count() == 0
