@@ -46,8 +46,8 @@ _HEAD, _SUM, _DOC = "<QI", "<I", "<Bq"
 _RUNS = re.compile(r"\s\s")
 #: Letters, then ASCII marks without an apostrophe: pieces of their own.
 _PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-&(-/:-@\[-`{-~]*)")
-#: Words that a worker keeps.
-CACHE = 800_000
+#: Words that a worker keeps of each generation; the last two are there, and a word that is used again is of the newest.
+CACHE = 300_000
 
 
 def masked(data: bytes) -> int:
@@ -99,6 +99,7 @@ class Encoder:
         self.letters = str.maketrans({chr(b): c for b, c in enumerate(byte_characters())})
         self.known: dict[str, bytes] = {}  # words after a blank
         self.first: dict[str, bytes] = {}  # words at the start of a line
+        self.older: dict[str, dict[str, bytes]] = {" ": {}, "": {}}  # the generations before, by what stands before a word
         self.marks: dict[str, bytes] = {}
         self.line = self.whole(["\n"])[0]
 
@@ -118,20 +119,30 @@ class Encoder:
         if "\n" in word:
             head, *tail = word.split("\n")
             return self.get(head, blank) + b"".join(self.line + self.get(x, "") for x in tail)
-        known = self.known if blank else self.first
+        before = self.older[blank].get(word)
+        if before is not None:
+            return self.keep(word, blank, before)
         found = _PLAIN.fullmatch(word)
         if not found:
             ids = self.whole([blank + word])[0]
         elif found[2]:
-            marks = found[2]
-            if marks not in self.marks:
-                self.marks[marks] = self.piece(marks)
-            ids = self.get(found[1], blank) + self.marks[marks]
+            marks = self.marks.get(found[2])
+            if marks is None:
+                marks = self.marks[found[2]] = self.piece(found[2])
+            ids = self.get(found[1], blank) + marks
         else:
             ids = self.piece(blank + word)
+        return self.keep(word, blank, ids)
+
+    def keep(self, word: str, blank: str, ids: bytes) -> bytes:
+        known = self.known if blank else self.first
         if len(known) >= CACHE:
-            known.clear()
+            self.older[blank], known = known, {}
             self.marks.clear()
+            if blank:
+                self.known = known
+            else:
+                self.first = known
         known[word] = ids
         return ids
 

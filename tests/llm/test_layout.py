@@ -225,6 +225,19 @@ def test_encoder_equals_the_library():
         assert np.frombuffer(encoder(text), encoder.kind).tolist() == whole.encode(text, add_special_tokens=False).ids, text
 
 
+def test_encoder_with_full_caches_equals_the_library(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(records, "CACHE", 7)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    whole, encoder = Tokenizer.from_file(path), records.Encoder(open(path).read())
+    r = random.Random(6)
+    for k in range(300):
+        text = "\n".join(" ".join(w + r.choice(["", "", ".", ",", "!?"]) for w in sentence(r, 30).split()) for _ in range(3))
+        assert np.frombuffer(encoder(text), encoder.kind).tolist() == whole.encode(text, add_special_tokens=False).ids, text
+        assert max(map(len, (encoder.known, encoder.first, *encoder.older.values()))) <= 7
+
+
 def test_records_of_a_hot_doc_id_fill_several_files(spark, tmp_path):
     r = random.Random(2)
     for doc_id in (None, 3):
