@@ -47,7 +47,7 @@ _RUNS = re.compile(r"\s\s")
 #: Letters, then ASCII marks without an apostrophe: pieces of their own.
 _PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-&(-/:-@\[-`{-~]*)")
 #: Words that a worker keeps of each generation; the last two are there, and a word that is used again is of the newest.
-CACHE = 300_000
+CACHE = 450_000
 
 
 def masked(data: bytes) -> int:
