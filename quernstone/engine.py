@@ -41,11 +41,30 @@ class Engine:
     def edges(self) -> DataFrame:
         return self._table("edges", _EDGES)
 
+    def _place(self, name: str):
+        """The file system of the home folder, and the path of one of its tables."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.home}/{name}")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def _remove(self, name: str) -> None:
+        fs, path = self._place(name)
+        fs.delete(path, True)
+
+    def _index(self) -> retrieval.Bm25Index:
+        """The stored BM25 index.  It goes before any change of chunks, and the next question writes it anew."""
+        fs, path = self._place("bm25")
+        if not fs.exists(path):
+            self._remove("bm25.new")
+            retrieval.build_index(self.chunks, f"{self.home}/bm25.new")
+            fs.rename(self._place("bm25.new")[1], path)
+        return retrieval.read_index(self.spark, f"{self.home}/bm25")
+
     def ingest(self, folder: str, ticker: str, year: int) -> None:
         """Read all filings of a folder, chunk them, and replace what is stored of the company and year."""
         texts = files.texts(files.of_year(files.filings(self.spark, folder), year)).filter("text IS NOT NULL")
         filings = texts.select(F.lit(ticker).alias("company_ticker"), F.lit(year).cast("bigint").alias("fiscal_year"), F.col("path").alias("filing"), "text")
         found = chunking.table_chunks(chunking.sections(filings)).dropDuplicates(["chunk_id"])
+        self._remove("bm25")
         sinks.save_chunks(found.select("chunk_id", "text", "section_id", "chunk_seq", "token_count", "company_ticker", "fiscal_year"), f"{self.home}/chunks")
         if self.extractor is not None:
             own = self.chunks.filter((F.col("company_ticker") == ticker) & (F.col("fiscal_year") == year))
@@ -81,6 +100,7 @@ class Engine:
             fs.rename(where(f"{self.home}/edges"), where(f"{self.home}/edges.old"))
         fs.rename(where(f"{self.home}/edges.new"), where(f"{self.home}/edges"))
         fs.delete(where(f"{self.home}/edges.old"), True)
+        self._remove("bm25")
         fs.delete(where(f"{self.home}/chunks/company_ticker={ticker}/fiscal_year={year}"), True)
 
     def query(self, questions: list[str], k: int = 5, tickers: tuple[str, ...] = TICKERS) -> dict[str, DataFrame]:
@@ -89,7 +109,7 @@ class Engine:
         asked = asked.withColumn("tickers", mentioned(F.col("question"), QUERY_ALIASES, list(tickers)))
         chunks, edges = self.chunks, self.edges
         wide = asked.select("query_id", expanded_query(F.col("question")).alias("question"))
-        hits = retrieval.bm25(chunks, wide).select("query_id", F.lit("sparse").alias("source"), "chunk_id", "rank")
+        hits = retrieval.search(self._index(), wide).select("query_id", F.lit("sparse").alias("source"), "chunk_id", "rank")
         if self.embedder is not None:
             vectors = chunks.select("chunk_id", "company_ticker", self.embedder(F.col("text")).alias("embedding"))
             near = retrieval.knn(vectors, wide.select("query_id", self.embedder(F.col("question")).alias("query_vector")))

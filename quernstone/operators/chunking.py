@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quernstone.functions.scalars import tokens
 from quernstone.functions.tables import SECTION_ITEMS
+from quernstone.workspace import spread
 
 SIZE, OVERLAP, LEAST = 600, 90, 50
 
@@ -71,8 +72,12 @@ def windows(rows: DataFrame, size: int = SIZE, overlap: int = OVERLAP, least: in
     """Sliding windows of words over ``rows(..., company_ticker, fiscal_year, section_id, text)``.
 
     A text of at most ``size`` words is one window.  Windows of under ``least``
-    words go, and numbers count the windows that stay.  No shuffle.
+    words go, and numbers count the windows that stay.  Large tables are not shuffled.
     """
+    return _windows(spread(rows), size, overlap, least)
+
+
+def _windows(rows: DataFrame, size: int, overlap: int, least: int) -> DataFrame:
     check_window(size, overlap)
     n = F.size("toks")
     starts = F.when(n <= size, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(size - overlap)))
@@ -134,7 +139,8 @@ def table_aware(content: str, size: int = SIZE, least: int = LEAST) -> list[list
 def table_chunks(rows: DataFrame, size: int = SIZE, overlap: int = OVERLAP, least: int = LEAST) -> DataFrame:
     """Chunks of ``rows(company_ticker, fiscal_year, section_id, content)``: by tables where a section has one, else by windows."""
     has_table = F.exists(F.split("content", "\n"), lambda x: x.contains(" | ") & (F.length(x) - F.length(F.replace(x, F.lit("|"))) >= 2))
-    plain = windows(rows.filter(~has_table).withColumnRenamed("content", "text"), size, overlap, least)
+    rows = spread(rows)
+    plain = _windows(rows.filter(~has_table).withColumnRenamed("content", "text"), size, overlap, least)
 
     def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -211,4 +217,4 @@ def clean_html(rows: DataFrame, column: str = "html") -> DataFrame:
         for frame in frames:
             yield frame.drop(columns=column).assign(content=frame[column].map(html_text))
 
-    return rows.mapInPandas(run, schema)
+    return spread(rows).mapInPandas(run, schema)

@@ -8,16 +8,20 @@ are sent to the executors by Spark where their size allows.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from quernstone.functions.scalars import bm25_tokens, jaccard, sigmoid, word_set
+from quernstone.workspace import new_path, spread
 
 K1, B, EPSILON, RRF_K = 1.5, 0.75, 0.25, 60
+#: Words of questions, one row for each question and word, that are sent to all tasks.
+ASKED = 10_000
 #: Items that are held against all documents at once, and rows that a task sends at once.
 ITEMS, ROWS = 500, 200_000
 
@@ -28,41 +32,80 @@ def top(rows: DataFrame, by: list[str], order: list[Column], k: int, rank: str =
     return ranked.filter(F.col(rank) <= k)
 
 
-def bm25_index(chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``(lengths, postings, idf)`` of ``chunks(chunk_id, text)``.
+class Bm25Index(NamedTuple):
+    """``postings(term, chunk_id, tf, dl)`` sorted by term, ``terms(term, df)``, and the corpus's three numbers."""
 
-    A term in more than half of the chunks would weigh below 0; it gets
-    ``EPSILON`` times the mean weight of the vocabulary instead.
-    """
-    words = chunks.select("chunk_id", bm25_tokens(F.coalesce(F.col("text"), F.lit(""))).alias("words"))
-    lengths = words.select("chunk_id", F.size("words").alias("dl"))
-    postings = words.select("chunk_id", F.explode("words").alias("term")).groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
-    df = words.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    n = lengths.agg(F.count("*").alias("n"))
-    raw = df.crossJoin(F.broadcast(n)).select("term", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
-    mean = raw.agg(F.avg("raw").alias("mean"))
-    idf = raw.crossJoin(F.broadcast(mean)).select("term", F.when(F.col("raw") < 0, F.col("mean") * EPSILON).otherwise(F.col("raw")).alias("idf"))
-    return lengths, postings, idf
+    postings: DataFrame
+    terms: DataFrame
+    chunks: int
+    mean_length: float
+    mean_weight: float
 
 
-def bm25(chunks: DataFrame, questions: DataFrame, k: int = 20) -> DataFrame:
+def build_index(chunks: DataFrame, path: str | None = None) -> Bm25Index:
+    """Write the index of ``chunks(chunk_id, text)`` under ``path``, or for this session into the shared folder.
+
+    Each text is cut into words once.  A posting without a term keeps each
+    chunk's length, words or not.  Postings are sorted by term in each file, so
+    that a search reads the blocks of its terms alone.
+    """
+    spark = chunks.sparkSession
+    path = path or new_path(spark, "bm25")
+    words = spread(chunks.select("chunk_id", "text")).select("chunk_id", bm25_tokens(F.coalesce(F.col("text"), F.lit(""))).alias("words"))
+    each = words.select("chunk_id", F.size("words").alias("dl"), F.explode(F.concat("words", F.array(F.lit(None).cast("string")))).alias("term"))
+    postings = each.groupBy("term", "chunk_id").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"))
+    postings.sortWithinPartitions("term").write.parquet(f"{path}/postings")
+    stored = spark.read.parquet(f"{path}/postings")
+    terms = stored.filter("term IS NOT NULL").groupBy("term").agg(F.count("*").alias("df"))
+    terms.sortWithinPartitions("term").write.parquet(f"{path}/terms")
+    row = stored.filter("term IS NULL").agg(F.sum("tf").alias("n"), (F.sum(F.col("tf") * F.col("dl")) / F.sum("tf")).alias("mean_length")).head()
+    n = row["n"] or 0
+    weight = spark.read.parquet(f"{path}/terms").agg(F.avg(_raw_weight(n)).alias("w")).head()["w"]
+    numbers = [(n, float(row["mean_length"] or 0.0), float(weight or 0.0))]
+    spark.createDataFrame(numbers, "n long, mean_length double, mean_weight double").coalesce(1).write.parquet(f"{path}/numbers")
+    return read_index(spark, path)
+
+
+def read_index(spark: SparkSession, path: str) -> Bm25Index:
+    """The index that ``build_index`` wrote under ``path``."""
+    row = spark.read.parquet(f"{path}/numbers").head()
+    return Bm25Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/terms"), *row)
+
+
+def _raw_weight(n: int) -> Column:
+    return F.log(F.lit(float(n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+
+
+def search(index: Bm25Index, questions: DataFrame, k: int = 20) -> DataFrame:
     """``query_id, chunk_id, score, rank``: the best chunks with a positive score; ties by chunk_id.
 
-    Words that a question repeats count each time.  Postings are made of the
-    questions' words alone; the weights come from the whole vocabulary.
+    Words that a question repeats count each time.  A term in more than half of
+    the chunks would weigh below 0; it gets ``EPSILON`` times the mean weight of
+    the vocabulary instead.  Up to ``ASKED`` words of questions go to all tasks
+    and to the scan as a filter; more are joined.
     """
     asked = questions.select("query_id", F.explode(bm25_tokens(F.col("question"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qn"))
-    wanted = F.broadcast(asked.select("term").distinct())
-    words = chunks.select("chunk_id", bm25_tokens(F.coalesce(F.col("text"), F.lit(""))).alias("words"))
-    hits = words.select("chunk_id", F.size("words").alias("dl"), F.explode("words").alias("term")).join(wanted, "term").groupBy("chunk_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    lengths, _, idf = bm25_index(chunks)
-    mean = lengths.agg(F.avg("dl").alias("avgdl"))
-    weights = idf.join(wanted, "term")
-    part = F.col("qn") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = hits.join(weights, "term").join(F.broadcast(asked), "term").crossJoin(F.broadcast(mean)).groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
+    first = asked.limit(ASKED + 1).collect()
+    raw = _raw_weight(index.chunks)
+    weight = F.when(raw < 0, F.lit(index.mean_weight * EPSILON)).otherwise(raw)
+    if len(first) <= ASKED:
+        wanted = F.col("term").isin(sorted({r["term"] for r in first}))
+        few = asked.sparkSession.createDataFrame(first, asked.schema)
+        weights = F.broadcast(index.terms.filter(wanted).join(F.broadcast(few), "term").select("query_id", "term", "qn", weight.alias("idf")))
+        postings = index.postings.filter(wanted)
+    else:
+        weights = index.terms.join(asked, "term").select("query_id", "term", "qn", weight.alias("idf"))
+        postings = index.postings.filter("term IS NOT NULL")
+    part = F.col("qn") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(index.mean_length)))
+    scored = postings.join(weights, "term").groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
     return top(scored.filter("score > 0"), ["query_id"], [F.desc(F.round("score", 9)), F.asc("chunk_id")], k)
 
 
+def bm25(chunks: DataFrame, questions: DataFrame, k: int = 20) -> DataFrame:
+    """``search`` in an index that is made for it."""
+    return search(build_index(chunks), questions, k)
+
+
 def squared_distance(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(F.col(a), F.col(b), lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
 
@@ -197,7 +240,7 @@ def set_similarity(items: DataFrame, docs: DataFrame) -> DataFrame:
     Every pair of rows with a common word is there; all others have a similarity
     of 0.  Items are taken in bounded blocks, and documents are not shuffled.
     """
-    words = docs.select("doc_id", word_set(F.col("text")).alias("dw"))
+    words = spread(docs.select("doc_id", "text")).select("doc_id", word_set(F.col("text")).alias("dw"))
     schema = f"item_id long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, jaccard double"
     n = max(-(-items.count() // ITEMS), 1)
     out = None

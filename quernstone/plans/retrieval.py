@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quernstone.functions.scalars import expanded_query, jaccard, mentioned, word_set
+from quernstone.functions.scalars import expanded_query, mentioned
 from quernstone.operators import graph, retrieval as r
 from quernstone.sources import tables
+from quernstone.workspace import materialize
 
 #: A fixed batch of questions.
 QUESTIONS = (
@@ -127,15 +128,6 @@ def sigmoid_threshold(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def jaccard_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """Word-set similarity of each benchmark item with the chunks that share one of its long words."""
-    items = tables.table(spark, sf, "benchmark").select("item_id", word_set(F.col("text")).alias("iw"))
-    docs = tables.table(spark, sf, "documents").select("doc_id", word_set(F.col("text")).alias("dw"))
-    probe = items.select("item_id", "iw", F.explode(F.filter("iw", lambda w: F.length(w) >= 10)).alias("w"))
-    pairs = docs.select("doc_id", "dw", F.explode(F.filter("dw", lambda w: F.length(w) >= 10)).alias("w")).join(probe, "w").dropDuplicates(["item_id", "doc_id"])
-    return pairs.select("item_id", "doc_id", F.round(jaccard(F.col("iw"), F.col("dw")), 6).alias("jaccard"))
-
-
-def jaccard_all_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Word-set similarity of each benchmark item with every chunk that shares a word, long or short."""
     items, docs = tables.table(spark, sf, "benchmark"), tables.table(spark, sf, "documents")
     return _rounded(r.set_similarity(items, docs), "jaccard")
@@ -161,7 +153,7 @@ def hybrid_query(spark: SparkSession, sf: str) -> DataFrame:
     dense = r.knn(v, _query_vectors(v)).select("query_id", F.lit("dense").alias("source"), "chunk_id", "rank")
     fused = r.rrf(dense.unionByName(linked).unionByName(sparse)).join(chunks, "chunk_id")
     kept = r.keep_first(r.ground(fused, _tickers(spark, sf))).join(q, "query_id")
-    ranked = r.rerank(kept, min_score=0.0)
+    ranked = materialize(r.rerank(kept, min_score=0.0), "ranked")  # a few rows, used twice
     found = graph.facts(edges, starts).groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_list("fact")), "; ").alias("facts"))
     blocks = r.contexts(ranked.join(chunks, "chunk_id"))
     return ranked.join(blocks, "query_id").join(found, "query_id", "left").select("query_id", "position", "chunk_id", F.round("score", 6).alias("score"), F.sha1(F.col("context").cast("binary")).alias("context_sha1"), "facts")
@@ -176,7 +168,6 @@ QUERIES = {
     "mmr_rerank": mmr_rerank,
     "sigmoid_threshold": sigmoid_threshold,
     "jaccard_pairs": jaccard_pairs,
-    "jaccard_all_pairs": jaccard_all_pairs,
     "query_expansion": query_expansion,
     "hybrid_query": hybrid_query,
 }
@@ -191,10 +182,6 @@ SQL = {
         j AS (SELECT *, CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0::DOUBLE ELSE len(list_intersect(a, b))::DOUBLE / (len(a) + len(b) - len(list_intersect(a, b))) END AS j FROM s)
         SELECT query_id, chunk_id, round(1 / (1 + exp(-(8 * j - 1))), 6) AS score FROM j WHERE round(1 / (1 + exp(-(8 * j - 1))), 6) >= 0.3""",
     "jaccard_pairs": f"""WITH i AS (SELECT item_id, {_SETS.format("text")} AS iw FROM benchmark), d AS (SELECT doc_id, {_SETS.format("text")} AS dw FROM documents),
-        probe AS (SELECT item_id, iw, unnest(list_filter(iw, lambda w: len(w) >= 10)) AS w FROM i),
-        p AS (SELECT DISTINCT item_id, doc_id, iw, dw FROM probe JOIN (SELECT doc_id, dw, unnest(dw) AS w FROM d) USING (w))
-        SELECT item_id, doc_id, round(len(list_intersect(iw, dw))::DOUBLE / (len(iw) + len(dw) - len(list_intersect(iw, dw))), 6) AS jaccard FROM p""",
-    "jaccard_all_pairs": f"""WITH i AS (SELECT item_id, {_SETS.format("text")} AS iw FROM benchmark), d AS (SELECT doc_id, {_SETS.format("text")} AS dw FROM documents),
         p AS (SELECT item_id, doc_id, len(iw) + len(dw) AS n, len(list_intersect(iw, dw)) AS c FROM i, d)
         SELECT item_id, doc_id, round(c::DOUBLE / (n - c), 6) AS jaccard FROM p WHERE c > 0""",
     "query_expansion": f"""WITH q AS (SELECT col0::BIGINT AS query_id, col1 AS question FROM (VALUES {_values()}))

@@ -60,6 +60,20 @@ def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt to all cores if it is too small to be a task for each of them.
+
+    A small table may be one block of one file, and so one task.  From a task's
+    share of a scan for each core on, by the planner's estimate, ``df`` stays as
+    it is: large tables are never shuffled.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    share = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(cores) if size < share * cores else df
+
+
 def in_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
     """``df.mapInArrow`` with batches of at most about ``BATCH_BYTES``.
 
