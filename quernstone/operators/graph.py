@@ -84,15 +84,19 @@ def hops(edges: DataFrame, starts: DataFrame, max_hops: int = 3, fan_out: int =
     """``query_id, label, key, depth``: the smallest depth (start 1) of nodes within ``max_hops`` of the starts.
 
     Edges are followed in their direction, at most ``fan_out`` for each node and
-    relation, smallest targets first.  A fixed number of joins; nodes that were
-    reached before do not move again.
+    relation, smallest targets first.  Each hop reads only the edges of the nodes
+    that the last one reached, and is written, so that its size is known; nodes
+    that were reached before do not move again.
     """
-    moves = top(edges.distinct(), ["rel", "src_label", "src"], [F.asc("dst")], fan_out).select("src_label", "src", "dst_label", "dst")
-    seen = front = starts.select("query_id", "label", "key", F.lit(1).cast("bigint").alias("depth")).distinct()
+    ends = ["src_label", "src"]
+    seen = front = materialize(starts.select("query_id", "label", "key", F.lit(1).cast("bigint").alias("depth")).distinct(), "hop_1")
     for depth in range(2, max_hops + 1):
-        step = front.join(moves, (F.col("label") == F.col("src_label")) & (F.col("key") == F.col("src")))
+        at = front.select(F.col("label").alias("src_label"), F.col("key").alias("src"))
+        own = edges.join(at.distinct(), ends, "left_semi").select("rel", *ends, "dst_label", "dst").distinct()
+        moves = top(own, ["rel", *ends], [F.asc("dst")], fan_out).select(*ends, "dst_label", "dst")
+        step = front.select("query_id", F.col("label").alias("src_label"), F.col("key").alias("src")).join(moves, ends)
         step = step.select("query_id", F.col("dst_label").alias("label"), F.col("dst").alias("key")).distinct()
-        front = step.join(seen, ["query_id", "label", "key"], "left_anti").withColumn("depth", F.lit(depth).cast("bigint"))
+        front = materialize(step.join(seen, ["query_id", "label", "key"], "left_anti").withColumn("depth", F.lit(depth).cast("bigint")), f"hop_{depth}")
         seen = seen.unionByName(front)
     return seen
 

@@ -141,7 +141,7 @@ def query_expansion(spark: SparkSession, sf: str) -> DataFrame:
 def hybrid_query(spark: SparkSession, sf: str) -> DataFrame:
     """The whole retrieval: BM25, kNN and graph lists fused, grounded, deduplicated, re-ranked, with facts and context."""
     chunks, q = tables.chunks(spark, sf), questions(spark)
-    edges = tables.graph_edges(spark, sf)
+    edges = materialize(tables.graph_edges(spark, sf), "edges")
     nodes = edges.select(F.col("src_label").alias("label"), F.col("src").alias("key")).union(edges.select("dst_label", "dst")).distinct()
     starts = nodes.filter("label = 'Company'").join(F.broadcast(q), F.col("key").endswith(F.lpad(F.col("query_id").cast("string"), 4, "0"))).select("query_id", "label", "key")
     reached = graph.hops(edges, starts)
@@ -151,8 +151,8 @@ def hybrid_query(spark: SparkSession, sf: str) -> DataFrame:
     sparse = r.bm25(chunks, expanded).select("query_id", F.lit("sparse").alias("source"), "chunk_id", "rank")
     v = tables.vectors(spark, sf)
     dense = r.knn(v, _query_vectors(v)).select("query_id", F.lit("dense").alias("source"), "chunk_id", "rank")
-    fused = r.rrf(dense.unionByName(linked).unionByName(sparse)).join(chunks, "chunk_id")
-    kept = r.keep_first(r.ground(fused, _tickers(spark, sf))).join(q, "query_id")
+    fused = materialize(r.rrf(dense.unionByName(linked).unionByName(sparse)), "fused")  # 20 rows a question
+    kept = r.keep_first(r.ground(fused.join(chunks, "chunk_id"), _tickers(spark, sf))).join(q, "query_id")
     ranked = materialize(r.rerank(kept, min_score=0.0), "ranked")  # a few rows, used twice
     found = graph.facts(edges, starts).groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_list("fact")), "; ").alias("facts"))
     blocks = r.contexts(ranked.join(chunks, "chunk_id"))
