@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from quernstone.functions import scalars as s
-from quernstone.functions.tables import QUERY_ALIASES, TICKERS
+from quernstone.functions.tables import BRK_FORMS, COMPACT_WORDS, COMPANY_ALIASES, NOISY_COMPANIES, NOISY_COMPANY_PREFIXES, QUERY_ALIASES, STOPWORDS, TICKERS
 from quernstone.operators import dialogue as d, incremental as inc
 from quernstone.sources import tables
 
@@ -27,22 +27,31 @@ def extract_years(spark: SparkSession, sf: str) -> DataFrame:
     return docs.select("doc_id", F.array_join(s.years(F.col("text")), ",").alias("years"))
 
 
+def _asked(spark: SparkSession, sf: str) -> DataFrame:
+    """Each turn of a user, begun with one of the questions."""
+    turns = tables.table(spark, sf, "conversations").filter("role = 'user'")
+    first = F.element_at(F.array(*map(F.lit, ASKED)), ((F.col("conv_id") + F.col("turn")) % len(ASKED) + 1).cast("int"))
+    return turns.select("conv_id", "turn", F.concat(first, F.lit(" "), "text").alias("question"))
+
+
 def extract_tickers(spark: SparkSession, sf: str) -> DataFrame:
-    """Tickers that questions name by alias or symbol."""
-    rows = spark.createDataFrame([(i, q) for i, q in enumerate(ASKED)], "query_id long, question string")
-    return rows.select("query_id", F.array_join(s.mentioned(F.col("question"), QUERY_ALIASES, list(TICKERS)), ",").alias("tickers"), F.array_join(s.years(F.col("question")), ",").alias("years"))
+    """Tickers and years that users' turns name."""
+    found = s.mentioned(F.col("question"), QUERY_ALIASES, list(TICKERS))
+    return _asked(spark, sf).select("conv_id", "turn", F.array_join(found, ",").alias("tickers"), F.array_join(s.years(F.col("question")), ",").alias("years"))
 
 
 def entity_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    """What questions may name."""
-    rows = spark.createDataFrame([(i, q) for i, q in enumerate(ASKED)], "query_id long, question string")
-    return rows.select("query_id", F.array_join(s.entity_candidates(F.col("question")), "|").alias("candidates"))
+    """What users' turns may name."""
+    return _asked(spark, sf).select("conv_id", "turn", F.array_join(s.entity_candidates(F.col("question")), "|").alias("candidates"))
 
 
 def company_canonical(spark: SparkSession, sf: str) -> DataFrame:
-    """Canonical companies, and which are noise."""
-    rows = spark.createDataFrame([(i, n) for i, n in enumerate(COMPANY_NAMES)], "id long, name string")
-    out = rows.withColumn("company", s.canonical_company(F.col("name")))
+    """Canonical companies, and which are noise: a name for each order, as it is, in capitals, with blanks or with a number."""
+    key = F.col("o_orderkey")
+    name = F.element_at(F.array(*map(F.lit, COMPANY_NAMES)), (key % len(COMPANY_NAMES) + 1).cast("int"))
+    form = F.floor(key / 16) % 4
+    written = F.when(form == 1, F.upper(name)).when(form == 2, F.concat(F.lit("  "), name, F.lit(" "))).when(form == 3, F.concat(name, F.lit(" "), (key % 10).cast("string"))).otherwise(name)
+    out = tables.table(spark, sf, "orders").select(key.alias("id"), s.canonical_company(written).alias("company"))
     return out.select("id", "company", F.coalesce(s.noisy_company(F.col("company")), F.lit(True)).alias("dropped"))
 
 
@@ -213,6 +222,25 @@ def sample_checks(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (metric_slug_id, extract_years, extract_tickers, entity_candidates, company_canonical, year_coerce, calculator, market_caps, conversation_summary, conversation_trim, history_block, conversation_delete, intent_rules, followup_resolve, orphan_calls, news_relevance, suggestion_merge, fuzzy_company, eval_gate, message_gaps, conversation_list, news_dates, metadata_merge, conversation_append, metric_gate, metric_lookup, valid_tickers, sample_checks)}
 _SPOKEN = """sp AS (SELECT conv_id, turn, CASE WHEN conv_id % 4 = 0 THEN 'añade MSFT ' || (2020 + turn % 9) || ': ' WHEN conv_id % 4 = 1 THEN 'no añadas AAPL 2024, ' WHEN conv_id % 4 = 2 AND turn = 0 THEN 'tell me of TSLA in 2023 ' ELSE 'and then ' END || text AS said FROM conversations WHERE role = 'user'),
 tk AS (SELECT *, list_sort(list_distinct(regexp_extract_all(upper(said), '\\b(?:AAPL|MSFT|AMZN|GOOGL|META|TSLA|NVDA|BRK\\.B)\\b')))[1] AS ticker, list_min(list_transform(regexp_extract_all(said, '\\b20(?:2[0-9]|19)\\b'), lambda y: y::BIGINT)) AS year FROM sp)"""
+
+
+def _text(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _list(xs) -> str:
+    return "[" + ", ".join(map(_text, xs)) + "]"
+
+
+def _case(of: str, pairs: dict[str, str]) -> str:
+    return f"CASE {of} " + " ".join(f"WHEN {_text(a)} THEN {_text(b)}" for a, b in pairs.items()) + " END"
+
+
+_ASKED = f"aq AS (SELECT conv_id, turn, {_list(ASKED)}[(conv_id + turn) % {len(ASKED)} + 1] || ' ' || text AS question FROM conversations WHERE role = 'user')"
+_NAMED = ", ".join(f"CASE WHEN regexp_matches(lower(question), {_text(chr(92) + 'b' + s.quoted(a.lower()) + chr(92) + 'b')}) THEN {_text(b)} END" for a, b in (*QUERY_ALIASES.items(), *((x, x) for x in TICKERS)))
+#: Letters that are no word characters to DuckDB's patterns; marks around them keep its word boundaries where they belong.
+_MARKED = "([ªµºÀ-ÖØ-öø-ʯ])"
+_LETTERS = " ".join(f"WHEN contains(letters, {_text(''.join(c for c in a if 'a' <= c <= 'z'))}) THEN {_text(b)}" for a, b in COMPANY_ALIASES.items())
 SQL = {
     "metric_slug_id": "SELECT p_partkey, upper(p_brand) || '_' || (2024 + p_size % 2) || '_' || CASE WHEN trim(regexp_replace(lower(trim(p_name)), '[^a-z0-9]+', '_', 'g'), '_') = '' THEN 'metric' ELSE left(trim(regexp_replace(lower(trim(p_name)), '[^a-z0-9]+', '_', 'g'), '_'), 80) END AS metric_id FROM part",
     "extract_years": "WITH d AS (SELECT doc_id, 'in ' || (2015 + doc_id % 20) || ' and ' || (2012 + doc_id % 17) || '. ' || text AS text FROM documents) SELECT doc_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(text, '\\b(20(?:2[0-9]|19))\\b'), lambda y: y::BIGINT))), ',') AS years FROM d",
@@ -248,4 +276,20 @@ SQL = {
     "valid_tickers": "WITH t AS (SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'b.' || s_suppkey ELSE s_name END AS t FROM supplier) SELECT s_suppkey, regexp_full_match(regexp_replace(t, '[.-]', '', 'g'), '[A-Za-z0-9]+') AS valid, regexp_replace(upper(t), '[.\\s]', '', 'g') AS key FROM t",
     "sample_checks": """WITH c AS (SELECT l_orderkey, list(DISTINCT 't' || l_linenumber) AS t, list(DISTINCT year(l_shipdate)) AS y, list(DISTINCT lower(l_linestatus)) AS s, count(*) AS n FROM lineitem GROUP BY l_orderkey)
         SELECT o_orderkey AS query_id, o_orderkey % 2 = 0 AS has_answer, coalesce(n > 0, false) AS has_citations, coalesce(list_contains(t, 't' || (o_orderkey % 4)), false) AS ticker_hit, coalesce(list_contains(y, 1992 + o_orderkey % 7), false) AS year_hit, coalesce(list_contains(s, 'o'), false) AS section_hit, o_orderkey % 3 > 0 AS dense_hit, true AS sparse_hit, false AS graph_hit FROM orders LEFT JOIN c ON l_orderkey = o_orderkey""",
+    "extract_tickers": f"""WITH {_ASKED} SELECT conv_id, turn, array_to_string(list_sort(list_distinct(list_filter([{_NAMED}], lambda x: x IS NOT NULL))), ',') AS tickers,
+        array_to_string(list_sort(list_distinct(regexp_extract_all(question, '\\b(20(?:2[0-9]|19))\\b'))), ',') AS years FROM aq""",
+    "entity_candidates": f"""WITH {_ASKED}, am AS (SELECT conv_id, turn, question, regexp_replace(question, '{_MARKED}', '_\\1_', 'g') AS marked FROM aq),
+        f AS (SELECT *, list_filter(regexp_extract_all(marked, '\\b[A-Z][a-z]+(?:[ ''-][A-Z][a-z]+)*\\b'), lambda w: NOT list_contains({_list(STOPWORDS)}, lower(w))) AS proper,
+          list_filter(regexp_extract_all(marked, '\\b[a-z][a-z]+(?:\\s[a-z][a-z]+)*\\b'), lambda w: NOT list_contains({_list(STOPWORDS)}, w)) AS plain,
+          list_filter(regexp_split_to_array(regexp_replace(regexp_replace(lower(regexp_replace(marked, '[\\s''-]+', ' ', 'g')), '\\b(?:{'|'.join(COMPACT_WORDS)})\\b', ' ', 'g'), '_{_MARKED}_', '\\1', 'g'), '\\s+'), lambda w: w <> '' AND NOT list_contains({_list(STOPWORDS)}, w)) AS left_over FROM am),
+        c AS (SELECT conv_id, turn, list_transform(list_concat(list_concat(regexp_extract_all(marked, '\\b[A-Z]{{2,8}}\\b'), list_concat(proper, plain)),
+          list_concat(list_filter(list_transform(list_concat(proper, plain), lambda w: {_case("lower(w)", QUERY_ALIASES)}), lambda x: x IS NOT NULL),
+          CASE WHEN len(left_over) >= 2 THEN [array_to_string(left_over, ' ')] ELSE [] END)), lambda w: trim(w)) AS words FROM f)
+        SELECT conv_id, turn, array_to_string(list_sort(list_distinct(list_filter(words, lambda w: length(w) >= 2))), '|') AS candidates FROM c""",
+    "company_canonical": f"""WITH w AS (SELECT o_orderkey AS id, {_list(COMPANY_NAMES)}[o_orderkey % {len(COMPANY_NAMES)} + 1] AS name, o_orderkey // 16 % 4 AS form FROM orders),
+        n AS (SELECT id, trim(CASE form WHEN 1 THEN upper(name) WHEN 2 THEN '  ' || name || ' ' WHEN 3 THEN name || ' ' || (id % 10) ELSE name END) AS name FROM w),
+        l AS (SELECT *, regexp_replace(lower(name), '[^a-z]', '', 'g') AS letters, regexp_replace(upper(name), '[^A-Z]', '', 'g') AS capitals FROM n),
+        c AS (SELECT id, CASE WHEN name <> '' THEN coalesce({_case("lower(name)", COMPANY_ALIASES)}, CASE WHEN list_contains({_list(TICKERS)}, upper(name)) THEN upper(name) END, CASE {_LETTERS} END,
+          CASE WHEN capitals <> 'BRK.B' AND list_contains({_list(TICKERS)}, capitals) THEN capitals WHEN list_contains({_list(BRK_FORMS)}, capitals) THEN 'BRK.B' END, name) END AS company FROM l)
+        SELECT id, company, coalesce(trim(company) = '' OR list_contains({_list(NOISY_COMPANIES)}, lower(trim(company))) OR len(list_filter({_list(NOISY_COMPANY_PREFIXES)}, lambda p: starts_with(lower(trim(company)), p))) > 0 OR length(trim(company)) > 60, true) AS dropped FROM c""",
 }

@@ -172,12 +172,32 @@ QUERIES = {
     "hybrid_query": hybrid_query,
 }
 _SETS = "list_distinct(regexp_extract_all(lower({}), '[a-z0-9]+'))"
+
+
+def _mmr(k: int = 5) -> str:
+    """The greedy choice, ``k`` steps written out, of ``cand(query_id, question, chunk_id, text, rank)``."""
+    sets, share = _SETS.format, "CASE WHEN len({0}) = 0 OR len({1}) = 0 THEN 0.0::DOUBLE ELSE len(list_intersect({0}, {1}))::DOUBLE / (len({0}) + len({1}) - len(list_intersect({0}, {1}))) END"
+    out = f"""ws AS (SELECT query_id, chunk_id, rank, {sets("question")} AS a, {sets("text")} AS b FROM cand),
+sc AS (SELECT query_id, chunk_id, rank, b, 1 / (1 + exp(-(8 * {share.format("a", "b")} - 1))) AS score FROM ws),
+pl AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank) AS i, count(*) OVER (PARTITION BY query_id) AS n FROM sc),
+sim AS (SELECT x.query_id, x.i, y.i AS j, {share.format("x.b", "y.b")} AS near FROM pl x JOIN pl y USING (query_id)),
+m1 AS (SELECT query_id, i, 1::BIGINT AS position FROM pl WHERE i = 1)"""
+    for step in range(2, k + 1):
+        out += f""",
+m{step} AS (FROM m{step - 1} UNION ALL SELECT query_id, i, {step}::BIGINT FROM (SELECT pl.query_id, pl.i, CASE WHEN n <= {k} THEN score ELSE 0.7::DOUBLE * score - (1 - 0.7::DOUBLE) * max(near) END AS worth
+  FROM pl JOIN sim ON sim.query_id = pl.query_id AND sim.i = pl.i JOIN m{step - 1} c ON c.query_id = sim.query_id AND c.i = sim.j
+  WHERE NOT EXISTS (FROM m{step - 1} d WHERE d.query_id = pl.query_id AND d.i = pl.i) GROUP BY pl.query_id, pl.i, score, n) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY worth DESC, i) = 1)"""
+    return out + f""",
+mmr AS (SELECT query_id, chunk_id, score, position FROM m{k} JOIN pl USING (query_id, i))"""
+
+
 SQL = {
     "bm25_topk": f"WITH {_BM25} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM bm25",
     "dense_knn": f"WITH {_KNN} SELECT query_id, chunk_id, round(distance, 6) AS distance, rank FROM knn",
     "dense_knn_prefilter": f"WITH {_KNN} SELECT * FROM (SELECT query_id, chunk_id, round(distance, 6) AS distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS rank FROM dist WHERE label IN (1, 3, 5)) WHERE rank <= 15",
     "rrf_fuse": f"WITH {_BM25}, {_KNN}, {_FUSED} SELECT query_id, chunk_id, round(rrf_score, 6) AS rrf_score, n_lists, rank FROM fused",
     "rrf_ground_dedupe": f"WITH {_BM25}, {_KNN}, {_FUSED}, {_GROUNDED} SELECT query_id, chunk_id, company_ticker, section_id, rank, round(rrf_score, 6) AS rrf_score FROM grounded",
+    "mmr_rerank": f"WITH {_BM25}, cand AS (SELECT query_id, question, chunk_id, text, rank FROM bm25 JOIN q USING (query_id) JOIN documents ON doc_id = chunk_id), {_mmr()} SELECT query_id, chunk_id, round(score, 6) AS score, position FROM mmr",
     "sigmoid_threshold": f"""WITH {_BM25}, s AS (SELECT query_id, chunk_id, {_SETS.format("question")} AS a, {_SETS.format("d.text")} AS b FROM bm25 JOIN q USING (query_id) JOIN documents d ON doc_id = chunk_id),
         j AS (SELECT *, CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0::DOUBLE ELSE len(list_intersect(a, b))::DOUBLE / (len(a) + len(b) - len(list_intersect(a, b))) END AS j FROM s)
         SELECT query_id, chunk_id, round(1 / (1 + exp(-(8 * j - 1))), 6) AS score FROM j WHERE round(1 / (1 + exp(-(8 * j - 1))), 6) >= 0.3""",
