@@ -155,6 +155,19 @@ rv AS (SELECT x.c_custkey AS a, y.c_custkey AS b FROM customer x JOIN customer y
 un AS (SELECT a, b FROM rv UNION SELECT b, a FROM rv),
 reach AS (SELECT a AS node, a AS r FROM un UNION SELECT un.b, reach.r FROM reach JOIN un ON un.a = reach.node),
 cc AS (SELECT node, min(r) AS component FROM reach GROUP BY node)"""
+
+
+def _propagation(rounds: int = 5) -> str:
+    """Label propagation with its rounds written out."""
+    out = """pr AS (SELECT src AS a, dst AS b FROM e WHERE rel = 'OPERATES_IN' AND src <> dst),
+bo AS MATERIALIZED (SELECT a, b, count(*) AS w FROM (FROM pr UNION ALL SELECT b, a FROM pr) GROUP BY a, b),
+n0 AS MATERIALIZED (SELECT DISTINCT a AS node, a AS community FROM bo)"""
+    for r in range(1, rounds + 1):
+        out += f""",
+n{r} AS MATERIALIZED (SELECT node, community FROM (SELECT node, community, sum(w) AS w FROM (SELECT bo.a AS node, community, w FROM bo JOIN n{r - 1} x ON x.node = bo.b UNION ALL SELECT node, community, 1 FROM n{r - 1}) GROUP BY node, community) QUALIFY row_number() OVER (PARTITION BY node ORDER BY w DESC, community) = 1)"""
+    return out
+
+
 SQL = {
     "graph_nodes": f"WITH {EDGES} SELECT src_label AS label, src AS key FROM e UNION SELECT dst_label, dst FROM e",
     "entity_details": f"WITH {EDGES}, o AS (SELECT * FROM e WHERE rel = 'OPERATES_IN') SELECT DISTINCT name, type FROM (SELECT src AS name, src_label AS type FROM o UNION SELECT dst, dst_label FROM o) WHERE name LIKE '%1' OR name LIKE '%5'",
@@ -169,6 +182,7 @@ SQL = {
     "metrics_yoy": f"WITH {_METRICS}, b AS (SELECT *, lag(amount) OVER (PARTITION BY ticker ORDER BY fiscal_year) AS before FROM mt) SELECT ticker, fiscal_year, round((amount - before) / abs(before) * 100, 4) AS yoy_pct FROM b",
     "entity_lookup": """WITH n AS (SELECT 'Company' AS label, s_name AS key FROM supplier UNION ALL SELECT 'MacroEvent', n_name FROM nation UNION ALL SELECT DISTINCT 'BusinessSegment', p_brand FROM part), q AS (SELECT * FROM (VALUES (1, 'supplier'), (1, 'nation_1'), (2, 'brand#1'), (2, '1'), (3, 'nothing of the kind')) v(query_id, candidate))
         SELECT query_id::BIGINT AS query_id, candidate, label, key FROM n JOIN q ON contains(lower(key), lower(candidate)) QUALIFY row_number() OVER (PARTITION BY query_id, candidate, label ORDER BY CASE WHEN label = 'Company' AND key = candidate THEN 0 WHEN lower(key) = lower(candidate) THEN 1 ELSE 2 END, key) = 1""",
+    "label_propagation": f"WITH {EDGES}, {_propagation()} SELECT node, community FROM n5",
     "connected_components": f"WITH RECURSIVE {_RIVALS} SELECT node, component FROM cc",
     "community_summaries": f"""WITH RECURSIVE {_RIVALS}, s AS (SELECT component AS community, count(*) AS size, array_to_string(list_sort(list(node))[1:5], ', ') AS top_entities FROM cc GROUP BY component ORDER BY size DESC, community LIMIT 20),
         i AS (SELECT component AS community, count(*) AS n_edges FROM rv JOIN cc ON a = node GROUP BY component)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quernstone.functions.scalars import expanded_query, mentioned
 from quernstone.operators import graph, retrieval as r
+from quernstone.plans import graph as graph_plans
 from quernstone.sources import tables
 from quernstone.workspace import materialize
 
@@ -191,6 +192,25 @@ m{step} AS (FROM m{step - 1} UNION ALL SELECT query_id, i, {step}::BIGINT FROM (
 mmr AS (SELECT query_id, chunk_id, score, position FROM m{k} JOIN pl USING (query_id, i))"""
 
 
+_EXPANDED = """concat_ws(' ', question, CASE WHEN contains(lower(question), 'revenue') THEN 'net sales total net sales sales revenues total revenues net revenue' END, CASE WHEN contains(lower(question), 'net income') THEN 'net earnings profit earnings' END,
+        CASE WHEN contains(lower(question), 'operating income') THEN 'operating profit income from operations' END, CASE WHEN contains(lower(question), 'eps') THEN 'earnings per share diluted eps' END, CASE WHEN contains(lower(question), 'total assets') THEN 'assets' END)"""
+#: The hybrid query's lists, from the questions' starts to what is re-ranked.
+_HYBRID = f"""{_BM25.replace("FROM (VALUES", f", {_EXPANDED.replace('question', 'col1')} AS expanded FROM (VALUES").replace("lower(question)", "lower(expanded)")}, {_KNN},
+{graph_plans.EDGES},
+nd AS (SELECT src_label AS label, src AS key FROM e UNION SELECT dst_label, dst FROM e),
+mv AS (SELECT DISTINCT * FROM e QUALIFY row_number() OVER (PARTITION BY rel, src_label, src ORDER BY dst) <= 50),
+d1 AS (SELECT query_id, label, key, 1 AS depth FROM nd JOIN q ON label = 'Company' AND ends_with(key, lpad(query_id::VARCHAR, 4, '0'))),
+d2 AS (SELECT DISTINCT query_id, dst_label AS label, dst AS key, 2 AS depth FROM d1 JOIN mv ON label = src_label AND key = src),
+d3 AS (SELECT DISTINCT query_id, dst_label AS label, dst AS key, 3 AS depth FROM d2 JOIN mv ON label = src_label AND key = src),
+h AS (SELECT query_id, label, key, min(depth) AS depth FROM (FROM d1 UNION ALL FROM d2 UNION ALL FROM d3) GROUP BY ALL),
+ct AS (SELECT 'BusinessSegment' AS label, 'Brand#' || (11 + doc_id % 45) AS key, doc_id AS chunk_id FROM documents),
+linked AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY min(depth), chunk_id) AS rank FROM h JOIN ct USING (label, key) GROUP BY query_id, chunk_id QUALIFY rank <= 20),
+{_FUSED.replace("UNION ALL SELECT query_id, 'sparse'", "UNION ALL SELECT query_id, 'graph', chunk_id, rank FROM linked UNION ALL SELECT query_id, 'sparse'")}, {_GROUNDED},
+cand AS (SELECT query_id, question, chunk_id, text, rank FROM grounded JOIN q USING (query_id) JOIN documents ON doc_id = chunk_id), {_mmr()},
+ctx AS (SELECT query_id, sha1(string_agg('[' || position || '] (' || company_ticker || ' ' || fiscal_year || ', ' || section_id || ')' || chr(10) || text, chr(10) || '---' || chr(10) ORDER BY position)) AS context_sha1 FROM mmr JOIN chunks USING (chunk_id) GROUP BY query_id),
+fa AS (SELECT DISTINCT query_id, rel, src, dst FROM e JOIN d1 ON src = key WHERE rel IN ('OPERATES_IN', 'COMPETES_WITH')),
+fb AS (SELECT DISTINCT query_id, src || ' --' || rel || '--> ' || dst AS fact FROM (FROM fa QUALIFY row_number() OVER (PARTITION BY query_id, rel, src ORDER BY dst) <= 10)),
+fc AS (SELECT query_id, string_agg(fact, '; ' ORDER BY fact) AS facts FROM (FROM fb QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY fact) <= 20) GROUP BY query_id)"""
 SQL = {
     "bm25_topk": f"WITH {_BM25} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM bm25",
     "dense_knn": f"WITH {_KNN} SELECT query_id, chunk_id, round(distance, 6) AS distance, rank FROM knn",
@@ -204,7 +224,7 @@ SQL = {
     "jaccard_pairs": f"""WITH i AS (SELECT item_id, {_SETS.format("text")} AS iw FROM benchmark), d AS (SELECT doc_id, {_SETS.format("text")} AS dw FROM documents),
         p AS (SELECT item_id, doc_id, len(iw) + len(dw) AS n, len(list_intersect(iw, dw)) AS c FROM i, d)
         SELECT item_id, doc_id, round(c::DOUBLE / (n - c), 6) AS jaccard FROM p WHERE c > 0""",
+    "hybrid_query": f"WITH {_HYBRID} SELECT query_id, position, chunk_id, round(score, 6) AS score, context_sha1, facts FROM mmr JOIN ctx USING (query_id) LEFT JOIN fc USING (query_id)",
     "query_expansion": f"""WITH q AS (SELECT col0::BIGINT AS query_id, col1 AS question FROM (VALUES {_values()}))
-        SELECT query_id, concat_ws(' ', question, CASE WHEN contains(lower(question), 'revenue') THEN 'net sales total net sales sales revenues total revenues net revenue' END, CASE WHEN contains(lower(question), 'net income') THEN 'net earnings profit earnings' END,
-        CASE WHEN contains(lower(question), 'operating income') THEN 'operating profit income from operations' END, CASE WHEN contains(lower(question), 'eps') THEN 'earnings per share diluted eps' END, CASE WHEN contains(lower(question), 'total assets') THEN 'assets' END) AS expanded FROM q""",
+        SELECT query_id, {_EXPANDED} AS expanded FROM q""",
 }
