@@ -170,11 +170,20 @@ def calculate(operation: Column, a: Column, b: Column) -> Column:
 
 
 def market_cap(millions: Column) -> Column:
-    """A market capitalisation in millions as $1.23T, $4.5B or $67M."""
+    """A market capitalisation in millions as $1.23T, $4.5B or $67M; below a million in six digits, nothing for none."""
     v = millions * 1e6
     # format_number rounds the exact binary value, where %.2f rounds its shortest decimal form.
     form = lambda unit, digits, mark: F.concat(F.lit("$"), F.replace(F.format_number(v / unit, digits), F.lit(",")), F.lit(mark))
-    return F.when(v >= 1e12, form(1e12, 2, "T")).when(v >= 1e9, form(1e9, 1, "B")).when(v >= 1e6, form(1e6, 0, "M")).when(v != 0, F.concat(F.lit("$"), v.cast("string"))).otherwise("")
+    return F.when(v >= 1e12, form(1e12, 2, "T")).when(v >= 1e9, form(1e9, 1, "B")).when(v >= 1e6, form(1e6, 0, "M")).when(v != 0, F.concat(F.lit("$"), six_digits(v))).otherwise("")
+
+
+def six_digits(v: Column) -> Column:
+    """A number in six significant digits without zeros at its end, from 1e6 on and below 1e-4 with an exponent."""
+    power = F.regexp_extract(F.format_string("%.5e", v), "e(.*)$", 1)
+    e = power.cast("int")
+    bare = lambda x, digits: F.regexp_replace(F.replace(F.format_number(x, digits), F.lit(",")), r"\.?0+$" if digits else "$^", "")
+    plain = F.coalesce(*(F.when(e == k, bare(v, 5 - k)) for k in range(-4, 6)))
+    return F.when(e.between(-4, 5), plain).otherwise(F.concat(bare(v / F.pow(F.lit(10.0), e), 5), F.lit("e"), power))
 
 
 def without_thinking(text: Column) -> Column:

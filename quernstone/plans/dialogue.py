@@ -69,9 +69,11 @@ def calculator(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def market_caps(spark: SparkSession, sf: str) -> DataFrame:
-    """Balances as market capitalisations."""
-    rows = tables.table(spark, sf, "supplier").filter("s_acctbal > 0")
-    return rows.select("s_suppkey", s.market_cap(F.floor(F.col("s_acctbal")) * F.when(F.col("s_suppkey") % 2 == 0, 1000).otherwise(1)).alias("cap"))
+    """Balances as market capitalisations, some of them missing, none, or below a million."""
+    key = F.col("s_suppkey")
+    balance = F.floor(F.col("s_acctbal")) * F.when(key % 2 == 0, 1000).otherwise(1)
+    value = F.when(key % 11 == 0, None).when(key % 11 == 1, 0).when(key % 11 == 2, (key % 1000 + 1) / 1024).otherwise(balance)
+    return tables.table(spark, sf, "supplier").select("s_suppkey", s.market_cap(value.cast("double")).alias("cap"))
 
 
 def conversation_summary(spark: SparkSession, sf: str) -> DataFrame:
@@ -247,8 +249,8 @@ SQL = {
     "year_coerce": "WITH r AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'n/a' WHEN o_orderkey % 5 = 1 THEN 'FY24' ELSE (2010 + o_orderkey % 30) || '-12-31' END AS raw FROM orders) SELECT o_orderkey, CASE WHEN try_cast(left(raw, 4) AS BIGINT) BETWEEN 2015 AND 2030 THEN try_cast(left(raw, 4) AS BIGINT) ELSE 2024 END AS year FROM r",
     "calculator": """WITH r AS (SELECT o_orderkey, round(o_totalprice, 2) AS a, CASE WHEN o_orderkey % 50 = 0 THEN 0.0::DOUBLE ELSE (o_orderkey % 90 + 10 + 0.5::DOUBLE) * 1000 END AS b FROM orders)
         SELECT o_orderkey, round((a - nullif(b, 0)) / abs(nullif(b, 0)) * 100, 4) AS yoy_pct, round(a - b, 4) AS diff, round(a / nullif(b, 0), 4) AS ratio, round(a + b, 4) AS sum, round((a + b) / 2, 4) AS avg FROM r""",
-    "market_caps": """WITH v AS (SELECT s_suppkey, floor(s_acctbal) * CASE WHEN s_suppkey % 2 = 0 THEN 1000 ELSE 1 END * 1e6 AS v FROM supplier WHERE s_acctbal > 0)
-        SELECT s_suppkey, CASE WHEN v >= 1e12 THEN printf('$%.2fT', v / 1e12) WHEN v >= 1e9 THEN printf('$%.1fB', v / 1e9) WHEN v >= 1e6 THEN printf('$%.0fM', v / 1e6) ELSE '' END AS cap FROM v""",
+    "market_caps": """WITH v AS (SELECT s_suppkey, CASE s_suppkey % 11 WHEN 0 THEN NULL WHEN 1 THEN 0 WHEN 2 THEN (s_suppkey % 1000 + 1) / 1024::DOUBLE ELSE floor(s_acctbal) * CASE WHEN s_suppkey % 2 = 0 THEN 1000 ELSE 1 END END * 1e6 AS v FROM supplier)
+        SELECT s_suppkey, CASE WHEN v >= 1e12 THEN printf('$%.2fT', v / 1e12) WHEN v >= 1e9 THEN printf('$%.1fB', v / 1e9) WHEN v >= 1e6 THEN printf('$%.0fM', v / 1e6) WHEN v <> 0 THEN printf('$%g', v) ELSE '' END AS cap FROM v""",
     "conversation_summary": "SELECT conv_id, arg_min(substr(text, 1, 60), turn) FILTER (role = 'user') AS title, count(*) // 2 AS turns, count(*) AS n_messages FROM conversations GROUP BY conv_id",
     "conversation_trim": "SELECT conv_id, turn, role, substr(text, 1, 4000) AS text FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 100",
     "history_block": "WITH m AS (SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'Prev Q: ' ELSE 'Prev A: ' END || substr(text, 1, 500) AS line FROM conversations WHERE role IN ('user', 'assistant') QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 8) SELECT conv_id, string_agg(line, chr(10) ORDER BY turn) AS history FROM m GROUP BY conv_id",

@@ -24,12 +24,16 @@ def test_ingest_query_and_purge(spark, tmp_path):
     engine = Engine(spark, str(tmp_path / "home"), extractor=model)
     assert engine.ingest_all(str(tmp_path / "c.json"), lambda t, y: str(tmp_path / t)).count() == 0
     assert engine.chunks.groupBy("company_ticker").count().count() == 2 and engine.edges.count() == 2
+    assert not (tmp_path / "home" / "bm25").exists()
     out = engine.query(["What phones does Apple sell in 2024?", "software of MSFT"])
     ranked = out["ranked"].join(engine.chunks, "chunk_id").collect()
     assert {(r["query_id"], r["company_ticker"]) for r in ranked} == {(0, "AAPL"), (1, "MSFT")}
     assert {r["fact"] for r in out["facts"].collect()} >= {"AAPL --OPERATES_IN--> Phones", "AAPL --COMPETES_WITH--> MSFT"}
     assert out["tickers"].filter("query_id = 0").head()["years"] == [2024]
     assert engine.communities().head()["size"] == 3
+    assert (tmp_path / "home" / "bm25" / "postings").exists()
     engine.purge("AAPL", 2024)
+    assert not (tmp_path / "home" / "bm25").exists()
+    assert engine.query(["phones"])["ranked"].count() == 0
     assert [r["company_ticker"] for r in engine.chunks.select("company_ticker").distinct().collect()] == ["MSFT"]
     assert engine.edges.count() == 0

@@ -71,6 +71,7 @@ def test_calculator(spark):
 
 def test_market_caps(spark):
     assert run(spark, [3585000.0, 2500.0, 45.4, 0.0], s.market_cap, "double") == ["$3.58T", "$2.5B", "$45M", ""]
+    assert run(spark, [0.45, -821.16, 0.0000123456789, -0.5, 0.999999, 0.9999999], s.market_cap, "double") == ["$450000", "$-8.2116e+08", "$12.3457", "$-500000", "$999999", "$1e+06"]
 
 
 def test_model_text(spark):

@@ -1,6 +1,7 @@
 """Operators on small fixtures."""
 
 import json
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -214,3 +215,34 @@ def test_similarity_covers_items_of_short_words(spark, monkeypatch):
     docs = [(10, "words, SHORT few a"), (11, "long way"), (11, "long way"), (None, "a b"), (12, None), (13, "")]
     got = r.set_similarity(spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string"))
     assert sorted(map(tuple, got.collect()), key=repr) == sorted([(1, 10, 1.0), (2, 11, 1 / 3), (2, 11, 1 / 3), (1, None, 0.2)], key=repr)
+
+
+def test_index_of_odd_texts_and_many_words(spark, tmp_path, monkeypatch):
+    """Null and wordless texts count among the chunks; more words than are sent give the same; an empty corpus has no hits."""
+    texts = [(1, "red fox, red hen"), (2, "fox"), (3, None), (4, "?!"), (5, "hen owl"), (6, "RED ant")]
+    chunks = spark.createDataFrame(texts, "chunk_id long, text string")
+    asked = spark.createDataFrame([(1, "red owl red"), (2, "none of these"), (3, None)], "query_id long, question string")
+    index = r.build_index(chunks, str(tmp_path / "index"))
+    assert (index.chunks, index.mean_length) == (6, 9 / 6)
+    found = [tuple(x) for x in r.search(index, asked).orderBy("query_id", "rank").collect()]
+    idf = lambda df: math.log(6 - df + 0.5) - math.log(df + 0.5)
+    want = {1: 2 * idf(2) * 2 * 2.5 / (2 + 1.5 * (0.25 + 0.75 * 4 / 1.5)), 5: idf(1) * 2.5 / (1 + 1.5 * (0.25 + 0.75 * 2 / 1.5)), 6: 2 * idf(2) * 2.5 / (1 + 1.5 * (0.25 + 0.75 * 2 / 1.5))}
+    assert {x[1]: round(x[2], 9) for x in found} == {k: round(v, 9) for k, v in want.items()}
+    assert [x[1] for x in found] == sorted(want, key=lambda k: -want[k])
+    monkeypatch.setattr(r, "ASKED", 1)
+    again = r.read_index(spark, str(tmp_path / "index"))
+    assert [(x[0], x[1], round(x[2], 9)) for x in r.search(again, asked).orderBy("query_id", "rank").collect()] == [(x[0], x[1], round(x[2], 9)) for x in found]
+    assert r.bm25(chunks.limit(0), asked).count() == 0
+
+
+def test_small_tables_are_dealt_and_large_ones_left(spark):
+    from quernstone.workspace import spread
+
+    small = spark.range(10)
+    assert "Repartition" in spread(small)._jdf.queryExecution().optimizedPlan().toString()
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1b")
+    try:
+        assert spread(small) is small
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
