@@ -22,6 +22,8 @@ from quernstone.workspace import new_path, spread
 K1, B, EPSILON, RRF_K = 1.5, 0.75, 0.25, 60
 #: Words of questions, one row for each question and word, that are sent to all tasks.
 ASKED = 10_000
+#: Query vectors that are sent to all tasks at once.
+VECTORS = 1_000
 #: Items that are held against all documents at once, and rows that a task sends at once.
 ITEMS, ROWS = 500, 200_000
 
@@ -114,12 +116,18 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int = 15, keep: Column | None
     """``query_id, chunk_id, distance, rank``: exact nearest by squared L2, after the prefilter; ties by chunk_id.
 
     ``vectors(chunk_id, embedding, ...)``, ``queries(query_id, query_vector)``;
-    a stated batch of queries goes to every task.
+    the queries go to every task in blocks of about ``VECTORS``.
     """
-    rows = vectors if keep is None else vectors.filter(keep)
-    pairs = rows.select("chunk_id", "embedding").crossJoin(F.broadcast(queries))
-    scored = pairs.select("query_id", "chunk_id", squared_distance("embedding", "query_vector").alias("distance"))
-    return top(scored, ["query_id"], [F.asc("distance"), F.asc("chunk_id")], k)
+    rows = (vectors if keep is None else vectors.filter(keep)).select("chunk_id", "embedding")
+    n = max(-(-queries.count() // VECTORS), 1)
+    out = None
+    for block in range(n):
+        asked = queries if n == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(n)) == block)
+        pairs = rows.crossJoin(F.broadcast(asked))
+        scored = pairs.select("query_id", "chunk_id", squared_distance("embedding", "query_vector").alias("distance"))
+        near = top(scored, ["query_id"], [F.asc("distance"), F.asc("chunk_id")], k)
+        out = near if out is None else out.union(near)
+    return out
 
 
 def rrf(hits: DataFrame, k: int = 20, constant: int = RRF_K) -> DataFrame:
@@ -141,7 +149,7 @@ def ground(candidates: DataFrame, tickers: DataFrame) -> DataFrame:
 
     ``tickers(query_id, tickers)`` holds an array, empty or absent for none.
     """
-    joined = candidates.join(F.broadcast(tickers), "query_id", "left")
+    joined = candidates.join(tickers, "query_id", "left")
     named = F.coalesce(F.size("tickers"), F.lit(0)) > 0
     return joined.filter(~named | F.array_contains("tickers", F.col("company_ticker"))).drop("tickers")
 

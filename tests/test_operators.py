@@ -246,3 +246,13 @@ def test_small_tables_are_dealt_and_large_ones_left(spark):
         assert spread(small) is small
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_nearest_in_blocks_of_queries(spark, monkeypatch):
+    vectors = spark.createDataFrame([(i, [float(i % 7), float(i % 5)]) for i in range(40)], "chunk_id long, embedding array<float>")
+    queries = vectors.filter("chunk_id < 9").selectExpr("chunk_id AS query_id", "embedding AS query_vector")
+    order = lambda: sorted(tuple(x) for x in r.knn(vectors, queries, 4).collect())
+    want = order()
+    assert len(want) == 36
+    monkeypatch.setattr(r, "VECTORS", 2)
+    assert order() == want
