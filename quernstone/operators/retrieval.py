@@ -44,21 +44,24 @@ class Bm25Index(NamedTuple):
     mean_weight: float
 
 
-def build_index(chunks: DataFrame, path: str | None = None) -> Bm25Index:
+def build_index(chunks: DataFrame, path: str | None = None, only: list[str] | None = None) -> Bm25Index:
     """Write the index of ``chunks(chunk_id, text)`` under ``path``, or for this session into the shared folder.
 
     Each text is cut into words once.  A posting without a term keeps each
     chunk's length, words or not.  Postings are sorted by term in each file, so
-    that a search reads the blocks of its terms alone.
+    that a search reads the blocks of its terms alone.  For a single search they
+    may be those of ``only`` some terms; all numbers come from the whole corpus.
     """
     spark = chunks.sparkSession
     path = path or new_path(spark, "bm25")
     words = spread(chunks.select("chunk_id", "text")).select("chunk_id", bm25_tokens(F.coalesce(F.col("text"), F.lit(""))).alias("words"))
-    each = words.select("chunk_id", F.size("words").alias("dl"), F.explode(F.concat("words", F.array(F.lit(None).cast("string")))).alias("term"))
+    kept = F.col("words") if only is None else F.filter("words", lambda w: w.isin(only))
+    each = words.select("chunk_id", F.size("words").alias("dl"), F.explode(F.concat(kept, F.array(F.lit(None).cast("string")))).alias("term"))
     postings = each.groupBy("term", "chunk_id").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"))
     postings.sortWithinPartitions("term").write.parquet(f"{path}/postings")
     stored = spark.read.parquet(f"{path}/postings")
-    terms = stored.filter("term IS NOT NULL").groupBy("term").agg(F.count("*").alias("df"))
+    named = stored.filter("term IS NOT NULL") if only is None else words.select(F.explode(F.array_distinct("words")).alias("term"))
+    terms = named.groupBy("term").agg(F.count("*").alias("df"))
     terms.sortWithinPartitions("term").write.parquet(f"{path}/terms")
     row = stored.filter("term IS NULL").agg(F.sum("tf").alias("n"), (F.sum(F.col("tf") * F.col("dl")) / F.sum("tf")).alias("mean_length")).head()
     n = row["n"] or 0
@@ -104,8 +107,9 @@ def search(index: Bm25Index, questions: DataFrame, k: int = 20) -> DataFrame:
 
 
 def bm25(chunks: DataFrame, questions: DataFrame, k: int = 20) -> DataFrame:
-    """``search`` in an index that is made for it."""
-    return search(build_index(chunks), questions, k)
+    """``search`` in an index that is made for it, of the questions' terms if these are few."""
+    asked = questions.select(F.explode(bm25_tokens(F.col("question"))).alias("term")).distinct().limit(ASKED + 1).collect()
+    return search(build_index(chunks, only=sorted(r["term"] for r in asked) if len(asked) <= ASKED else None), questions, k)
 
 
 def squared_distance(a: str, b: str) -> Column:

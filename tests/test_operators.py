@@ -229,6 +229,7 @@ def test_index_of_odd_texts_and_many_words(spark, tmp_path, monkeypatch):
     want = {1: 2 * idf(2) * 2 * 2.5 / (2 + 1.5 * (0.25 + 0.75 * 4 / 1.5)), 5: idf(1) * 2.5 / (1 + 1.5 * (0.25 + 0.75 * 2 / 1.5)), 6: 2 * idf(2) * 2.5 / (1 + 1.5 * (0.25 + 0.75 * 2 / 1.5))}
     assert {x[1]: round(x[2], 9) for x in found} == {k: round(v, 9) for k, v in want.items()}
     assert [x[1] for x in found] == sorted(want, key=lambda k: -want[k])
+    assert [(x[0], x[1], round(x[2], 9)) for x in r.bm25(chunks, asked).orderBy("query_id", "rank").collect()] == [(x[0], x[1], round(x[2], 9)) for x in found]
     monkeypatch.setattr(r, "ASKED", 1)
     again = r.read_index(spark, str(tmp_path / "index"))
     assert [(x[0], x[1], round(x[2], 9)) for x in r.search(again, asked).orderBy("query_id", "rank").collect()] == [(x[0], x[1], round(x[2], 9)) for x in found]
