@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, functions as F
 from quernstone.llm.components import components
 from quernstone.llm.kernels import U64, blocks, fingerprint, mix, shingles, utf8
 from quernstone.llm.meeting import connect, gather, packer, task_count
-from quernstone.workspace import in_arrow, is_empty, materialize, split_join
+from quernstone.workspace import in_arrow, is_empty, materialize, split_join, unused
 
 #: Parts enumerated at most (None: all), and elements of a signature at least.
 PARTS, LEAST = 40, 3
@@ -128,7 +128,7 @@ def expected(size: np.ndarray, percent: int, parts: int | None = PARTS) -> np.nd
     return np.where(size > 0, sum(3 * (t if parts is None else np.minimum(t, parts)) for t in total), 0) + prefix_of(size, percent)
 
 
-def _profile(percent: int, width: int, parts: int | None):
+def _profile(width: int, cost: Callable[[np.ndarray], np.ndarray]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column(1))
@@ -136,7 +136,7 @@ def _profile(percent: int, width: int, parts: int | None):
                 values, bounds = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width)
                 size = np.diff(bounds)
                 part = batch.slice(i, j - i)
-                made = (size, fingerprint(values, bounds).view(np.int64), expected(size, percent, parts))
+                made = (size, fingerprint(values, bounds).view(np.int64), cost(size))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *map(pa.array, made)], ["doc_id", "text_hash", "n_shingles", "fp", "n_sigs"])
 
     return run
@@ -178,7 +178,7 @@ def common_elements(docs: DataFrame, rows: int, width: int) -> np.ndarray:
     return np.sort(np.array([r["item"] for r in found], np.int64).view(U64))
 
 
-def _sign(percent: int, width: int, buckets: int, common: np.ndarray, parts: int | None):
+def _sign(width: int, buckets: int, sign: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]):
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         seen: set = set()
         for batch in batches:
@@ -187,7 +187,7 @@ def _sign(percent: int, width: int, buckets: int, common: np.ndarray, parts: int
                 values, bounds = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width)
                 fps = fingerprint(values, bounds)
                 fresh = _fresh(seen, fps)
-                sig, of = signatures(*_pick(values, bounds, fresh), percent, common, parts)
+                sig, of = sign(*_pick(values, bounds, fresh))
                 yield sig, fps[fresh][of]
 
     return lambda batches: packer(signed(batches), buckets)
@@ -243,20 +243,21 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(F.col("common") * 100 >= percent * (F.size("a_items") + F.size("b_items") - F.col("common"))).select("a", "b")
 
 
-def links(docs: DataFrame, percent: int = 75, width: int = 5, parts: int | None = PARTS) -> tuple[DataFrame, DataFrame]:
+def join(docs: DataFrame, percent: int, width: int, cost: Callable[[np.ndarray], np.ndarray], signer: Callable[[DataFrame, int], Callable]) -> tuple[DataFrame, DataFrame]:
     """``(profile, edges)`` of ``docs(doc_id, text)``.
 
     ``profile``: doc_id, n_shingles and the fingerprint ``fp`` of the set for
     each row.  ``edges``: linked pairs ``(a, b)`` of fingerprints that connect
-    every component.
+    every component.  ``cost`` says how many signatures sets of some sizes have
+    at most, ``signer(docs, rows)`` gives the function that makes them and says
+    whose they are, from sets of hashes between bounds.
     """
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, n_shingles long, fp long, n_sigs long"
-    profile = materialize(in_arrow(docs, _profile(percent, width, parts), schema), "profile")
+    profile = materialize(in_arrow(docs, _profile(width, cost), schema), "profile")
     rows, total = profile.agg(F.count("*"), F.sum("n_sigs")).head()
     tasks = task_count(docs.sparkSession, total or 0)
-    common = common_elements(docs, rows, width)
-    packed = in_arrow(docs.select("text"), _sign(percent, width, tasks * 8, common, parts), "bucket int, sigs binary, members binary")
+    packed = in_arrow(docs.select("text"), _sign(width, tasks * 8, signer(docs, rows)), "bucket int, sigs binary, members binary")
     pairs, members = gather(packed, tasks)
     wanted = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "fp")
     one = profile.groupBy("fp").agg(F.min("text_hash").alias("text_hash"))
@@ -268,9 +269,18 @@ def links(docs: DataFrame, percent: int = 75, width: int = 5, parts: int | None
     return profile, connect(pairs, members, lambda found: verify(found, sets, percent), sketches, _possible(percent))
 
 
-def _classed(docs: DataFrame, percent: int, width: int) -> DataFrame:
+def links(docs: DataFrame, percent: int = 75, width: int = 5, parts: int | None = PARTS) -> tuple[DataFrame, DataFrame]:
+    """``join`` by the signatures of this module."""
+
+    def signer(docs: DataFrame, rows: int) -> Callable:
+        common = common_elements(docs, rows, width)
+        return lambda values, bounds: signatures(values, bounds, percent, common, parts)
+
+    return join(docs, percent, width, lambda size: expected(size, percent, parts), signer)
+
+
+def classed(profile: DataFrame, edges: DataFrame) -> DataFrame:
     """The profile with ``component_id`` and ``root``, a name that a class has alone; both are null without shingles."""
-    profile, edges = links(docs, percent, width)
     names = components(edges)
     first = profile.filter("fp <> 0").groupBy("fp").agg(F.min("doc_id").alias("least"))
     first = first.join(names.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
@@ -289,30 +299,31 @@ def classes(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFrame:
     text, an empty one and one without words has no shingles and is alone; a
     null doc_id is never the smallest.  An empty table gives no rows.
     """
-    return _classed(docs, percent, width).select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return classed(*links(docs, percent, width)).select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def keep_first(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFrame:
-    """The rows of ``docs`` without all but one row of each class; its columns stay.
+def keep_first(docs: DataFrame, percent: int = 75, width: int = 5, find: Callable[..., tuple[DataFrame, DataFrame]] = links) -> DataFrame:
+    """The rows of ``docs`` without all but one row of each class; its columns stay, whatever their names.
 
     The row with the smallest doc_id stays, null last, then the one with the
-    smallest hash of its text, then of all columns.  Only rows of the same
-    class go, whatever doc_id they share with others; rows without shingles
-    all stay.
+    smallest hash of its text, then of all columns, written as JSON.  Only rows
+    of the same class go, whatever doc_id they share with others; rows without
+    shingles all stay.  ``find`` gives the classes.
     """
-    out = materialize(_classed(docs, percent, width).select("doc_id", "text_hash", "root", "component_id"), "classes").filter("root IS NOT NULL")
+    text, doc, hash_, row = (unused(docs, x) for x in ("_text", "_doc", "_hash", "_row"))
+    out = materialize(classed(*find(docs, percent, width)).select("doc_id", "text_hash", "root", "component_id"), "classes").filter("root IS NOT NULL")
     heads = out.filter("doc_id <=> component_id").groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("n"))
     heads = materialize(heads, "heads", out.count())
     heads = heads.join(heads.groupBy("root").agg(F.min("text_hash").alias("least")), "root")
-    key = (F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"))
+    key = (F.col("doc_id").alias(doc), F.col("text_hash").alias(hash_))
     drop = out.filter("NOT (doc_id <=> component_id)").select(*key).union(heads.filter("text_hash <> least").select(*key)).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_text") == F.col("_hash"))
-    kept = docs.withColumn("_text", F.xxhash64("text")).join(drop.hint("shuffle_hash"), same, "left_anti")
+    same = F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(text) == F.col(hash_))
+    kept = docs.withColumn(text, F.xxhash64("text")).join(drop.hint("shuffle_hash"), same, "left_anti")
     repeated = materialize(heads.filter("text_hash = least AND n > 1").select(*key), "repeated", 0)
     if is_empty(repeated):
         return kept.select(docs.columns)
-    whole = F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("row")
-    one = kept.join(repeated, same, "left_semi").groupBy("doc_id", "_text").agg(whole).select("row.*")
+    whole = F.struct(*docs.columns)
+    one = kept.join(repeated, same, "left_semi").groupBy("doc_id", text).agg(F.min_by(whole, F.xxhash64(F.to_json(whole))).alias(row)).select(f"{row}.*")
     return kept.join(repeated, same, "left_anti").select(docs.columns).union(one)
 
 

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from quernstone.llm.codes import op11
 from quernstone.llm.contamination import op7
 from quernstone.llm.forest import op10
 from quernstone.llm.jaccard import op9
 from quernstone.llm.language import op6
 from quernstone.llm.lines import op1
+from quernstone.llm.minhash import op13
 from quernstone.llm.mixing import op3
 from quernstone.llm.quality import op2
 from quernstone.llm.records import op5
 from quernstone.llm.sharding import op4
+from quernstone.llm.trie import op12
 from quernstone.llm.urls import RULES, op8, op8_settled
 
 QUERIES = {
@@ -25,10 +28,17 @@ QUERIES = {
     "op8_urls_settled": op8_settled,
     "op9_jaccard_join": op9,
     "op10_forest": op10,
+    "op11_codes": op11,
+    "op12_trie": op12,
+    "op13_minhash": op13,
 }
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
-_SHINGLES = "CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) END"
+
+
+def _shingles(width: int = 5) -> str:
+    return f"CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {width} THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - {width - 2}), lambda i: array_to_string(w[i : i + {width - 1}], ' '))) END"
+
 
 _MIX = r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
@@ -45,22 +55,24 @@ x AS (SELECT *, (epochs + CASE WHEN rest > 0 AND size > 0 AND upto - size * 0.5:
 SELECT doc_id, size::BIGINT AS size, source_size, target, (size * copies)::BIGINT AS taken, source, copies FROM x"""
 
 _LEAKS = f"""
-WITH i AS (SELECT item_id, unnest({_SHINGLES}) AS s FROM (SELECT item_id, {_WORDS} AS w FROM benchmark)),
+WITH i AS (SELECT item_id, unnest({_shingles()}) AS s FROM (SELECT item_id, {_WORDS} AS w FROM benchmark)),
 n AS (SELECT item_id, count(*) AS n FROM i GROUP BY item_id),
-d AS (SELECT doc_id, unnest({_SHINGLES}) AS s FROM (SELECT doc_id, {_WORDS} AS w FROM documents)),
+d AS (SELECT doc_id, unnest({_shingles()}) AS s FROM (SELECT doc_id, {_WORDS} AS w FROM documents)),
 c AS (SELECT doc_id, item_id, count(*) AS c FROM d JOIN i USING (s) GROUP BY doc_id, item_id)
 SELECT doc_id, item_id, n::INTEGER AS n_item, c::INTEGER AS n_common, round(c::DOUBLE / n, 6) AS containment FROM c JOIN n USING (item_id) WHERE 100 * c >= 75 * n"""
 
-_CLASSES = f"""
-WITH RECURSIVE d AS (SELECT doc_id, {_SHINGLES} AS sh FROM (SELECT doc_id, {_WORDS} AS w FROM documents)),
+
+def _classes_sql(percent: int, width: int, more: str = "") -> str:
+    return f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_shingles(width)} AS sh FROM (SELECT doc_id, {_WORDS} AS w FROM documents)),
 n AS (SELECT doc_id, len(sh) AS n FROM d),
 x AS (SELECT doc_id, unnest(sh) AS s FROM d),
 c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM x a JOIN x b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
-e AS (SELECT a, b FROM c JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 75 * (na.n + nb.n - c)),
+e AS (SELECT a, b FROM c JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= {percent} * (na.n + nb.n - c)),
 u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 r AS (SELECT a AS node, a AS root FROM u UNION SELECT u.b, r.root FROM r JOIN u ON u.a = r.node),
 m AS (SELECT node, min(root) AS root FROM r GROUP BY node)
-SELECT n.doc_id, n.n::BIGINT AS n_shingles, coalesce(m.root, n.doc_id) AS component_id FROM n LEFT JOIN m ON m.node = n.doc_id"""
+SELECT n.doc_id, n.n::BIGINT AS n_shingles, coalesce(m.root, n.doc_id) AS component_id{more} FROM n LEFT JOIN m ON m.node = n.doc_id"""
 
 
 def _urls_sql(rounds: int = 12) -> str:
@@ -87,11 +99,53 @@ k AS (SELECT host, coalesce(sum(rank) FILTER (kind = 'trust'), 0.0::DOUBLE) AS t
 SELECT page_id, j.host, path, rule, coalesce(says, CASE WHEN coalesce(distrust, 0) > coalesce(trust, 0) THEN 'block' ELSE 'allow' END) AS verdict, round(coalesce(trust, 0), 9) AS trust, round(coalesce(distrust, 0), 9) AS distrust FROM j LEFT JOIN k ON j.host = k.host"""
 
 
+def _codes_sql(rounds: int = 4) -> str:
+    """The vectors' parts, and an assignment and a mean for each round; sums of whole numbers in doubles are exact here."""
+    near = "(SELECT r, part, min({{'d': list_inner_product(p.x, p.x) - 2 * list_inner_product(p.x, b.x) + list_inner_product(b.x, b.x), 'e': b.entry}}) AS m FROM p JOIN b{0} b USING (part) GROUP BY r, part)"
+    steps = "".join(
+        f""",
+a{k} AS MATERIALIZED {near.format(k)},
+s{k} AS (SELECT part, entry, i, sum(c)::BIGINT AS s, count(*)::BIGINT AS n FROM (SELECT part, m.e AS entry, unnest(x) AS c, generate_subscripts(x, 1) AS i FROM a{k} JOIN p USING (r, part)) GROUP BY part, entry, i),
+m{k} AS (SELECT part, entry, list(((s - (s % n + n) % n) // n)::DOUBLE ORDER BY i) AS x FROM s{k} GROUP BY part, entry),
+b{k + 1} AS MATERIALIZED (SELECT part, entry, coalesce(m{k}.x, b{k}.x) AS x FROM b{k} LEFT JOIN m{k} USING (part, entry))"""
+        for k in range(rounds)
+    )
+    return f"""
+WITH v AS (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) - 1 AS r, vec_id, label, list_transform(embedding, lambda c: floor(c::DOUBLE * 1024)) AS x
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NOT NULL AND isfinite(c))) = len(embedding)),
+p AS MATERIALIZED (SELECT r, part, x[part * (len(x) // 4) + 1 : (part + 1) * (len(x) // 4)] AS x FROM v, range(4) t(part)),
+b0 AS MATERIALIZED (SELECT part, r AS entry, x FROM p WHERE r < 256){steps},
+z AS (SELECT r, string_agg(printf('%02x', m.e), '' ORDER BY part) AS code, sum(m.d)::BIGINT AS error FROM {near.format(rounds)} GROUP BY r),
+h AS (SELECT sha256(string_agg(array_to_string(list_transform(x, lambda c: c::BIGINT), ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b{rounds})
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM v JOIN z USING (r) CROSS JOIN h"""
+
+
+_TRIE = r"""
+WITH t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 AS pos,
+  {'r': coalesce(role, ''), 't': coalesce(text, '')} AS x FROM conversations WHERE conv_id IS NOT NULL),
+f AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS crc),
+k AS (SELECT c, c - c % 20 AS base, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(c::VARCHAR, ''), lambda s: ascii(s)::BIGINT)), lambda a, b: xor(a >> 8, crc[(xor(a, b) & 255) + 1])), 4294967295) % 4 AS h FROM (SELECT DISTINCT c FROM t) CROSS JOIN f),
+r AS (SELECT k.c, 0 AS side, pos, x FROM k JOIN t ON t.c = base AND pos < h UNION ALL SELECT k.c, 1, pos, x FROM k JOIN t ON t.c = k.c AND pos >= h),
+s AS (SELECT k.c, coalesce(seq, []) AS seq FROM k LEFT JOIN (SELECT c, list(x ORDER BY side, pos) AS seq FROM r GROUP BY c) USING (c)),
+m AS (SELECT c, d, seq[1:d] AS node, len(seq) = d AS ended FROM (SELECT c, seq, unnest(range(len(seq) + 1)) AS d FROM s)),
+n AS MATERIALIZED (SELECT d, node, min(c) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ended), '')) AS ends_sha256,
+  (count(*) - 1) * len(regexp_extract_all(coalesce(node[d].t, ''), '[^ 	-]+')) AS saved FROM m GROUP BY d, node),
+p AS MATERIALIZED (SELECT n.*, p.conv_id AS parent FROM n LEFT JOIN n p ON p.d = n.d - 1 AND p.node = n.node[1 : n.d - 1]),
+z AS MATERIALIZED (SELECT n.conv_id, n.d, coalesce(k, 0) AS k FROM n LEFT JOIN (SELECT parent, d - 1 AS d, count(*) AS k FROM p WHERE parent IS NOT NULL GROUP BY parent, d) y ON y.parent = n.conv_id AND y.d = n.d),
+a AS (SELECT e, node[1:e] AS top, saved, k = 0 AS leaf FROM (SELECT p.*, k, unnest(range(p.d + 1)) AS e FROM p JOIN z ON z.conv_id = p.conv_id AND z.d = p.d)),
+q AS (SELECT e, top, sum(leaf::INT) AS n_leaves, sum(saved) AS saved_tokens FROM a GROUP BY e, top)
+SELECT p.conv_id, p.d AS depth, parent AS parent_conv_id, n_convs, z.k AS n_children, n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, ends_sha256
+FROM p JOIN z ON z.conv_id = p.conv_id AND z.d = p.d JOIN q ON q.e = p.d AND q.top = p.node"""
+
+
 #: Models, packing, tokens and the approximate search have no SQL; tests hold them against brute force or round trips.
 #: Line deduplication has none either: comparing all pairs of lines in SQL is too slow on whole tables.
 SQL: dict[str, str] = {
     "op3_mixing": _MIX,
     "op7_decontamination": _LEAKS,
     "op8_urls": _urls_sql(),
-    "op9_jaccard_join": _CLASSES,
+    "op9_jaccard_join": _classes_sql(75, 5),
+    "op11_codes": _codes_sql(),
+    "op12_trie": _TRIE,
+    "op13_minhash": _classes_sql(80, 4, ", n.doc_id IS NOT DISTINCT FROM coalesce(m.root, n.doc_id) AS kept"),
 }

@@ -143,6 +143,17 @@ def test_keep_first_keeps_one_of_each_class_and_all_columns(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(classes)
 
 
+def test_keep_first_leaves_clashing_names_and_map_columns_alone(spark):
+    schema = "doc_id long, text string, _text string, _doc int, _hash string, _row int, root int, tags map<string,int>"
+    data = [(1, "a b c d e f", "mine1", 1, "h1", 1, 1, {"x": 1}), (1, "a b c d e f", "mine1", 1, "h1", 1, 1, {"y": 2}), (2, "a b c d e f", "mine2", 2, "h2", 2, 2, None), (3, "other", "mine3", 3, None, 3, 3, {})]
+    kept = jaccard.keep_first(spark.createDataFrame(data, schema))
+    assert kept.columns == [x.split()[0] for x in schema.split(", ")]
+    got = {r["doc_id"]: r.asDict() for r in kept.collect()}
+    assert sorted(got) == [1, 3] and kept.count() == 2
+    assert (got[1]["_text"], got[1]["_doc"], got[1]["_hash"], got[1]["_row"]) == ("mine1", 1, "h1", 1) and got[1]["tags"] in ({"x": 1}, {"y": 2})
+    assert got[3]["_text"] == "mine3" and got[3]["tags"] == {}
+
+
 def test_jaccard_empty_table_and_null_ids(spark):
     assert jaccard.classes(frame(spark, [])).count() == 0
     data = [(None, "a b c d e f", *[None] * 7), (7, "a b c d e f", *[None] * 7), (7, "a b c d e f", *[None] * 7)]
