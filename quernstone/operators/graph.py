@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quernstone.functions.scalars import noise_name, noisy_company
 from quernstone.functions.tables import LABELS, MENTIONS, QUERY_ALIASES, RELATIONS
+from quernstone.operators.names import NameIndex, build_names, containing, starts
 from quernstone.operators.retrieval import top
 from quernstone.workspace import is_empty, materialize
 
@@ -51,32 +52,30 @@ def mentions(triplets: DataFrame) -> DataFrame:
     return rows.select(F.element_at(rels, F.col("end.label")).alias("rel"), "chunk_id", "end.label", "end.key").distinct()
 
 
-#: So many candidates may be sent to all tasks.
-SENT = 50_000
-
-
-def find_entities(nodes: DataFrame, candidates: DataFrame, aliases: dict[str, str] = QUERY_ALIASES) -> DataFrame:
+def find_entities(nodes: DataFrame, candidates: DataFrame, aliases: dict[str, str] = QUERY_ALIASES, index: NameIndex | None = None) -> DataFrame:
     """``query_id, candidate, label, key``: for each candidate and label the best node.
 
-    ``nodes(label, key)``, ``candidates(query_id, candidate)``.  Companies match
-    by key, the candidate's or that of the company it is an alias of; then all
-    match by lower-cased key, then by part of the key; ties go to the smallest
-    key.  The first two are equi-joins.  Parts scan the nodes, only for the
-    candidates and labels that these left open.
+    ``nodes(label, key[, name])``, ``candidates(query_id, candidate)``; without
+    names, keys are the names.  Companies match by key, the candidate's or that of
+    the company it is an alias of; then all match by lower-cased name, then by
+    part of the name; ties go to the smallest key.  The first two are equi-joins;
+    the last looks up trigrams in ``index``, or in one made of the candidates that
+    the others left open.  An empty candidate is part of no name.
     """
     known = F.create_map(*[F.lit(x) for kv in aliases.items() for x in kv])
     asked = candidates.withColumns({"low": F.lower("candidate"), "exact": F.coalesce(F.element_at(known, F.lower("candidate")), F.col("candidate"))})
-    nodes = nodes.withColumn("low_key", F.lower("key"))
+    if "name" not in nodes.columns:
+        nodes = nodes.withColumn("name", F.col("key"))
     out = ["query_id", "candidate", "label", "key"]
     own = asked.join(nodes.filter("label = 'Company'"), F.col("exact") == F.col("key")).select(*out, F.lit(0).alias("tier"))
-    same = asked.join(nodes, F.col("low") == F.col("low_key")).select(*out, F.lit(1).alias("tier"))
+    same = asked.join(nodes.select("label", "key", F.lower("name").alias("low")), "low").select(*out, F.lit(1).alias("tier"))
     met = top(own.union(same), ["query_id", "candidate", "label"], [F.asc("tier"), F.asc("key")], 1).select(out)
-    open_ = asked.withColumn("label", F.explode(F.array(*map(F.lit, LABELS))))
-    open_ = open_.join(met.select("query_id", "candidate", "label"), ["query_id", "candidate", "label"], "left_anti")
-    open_ = materialize(open_, "open_candidates")
-    if open_.count() <= SENT:
-        open_ = F.broadcast(open_)
-    inside = open_.join(nodes, (open_["label"] == nodes["label"]) & F.col("low_key").contains(F.col("low"))).select("query_id", "candidate", nodes["label"], "key")
+    met = materialize(met, "met")
+    open_ = asked.select("query_id", "candidate", "low", F.explode(F.array(*map(F.lit, LABELS))).alias("label"))
+    open_ = materialize(open_.join(met.select("query_id", "candidate", "label"), ["query_id", "candidate", "label"], "left_anti"), "open_candidates")
+    texts = open_.select("low").distinct()
+    found = containing(index or build_names(nodes, only=starts(texts)), texts)
+    inside = open_.join(found, ["low", "label"]).select(*out)
     return met.union(top(inside, ["query_id", "candidate", "label"], [F.asc("key")], 1).select(out))
 
 

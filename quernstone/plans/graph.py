@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quernstone.operators import graph as g
+from quernstone.operators import communities, graph as g
 from quernstone.sources import tables
 from quernstone.workspace import materialize
 
@@ -92,11 +92,23 @@ def metrics_yoy(spark: SparkSession, sf: str) -> DataFrame:
     return tables.metrics(spark, sf).withColumn("before", before).select("ticker", "fiscal_year", F.round((F.col("amount") - F.col("before")) / F.abs("before") * 100, 4).alias("yoy_pct"))
 
 
+def named_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    """Nodes whose names are not their keys: segments have a part's name, metrics a name and year."""
+    t = lambda name: tables.table(spark, sf, name)
+    out = t("supplier").select(F.lit("Company").alias("label"), F.col("s_name").alias("key"), F.col("s_name").alias("name"))
+    out = out.union(t("nation").select(F.lit("MacroEvent"), F.concat(F.lit("event_"), F.col("n_nationkey").cast("string")), "n_name"))
+    out = out.union(t("part").groupBy("p_brand").agg(F.min("p_name").alias("name")).select(F.lit("BusinessSegment"), "p_brand", "name"))
+    return out.union(tables.metrics(spark, sf).select(F.lit("FinancialMetric"), "metric_id", F.concat(F.lit("Net Revenue "), F.col("fiscal_year").cast("string"))))
+
+
 def entity_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    """The best node of each label for some names, by tiers."""
-    named = tables.table(spark, sf, "supplier").select(F.lit("Company").alias("label"), F.col("s_name").alias("key")).union(tables.table(spark, sf, "nation").select(F.lit("MacroEvent"), "n_name")).union(tables.table(spark, sf, "part").select(F.lit("BusinessSegment"), "p_brand").distinct())
-    asked = spark.createDataFrame([(1, "supplier"), (1, "nation_1"), (2, "brand#1"), (2, "1"), (3, "nothing of the kind")], "query_id long, candidate string")
-    return g.find_entities(named, asked)
+    """The best node of each label for some names, the words of all part names, the ends of all suppliers' names, and metrics by name."""
+    t = lambda name: tables.table(spark, sf, name)
+    asked = spark.createDataFrame([(1, "supplier"), (1, "nation_1"), (2, "brand#1"), (2, "1"), (2, "ow"), (3, "nothing of the kind"), (3, "")], "query_id long, candidate string")
+    asked = asked.union(t("part").select(F.lit(4), F.explode(F.split("p_name", " "))).distinct())
+    asked = asked.union(t("supplier").select(F.lit(5), F.substring("s_name", -4, 4)).distinct())
+    asked = asked.union(tables.metrics(spark, sf).select(F.lit(6), F.concat(F.lit("revenue "), F.col("fiscal_year").cast("string"))).distinct())
+    return g.find_entities(named_nodes(spark, sf), asked)
 
 
 def entity_details(spark: SparkSession, sf: str) -> DataFrame:
@@ -124,6 +136,12 @@ def label_propagation(spark: SparkSession, sf: str) -> DataFrame:
     return g.propagate_labels(edges)
 
 
+def modularity_communities(spark: SparkSession, sf: str) -> DataFrame:
+    """Communities of the whole graph of suppliers, brands and metrics by modularity."""
+    edges = tables.graph_edges(spark, sf).select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    return communities.modular(materialize(edges, "edges"))
+
+
 def community_summaries(spark: SparkSession, sf: str) -> DataFrame:
     """The 20 largest components of customers, with a template summary."""
     rivals = _rivals(spark, sf)
@@ -131,7 +149,7 @@ def community_summaries(spark: SparkSession, sf: str) -> DataFrame:
     return g.summaries(names, rivals)
 
 
-QUERIES = {f.__name__: f for f in (graph_nodes, graph_edges, graph_mentions, graph_khop, graph_traversal, graph_facts, metrics_table, markdown_table, metrics_yoy, entity_lookup, entity_details, connected_components, label_propagation, community_summaries)}
+QUERIES = {f.__name__: f for f in (graph_nodes, graph_edges, graph_mentions, graph_khop, graph_traversal, graph_facts, metrics_table, markdown_table, metrics_yoy, entity_lookup, entity_details, connected_components, label_propagation, modularity_communities, community_summaries)}
 EDGES = """
 e AS (SELECT DISTINCT 'OPERATES_IN' AS rel, 'Company' AS src_label, s_name AS src, 'BusinessSegment' AS dst_label, p_brand AS dst FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey
   UNION ALL SELECT 'COMPETES_WITH', 'Company', a.s_name, 'Company', b.s_name FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_name <> b.s_name AND abs(a.s_suppkey - b.s_suppkey) <= 100
@@ -180,8 +198,10 @@ SQL = {
     "metrics_table": f"WITH {_ROWS} SELECT metric_id, ticker, fiscal_year, amount, unit, chunk_id FROM r LEFT JOIN ci USING (metric_id)",
     "markdown_table": f"""WITH {_ROWS} SELECT '| ticker | year | metric | value | section | chunk_id |' || chr(10) || '|---|---|---|---|---|---|' || chr(10) || string_agg('| ' || ticker || ' | ' || fiscal_year || ' | revenue | ' || round(amount, 0)::BIGINT || ' USD | Item 8 | ' || chunk_id || ' |', chr(10) ORDER BY ticker, fiscal_year, metric_id) AS block FROM r LEFT JOIN ci USING (metric_id)""",
     "metrics_yoy": f"WITH {_METRICS}, b AS (SELECT *, lag(amount) OVER (PARTITION BY ticker ORDER BY fiscal_year) AS before FROM mt) SELECT ticker, fiscal_year, round((amount - before) / abs(before) * 100, 4) AS yoy_pct FROM b",
-    "entity_lookup": """WITH n AS (SELECT 'Company' AS label, s_name AS key FROM supplier UNION ALL SELECT 'MacroEvent', n_name FROM nation UNION ALL SELECT DISTINCT 'BusinessSegment', p_brand FROM part), q AS (SELECT * FROM (VALUES (1, 'supplier'), (1, 'nation_1'), (2, 'brand#1'), (2, '1'), (3, 'nothing of the kind')) v(query_id, candidate))
-        SELECT query_id::BIGINT AS query_id, candidate, label, key FROM n JOIN q ON contains(lower(key), lower(candidate)) QUALIFY row_number() OVER (PARTITION BY query_id, candidate, label ORDER BY CASE WHEN label = 'Company' AND key = candidate THEN 0 WHEN lower(key) = lower(candidate) THEN 1 ELSE 2 END, key) = 1""",
+    "entity_lookup": f"""WITH {_METRICS}, n AS (SELECT 'Company' AS label, s_name AS key, s_name AS name FROM supplier UNION ALL SELECT 'MacroEvent', 'event_' || n_nationkey, n_name FROM nation UNION ALL SELECT 'BusinessSegment', p_brand, min(p_name) FROM part GROUP BY p_brand
+          UNION ALL SELECT 'FinancialMetric', metric_id, 'Net Revenue ' || fiscal_year FROM mt),
+        q AS (SELECT * FROM (VALUES (1, 'supplier'), (1, 'nation_1'), (2, 'brand#1'), (2, '1'), (2, 'ow'), (3, 'nothing of the kind')) v(query_id, candidate) UNION SELECT 4, unnest(string_split(p_name, ' ')) FROM part UNION SELECT 5, s_name[-4:] FROM supplier UNION SELECT 6, 'revenue ' || fiscal_year FROM mt)
+        SELECT query_id::BIGINT AS query_id, candidate, label, key FROM n JOIN q ON contains(lower(name), lower(candidate)) OR (label = 'Company' AND key = candidate) QUALIFY row_number() OVER (PARTITION BY query_id, candidate, label ORDER BY CASE WHEN label = 'Company' AND key = candidate THEN 0 WHEN lower(name) = lower(candidate) THEN 1 ELSE 2 END, key) = 1""",
     "label_propagation": f"WITH {EDGES}, {_propagation()} SELECT node, community FROM n5",
     "connected_components": f"WITH RECURSIVE {_RIVALS} SELECT node, component FROM cc",
     "community_summaries": f"""WITH RECURSIVE {_RIVALS}, s AS (SELECT component AS community, count(*) AS size, array_to_string(list_sort(list(node))[1:5], ', ') AS top_entities FROM cc GROUP BY component ORDER BY size DESC, community LIMIT 20),
