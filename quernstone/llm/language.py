@@ -20,7 +20,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from quernstone.llm.kernels import codepoints, slices, texts
 from quernstone.workspace import in_arrow
@@ -83,7 +83,7 @@ def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, 0, BLOCK, 128):
             x, _ = grams(texts(part.column(0)))
-            yield pa.RecordBatch.from_arrays([part.column(1), pa.array([v.tobytes() for v in x], pa.binary())], ["lang", "v"])
+            yield pa.RecordBatch.from_arrays([part.column(1), pa.array([v.tobytes() for v in x], pa.binary()), part.column(2)], ["lang", "v", "n"])
 
 
 def weigh(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -91,15 +91,16 @@ def weigh(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
 
-def centroids(x: np.ndarray, k: int, rounds: int = 15, seed: int = 7) -> np.ndarray:
-    """Spherical k-means; the first centres are spread out by farthest choice."""
+def centroids(x: np.ndarray, k: int, rounds: int = 15, seed: int = 7, often: np.ndarray | None = None) -> np.ndarray:
+    """Spherical k-means of rows that count ``often``; the first centres are spread out by farthest choice."""
+    often = np.ones(len(x)) if often is None else often
     pick = [int(np.random.default_rng(seed).integers(len(x)))]
     while len(pick) < min(k, len(x)):
         pick.append(int(np.argmin((x @ x[pick].T).max(1))))
     centre = x[pick]
     for _ in range(rounds):
         near = (x @ centre.T).argmax(1)
-        sums = np.stack([x[near == i].sum(0) if (near == i).any() else centre[i] for i in range(len(centre))])
+        sums = np.stack([often[near == i] @ x[near == i] if (near == i).any() else centre[i] for i in range(len(centre))])
         centre = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
     return centre
 
@@ -108,26 +109,30 @@ def fit(learn: DataFrame, per_language: int = 300, clusters: int = 4) -> dict:
     """The model from ``learn(doc_id, text, lang)``; rows without a lang teach nothing.
 
     Repeated rows count each; null and empty texts count as texts without a
-    gram; a very long text is read as a whole.
+    gram; a very long text is read as a whole.  Of a language's sample equal texts
+    are one vector that weighs as often as they occur, and ``per_language`` vectors
+    at most come to the driver, those with the smallest hashes.
     """
     learn = learn.filter("lang IS NOT NULL")
     counts = {r["lang"]: r["count"] for r in learn.groupBy("lang").count().collect()}
     if not counts:
         return {"langs": [], "idf": np.ones(DIMS, np.float32), "centres": np.zeros((0, DIMS), np.float32), "of": np.zeros(0, int)}
     unit = F.pmod(F.xxhash64(F.lit("language"), F.col("doc_id"), F.xxhash64("text")), F.lit(1 << 20)) / float(1 << 20)
-    # Few rows of a language are all taken, so that they can't all miss their odds.
-    share = {k: 1.0 if n <= 4 * per_language else per_language / n for k, n in counts.items()}
+    # Few rows of a language are all read, so that they can't all miss their odds.
+    share = {k: 1.0 if n <= 4 * per_language else 2 * per_language / n for k, n in counts.items()}
     odds = F.element_at(F.create_map(*[y for k, part in share.items() for y in (F.lit(k), F.lit(part))]), F.col("lang"))
-    rows = in_arrow(learn.filter(unit < odds).select("text", "lang"), _sample, "lang string, v binary").collect()
-    rows.sort(key=lambda r: (r["lang"], r["v"]))  # whatever the order of arrival
+    sample = learn.filter(unit < odds).groupBy("lang", F.xxhash64("text").alias("h")).agg(F.min("text").alias("text"), F.count("*").alias("n"))
+    sample = sample.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("place") <= per_language)
+    rows = in_arrow(sample.select("text", "lang", "n"), _sample, "lang string, v binary, n long").collect()
+    rows.sort(key=lambda r: (r["lang"], r["v"], r["n"]))  # whatever the order of arrival
     counted = in_arrow(learn.select("text"), _frequencies, "dim long, df long").groupBy("dim").agg(F.sum("df").alias("n"))
     df = {r["dim"]: r["n"] for r in counted.collect()}
     n = df.pop(-1)
     idf = np.log((1 + n) / (1 + np.array([df[i] for i in range(DIMS)], float))).astype(np.float32) + np.float32(1)
     x = weigh(np.stack([np.frombuffer(r["v"], np.float32) for r in rows]), idf)
-    of = np.array([r["lang"] for r in rows])
+    of, often = np.array([r["lang"] for r in rows]), np.array([r["n"] for r in rows], np.float32)
     langs = sorted(set(of))
-    found = [centroids(x[of == lang], clusters) for lang in langs]
+    found = [centroids(x[of == lang], clusters, often=often[of == lang]) for lang in langs]
     of_centre = np.repeat(np.arange(len(langs)), [len(f) for f in found])
     return {"langs": langs, "idf": idf, "centres": np.concatenate(found).astype(np.float32), "of": of_centre}
 

@@ -20,7 +20,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from quernstone.llm.kernels import codepoints, mix, slices, texts
 from quernstone.llm.language import letters
@@ -102,7 +102,7 @@ def _sample(per_bag: int):
             for part in slices(batch, 0):
                 x, count = passages(texts(part.column(0)))
                 bags = (b[np.unique(np.linspace(0, len(b) - 1, min(per_bag, len(b))).astype(int))] for b in np.split(x, np.cumsum(count)[:-1]))
-                yield pa.RecordBatch.from_arrays([pa.array([b.astype(np.float16).tobytes() for b in bags], pa.binary()), part.column(1).cast(pa.int32())], ["bag", "y"])
+                yield pa.RecordBatch.from_arrays([pa.array([b.astype(np.float16).tobytes() for b in bags], pa.binary()), part.column(1).cast(pa.int32()), part.column(2)], ["bag", "y", "n"])
 
     return run
 
@@ -187,7 +187,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, per_bag: int
 
     Null labels and labels of unknown documents teach nothing; of several
     labels of one document the highest counts, and each of its rows is a bag.
-    None without labelled text.
+    Equal texts of a label are one bag that weighs as often as they occur, and
+    beyond twice ``per_class`` such bags of a label those with the smallest hashes
+    are taken.  None without labelled text.
     """
     labels = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").cast("int").alias("y"))
     counts = {r["y"]: r["count"] for r in labels.groupBy("y").count().collect()}
@@ -197,14 +199,17 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, per_bag: int
     odds = F.element_at(F.create_map(*[v for k, n in counts.items() for v in (F.lit(k), F.lit(min(1.0, per_class / n)))]), F.col("y"))
     # About per_class rows for each label: bounded, so it may be sent to all executors.
     chosen = F.broadcast(labels.filter(unit < odds))
-    taught = docs.select("doc_id", "text").join(chosen, "doc_id").select("text", "y")
-    rows = in_arrow(taught, _sample(per_bag), "bag binary, y int").collect()
+    taught = docs.select("doc_id", "text").join(chosen, "doc_id").groupBy("y", F.xxhash64("text").alias("h")).agg(F.min("text").alias("text"), F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy("y").orderBy("h"))
+    taught = taught.withColumn("place", place).filter(F.col("place") <= 2 * per_class).select("text", "y", "n")
+    rows = in_arrow(taught, _sample(per_bag), "bag binary, y int, n long").collect()
     if not rows:
         return None
     bags = [np.frombuffer(r["bag"], np.float16).astype(np.float32).reshape(-1, FEATURES) for r in rows]
-    order = sorted(range(len(rows)), key=lambda i: (rows[i]["y"], rows[i]["bag"]))  # whatever the order of arrival
+    order = sorted(range(len(rows)), key=lambda i: (rows[i]["y"], rows[i]["bag"], rows[i]["n"]))  # whatever the order of arrival
     y = np.array([rows[i]["y"] for i in order], float)
-    weight = np.array([counts[int(k)] for k in y]) / np.maximum(np.array([(y == k).sum() for k in y]), 1)
+    n = np.array([rows[i]["n"] for i in order], float)
+    weight = n * np.array([counts[int(k)] for k in y]) / np.array([n[y == k].sum() for k in y])
     return train([bags[i] for i in order], y, weight)
 
 
@@ -235,10 +240,12 @@ def score(docs: DataFrame, model: dict | None) -> DataFrame:
 def keep(docs: DataFrame, model: dict | None, threshold: float = 0.5, score_name: str | None = None) -> DataFrame:
     """The rows of ``docs`` that the model does not reject, with all their columns.
 
-    With ``score_name`` the score is one more column.  Null and empty texts
+    With ``score_name`` the score is one more column, in place of one of that
+    name.  Null and empty texts
     are judged as one empty passage, very long ones by all their passages;
     repeated rows stay or go together.  Without a model every row stays.
     """
+    docs = docs if score_name is None else docs.drop(score_name)
     at = docs.columns.index("text")
     schema = docs.schema if score_name is None else docs.schema.add(score_name, "double")
 

@@ -14,7 +14,7 @@ from quernstone.llm.quality import op2
 from quernstone.llm.records import op5
 from quernstone.llm.sharding import op4
 from quernstone.llm.trie import op12
-from quernstone.llm.urls import RULES, op8, op8_settled
+from quernstone.llm.urls import RULES, op8
 
 QUERIES = {
     "op1_lines": op1,
@@ -25,7 +25,6 @@ QUERIES = {
     "op6_language": op6,
     "op7_decontamination": op7,
     "op8_urls": op8,
-    "op8_urls_settled": op8_settled,
     "op9_jaccard_join": op9,
     "op10_forest": op10,
     "op11_codes": op11,
@@ -50,7 +49,7 @@ c AS (SELECT *, source_size * 2.0::DOUBLE AS cap, 1.5::DOUBLE * sum(source_size)
 l AS (SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE)) / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM c),
 t AS (SELECT source, source_size, least(cap, coalesce(max(CASE WHEN cap / weight > level THEN level END) OVER () * weight, cap)) AS target FROM l),
 e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS epochs FROM t),
-r AS (SELECT k.doc_id, k.source, size, source_size, target, epochs, greatest(0.0::DOUBLE, target - epochs * source_size) AS rest, sum(size) OVER (PARTITION BY k.source ORDER BY place, key) AS upto FROM k JOIN e ON k.source IS NOT DISTINCT FROM e.source),
+r AS (SELECT k.doc_id, k.source, size, source_size, target, epochs, greatest(0.0::DOUBLE, target - epochs * source_size) AS rest, sum(size) OVER (PARTITION BY k.source ORDER BY place, key ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM k JOIN e ON k.source IS NOT DISTINCT FROM e.source),
 x AS (SELECT *, (epochs + CASE WHEN rest > 0 AND size > 0 AND upto - size * 0.5::DOUBLE <= rest THEN 1 ELSE 0 END)::INTEGER AS copies FROM r)
 SELECT doc_id, size::BIGINT AS size, source_size, target, (size * copies)::BIGINT AS taken, source, copies FROM x"""
 
@@ -75,18 +74,17 @@ m AS (SELECT node, min(root) AS root FROM r GROUP BY node)
 SELECT n.doc_id, n.n::BIGINT AS n_shingles, coalesce(m.root, n.doc_id) AS component_id{more} FROM n LEFT JOIN m ON m.node = n.doc_id"""
 
 
-def _urls_sql(rounds: int = 12) -> str:
-    """The rules, and the rounds of the propagation as one common table each."""
+def _urls_sql() -> str:
+    """The rules, and the rounds of the propagation as a recursive table.
+
+    There are as many rounds as hosts, so that every path has been gone, and 200
+    at least, after which 0.85 to that power is left to come; one without links.
+    """
     host = "translate(regexp_extract(coalesce({}, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     fits = [(f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')", h + p, v) for h, p, v in sorted(RULES, key=lambda r: -len(r[0] + r[1]))]
     rule, says = (f"CASE {' '.join(f"WHEN {f[0]} THEN '{f[i]}'" for f in fits)} END" for i in (1, 2))
-    steps = "".join(
-        f""",
-r{k} AS (SELECT kind, host, sum(rank) AS rank FROM (SELECT kind, host, rank FROM b UNION ALL SELECT m.kind, m.dst, r.rank * m.part * 0.85::DOUBLE FROM m JOIN {f"r{k - 1}" if k else "b"} r ON r.kind = m.kind AND r.host = m.src) GROUP BY kind, host)"""
-        for k in range(rounds)
-    )
     return f"""
-WITH p AS (SELECT page_id, {host.format("url")} AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path, html FROM pages),
+WITH RECURSIVE p AS (SELECT page_id, {host.format("url")} AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path, html FROM pages),
 j AS (SELECT *, {rule} AS rule, {says} AS says FROM p),
 a AS (SELECT host AS src, unnest(list_distinct(regexp_extract_all(html, '(?is)<a\\s[^>]*?href\\s*=\\s*["'']?((?:[a-z][a-z0-9+.-]*:)?//[^"''\\s>]+)', 1))) AS href FROM p),
 g AS (SELECT src, {host.format("CASE WHEN starts_with(href, '//') THEN 'x:' || href ELSE href END")} AS dst FROM a),
@@ -94,8 +92,11 @@ e AS (SELECT src, dst, count(*) AS n FROM g WHERE src <> '' AND dst <> '' AND sr
 f AS (SELECT 'trust' AS kind, src, dst, n FROM e UNION ALL SELECT 'distrust', dst, src, n FROM e),
 m AS (SELECT kind, src, dst, n / sum(n) OVER (PARTITION BY kind, src) AS part FROM f),
 h AS (SELECT host, sum((says = 'allow')::INT) AS t, sum((says = 'block')::INT) AS d FROM j WHERE host <> '' AND says IS NOT NULL GROUP BY host),
-b AS (SELECT 'trust' AS kind, host, 0.15::DOUBLE * t / (SELECT sum(t) FROM h) AS rank FROM h WHERE t > 0 UNION ALL SELECT 'distrust', host, 0.15::DOUBLE * d / (SELECT sum(d) FROM h) FROM h WHERE d > 0){steps},
-k AS (SELECT host, coalesce(sum(rank) FILTER (kind = 'trust'), 0.0::DOUBLE) AS trust, coalesce(sum(rank) FILTER (kind = 'distrust'), 0.0::DOUBLE) AS distrust FROM r{rounds - 1} GROUP BY host)
+b AS (SELECT 'trust' AS kind, host, 0.15::DOUBLE * t / (SELECT sum(t) FROM h) AS rank FROM h WHERE t > 0 UNION ALL SELECT 'distrust', host, 0.15::DOUBLE * d / (SELECT sum(d) FROM h) FROM h WHERE d > 0),
+o AS (SELECT CASE WHEN (SELECT count(*) FROM m) = 0 THEN 1 ELSE greatest(200, (SELECT count(*) FROM (SELECT src FROM m UNION SELECT dst FROM m))) END AS rounds),
+r AS (SELECT kind, host, rank, 0 AS k FROM b UNION ALL SELECT kind, host, sum(rank), k FROM (SELECT kind, host, rank, k + 1 AS k FROM b, (SELECT max(k) AS k FROM r), o WHERE k < rounds
+  UNION ALL SELECT m.kind, m.dst, r.rank * m.part * 0.85::DOUBLE, r.k + 1 FROM m JOIN r ON r.kind = m.kind AND r.host = m.src, o WHERE r.k < rounds) GROUP BY kind, host, k),
+k AS (SELECT host, coalesce(sum(rank) FILTER (kind = 'trust'), 0.0::DOUBLE) AS trust, coalesce(sum(rank) FILTER (kind = 'distrust'), 0.0::DOUBLE) AS distrust FROM r WHERE k = (SELECT max(k) FROM r) GROUP BY host)
 SELECT page_id, j.host, path, rule, coalesce(says, CASE WHEN coalesce(distrust, 0) > coalesce(trust, 0) THEN 'block' ELSE 'allow' END) AS verdict, round(coalesce(trust, 0), 9) AS trust, round(coalesce(distrust, 0), 9) AS distrust FROM j LEFT JOIN k ON j.host = k.host"""
 
 
@@ -129,7 +130,8 @@ r AS (SELECT k.c, 0 AS side, pos, x FROM k JOIN t ON t.c = base AND pos < h UNIO
 s AS (SELECT k.c, coalesce(seq, []) AS seq FROM k LEFT JOIN (SELECT c, list(x ORDER BY side, pos) AS seq FROM r GROUP BY c) USING (c)),
 m AS (SELECT c, d, seq[1:d] AS node, len(seq) = d AS ended FROM (SELECT c, seq, unnest(range(len(seq) + 1)) AS d FROM s)),
 n AS MATERIALIZED (SELECT d, node, min(c) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ended), '')) AS ends_sha256,
-  (count(*) - 1) * len(regexp_extract_all(coalesce(node[d].t, ''), '[^ 	-]+')) AS saved FROM m GROUP BY d, node),
+  (count(*) - 1) * len(regexp_extract_all(coalesce(node[d].t, ''), '[^ 	-
+]+')) AS saved FROM m GROUP BY d, node),
 p AS MATERIALIZED (SELECT n.*, p.conv_id AS parent FROM n LEFT JOIN n p ON p.d = n.d - 1 AND p.node = n.node[1 : n.d - 1]),
 z AS MATERIALIZED (SELECT n.conv_id, n.d, coalesce(k, 0) AS k FROM n LEFT JOIN (SELECT parent, d - 1 AS d, count(*) AS k FROM p WHERE parent IS NOT NULL GROUP BY parent, d) y ON y.parent = n.conv_id AND y.d = n.d),
 a AS (SELECT e, node[1:e] AS top, saved, k = 0 AS leaf FROM (SELECT p.*, k, unnest(range(p.d + 1)) AS e FROM p JOIN z ON z.conv_id = p.conv_id AND z.d = p.d)),

@@ -7,8 +7,8 @@ hosts with blocked pages against the links (who links to a blocked host is
 suspect).  A host whose distrust exceeds ``ratio`` times its trust is blocked.
 
 A rank is ``r = (1 - d) * seed + d * sum over links of r / links out``, carried
-on for a fixed number of rounds, or until no rank changes by more than
-``SETTLED`` of itself; what reaches a host without links stays there.
+on until no host is new and no rank changes by more than ``SETTLED`` of itself;
+what reaches a host without links stays there.
 Seeds of a kind share a total of 1, by their numbers of pages.  Both
 kinds move in one job per round; links are counted once per pair of hosts
 before anything moves, so a host with very many links is aggregated first.
@@ -31,7 +31,7 @@ RULES = (
     ("net", "/fr/", "block"),
 )
 #: Ranks have settled when none is new and none changes by more than this part of itself in four rounds.
-SETTLED = 1e-9
+SETTLED = 1e-10
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SPLIT = r"(?s)\A.*?://([^/?#]*)([^?#]*)"
 _LINK = r"(?is)<a\s[^>]*?href\s*=\s*[\"']?((?:[a-z][a-z0-9+.-]*:)?//[^\"'\s>]+)"
@@ -64,7 +64,7 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.filter("src <> '' AND dst <> '' AND src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, rounds: int | None = 12, damping: float = 0.85) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, rounds: int | None = None, damping: float = 0.85) -> DataFrame:
     """``host, trust, distrust`` from ``edges(src, dst, n)`` and ``seeds(host, trust, distrust)``.
 
     Without a number of ``rounds`` they go on until the ranks have settled.
@@ -93,7 +93,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int | None = 12, dampi
     return rank.groupBy("host").agg(pick("trust"), pick("distrust"))
 
 
-def judge(pages: DataFrame, rules=RULES, ratio: float = 1.0, rounds: int | None = 12, damping: float = 0.85) -> DataFrame:
+def judge(pages: DataFrame, rules=RULES, ratio: float = 1.0, rounds: int | None = None, damping: float = 0.85) -> DataFrame:
     """``page_id, host, path, rule, verdict, trust, distrust``, a row for each row.
 
     ``pages(page_id, url, html)``.  A null url, and one without ``://``, has an
@@ -118,10 +118,6 @@ def judge(pages: DataFrame, rules=RULES, ratio: float = 1.0, rounds: int | None
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "trust", "distrust")
 
 
-def op8(spark, sf_dir: str, rounds: int | None = 12) -> DataFrame:
-    out = judge(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"), rounds=rounds)
+def op8(spark, sf_dir: str) -> DataFrame:
+    out = judge(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
     return out.withColumns({c: F.round(c, 9) for c in ("trust", "distrust")})
-
-
-def op8_settled(spark, sf_dir: str) -> DataFrame:
-    return op8(spark, sf_dir, None)

@@ -64,6 +64,16 @@ def test_language_repeated_rows_and_long_texts(spark):
     assert {x["lang_pred"] for x in got if x["doc_id"] == 500} == {"xx"}
 
 
+def test_a_row_repeated_very_often_is_one_sample(spark):
+    data = language_rows() + [language_rows()[0]] * 3000
+    learn = frame(spark, data).filter(F.col("doc_id") % 4 != 2)
+    model = language.fit(learn, per_language=40, clusters=3)
+    assert len(model["centres"]) <= 3 * len(model["langs"])
+    got = {r["doc_id"]: r["lang_pred"] for r in language.predict(frame(spark, language_rows()), model).collect()}
+    held = [r for r in language_rows() if r[0] is not None and r[0] % 4 == 2 and r[0] < 900]
+    assert np.mean([got[r[0]] == r[2] for r in held]) > 0.95
+
+
 def test_language_without_labels_and_rows(spark):
     model = language.fit(frame(spark, []))
     assert language.predict(frame(spark, []), model).count() == 0
