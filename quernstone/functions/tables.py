@@ -147,3 +147,9 @@ MENTIONS = {
     "MacroEvent": "MENTIONS_EVENT",
 }
 LABELS = tuple(MENTIONS)
+
+#: Words that say nothing about which company a request means.
+RESOLUTION_FILLERS = (
+    "añade", "añadir", "ingesta", "ingestar", "agrega", "agregar", "add", "ingest", "de", "la", "el", "en", "para", "por", "con", "y",
+    "a", "the", "to", "for", "of", "in", "on",
+)

@@ -156,7 +156,31 @@ def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(target).groupBy("company_ticker").agg(F.count("*").alias("n"), F.sum("token_count").alias("tokens"))
 
 
-QUERIES = {f.__name__: f for f in (chunk_window, main_document, section_split, table_aware_chunk, html_clean, skippable_chunks, filing_year_prune, triplet_parse, json_repair, incremental_append, pending_chunks, purge_pair, missing_pairs, upsert_last_non_null, upsert_rows, progress_latest, ttl_filter, stale_locks, config_union, stream_ingest)}
+#: What a tool may put before an answer: the first ends in a string with a brace, the second follows no rule of JSON.
+PREFACES = ('{"tool": "quote", "note": "a } in \\"text\\""}\n', "{rate: {1, 2}} ")
+
+
+def stream_holdback(spark: SparkSession, sf: str) -> DataFrame:
+    """Answers from a stream of their tokens, without prefaces: two turns of three have one, and of these half are cut short."""
+    from quernstone.streaming.holdback import holding, released
+    from quernstone.workspace import new_path
+
+    source, target, state = (new_path(spark, x) for x in ("tokens", "answers", "state"))
+    turn, text = F.col("turn"), F.coalesce("text", F.lit(""))
+    said = F.when(turn % 3 == 1, text).when(turn % 3 == 0, F.concat(F.lit(PREFACES[0]), text)).otherwise(F.concat(F.lit(PREFACES[1]), F.substring(text, F.lit(1), (F.col("conv_id") % 40).cast("int"))))
+    rows = tables.table(spark, sf, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("answer"), said.alias("said")).filter("said <> ''")
+    size = 5 + F.crc32(F.col("answer").cast("binary")) % 11
+    starts = F.transform(F.sequence(F.lit(0).cast("long"), F.ceil(F.length("said") / size) - 1), lambda i: F.substring("said", (i * size + 1).cast("int"), size.cast("int")))
+    rows.select("answer", F.size(starts).alias("n"), F.posexplode(starts).alias("at", "token")).select("answer", F.col("at").cast("long").alias("seq"), "token", (F.col("at") == F.col("n") - 1).alias("last")).write.parquet(source)
+    with holding(spark):
+        stream = released(spark.readStream.schema("answer string, seq long, token string, last boolean").parquet(source))
+        stream.writeStream.format("parquet").option("path", target).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    pieces = F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"])
+    out = spark.read.schema("answer string, seq long, text string").parquet(target).groupBy("answer").agg(F.array_join(pieces, "").alias("text"))
+    return out.select("answer", F.length("text").cast("long").alias("n_chars"), F.sha1(F.col("text").cast("binary")).alias("sha1"))
+
+
+QUERIES = {f.__name__: f for f in (chunk_window, main_document, section_split, table_aware_chunk, html_clean, skippable_chunks, filing_year_prune, triplet_parse, json_repair, incremental_append, pending_chunks, purge_pair, missing_pairs, upsert_last_non_null, upsert_rows, progress_latest, ttl_filter, stale_locks, config_union, stream_ingest, stream_holdback)}
 _WORDS = "list_filter(regexp_split_to_array({}, '[\\s   -     　\\x{{85}}\\x0b\\x1c-\\x1f]+'), lambda w: w <> '')"
 _WINDOW = f"""WITH {CHUNKS}, t AS (SELECT *, {_WORDS.format("coalesce(text, '')")} AS toks FROM chunks),
     w AS (SELECT *, CASE WHEN len(toks) <= 600 THEN [0] ELSE range(0, len(toks), 510) END AS starts FROM t),
@@ -164,6 +188,9 @@ _WINDOW = f"""WITH {CHUNKS}, t AS (SELECT *, {_WORDS.format("coalesce(text, '')"
     u AS (SELECT *, unnest(pieces) AS piece, unnest(range(len(pieces))) AS chunk_seq FROM p),
     x AS (SELECT *, array_to_string(piece, ' ') AS body FROM u)"""
 SQL = {
+    "stream_holdback": f"""WITH a AS (SELECT conv_id || '-' || turn AS answer, CASE turn % 3 WHEN 0 THEN '{PREFACES[0]}' WHEN 2 THEN '{PREFACES[1]}' ELSE '' END AS preface, CASE WHEN turn % 3 = 2 THEN left(coalesce(text, ''), conv_id % 40) ELSE coalesce(text, '') END AS body FROM conversations),
+        b AS (SELECT answer, CASE WHEN preface = '' OR length(ltrim(body)) <= 20 THEN preface || body ELSE ltrim(body) END AS text FROM a)
+        SELECT answer, length(text) AS n_chars, sha1(text) AS sha1 FROM b WHERE text <> ''""",
     "chunk_window": f"""{_WINDOW} SELECT doc_id, chunk_seq, len(piece) AS token_count, left(sha1(concat_ws('|', company_ticker, fiscal_year, section_id, 1, chunk_seq, body)), 32) AS chunk_id FROM x""",
     "stream_ingest": f"{_WINDOW}, d AS (SELECT DISTINCT company_ticker, fiscal_year, section_id, chunk_seq, body, len(piece) AS n FROM x) SELECT company_ticker, count(*) AS n, sum(n)::BIGINT AS tokens FROM d GROUP BY company_ticker",
     "skippable_chunks": f"""WITH {CHUNKS}, s AS (SELECT *, CASE WHEN chunk_id % 3 = 0 THEN 'Signatures' ELSE section_id END AS section FROM chunks)

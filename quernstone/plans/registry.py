@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quernstone.plans import dialogue, graph, ingestion, retrieval
+from quernstone.plans import dialogue, graph, ingestion, resolution, retrieval
 
-QUERIES = retrieval.QUERIES | ingestion.QUERIES | graph.QUERIES | dialogue.QUERIES
-SQL = retrieval.SQL | ingestion.SQL | graph.SQL | dialogue.SQL
+QUERIES = retrieval.QUERIES | ingestion.QUERIES | graph.QUERIES | dialogue.QUERIES | resolution.QUERIES
+SQL = retrieval.SQL | ingestion.SQL | graph.SQL | dialogue.SQL | resolution.SQL
