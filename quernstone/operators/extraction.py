@@ -151,7 +151,7 @@ def typed(parsed: DataFrame, chunks: DataFrame) -> DataFrame:
     Joined with ``chunks(chunk_id, company_ticker, fiscal_year, text)``; triplets
     without a valid end, and those from a node to itself, go.  A metric without
     a year gets the last one before its value in the text (where ``chunks`` has
-    it), else the filing's.
+    it), else the filing's.  The names are the ends as the output has them.
     """
     text = F.col("text") if "text" in chunks.columns else F.lit(None).cast("string")
     rows = parsed.join(chunks.select(F.col("chunk_id").cast("string").alias("chunk_id"), "company_ticker", "fiscal_year", text.alias("text")), "chunk_id")
@@ -166,7 +166,7 @@ def typed(parsed: DataFrame, chunks: DataFrame) -> DataFrame:
         year = F.when(said.between(2015, 2030), said).otherwise(F.col("fiscal_year").cast("bigint"))
         out = out.withColumn(end, entity_key(F.col(side), F.col(f"{end}_label"), F.col("company_ticker"), year))
     out = out.filter(F.col("src").isNotNull() & F.col("dst").isNotNull() & ~((F.col("src_label") == F.col("dst_label")) & (F.col("src") == F.col("dst"))))
-    return out.select("chunk_id", F.upper("relation").alias("rel"), "src_label", "src", "source_props", "dst_label", "dst", "target_props").dropDuplicates(["chunk_id", "rel", "src_label", "src", "dst_label", "dst"])
+    return out.select("chunk_id", F.upper("relation").alias("rel"), "src_label", "src", F.trim("source").alias("src_name"), "source_props", "dst_label", "dst", F.trim("target").alias("dst_name"), "target_props").dropDuplicates(["chunk_id", "rel", "src_label", "src", "dst_label", "dst"])
 
 
 def metric_year(text: Column, value: Column, name: Column, reach: int = 400) -> Column:

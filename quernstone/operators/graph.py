@@ -7,6 +7,7 @@ kept.  All limits have a total order.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -79,23 +80,39 @@ def find_entities(nodes: DataFrame, candidates: DataFrame, aliases: dict[str, st
     return met.union(top(inside, ["query_id", "candidate", "label"], [F.asc("key")], 1).select(out))
 
 
-def hops(edges: DataFrame, starts: DataFrame, max_hops: int = 3, fan_out: int = 50) -> DataFrame:
+def hops(edges: DataFrame | Callable[[DataFrame], DataFrame], starts: DataFrame, max_hops: int = 3, fan_out: int = 50, most: int | None = None) -> DataFrame:
     """``query_id, label, key, depth``: the smallest depth (start 1) of nodes within ``max_hops`` of the starts.
 
     Edges are followed in their direction, at most ``fan_out`` for each node and
     relation, smallest targets first.  Each hop reads only the edges of the nodes
     that the last one reached, and is written, so that its size is known; nodes
-    that were reached before do not move again.
+    that were reached before do not move again.  ``edges`` may be a function from
+    nodes ``(src_label, src)`` to their edges, which then need not all exist.  With
+    ``most``, a question visits so many nodes at most: the nearest, of those at one
+    depth the first by label and key.
     """
+
+    def within(front: DataFrame, seen: DataFrame | None) -> DataFrame:
+        if most is None:
+            return front
+        place = F.row_number().over(Window.partitionBy("query_id").orderBy("label", "key"))
+        front = front.withColumn("_place", place)
+        if seen is not None:
+            front = front.join(seen.groupBy("query_id").agg(F.count("*").alias("_seen")), "query_id", "left")
+        left = most - (F.lit(0) if seen is None else F.coalesce("_seen", F.lit(0)))
+        return front.filter(F.col("_place") <= left).drop("_place", "_seen")
+
     ends = ["src_label", "src"]
-    seen = front = materialize(starts.select("query_id", "label", "key", F.lit(1).cast("bigint").alias("depth")).distinct(), "hop_1")
+    seen = front = materialize(within(starts.select("query_id", "label", "key", F.lit(1).cast("bigint").alias("depth")).distinct(), None), "hop_1")
     for depth in range(2, max_hops + 1):
         at = front.select(F.col("label").alias("src_label"), F.col("key").alias("src"))
-        own = edges.join(at.distinct(), ends, "left_semi").select("rel", *ends, "dst_label", "dst").distinct()
+        near = edges(at.distinct()) if callable(edges) else edges.join(at.distinct(), ends, "left_semi")
+        own = near.select("rel", *ends, "dst_label", "dst").distinct()
         moves = top(own, ["rel", *ends], [F.asc("dst")], fan_out).select(*ends, "dst_label", "dst")
         step = front.select("query_id", F.col("label").alias("src_label"), F.col("key").alias("src")).join(moves, ends)
         step = step.select("query_id", F.col("dst_label").alias("label"), F.col("dst").alias("key")).distinct()
-        front = materialize(step.join(seen, ["query_id", "label", "key"], "left_anti").withColumn("depth", F.lit(depth).cast("bigint")), f"hop_{depth}")
+        front = within(step.join(seen, ["query_id", "label", "key"], "left_anti"), seen).withColumn("depth", F.lit(depth).cast("bigint"))
+        front = materialize(front.select(seen.columns), f"hop_{depth}")
         seen = seen.unionByName(front)
     return seen
 
@@ -128,13 +145,13 @@ def metric_rows(metrics: DataFrame, cited: DataFrame, tickers: list[str], years:
     return rows.join(first, "metric_id", "left")
 
 
-def markdown_table(rows: DataFrame, order: list[str]) -> DataFrame:
-    """One row, ``block``: the metric rows as a Markdown table whose rule has as many cells as its header."""
+def markdown_table(rows: DataFrame, order: list[str], by: tuple[str, ...] = ()) -> DataFrame:
+    """One row, ``block``, or one for each value of ``by``: the metric rows as a Markdown table whose rule has as many cells as its header."""
     shown = F.trim(F.concat_ws(" ", "value", "unit"))
     line = F.concat(F.lit("| "), F.concat_ws(" | ", "ticker", F.col("fiscal_year").cast("string"), "name", F.when(shown == "", "(no value extracted)").otherwise(shown), F.coalesce("section_id", F.lit("Item 8")), F.coalesce("chunk_id", F.lit(""))), F.lit(" |"))
-    body = rows.agg(F.array_sort(F.collect_list(F.struct(*order, line.alias("line")))).alias("rows"))
+    body = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*order, line.alias("line")))).alias("rows"))
     head = "| ticker | year | metric | value | section | chunk_id |\n|---|---|---|---|---|---|"
-    return body.filter(F.size("rows") > 0).select(F.concat_ws("\n", F.lit(head), F.array_join(F.col("rows.line"), "\n")).alias("block"))
+    return body.filter(F.size("rows") > 0).select(*by, F.concat_ws("\n", F.lit(head), F.array_join(F.col("rows.line"), "\n")).alias("block"))
 
 
 def connected(edges: DataFrame) -> DataFrame:

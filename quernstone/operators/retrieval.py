@@ -116,19 +116,24 @@ def squared_distance(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(F.col(a), F.col(b), lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
 
 
-def knn(vectors: DataFrame, queries: DataFrame, k: int = 15, keep: Column | None = None) -> DataFrame:
+def knn(vectors: DataFrame, queries: DataFrame, k: int = 15, keep: Column | None = None, by: str | None = None) -> DataFrame:
     """``query_id, chunk_id, distance, rank``: exact nearest by squared L2, after the prefilter; ties by chunk_id.
 
     ``vectors(chunk_id, embedding, ...)``, ``queries(query_id, query_vector)``;
-    the queries go to every task in blocks of about ``VECTORS``.
+    the queries go to every task in blocks of about ``VECTORS``.  With ``by``, a
+    column of ``vectors``, a query whose array ``only`` is not empty takes the rows
+    whose value it holds.  A vector that is null, of another length, or with a
+    component that is null or not finite is near to nothing.
     """
-    rows = (vectors if keep is None else vectors.filter(keep)).select("chunk_id", "embedding")
+    rows = (vectors if keep is None else vectors.filter(keep)).select("chunk_id", "embedding", *([by] if by else []))
     n = max(-(-queries.count() // VECTORS), 1)
     out = None
     for block in range(n):
         asked = queries if n == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(n)) == block)
         pairs = rows.crossJoin(F.broadcast(asked))
-        scored = pairs.select("query_id", "chunk_id", squared_distance("embedding", "query_vector").alias("distance"))
+        if by:
+            pairs = pairs.filter((F.size("only") <= 0) | F.array_contains("only", F.col(by)))
+        scored = pairs.select("query_id", "chunk_id", squared_distance("embedding", "query_vector").alias("distance")).filter(F.col("distance") < float("inf"))
         near = top(scored, ["query_id"], [F.asc("distance"), F.asc("chunk_id")], k)
         out = near if out is None else out.union(near)
     return out

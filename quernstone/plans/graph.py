@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quernstone.operators import communities, graph as g
@@ -17,9 +19,9 @@ def _starts(spark: SparkSession, sf: str) -> DataFrame:
     return names.select(F.when(F.col("s_suppkey") == 1, 1).otherwise(2).cast("long").alias("query_id"), F.lit("Company").alias("label"), F.col("s_name").alias("key"))
 
 
-def stored_edges(spark: SparkSession, sf: str) -> DataFrame:
-    """The edges as a table of the session, for plans that read them more than once."""
-    return materialize(tables.graph_edges(spark, sf), "edges")
+def edges_of(spark: SparkSession, sf: str) -> Callable[[DataFrame], DataFrame]:
+    """The edges of some nodes, for plans that need no others."""
+    return lambda nodes: tables.graph_edges(spark, sf, nodes)
 
 
 def graph_nodes(spark: SparkSession, sf: str) -> DataFrame:
@@ -48,17 +50,23 @@ def graph_mentions(spark: SparkSession, sf: str) -> DataFrame:
 
 def graph_khop(spark: SparkSession, sf: str) -> DataFrame:
     """Smallest depth of all nodes within three hops of two companies, at most 50 targets for each relation."""
-    return g.hops(stored_edges(spark, sf), _starts(spark, sf))
+    return g.hops(edges_of(spark, sf), _starts(spark, sf))
+
+
+def graph_budget(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with at most 40 nodes for each question, the nearest and first; two hops would reach more."""
+    return g.hops(edges_of(spark, sf), _starts(spark, sf), most=40)
 
 
 def graph_traversal(spark: SparkSession, sf: str) -> DataFrame:
     """The best 20 chunks of each start by 1 / depth."""
-    return g.traverse(g.hops(stored_edges(spark, sf), _starts(spark, sf)), _mentions(spark, sf))
+    return g.traverse(g.hops(edges_of(spark, sf), _starts(spark, sf)), _mentions(spark, sf))
 
 
 def graph_facts(spark: SparkSession, sf: str) -> DataFrame:
     """Facts of two companies."""
-    return g.facts(tables.graph_edges(spark, sf), _starts(spark, sf))
+    starts = _starts(spark, sf)
+    return g.facts(tables.graph_edges(spark, sf, starts.select(F.col("label").alias("src_label"), F.col("key").alias("src"))), starts)
 
 
 def _metrics(spark: SparkSession, sf: str) -> DataFrame:
@@ -149,10 +157,10 @@ def community_summaries(spark: SparkSession, sf: str) -> DataFrame:
     return g.summaries(names, rivals)
 
 
-QUERIES = {f.__name__: f for f in (graph_nodes, graph_edges, graph_mentions, graph_khop, graph_traversal, graph_facts, metrics_table, markdown_table, metrics_yoy, entity_lookup, entity_details, connected_components, label_propagation, modularity_communities, community_summaries)}
+QUERIES = {f.__name__: f for f in (graph_nodes, graph_edges, graph_mentions, graph_khop, graph_budget, graph_traversal, graph_facts, metrics_table, markdown_table, metrics_yoy, entity_lookup, entity_details, connected_components, label_propagation, modularity_communities, community_summaries)}
 EDGES = """
 e AS (SELECT DISTINCT 'OPERATES_IN' AS rel, 'Company' AS src_label, s_name AS src, 'BusinessSegment' AS dst_label, p_brand AS dst FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey
-  UNION ALL SELECT 'COMPETES_WITH', 'Company', a.s_name, 'Company', b.s_name FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_name <> b.s_name AND abs(a.s_suppkey - b.s_suppkey) <= 100
+  UNION ALL SELECT 'COMPETES_WITH', 'Company', a.s_name, 'Company', b.s_name FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_name <> b.s_name
   UNION ALL SELECT DISTINCT 'REPORTED_METRIC', 'Company', s_name, 'FinancialMetric', upper(s_name) || '_' || year(l_shipdate) || '_revenue' FROM lineitem JOIN supplier ON l_suppkey = s_suppkey)"""
 _MENTIONS = """
 m AS (SELECT DISTINCT 'MENTIONS_COMPANY' AS rel, l_orderkey AS chunk_id, 'Company' AS label, s_name AS key FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey
@@ -192,6 +200,12 @@ SQL = {
     "graph_edges": f"WITH {EDGES} SELECT rel, src, count(*) AS n, min(dst) AS first FROM e WHERE NOT (dst_label = 'BusinessSegment' AND dst LIKE '%5') GROUP BY rel, src",
     "graph_mentions": f"WITH {_MENTIONS} SELECT chunk_id, rel, count(*) AS n FROM m GROUP BY chunk_id, rel",
     "graph_khop": f"WITH {_HOPS} SELECT * FROM h",
+    "graph_budget": f"""WITH {_HOPS},
+        b2 AS (SELECT query_id, label, key FROM d2 ANTI JOIN d1 USING (query_id, label, key) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY label, key) <= 40 - 1),
+        bn AS (SELECT query_id, count(*) AS n FROM b2 GROUP BY query_id),
+        b3 AS (SELECT query_id, label, key FROM (SELECT DISTINCT query_id, dst_label AS label, dst AS key FROM b2 JOIN mv ON label = src_label AND key = src) ANTI JOIN (SELECT query_id, label, key FROM d1 UNION FROM b2) USING (query_id, label, key) JOIN bn USING (query_id)
+          QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY label, key) <= 40 - 1 - n)
+        SELECT query_id, label, key, depth::BIGINT AS depth FROM d1 UNION ALL SELECT *, 2 FROM b2 UNION ALL SELECT *, 3 FROM b3""",
     "graph_traversal": f"WITH {_HOPS}, {_MENTIONS} SELECT * FROM (SELECT query_id, chunk_id, 1.0::DOUBLE / min(depth) AS score, row_number() OVER (PARTITION BY query_id ORDER BY 1.0::DOUBLE / min(depth) DESC, chunk_id) AS rank FROM h JOIN m USING (label, key) GROUP BY query_id, chunk_id) WHERE rank <= 20",
     "graph_facts": f"""WITH {EDGES}, f AS (SELECT CASE s_suppkey WHEN 1 THEN 1 ELSE 2 END::BIGINT AS query_id, rel, src, dst FROM e JOIN supplier ON src = s_name WHERE s_suppkey IN (1, 7) AND rel IN ('OPERATES_IN', 'COMPETES_WITH') QUALIFY row_number() OVER (PARTITION BY s_suppkey, rel, src ORDER BY dst) <= 10)
         SELECT query_id, src || ' --' || rel || '--> ' || dst AS fact FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY src || ' --' || rel || '--> ' || dst) <= 20""",

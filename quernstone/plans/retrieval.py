@@ -142,10 +142,9 @@ def query_expansion(spark: SparkSession, sf: str) -> DataFrame:
 def hybrid_query(spark: SparkSession, sf: str) -> DataFrame:
     """The whole retrieval: BM25, kNN and graph lists fused, grounded, deduplicated, re-ranked, with facts and context."""
     chunks, q = tables.chunks(spark, sf), questions(spark)
-    edges = materialize(tables.graph_edges(spark, sf), "edges")
-    nodes = edges.select(F.col("src_label").alias("label"), F.col("src").alias("key")).union(edges.select("dst_label", "dst")).distinct()
-    starts = nodes.filter("label = 'Company'").join(F.broadcast(q), F.col("key").endswith(F.lpad(F.col("query_id").cast("string"), 4, "0"))).select("query_id", "label", "key")
-    reached = graph.hops(edges, starts)
+    names = tables.table(spark, sf, "supplier").select(F.lit("Company").alias("label"), F.col("s_name").alias("key"), F.right("s_name", F.lit(4)).alias("end"))
+    starts = names.join(q.select("query_id", F.lpad(F.col("query_id").cast("string"), 4, "0").alias("end")), "end").select("query_id", "label", "key")
+    reached = graph.hops(graph_plans.edges_of(spark, sf), starts)
     cited = chunks.select(F.lit("BusinessSegment").alias("label"), F.concat(F.lit("Brand#"), (11 + F.col("chunk_id") % 45).cast("string")).alias("key"), "chunk_id")
     linked = graph.traverse(reached, cited).select("query_id", F.lit("graph").alias("source"), "chunk_id", "rank")
     expanded = q.select("query_id", expanded_query(F.col("question")).alias("question"))
@@ -155,7 +154,7 @@ def hybrid_query(spark: SparkSession, sf: str) -> DataFrame:
     fused = materialize(r.rrf(dense.unionByName(linked).unionByName(sparse)), "fused")  # 20 rows a question
     kept = r.keep_first(r.ground(fused.join(chunks, "chunk_id"), _tickers(spark, sf))).join(q, "query_id")
     ranked = materialize(r.rerank(kept, min_score=0.0), "ranked")  # a few rows, used twice
-    found = graph.facts(edges, starts).groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_list("fact")), "; ").alias("facts"))
+    found = graph.facts(tables.graph_edges(spark, sf, starts.select(F.col("label").alias("src_label"), F.col("key").alias("src"))), starts).groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_list("fact")), "; ").alias("facts"))
     blocks = r.contexts(ranked.join(chunks, "chunk_id"))
     return ranked.join(blocks, "query_id").join(found, "query_id", "left").select("query_id", "position", "chunk_id", F.round("score", 6).alias("score"), F.sha1(F.col("context").cast("binary")).alias("context_sha1"), "facts")
 

@@ -6,9 +6,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quernstone.functions.tables import SECTION_ITEMS
 
-#: Suppliers of one nation compete if their numbers differ by no more.
-RIVALS = 100
-
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -32,20 +29,22 @@ def vectors(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding", F.col("label").cast("bigint").alias("label"))
 
 
-def graph_edges(spark: SparkSession, folder: str) -> DataFrame:
-    """Companies are suppliers; segments the brands they deliver; metrics their yearly revenue.
+def graph_edges(spark: SparkSession, folder: str, of: DataFrame | None = None) -> DataFrame:
+    """Companies are suppliers; segments the brands they deliver; metrics their yearly revenue; competitors all others of their nation.
 
-    Competitors are suppliers of one nation whose numbers differ by ``RIVALS``
-    at most, so that their number is bounded and not that of all pairs.
+    With ``of(src_label, src)`` the edges of these nodes alone: only their lines
+    are read and only their competitors are paired.
     """
     supplier, part = table(spark, folder, "supplier"), table(spark, folder, "part")
     line = table(spark, folder, "lineitem").select("l_suppkey", "l_partkey", F.year("l_shipdate").alias("year"))
-    name = supplier.select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_name").alias("src"), "s_nationkey")
+    every = supplier.select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_name").alias("src"), "s_nationkey")
+    name = every
+    if of is not None:
+        name = every.join(of.filter("src_label = 'Company'").select("src"), "src", "left_semi")
+        line = line.join(name.select("l_suppkey"), "l_suppkey", "left_semi")
     served = line.select("l_suppkey", "l_partkey").distinct().join(part.select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("dst")), "l_partkey")
     segments = served.select("l_suppkey", "dst").distinct().join(name, "l_suppkey").select(F.lit("OPERATES_IN").alias("rel"), F.lit("Company").alias("src_label"), "src", F.lit("BusinessSegment").alias("dst_label"), "dst")
-    block = F.floor(F.col("l_suppkey") / RIVALS)
-    near = name.select(F.col("src").alias("dst"), F.col("l_suppkey").alias("other"), "s_nationkey", block.alias("block"))
-    pairs = name.withColumn("block", F.explode(F.sequence(block - 1, block + 1))).join(near, ["s_nationkey", "block"]).filter((F.col("src") != F.col("dst")) & (F.abs(F.col("l_suppkey") - F.col("other")) <= RIVALS))
+    pairs = name.join(every.select(F.col("src").alias("dst"), "s_nationkey"), "s_nationkey").filter("src <> dst")
     rivals = pairs.select(F.lit("COMPETES_WITH").alias("rel"), F.lit("Company").alias("src_label"), "src", F.lit("Company").alias("dst_label"), "dst")
     metrics = line.select("l_suppkey", "year").distinct().join(name, "l_suppkey").select(F.lit("REPORTED_METRIC").alias("rel"), F.lit("Company").alias("src_label"), "src", F.lit("FinancialMetric").alias("dst_label"), F.concat_ws("_", F.upper("src"), F.col("year").cast("string"), F.lit("revenue")).alias("dst"))
     return segments.unionByName(rivals).unionByName(metrics)
