@@ -162,7 +162,7 @@ PREFACES = ('{"tool": "quote", "note": "a } in \\"text\\""}\n', "{rate: {1, 2}}
 
 def stream_holdback(spark: SparkSession, sf: str) -> DataFrame:
     """Answers from a stream of their tokens, without prefaces: two turns of three have one, and of these half are cut short."""
-    from quernstone.streaming.holdback import holding, released
+    from quernstone.streaming.holdback import released
     from quernstone.workspace import new_path
 
     source, target, state = (new_path(spark, x) for x in ("tokens", "answers", "state"))
@@ -172,9 +172,8 @@ def stream_holdback(spark: SparkSession, sf: str) -> DataFrame:
     size = 5 + F.crc32(F.col("answer").cast("binary")) % 11
     starts = F.transform(F.sequence(F.lit(0).cast("long"), F.ceil(F.length("said") / size) - 1), lambda i: F.substring("said", (i * size + 1).cast("int"), size.cast("int")))
     rows.select("answer", F.size(starts).alias("n"), F.posexplode(starts).alias("at", "token")).select("answer", F.col("at").cast("long").alias("seq"), "token", (F.col("at") == F.col("n") - 1).alias("last")).write.parquet(source)
-    with holding(spark):
-        stream = released(spark.readStream.schema("answer string, seq long, token string, last boolean").parquet(source))
-        stream.writeStream.format("parquet").option("path", target).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    stream = released(spark.readStream.schema("answer string, seq long, token string, last boolean").parquet(source))
+    stream.writeStream.format("parquet").option("path", target).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
     pieces = F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"])
     out = spark.read.schema("answer string, seq long, text string").parquet(target).groupBy("answer").agg(F.array_join(pieces, "").alias("text"))
     return out.select("answer", F.length("text").cast("long").alias("n_chars"), F.sha1(F.col("text").cast("binary")).alias("sha1"))

@@ -10,15 +10,14 @@ for the whole answer, however it was split into tokens.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from typing import Any, NamedTuple
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 #: Characters of prose that must follow a preface.
 LEAST = 20
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 class Held(NamedTuple):
@@ -66,75 +65,44 @@ def flush(held: Held) -> str:
     return "" if held.live else held.text
 
 
-class HoldBack(StatefulProcessor):
-    """Feeds the tokens of each answer in order; flushes at its last one, or after ``idle_ms`` without one."""
+def _stream(idle_ms: int | None, least: int):
+    """Feeds the tokens of an answer in order; flushes at its last one, or after ``idle_ms`` without one."""
 
-    def __init__(self, idle_ms: int, least: int = LEAST):
-        self.idle_ms, self.least = idle_ms, least
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("held", "text string, scanned int, depth int, quoted boolean, escaped boolean, end int, live boolean, seq long, due long")
-
-    def _set_timer(self, due: int, timers: Any) -> int:
-        if due:
-            self.handle.deleteTimer(due)
-        due = timers.getCurrentProcessingTimeInMs() + self.idle_ms
-        self.handle.registerTimer(due)
-        return due
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        known = self.state.exists()
-        *held, seq, due = self.state.get() if known else (*Held(), -1, 0)
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        *held, seq = state.get if state.exists else (*Held(), -1)
         held, out, done = Held(*held), [], False
-        for r in pd.concat(list(rows)).sort_values("seq", kind="stable").itertuples():
-            if r.seq <= seq:  # repeated by the source
-                continue
-            seq = int(r.seq)
-            held, text = feed(held, r.token or "", self.least)
-            if r.last:
-                text, done = text + flush(held), True
-            if text:
-                out.append((key[0], seq, text))
-        if not done:
-            self.state.update((*held, seq, self._set_timer(due, timerValues)))
-        elif known:  # every call to the state store costs a round trip
-            self.state.clear()
-            if due:
-                self.handle.deleteTimer(due)
-        yield pd.DataFrame(out, columns=["answer", "seq", "text"])
-
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        *held, seq, _ = self.state.get()
-        text = flush(Held(*held))
-        # Later tokens of an answer that was flushed are shown as they come.
-        self.state.update((*Held(live=True), seq, 0))
-        yield pd.DataFrame([(key[0], seq, text)] if text else [], columns=["answer", "seq", "text"])
-
-    def close(self) -> None:
-        pass
-
-
-def released(events: DataFrame, idle_ms: int = 30_000, least: int = LEAST) -> DataFrame:
+        if state.hasTimedOut:
+            out.append((key[0], seq, flush(held)))
+            # Later tokens of an answer that was flushed are shown as they come.
+            state.update((*Held(live=True), seq))
+        else:
+            for r in pd.concat(list(frames)).sort_values("seq", kind="stable").itertuples():
+                if r.seq <= seq:  # repeated by the source
+                    continue
+                seq = int(r.seq)
+                held, text = feed(held, r.token or "", least)
+                done = done or bool(r.last)
+                out.append((key[0], seq, text + flush(held) if r.last else text))
+            if not done:
+                state.update((*held, seq))
+                if idle_ms is not None:
+                    state.setTimeoutDuration(idle_ms)
+            elif state.exists:
+                state.remove()
+        yield pd.DataFrame([o for o in out if o[2]], columns=["answer", "seq", "text"])
+
+    return run
+
+
+def released(events: DataFrame, idle_ms: int | None = None, least: int = LEAST) -> DataFrame:
     """``answer, seq, text`` of a stream ``events(answer, seq, token, last)``: the pieces of each answer to be shown.
 
     ``seq`` counts an answer's tokens from 0; those of one batch may come in any
-    order, and a repeated one counts once.  A null token is empty.  The state store
-    must be that of RocksDB (``holding``).
+    order, and a repeated one counts once.  A null token is empty.  An answer's
+    state is what is held of it, and goes with its last token.  ``idle_ms`` is for
+    streams that run on: one that is to end with its input never would, as Spark
+    goes on for the sake of times that may run out.
     """
     kind = events.schema["answer"].dataType.simpleString()
-    return events.groupBy("answer").transformWithStateInPandas(HoldBack(idle_ms, least), f"answer {kind}, seq long, text string", "append", "processingTime")
-
-
-class holding:
-    """The session with the state store that ``released`` needs, and its own one afterwards."""
-
-    def __init__(self, spark):
-        self.conf, self.name = spark.conf, "spark.sql.streaming.stateStore.providerClass"
-
-    def __enter__(self) -> None:
-        self.was = self.conf.get(self.name)
-        self.conf.set(self.name, ROCKSDB)
-
-    def __exit__(self, *_: Any) -> None:
-        self.conf.set(self.name, self.was)
+    held = "text string, scanned int, depth int, quoted boolean, escaped boolean, end int, live boolean, seq long"
+    return events.groupBy("answer").applyInPandasWithState(_stream(idle_ms, least), f"answer {kind}, seq long, text string", held, "append", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)

@@ -2,6 +2,7 @@
 
 import json
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -61,11 +62,23 @@ def test_stream_of_tokens_over_several_batches(spark, tmp_path):
         rows = [e for e in events if e[1] % 9 // 3 == part]
         r.shuffle(rows)
         spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"in/p{part}"))
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    with h.holding(spark):
-        stream = h.released(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in")))
-        stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
-    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == before
+    stream = h.released(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in")))
+    stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out")).groupBy("answer").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), "").alias("text"))
     got = {x["answer"]: x["text"] for x in got.collect()}
     assert {k: v for k, v in got.items() if v} == {f"a{i}": after_json(t) for i, t in enumerate(TEXTS) if after_json(t)}
+
+
+def test_an_idle_answer_is_shown_and_goes_on(spark, tmp_path):
+    schema = "answer string, seq long, token string, last boolean"
+    spark.createDataFrame([("a", 0, '{"never": ', False)], schema).write.parquet(str(tmp_path / "in/p0"))
+    stream = h.released(spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(str(tmp_path / "in")), idle_ms=500)
+    query = stream.writeStream.format("memory").queryName("shown").trigger(processingTime="200 milliseconds").start()
+    try:
+        seen = lambda n: any(spark.table("shown").count() >= n or time.sleep(0.5) for _ in range(60))
+        assert seen(1)
+        spark.createDataFrame([("a", 1, "closed", True)], schema).write.parquet(str(tmp_path / "in/p1"))
+        assert seen(2)
+        assert [r["text"] for r in spark.table("shown").orderBy("seq").collect()] == ['{"never": ', "closed"]
+    finally:
+        query.stop()
