@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from quernstone.functions import table_functions
 from quernstone.functions.scalars import skippable
 from quernstone.operators import chunking, extraction, incremental as inc
 from quernstone.plans.retrieval import CHUNKS
@@ -32,6 +33,13 @@ def chunk_window(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("doc_id", "chunk_seq", "token_count", "chunk_id")
 
 
+def chunk_table_function(spark: SparkSession, sf: str) -> DataFrame:
+    """The same windows by SQL's table function."""
+    table_functions.register(spark)
+    tables.chunks(spark, sf).withColumnRenamed("chunk_id", "doc_id").createOrReplaceTempView("chunk_table_function_rows")
+    return spark.sql("SELECT doc_id, chunk_seq, token_count, chunk_id FROM chunks(TABLE(chunk_table_function_rows))")
+
+
 def main_document(spark: SparkSession, sf: str) -> DataFrame:
     """The main document of each filing."""
     rows = spark.createDataFrame(list(FILINGS), "company_ticker string, fiscal_year long, text string")
@@ -179,7 +187,7 @@ def stream_holdback(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("answer", F.length("text").cast("long").alias("n_chars"), F.sha1(F.col("text").cast("binary")).alias("sha1"))
 
 
-QUERIES = {f.__name__: f for f in (chunk_window, main_document, section_split, table_aware_chunk, html_clean, skippable_chunks, filing_year_prune, triplet_parse, json_repair, incremental_append, pending_chunks, purge_pair, missing_pairs, upsert_last_non_null, upsert_rows, progress_latest, ttl_filter, stale_locks, config_union, stream_ingest, stream_holdback)}
+QUERIES = {f.__name__: f for f in (chunk_window, chunk_table_function, main_document, section_split, table_aware_chunk, html_clean, skippable_chunks, filing_year_prune, triplet_parse, json_repair, incremental_append, pending_chunks, purge_pair, missing_pairs, upsert_last_non_null, upsert_rows, progress_latest, ttl_filter, stale_locks, config_union, stream_ingest, stream_holdback)}
 _WORDS = "list_filter(regexp_split_to_array({}, '[\\s   -     　\\x{{85}}\\x0b\\x1c-\\x1f]+'), lambda w: w <> '')"
 _WINDOW = f"""WITH {CHUNKS}, t AS (SELECT *, {_WORDS.format("coalesce(text, '')")} AS toks FROM chunks),
     w AS (SELECT *, CASE WHEN len(toks) <= 600 THEN [0] ELSE range(0, len(toks), 510) END AS starts FROM t),
@@ -191,6 +199,7 @@ SQL = {
         b AS (SELECT answer, CASE WHEN preface = '' OR length(ltrim(body)) <= 20 THEN preface || body ELSE ltrim(body) END AS text FROM a)
         SELECT answer, length(text) AS n_chars, sha1(text) AS sha1 FROM b WHERE text <> ''""",
     "chunk_window": f"""{_WINDOW} SELECT doc_id, chunk_seq, len(piece) AS token_count, left(sha1(concat_ws('|', company_ticker, fiscal_year, section_id, 1, chunk_seq, body)), 32) AS chunk_id FROM x""",
+    "chunk_table_function": f"{_WINDOW} SELECT doc_id, chunk_seq, len(piece) AS token_count, left(sha1(concat_ws('|', company_ticker, fiscal_year, section_id, 1, chunk_seq, body)), 32) AS chunk_id FROM x",
     "stream_ingest": f"{_WINDOW}, d AS (SELECT DISTINCT company_ticker, fiscal_year, section_id, chunk_seq, body, len(piece) AS n FROM x) SELECT company_ticker, count(*) AS n, sum(n)::BIGINT AS tokens FROM d GROUP BY company_ticker",
     "skippable_chunks": f"""WITH {CHUNKS}, s AS (SELECT *, CASE WHEN chunk_id % 3 = 0 THEN 'Signatures' ELSE section_id END AS section FROM chunks)
         SELECT chunk_id, section FROM s WHERE len({_WORDS.format("coalesce(text, '')")}) < 20 OR (regexp_matches(section, '(?i)(table of contents|exhibit\\s+\\d+|power of attorney|signatures?)') AND NOT (contains(lower(text), 'revenue') OR contains(lower(text), 'segment') OR contains(lower(text), 'risk') OR contains(lower(text), 'competitor') OR contains(lower(text), 'subsidiary') OR contains(lower(text), 'market')))""",

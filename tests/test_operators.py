@@ -257,3 +257,22 @@ def test_nearest_in_blocks_of_queries(spark, monkeypatch):
     assert len(want) == 36
     monkeypatch.setattr(r, "VECTORS", 2)
     assert order() == want
+
+
+def test_vectors_that_are_none_are_near_to_nothing(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(1, "A", [1.0, 0.0]), (2, "B", None), (3, "A", [1.0]), (4, "A", [None, 1.0]), (5, "A", [nan, 0.0]), (6, "A", [inf, 0.0]), (7, "B", [0.0, 0.0])]
+    vectors = spark.createDataFrame(rows, "chunk_id long, t string, embedding array<double>")
+    asked = spark.createDataFrame([(1, [1.0, 0.0], ["B"]), (2, [1.0, 0.0], []), (3, None, [])], "query_id long, query_vector array<double>, only array<string>")
+    near = lambda df: sorted((x["query_id"], x["rank"], x["chunk_id"]) for x in df.collect())
+    assert near(r.knn(vectors, asked)) == [(1, 1, 1), (1, 2, 7), (2, 1, 1), (2, 2, 7)]
+    assert near(r.knn(vectors, asked, by="t")) == [(1, 1, 7), (2, 1, 1), (2, 2, 7)]
+
+
+def test_a_budget_keeps_the_nearest_and_first_nodes(spark):
+    edges = spark.createDataFrame([("COMPETES_WITH", "Company", a, "Company", b) for a, b in (("a", "d"), ("a", "c"), ("a", "b"), ("b", "e"), ("b", "f"), ("c", "g"))], "rel string, src_label string, src string, dst_label string, dst string")
+    start = spark.createDataFrame([(1, "Company", "a"), (2, "Company", "b")], "query_id long, label string, key string")
+    got = lambda n: sorted((x["query_id"], x["depth"], x["key"]) for x in graph.hops(edges, start, most=n).collect())
+    assert got(3) == [(1, 1, "a"), (1, 2, "b"), (1, 2, "c"), (2, 1, "b"), (2, 2, "e"), (2, 2, "f")]
+    assert got(5) == [(1, 1, "a"), (1, 2, "b"), (1, 2, "c"), (1, 2, "d"), (1, 3, "e"), (2, 1, "b"), (2, 2, "e"), (2, 2, "f")]
+    assert got(1) == [(1, 1, "a"), (2, 1, "b")]
