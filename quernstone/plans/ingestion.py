@@ -6,27 +6,54 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quernstone.functions import table_functions
 from quernstone.functions.scalars import skippable
+from quernstone.functions.tables import SECTION_ITEMS
 from quernstone.operators import chunking, extraction, incremental as inc
 from quernstone.plans.retrieval import CHUNKS
 from quernstone.sources import files, tables
 
-#: Small filings that show each rule of the parser.
-FILINGS = (
-    ("AAPL", 2024, "<SEC>\n<DOCUMENT>\n<TYPE>EX-21\n<TEXT>\nItem 1 exhibit\nshort\n</TEXT>\n</DOCUMENT>\n<DOCUMENT>\n<TYPE>10-K\n<TEXT>\npreamble\nItem 1. Business\nWe make things.\n\nItem 1A Risk Factors\nRisk one.\nRisk two.\nItem 9C | 40\n## Item 7 Discussion\nName | 2024 | 2023\nSales | 10 | 9\nItem 16 Summary\n</TEXT>\n</DOCUMENT>"),
-    ("MSFT", 2025, "Item 10 Directors\nItem 7 of this report says more.\nIt does.\nItem 8. | 30\nFigures."),
-    ("TSLA", 2024, "no heading at all\njust prose"),
+#: Line beginnings that become headings, contents rows and prose that looks like a heading.
+HEADED = (("\nI", "\n## item 7A I"), ("\nA", "\nItem 1. A"), ("\nO", "\nItem 9C | O"), ("\nE", "\nITEM 8 | E"), ("\nL", "\nItem 16 of L"))
+#: A filing of each kind: text before the document's lines, and after them.
+WRAPPED = (
+    ("preamble", ""),
+    ("<SEC>\n<DOCUMENT>\n<TYPE>EX-21\n<TEXT>\nItem 1 exhibit\n{text}\n{text}\n{text}</TEXT>\n</DOCUMENT>\n<DOCUMENT>\n<TYPE>10-K\n<TEXT>\n", "\n</TEXT>\n</DOCUMENT>"),
+    ("<document>\n<type> 10-K/A\n<text>Item 2\nshort</text>\n<text>\nItem 3. First\n", "\nlast line, never closed"),
+    ("<DOCUMENT>\n<TYPE>EX-1\n<TEXT>\nItem 5\nx</TEXT>\n</DOCUMENT>\n<DOCUMENT>\n<TYPE>EX-2\n<TEXT>", "</TEXT></DOCUMENT>"),
 )
-#: Model outputs in every shape the parser knows.
-OUTPUTS = (
-    ("c1", 'AAPL', 2024, '<think>hm</think>```json\n{"triplets": [{"source": {"name": "Apple"}, "relation": "operates_in", "target": {"name": "Services Segment"}}]}\n```'),
-    ("c2", 'MSFT', 2024, '{"triplets": [["Microsoft", "competes_with", "Google"], ["too short"], {"source_entity": "MS,FT", "relation": "REPORTED_METRIC", "target_entity": {"name": "Net Income", "value": "88", "year": "2023"}}'),
-    ("c3", 'AMZN', 2025, 'Here you are: {"source": {"Amazon.com"}, "relation": "operates_in", "target": {"Cloud"}} done'),
-    ("c4", 'NVDA', 2025, '[{"source": "AI boom", "relation": "impacts_revenue", "target": "Revenue"}, {"source": "x", "relation": "likes", "target": "y"}]'),
-    ("c5", 'META', 2024, 'no json here'),
-    ("c6", 'META', 2024, '{"source": "Facebook", "relation": "competes_with", "target": "Meta Platforms"}'),
+#: What a model says about a customer: ``{n}`` name, ``{s}`` segment, ``{v}`` value, ``{b}`` the chunk five before.
+SAID = (
+    '<think>hm {{</think>```json\n{{"triplets": [{{"source": {{"name": "{n}"}}, "relation": "operates_in", "target": {{"name": "{s}"}}}}]}}\n```',
+    '{{"triplets": [["{n}", "competes_with", "Rival {n}"], ["too short"], {{"source_entity": "{n}", "relation": "REPORTED_METRIC", "target_entity": {{"name": "Net Income", "value": "{v}", "year": "2023"}}}}',
+    'Here you are: {{"source": {{"{n}"}}, "relation": "operates_in", "target": {{"{s}"}}}} done',
+    '[{{"source": "{n}", "relation": "impacts_revenue", "target": "Revenue"}}, {{"source": "x", "relation": "likes", "target": "y"}}]',
+    "nothing of {n} in braces",
+    '{{"results": [{{"chunk_id": "{b}", "triplets": [["{s}", "mitigates_risk", "Rates"]]}}]}}',
+    '{{"source": "{n}", "relation": "competes_with", "target": " {n} "}}',
+    '{{"triples": [["{n}", "competes_with", "Others"], ["Facebook", "competes_with", "Meta Platforms"], ["{n}", "reported_metric", {{"name": "EPS", "value": "{v}", "unit": "USD"}}]]}}',
 )
 
 
+def filings(spark: SparkSession, sf: str) -> DataFrame:
+    """``filing, company_ticker, fiscal_year, text``: each document as a raw filing of one of four kinds, with headings."""
+    text = F.coalesce("text", F.lit(""))
+    lines = F.concat(F.lit("\n"), text)
+    for old, new in HEADED:
+        lines = F.replace(lines, F.lit(old), F.lit(new))
+    kinds = [F.concat(F.replace(F.lit(before), F.lit("{text}"), text), lines, F.lit(after)) for before, after in WRAPPED]
+    kind = F.coalesce(*[F.when(F.col("chunk_id") % len(kinds) == i, x) for i, x in enumerate(kinds)])
+    return tables.chunks(spark, sf).select(F.col("chunk_id").alias("filing"), "company_ticker", "fiscal_year", kind.alias("text"))
+
+
+def outputs(spark: SparkSession, sf: str) -> DataFrame:
+    """``chunk_id, company_ticker, fiscal_year, text, output``: a chunk on each customer, and what a model said of it."""
+    k, value = F.col("c_custkey"), F.concat(F.lit("7"), F.lpad(F.col("c_custkey").cast("string"), 12, "0"))
+    said = [x.format(n="%1$s", s="%2$s", v="%3$s", b="%4$s") for x in SAID]
+    parts = ("c_name", "c_mktsegment", value, (k - 5).cast("string"))
+    text = F.format_string("It was founded in 2018. In %d it earned %s; 2026 is another matter.", 2019 + k % 7, value)
+    output = F.coalesce(*[F.when(k % len(said) == i, F.format_string(x, *parts)) for i, x in enumerate(said)])
+    return tables.table(spark, sf, "customer").select(k.cast("string").alias("chunk_id"), F.concat(F.lit("C"), k.cast("string")).alias("company_ticker"), (2024 + k % 2).alias("fiscal_year"), text.alias("text"), output.alias("output"))
+
+
 def chunk_window(spark: SparkSession, sf: str) -> DataFrame:
     """Sliding windows of 600 words with ids over all documents."""
     out = chunking.windows(tables.chunks(spark, sf).withColumnRenamed("chunk_id", "doc_id"))
@@ -40,15 +67,22 @@ def chunk_table_function(spark: SparkSession, sf: str) -> DataFrame:
     return spark.sql("SELECT doc_id, chunk_seq, token_count, chunk_id FROM chunks(TABLE(chunk_table_function_rows))")
 
 
+def _main(spark: SparkSession, sf: str) -> DataFrame:
+    return filings(spark, sf).withColumn("text", chunking.main_document(F.col("text")))
+
+
+def _digest(column: str) -> list:
+    return [F.length(column).cast("bigint").alias("n_chars"), F.sha1(F.col(column).cast("binary")).alias("sha1")]
+
+
 def main_document(spark: SparkSession, sf: str) -> DataFrame:
     """The main document of each filing."""
-    rows = spark.createDataFrame(list(FILINGS), "company_ticker string, fiscal_year long, text string")
-    return rows.select("company_ticker", "fiscal_year", chunking.main_document(F.col("text")).alias("text"))
+    return _main(spark, sf).select("filing", "company_ticker", "fiscal_year", *_digest("text"))
 
 
 def section_split(spark: SparkSession, sf: str) -> DataFrame:
     """The sections of each filing."""
-    return chunking.sections(main_document(spark, sf))
+    return chunking.sections(_main(spark, sf)).select("filing", "company_ticker", "fiscal_year", "section_no", "section_id", *_digest("content"))
 
 
 def table_aware_chunk(spark: SparkSession, sf: str) -> DataFrame:
@@ -76,16 +110,16 @@ def filing_year_prune(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def triplet_parse(spark: SparkSession, sf: str) -> DataFrame:
-    """Model outputs parsed, repaired, typed and keyed."""
-    rows = spark.createDataFrame(list(OUTPUTS), "chunk_id string, company_ticker string, fiscal_year long, output string")
-    out = extraction.typed(extraction.parse(rows), rows)
-    return out.select("chunk_id", "rel", "src_label", "src", "dst_label", "dst")
+    """Model outputs on all customers parsed, repaired, typed and keyed."""
+    rows = outputs(spark, sf)
+    return extraction.typed(extraction.parse(rows), rows).select("chunk_id", "rel", "src_label", "src", "dst_label", "dst")
 
 
 def json_repair(spark: SparkSession, sf: str) -> DataFrame:
-    """Model outputs parsed, before typing."""
-    rows = spark.createDataFrame(list(OUTPUTS), "chunk_id string, company_ticker string, fiscal_year long, output string")
-    return extraction.parse(rows).select("chunk_id", "relation", "source", "target", F.to_json("target_props").alias("target_props"))
+    """Model outputs on all customers parsed, before typing."""
+    parsed = extraction.parse(outputs(spark, sf))
+    props = [F.col("target_props")[k].alias(k) for k in ("value", "unit", "year")]
+    return parsed.select("chunk_id", "relation", "source", "target", *props)
 
 
 def incremental_append(spark: SparkSession, sf: str) -> DataFrame:
@@ -194,7 +228,47 @@ _WINDOW = f"""WITH {CHUNKS}, t AS (SELECT *, {_WORDS.format("coalesce(text, '')"
     p AS (SELECT chunk_id AS doc_id, company_ticker, fiscal_year, section_id, list_filter(list_transform(starts, lambda s: toks[s + 1 : s + 600]), lambda x: len(x) >= 50) AS pieces FROM w),
     u AS (SELECT *, unnest(pieces) AS piece, unnest(range(len(pieces))) AS chunk_seq FROM p),
     x AS (SELECT *, array_to_string(piece, ' ') AS body FROM u)"""
+_ITEM = r"(?i)^\s*(?:#+\s*)?item (" + "|".join(sorted((x.split()[1] for x in SECTION_ITEMS), key=len, reverse=True)) + r")\b"
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _raw_filings() -> str:
+    lines = "chr(10) || coalesce(text, '')"
+    for old, new in HEADED:
+        lines = f"replace({lines}, {_quoted(old)}, {_quoted(new)})"
+    kinds = " ".join(f"WHEN {i} THEN replace({_quoted(before)}, '{{text}}', coalesce(text, '')) || {lines} || {_quoted(after)}" for i, (before, after) in enumerate(WRAPPED))
+    return f"f AS (SELECT chunk_id AS filing, company_ticker, fiscal_year, CASE chunk_id % {len(WRAPPED)} {kinds} END AS raw FROM chunks)"
+
+
+_MAIN = rf"""WITH {CHUNKS}, {_raw_filings()},
+    d AS (SELECT *, list_filter(regexp_split_to_array(raw, '(?i)<DOCUMENT>'), lambda x: regexp_matches(x, '(?i)<TEXT>')) AS docs FROM f),
+    a AS (SELECT *, list_filter(docs, lambda x: regexp_matches(x, '(?im)<TYPE>\s*10-K(?:/[^\s<]*)?\s*(?:$|<|\n)'))[1:1] AS annual FROM d),
+    b AS (SELECT *, flatten(list_transform(CASE WHEN len(annual) > 0 THEN annual ELSE docs END, lambda x: regexp_extract_all(x, '(?is)<TEXT>(.*?)(?:</TEXT>|\z)', 1))) AS bodies FROM a),
+    m AS (SELECT filing, company_ticker, fiscal_year, CASE WHEN NOT regexp_matches(raw, '(?i)<TEXT>') THEN raw ELSE coalesce(regexp_replace(list_filter(bodies, lambda x: length(x) = list_max(list_transform(bodies, lambda y: length(y))))[1], '\A\s+|\s+\z', '', 'g'), raw) END AS text FROM b)"""
+_SECTIONS = rf"""{_MAIN},
+    l AS (SELECT * EXCLUDE (text), unnest(lines) AS line, unnest(range(len(lines))) AS place FROM (SELECT *, regexp_split_to_array(replace(text, chr(160), ' '), '\r\n|\r|\n') AS lines FROM m)),
+    h AS (SELECT *, nullif(upper(regexp_extract(trim(line, ' '), '{_ITEM}', 1)), '') AS item FROM l WHERE trim(line, ' ') <> ''),
+    r AS (SELECT *, count(item) OVER w AS section_no, last_value(item IGNORE NULLS) OVER w AS last_item FROM h WHERE item IS NOT NULL OR NOT regexp_matches(line, '(?i)^\s*(#+\s*)?item\s+\d+[a-z]?(\.\d+)?\s*\.?\s*\|') WINDOW w AS (PARTITION BY filing, company_ticker, fiscal_year ORDER BY place)),
+    s AS (SELECT filing, company_ticker, fiscal_year, section_no, 'Item ' || last_item AS section_id, string_agg(line, chr(10) ORDER BY place) AS content FROM r WHERE item IS NULL AND section_no > 0 GROUP BY ALL)"""
+#: What the outputs hold, by construction: SQL has no tolerant parser.
+_SAID = """WITH c AS (SELECT c_custkey AS k, c_custkey::VARCHAR AS chunk_id, c_name AS n, c_mktsegment AS s, '7' || lpad(c_custkey::VARCHAR, 12, '0') AS v, 'C' || c_custkey AS t, 2024 + c_custkey % 2 AS y FROM customer)"""
 SQL = {
+    "main_document": f"{_MAIN} SELECT filing, company_ticker, fiscal_year, length(text) AS n_chars, sha1(text) AS sha1 FROM m",
+    "section_split": f"{_SECTIONS} SELECT filing, company_ticker, fiscal_year, section_no, section_id, length(content) AS n_chars, sha1(content) AS sha1 FROM s",
+    "json_repair": f"""{_SAID}, p AS (SELECT chunk_id, 'operates_in' AS relation, n AS source, s AS target, NULL AS value, NULL AS unit, NULL AS year FROM c WHERE k % 8 IN (0, 2)
+        UNION ALL SELECT chunk_id, 'competes_with', n, 'Rival ' || n, NULL, NULL, NULL FROM c WHERE k % 8 = 1 UNION ALL SELECT chunk_id, 'reported_metric', n, 'Net Income', v, NULL, '2023' FROM c WHERE k % 8 = 1
+        UNION ALL SELECT chunk_id, 'impacts_revenue', n, 'Revenue', NULL, NULL, NULL FROM c WHERE k % 8 = 3 UNION ALL SELECT (k - 5)::VARCHAR, 'mitigates_risk', s, 'Rates', NULL, NULL, NULL FROM c WHERE k % 8 = 5
+        UNION ALL SELECT chunk_id, 'competes_with', n, n, NULL, NULL, NULL FROM c WHERE k % 8 = 6 UNION ALL SELECT chunk_id, 'competes_with', n, 'Others', NULL, NULL, NULL FROM c WHERE k % 8 = 7
+        UNION ALL SELECT chunk_id, 'competes_with', 'Facebook', 'Meta Platforms', NULL, NULL, NULL FROM c WHERE k % 8 = 7 UNION ALL SELECT chunk_id, 'reported_metric', n, 'EPS', v, 'USD', NULL FROM c WHERE k % 8 = 7)
+        SELECT * FROM p""",
+    "triplet_parse": f"""{_SAID} SELECT chunk_id, 'OPERATES_IN' AS rel, 'Company' AS src_label, n AS src, 'BusinessSegment' AS dst_label, s AS dst FROM c WHERE k % 8 IN (0, 2)
+        UNION ALL SELECT chunk_id, 'COMPETES_WITH', 'Company', n, 'Company', 'Rival ' || n FROM c WHERE k % 8 = 1 UNION ALL SELECT chunk_id, 'REPORTED_METRIC', 'Company', n, 'FinancialMetric', t || '_2023_net_income' FROM c WHERE k % 8 = 1
+        UNION ALL SELECT chunk_id, 'IMPACTS_REVENUE', 'MacroEvent', n, 'FinancialMetric', t || '_' || y || '_revenue' FROM c WHERE k % 8 = 3
+        UNION ALL SELECT (k - 5)::VARCHAR, 'MITIGATES_RISK', 'BusinessSegment', s, 'RiskFactor', 'Rates' FROM c WHERE k % 8 = 5
+        UNION ALL SELECT chunk_id, 'REPORTED_METRIC', 'Company', n, 'FinancialMetric', t || '_' || (2019 + k % 7) || '_eps' FROM c WHERE k % 8 = 7""",
     "stream_holdback": f"""WITH a AS (SELECT conv_id || '-' || turn AS answer, CASE turn % 3 WHEN 0 THEN '{PREFACES[0]}' WHEN 2 THEN '{PREFACES[1]}' ELSE '' END AS preface, CASE WHEN turn % 3 = 2 THEN left(coalesce(text, ''), conv_id % 40) ELSE coalesce(text, '') END AS body FROM conversations),
         b AS (SELECT answer, CASE WHEN preface = '' OR length(ltrim(body)) <= 20 THEN preface || body ELSE ltrim(body) END AS text FROM a)
         SELECT answer, length(text) AS n_chars, sha1(text) AS sha1 FROM b WHERE text <> ''""",

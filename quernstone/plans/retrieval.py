@@ -134,9 +134,15 @@ def jaccard_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(r.set_similarity(items, docs), "jaccard")
 
 
+#: Metrics that turns of a conversation ask for, one after the other.
+ASKED_METRICS = ("revenue", "Net Income and EPS", "operating income", "total assets", "headcount")
+
+
 def query_expansion(spark: SparkSession, sf: str) -> DataFrame:
-    """Questions with the synonyms of the metrics they name."""
-    return questions(spark).select("query_id", expanded_query(F.col("question")).alias("expanded"))
+    """The turns of all conversations, each asking for a metric, with the synonyms of the metrics they name."""
+    metric = F.element_at(F.array(*map(F.lit, ASKED_METRICS)), (F.pmod(F.col("conv_id") + F.col("turn"), F.lit(len(ASKED_METRICS))) + 1).cast("int"))
+    asked = tables.table(spark, sf, "conversations").select("conv_id", "turn", F.concat_ws(" ", "text", metric).alias("question"))
+    return asked.select("conv_id", "turn", expanded_query(F.col("question")).alias("expanded"))
 
 
 def hybrid_query(spark: SparkSession, sf: str) -> DataFrame:
@@ -224,6 +230,6 @@ SQL = {
         p AS (SELECT item_id, doc_id, len(iw) + len(dw) AS n, len(list_intersect(iw, dw)) AS c FROM i, d)
         SELECT item_id, doc_id, round(c::DOUBLE / (n - c), 6) AS jaccard FROM p WHERE c > 0""",
     "hybrid_query": f"WITH {_HYBRID} SELECT query_id, position, chunk_id, round(score, 6) AS score, context_sha1, facts FROM mmr JOIN ctx USING (query_id) LEFT JOIN fc USING (query_id)",
-    "query_expansion": f"""WITH q AS (SELECT col0::BIGINT AS query_id, col1 AS question FROM (VALUES {_values()}))
-        SELECT query_id, {_EXPANDED} AS expanded FROM q""",
+    "query_expansion": f"""WITH q AS (SELECT conv_id, turn, concat_ws(' ', text, {list(ASKED_METRICS)}[(conv_id + turn) % {len(ASKED_METRICS)} + 1]) AS question FROM conversations)
+        SELECT conv_id, turn, {_EXPANDED} AS expanded FROM q""",
 }
