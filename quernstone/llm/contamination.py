@@ -4,9 +4,11 @@ An item is contained in a document if at least ``percent`` of its distinct
 5-word shingles are in the document.  Items are partitioned by their number of
 shingles (powers of two); in a partition whose largest item has ``hi``
 shingles, each item's sketch is its ``floor((1 - t) * hi) + 1`` smallest shingle
-hashes, a bottom-k MinHash.  A document's sketch for a partition is all its
-hashes up to the partition's largest sketch value, so that sketches of a short
-item and of a document of any length compare for containment.  By the
+hashes, a bottom-k MinHash.  A document has a sketch for each partition: all its
+hashes up to that partition's largest sketch value, so that sketches of a short
+item and of a document of any length compare for containment, and the tiny items
+of one partition do not lengthen the sketches for the others.  A value carries
+its partition in its last six bits, so values of two partitions never meet.  By the
 pigeonhole principle a document that contains an item with ``n`` shingles has
 all but ``floor((1 - t) * n)`` values of the item's sketch, and nothing is
 missed.  (Banded MinHash signatures of whole documents cannot find a short item
@@ -14,8 +16,8 @@ in a long one: their Jaccard similarity may be under 0.001.)  Candidates are
 verified on the words of the shingles themselves.
 
 Items and documents meet in joins, however many there are of either.  A bit
-table of the items' sketches, of a bounded size, goes to all tasks, so that
-only values that an item may hold leave a document.  Documents are read twice
+table of each partition's sketches, all of a bounded size, goes to all tasks, so
+that only values that an item of the partition may hold leave a document.  Documents are read twice
 and are not shuffled, except those with candidates.  Equal texts are one
 candidate; a text's identity is its MD5.
 """
@@ -32,8 +34,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from quernstone.llm.kernels import U64, blocks, shingles, utf8
 from quernstone.workspace import in_arrow, materialize, split_join, unused
 
-#: The bit table has at most 2^BITS bits, and bits for each sketch value.
+#: The bit tables have at most 2^BITS bits together, and bits for each sketch value.
 BITS, SPARSE = 26, 32
+#: The bits of a value that hold its partition.
+PART = 63
 #: The keys of so many texts may be sent to all tasks; more are joined.
 SENT, SALTS = 100_000, 64
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -51,7 +55,7 @@ def identity(text: Column) -> Column:
 
 
 def _sketches(percent: int, width: int):
-    """``item, need, value``: the sketch of each text, and how many of its values a document must hold."""
+    """``item, need, value``: the sketch of each text with its partition, and how many of its values a document must hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -59,42 +63,57 @@ def _sketches(percent: int, width: int):
             for i, j in blocks(offsets):
                 values, bounds = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width)
                 n = np.diff(bounds)
-                hi = 1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64)
+                part = np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64)
+                hi = 1 << part
                 k = np.minimum((100 - percent) * hi // 100 + 1, n)
                 need = k - (100 - percent) * n // 100
                 place = np.arange(len(values)) - np.repeat(bounds[:-1], n)  # sorted: the smallest come first
                 kept = place < np.repeat(k, n)
                 row = np.repeat(np.arange(len(n)), n)[kept]
                 item = batch.column(0).slice(i, j - i).take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([item, pa.array(need[row]), pa.array(values[kept].view(np.int64))], ["item", "need", "value"])
+                value = (values[kept] & ~U64(PART)) | part[row].view(U64)
+                yield pa.RecordBatch.from_arrays([item, pa.array(need[row]), pa.array(value.view(np.int64))], ["item", "need", "value"])
 
     return run
 
 
-def _bit_table(sketches: DataFrame) -> tuple[np.ndarray, int]:
-    """Words of a table with a bit set for the first ``bits`` bits of each value, and ``bits``."""
-    bits = int(min(BITS, max(12, (SPARSE * max(sketches.count(), 1) - 1).bit_length())))
-    at = F.shiftrightunsigned("value", 64 - bits)
-    words = sketches.select(F.shiftright(at, 6).alias("word"), F.expr("shiftleft(1L, CAST(shiftrightunsigned(value, %d) & 63 AS INT))" % (64 - bits)).alias("bit"))
-    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
-    table = np.zeros(1 << (bits - 6), np.int64)
-    table[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
-    return table.view(U64), bits
-
-
-def _probe(table, bits: int, top: int, width: int):
-    """``text_key, value``: the values of each document's sketch that an item may hold."""
+def _bit_tables(sketches: DataFrame) -> list[tuple[int, int, int, np.ndarray]]:
+    """For each partition its number, largest sketch value, and ``bits`` with a table that has a bit set for the first ``bits`` bits of each value."""
+    flip = F.lit(-(1 << 63))  # values are unsigned: flipped, they order as signed ones do
+    part = F.col("value").bitwiseAND(F.lit(PART))
+    ends = sketches.groupBy(part.alias("part")).agg(F.max(F.col("value").bitwiseXOR(flip)).bitwiseXOR(flip).alias("top"), F.count("*").alias("n")).collect()  # at most PART + 1 rows
+    if not ends:
+        return []
+    share = (len(ends) - 1).bit_length()  # a document's value is probed in each partition
+    bits = {r["part"]: int(min(BITS - share, max(12, (SPARSE * r["n"] - 1).bit_length() + share))) for r in ends}
+    drop = F.element_at(F.create_map(*[F.lit(x) for p, b in bits.items() for x in (p, 64 - b)]), F.col("part"))
+    at = sketches.select(part.alias("part"), "value").select("part", F.call_function("shiftrightunsigned", "value", drop).alias("at"))
+    words = at.select("part", F.shiftright("at", 6).alias("word"), F.expr(f"shiftleft(1L, CAST(at & {PART} AS INT))").alias("bit"))
+    found = words.groupBy("part", "word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    out = []
+    for r in ends:
+        table, own = np.zeros(1 << (bits[r["part"]] - 6), np.int64), found[found["part"] == r["part"]]
+        table[own["word"].to_numpy(np.int64)] = own["bits"].to_numpy(np.int64)
+        out.append((int(r["part"]), int(np.int64(r["top"]).view(U64)), bits[r["part"]], table.view(U64)))
+    return out
+
+
+def _probe(tables, width: int):
+    """``text_key, value``: the values of each document's sketch for each partition that an item of the partition may hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = table.value
+        parts = tables.value
         for batch in batches:
             data, offsets = utf8(batch.column(1))
             for i, j in blocks(offsets):
                 values, bounds = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width)
-                at = values >> U64(64 - bits)
-                hit = np.flatnonzero((values <= U64(top)) & ((words[(at >> U64(6)).astype(np.int64)] >> (at & U64(63))) & U64(1)).astype(bool))
-                rows = np.searchsorted(bounds, hit, "right") - 1
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).take(pa.array(rows)), pa.array(values[hit].view(np.int64))], ["text_key", "value"])
+                for part, top, bits, words in parts:
+                    own = (values & ~U64(PART)) | U64(part)
+                    short = np.flatnonzero(own <= U64(top))
+                    at = own[short] >> U64(64 - bits)
+                    hit = short[((words[(at >> U64(6)).astype(np.int64)] >> (at & U64(63))) & U64(1)).astype(bool)]
+                    rows = np.searchsorted(bounds, hit, "right") - 1
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).take(pa.array(rows)), pa.array(own[hit].view(np.int64))], ["text_key", "value"])
 
     return run
 
@@ -134,13 +153,10 @@ def _found(docs: DataFrame, items: DataFrame, percent: int, width: int) -> DataF
     known = items.select(identity(F.col("text")).alias("item"), F.coalesce("text", F.lit("")).alias("item_text")).dropDuplicates(["item"])
     known = materialize(known, "items")
     sketches = materialize(in_arrow(known, _sketches(percent, width), "item string, need long, value long"), "sketches")
-    # Values are unsigned: the largest has its sign bit set, if any has.
-    ends = sketches.agg(F.max(F.when(F.col("value") < 0, F.col("value"))), F.max("value")).head()
-    if ends[1] is None:
+    tables = _bit_tables(sketches)
+    if not tables:
         return None
-    table, bits = _bit_table(sketches)
-    top = int(np.int64(ends[1] if ends[0] is None else ends[0]).view(U64))
-    probe = _probe(spark.sparkContext.broadcast(table), bits, top, width)  # at most 2^BITS bits
+    probe = _probe(spark.sparkContext.broadcast(tables), width)  # at most 2^BITS bits
     texts = docs.select(identity(F.col("text")).alias("text_key"), F.coalesce("text", F.lit("")).alias("text"))
     hits = materialize(in_arrow(texts, probe, "text_key string, value long").distinct(), "hits")
     met = split_join(hits, sketches, "value", F.xxhash64("text_key"))
