@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quernstone.functions.scalars import expanded_query, mentioned
-from quernstone.operators import graph, retrieval as r
+from quernstone.operators import graph, retrieval as r, vector_cells
 from quernstone.plans import graph as graph_plans
 from quernstone.sources import tables
-from quernstone.workspace import materialize
+from quernstone.workspace import materialize, new_path
 
+#: Vectors of a stored cell; the given tables are small, so that they still make several cells.
+CELL_ROWS = 200
 #: A fixed batch of questions.
 QUESTIONS = (
     (1, "that and the onesen the revenue zzz"),
@@ -74,6 +76,13 @@ def dense_knn_prefilter(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(r.knn(v, _query_vectors(v), keep=F.col("label").isin(1, 3, 5)), "distance")
 
 
+def dense_knn_stored(spark: SparkSession, sf: str) -> DataFrame:
+    """The answers of ``dense_knn`` from vectors stored by cells, where cells that cannot hold one are not read."""
+    v, path = tables.vectors(spark, sf), new_path(spark, "vectors")
+    vector_cells.store(v, path, ["label", "chunk_id"], rows=CELL_ROWS)
+    return _rounded(vector_cells.search(spark, path, _query_vectors(v))[0], "distance")
+
+
 def _hits(spark: SparkSession, sf: str) -> DataFrame:
     """The lists of BM25, kNN and graph traversal, with their source."""
     chunks, v = tables.chunks(spark, sf), tables.vectors(spark, sf)
@@ -169,6 +178,7 @@ QUERIES = {
     "bm25_topk": bm25_topk,
     "dense_knn": dense_knn,
     "dense_knn_prefilter": dense_knn_prefilter,
+    "dense_knn_stored": dense_knn_stored,
     "rrf_fuse": rrf_fuse,
     "rrf_ground_dedupe": rrf_ground_dedupe,
     "mmr_rerank": mmr_rerank,
@@ -219,6 +229,7 @@ fc AS (SELECT query_id, string_agg(fact, '; ' ORDER BY fact) AS facts FROM (FROM
 SQL = {
     "bm25_topk": f"WITH {_BM25} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM bm25",
     "dense_knn": f"WITH {_KNN} SELECT query_id, chunk_id, round(distance, 6) AS distance, rank FROM knn",
+    "dense_knn_stored": f"WITH {_KNN} SELECT query_id, chunk_id, round(distance, 6) AS distance, rank FROM knn",
     "dense_knn_prefilter": f"WITH {_KNN} SELECT * FROM (SELECT query_id, chunk_id, round(distance, 6) AS distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS rank FROM dist WHERE label IN (1, 3, 5)) WHERE rank <= 15",
     "rrf_fuse": f"WITH {_BM25}, {_KNN}, {_FUSED} SELECT query_id, chunk_id, round(rrf_score, 6) AS rrf_score, n_lists, rank FROM fused",
     "rrf_ground_dedupe": f"WITH {_BM25}, {_KNN}, {_FUSED}, {_GROUNDED} SELECT query_id, chunk_id, company_ticker, section_id, rank, round(rrf_score, 6) AS rrf_score FROM grounded",
