@@ -8,8 +8,6 @@ from pyspark.sql import Column, functions as F
 
 from quernstone.functions import tables as t
 
-YEAR = r"\b20(?:2[0-9]|19)\b"
-
 
 def any_of(tests: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, tests, F.lit(False))
@@ -60,7 +58,7 @@ def metric_id(ticker: Column, year: Column, name: Column) -> Column:
 
 def years(text: Column) -> Column:
     """The distinct years 2019 to 2029 of a text, ascending."""
-    return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({YEAR})"), F.lit(1)), lambda y: y.cast("bigint"))))
+    return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({t.YEAR})"), F.lit(1)), lambda y: y.cast("bigint"))))
 
 
 def coerced_year(raw: Column, fallback: Column) -> Column:
@@ -136,25 +134,24 @@ def entity_candidates(question: Column) -> Column:
     """What a question may name: symbols, capitalised and lower-case phrases, the rest as one phrase, and tickers of aliases."""
     stop = F.array(*map(F.lit, t.STOPWORDS))
     find = lambda p: F.regexp_extract_all(question, F.lit(f"({p})"), F.lit(1))
-    proper = F.filter(find(r"\b[A-Z][a-z]+(?:[ '-][A-Z][a-z]+)*\b"), lambda w: ~F.array_contains(stop, F.lower(w)))
-    plain = F.filter(find(r"\b[a-z][a-z]+(?:\s[a-z][a-z]+)*\b"), lambda w: ~F.array_contains(stop, w))
+    proper = F.filter(find(t.PROPER_PHRASE), lambda w: ~F.array_contains(stop, F.lower(w)))
+    plain = F.filter(find(t.PLAIN_PHRASE), lambda w: ~F.array_contains(stop, w))
     names = F.create_map(*[F.lit(x) for kv in t.QUERY_ALIASES.items() for x in kv])
     alias = F.filter(F.transform(F.concat(proper, plain), lambda w: F.element_at(names, F.lower(w))), lambda x: x.isNotNull())
     left = F.regexp_replace(F.lower(F.regexp_replace(question, r"[\s'-]+", " ")), rf"\b(?:{'|'.join(t.COMPACT_WORDS)})\b", " ")
     left = F.filter(F.split(left, r"\s+"), lambda w: (w != "") & ~F.array_contains(stop, w))
     rest = F.when(F.size(left) >= 2, F.array(F.array_join(left, " "))).otherwise(F.array().cast("array<string>"))
-    every = F.transform(F.concat(find(r"\b[A-Z]{2,8}\b"), proper, plain, alias, rest), F.trim)
+    every = F.transform(F.concat(find(t.SYMBOL), proper, plain, alias, rest), F.trim)
     return F.array_sort(F.array_distinct(F.filter(every, lambda w: F.length(w) >= 2)))
 
 
 def parsed_number(raw: Column) -> Column:
     """``$391,035``, ``12.5B`` or ``5%`` as a number; else the first number in the text, else null."""
     s = F.trim(F.regexp_replace(F.trim(raw), "[,$%]", ""))
-    whole = r"(?i)^([+-]?\d+(?:\.\d+)?)\s*([bmk]|billion|million|thousand)?s?$"
-    unit = F.lower(F.substring(F.regexp_extract(s, whole, 2), 1, 1))
+    unit = F.lower(F.substring(F.regexp_extract(s, t.SCALED_NUMBER, 2), 1, 1))
     times = F.when(unit == "b", 1e9).when(unit == "m", 1e6).when(unit.isin("k", "t"), 1e3).otherwise(1.0)
-    first = F.regexp_extract(s, r"[+-]?\d+(?:\.\d+)?", 0)
-    return F.when(s.rlike(whole), F.regexp_extract(s, whole, 1).try_cast("double") * times).otherwise(first.try_cast("double"))
+    first = F.regexp_extract(s, t.NUMBER, 0)
+    return F.when(s.rlike(t.SCALED_NUMBER), F.regexp_extract(s, t.SCALED_NUMBER, 1).try_cast("double") * times).otherwise(first.try_cast("double"))
 
 
 def calculate(operation: Column, a: Column, b: Column) -> Column:

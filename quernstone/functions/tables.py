@@ -1,5 +1,13 @@
 """Lists and tables that results depend on."""
 
+#: Patterns that results depend on: years, what a question may name, and numbers.
+YEAR = r"\b20(?:2[0-9]|19)\b"
+SYMBOL = r"\b[A-Z]{2,8}\b"
+PROPER_PHRASE = r"\b[A-Z][a-z]+(?:[ '-][A-Z][a-z]+)*\b"
+PLAIN_PHRASE = r"\b[a-z][a-z]+(?:\s[a-z][a-z]+)*\b"
+NUMBER = r"[+-]?\d+(?:\.\d+)?"
+SCALED_NUMBER = r"(?i)^([+-]?\d+(?:\.\d+)?)\s*([bmk]|billion|million|thousand)?s?$"
+
 #: Section headings of an annual report, as they are matched.
 SECTION_ITEMS = (
     "Item 1", "Item 1A", "Item 1B", "Item 2", "Item 3", "Item 4", "Item 5",

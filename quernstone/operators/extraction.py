@@ -9,15 +9,18 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from contextlib import suppress
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quernstone.functions.scalars import entity_key
-from quernstone.functions.tables import RELATIONS
+from quernstone.functions.tables import RELATIONS, YEAR
 
-_LONE_NAME = re.compile(r'\{\s*("(?:[^"\\]|\\.)*")\s*\}')
+#: A string, with its end as a group; a bracket; what stands between them.
+_TOKEN = re.compile(r'(?s)"(?:[^"\\]|\\.?)*+("?)|[{}\[\]]|[^"{}\[\]]+')
+_SPANS = tuple(re.compile(p) for p in (r"(?s)\S.*", r"(?s)\{.*\}", r"(?s)\[.*\]"))
 _THINKING = re.compile(r"(?is)<think>.*?(?:</think>|\Z)")
 _FENCE = re.compile(r"(?s)```(?:json)?\s*(.*?)```")
 #: Characters of a text that a single and a batched extraction send to a model.
@@ -32,46 +35,29 @@ def unwrapped(text: str) -> str:
     return (fenced.group(1) if fenced else text).strip()
 
 
-def balanced(text: str) -> str:
-    """``text`` with an open string closed and open brackets closed from the inside out."""
-    open_, quoted, skip = [], False, False
-    for c in text:
-        if skip:
-            skip = False
-        elif quoted:
-            skip, quoted = c == "\\", c != '"'
-        elif c == '"':
-            quoted = True
-        elif c in "{[":
-            open_.append("}" if c == "{" else "]")
-        elif c in "}]" and open_:
-            open_.pop()
-    return text + '"' * quoted + "".join(reversed(open_))
-
-
-def loads(text: str) -> Any:
-    """JSON, if need be with lone names in braces made objects and with what is open closed."""
-    named = _LONE_NAME.sub(r'{"name": \1}', text)
-    for attempt in (text, named, balanced(named)):
-        try:
-            return json.loads(attempt)
-        except ValueError:
-            continue
-    raise ValueError("no JSON")
+def repaired(text: str) -> str:
+    """``text`` with each ``{"x"}`` as ``{"name": "x"}`` and with what is open at its end closed; JSON stays as it is."""
+    pieces, open_ = [], []
+    for token in _TOKEN.finditer(text):
+        piece = token[0]
+        if piece in ("{", "["):
+            open_.append(len(pieces))
+        elif piece in ("}", "]") and open_:
+            start = open_.pop()
+            # A lone name has white space around it at most.
+            inside = [i for i in range(start + 1, len(pieces)) if pieces[i].strip()] if len(pieces) - start <= 4 else []
+            if piece == "}" and pieces[start] == "{" and len(inside) == 1 and pieces[inside[0]][0] == '"':
+                pieces[inside[0]] = '"name": ' + pieces[inside[0]]
+        pieces.append(piece + '"' if token[1] == "" else piece)
+    return "".join(pieces) + "".join("}" if pieces[at] == "{" else "]" for at in reversed(open_))
 
 
 def json_within(text: str) -> Any:
-    """The JSON that ``text`` is or holds; None where there is none."""
-    text = text.strip()
-    tries = [text]
-    for left, right in ("{}", "[]"):
-        if 0 <= text.find(left) < text.rfind(right):
-            tries.append(text[text.find(left) : text.rfind(right) + 1])
-    for attempt in tries:
-        try:
-            return loads(attempt)
-        except ValueError:
-            continue
+    """The JSON that ``text`` is, or that its widest braces or brackets hold, repaired; None where there is none or it nests too deep to be read."""
+    for span in _SPANS:
+        if found := span.search(text.strip()):
+            with suppress(ValueError, RecursionError):
+                return json.loads(repaired(found[0]))
     return None
 
 
@@ -180,7 +166,7 @@ def metric_year(text: Column, value: Column, name: Column, reach: int = 400) ->
     # A character before and one after: the year neither begins further off nor where the value does.
     low = F.greatest(at + 1 - reach, F.lit(1))
     window = F.substring(F.concat(F.lit(" "), text, F.lit(" ")), low, at + 5 - low)
-    found = F.regexp_extract_all(window, F.lit(r"(?<=[\s\S])\b(20(?:2[0-9]|19))\b(?=[\s\S])"), F.lit(1))
+    found = F.regexp_extract_all(window, F.lit(rf"(?<=[\s\S])({YEAR})(?=[\s\S])"), F.lit(1))
     return F.when((F.coalesce(value, F.lit("")) != "") & (at > 0), F.try_element_at(found, F.lit(-1))).cast("bigint")
 
 
@@ -189,17 +175,10 @@ def after_json(text: str, least: int = 20) -> str:
     body = (text or "").lstrip()
     if not body.startswith("{"):
         return text
-    depth, quoted, skip = 0, False, False
-    for i, c in enumerate(body):
-        if skip:
-            skip = False
-        elif quoted:
-            skip, quoted = c == "\\", c != '"'
-        elif c == '"':
-            quoted = True
-        else:
-            depth += (c == "{") - (c == "}")
-            if not depth:
-                rest = body[i + 1 :].lstrip()
-                return rest if len(rest) > least else text
+    depth = 0
+    for token in _TOKEN.finditer(body):
+        depth += (token[0] == "{") - (token[0] == "}")
+        if not depth:
+            rest = body[token.end() :].lstrip()
+            return rest if len(rest) > least else text
     return text

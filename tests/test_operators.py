@@ -4,6 +4,7 @@ import json
 import math
 
 import pytest
+from hypothesis import given, strategies as st
 from pyspark.sql import functions as F
 
 from quernstone.operators import chunking, dialogue, extraction, graph, incremental, retrieval as r
@@ -101,12 +102,26 @@ def test_html():
         ('{"a": [1, {"b": "c', {"a": [1, {"b": "c"}]}),
         ("[1, 2", [1, 2]),
         ("none", None),
+        ('[{ "a" }, {"b": {"c"}}, "{\\"d\\"}"]', [{"name": "a"}, {"b": {"name": "c"}}, '{"d"}']),
+        ('{"a": "b\\', None),
+        ('{"a": "\\"b', {"a": '"b'}),
+        ("[" * 100_000, None),
+        ("", None),
     ],
 )
 def test_tolerant_json(text, want):
     assert extraction.json_within(text) == want
 
 
+@given(st.recursive(st.none() | st.booleans() | st.integers() | st.text(), lambda x: st.lists(x) | st.dictionaries(st.text(), x), max_leaves=20))
+def test_repair_leaves_json_alone_and_closes_what_is_cut(value):
+    text = json.dumps(value)
+    assert extraction.repaired(text) == text
+    assert all(extraction.repaired(text[:end]).startswith(text[:end]) for end in range(len(text)))
+    if isinstance(value, str) and "\\" not in text:
+        assert all(value.startswith(extraction.json_within(text[:end]).rstrip()) for end in range(1, len(text)))
+
+
 def test_unwrapping_and_prose():
     assert extraction.unwrapped('<think>x</think>\n```json\n{"a":1}\n```') == '{"a":1}'
     assert extraction.unwrapped("<think>never closed") == ""
