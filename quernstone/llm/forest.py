@@ -14,7 +14,9 @@ neighbours among all rows are computed, and the number is what reaches the
 wanted part of them.  So the rows that a query meets are no more than its
 recall needs, and their part falls as the table grows and neighbours come
 nearer.  The visits meet the rows leaf by leaf; leaves with many rows are cut
-into pieces by the hash of the vector, and the query visits every piece.
+into pieces by the hash of the vector, and the query visits every piece.  The
+visits of the calibrated queries say how many a leaf will have: one with many is
+copied, and a query visits one of the copies.
 Candidates are scored exactly on the original vectors, in double precision,
 summed from the first dimension to the last.
 
@@ -26,6 +28,7 @@ by a hash of 63 bits of their vectors.
 from __future__ import annotations
 
 import heapq
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,8 +42,10 @@ TREES = 12
 LEAF = 256
 #: Queries whose true neighbours are computed to calibrate the search.
 ASKED = 100
-#: A piece of a leaf has about so many members.
-PIECE = 4_000
+#: A piece of a leaf has about so many members, and a copy of it so many visits.
+PIECE, VISITS = 4_000, 50_000
+#: Rows and visits that a search task takes, and queries whose best it holds.
+TASK, HELD = 100_000, 20_000
 SALTS = 32
 
 
@@ -173,8 +178,12 @@ def _truth(asked: np.ndarray, keep: int, kind: str):
     return run
 
 
-def _pair(forest, longest: float, visit: int, pieces: dict, kind: str):
-    """Rows of the index (kind 0) and visits of the queries (kind 1), by tree, leaf and piece."""
+def _pair(forest, longest: float, visit: int, pieces: dict, copies: dict, kind: str):
+    """Rows of the index (kind 0) and visits of the queries (kind 1), by tree, leaf and piece.
+
+    A row goes to one of its leaf's ``pieces``, in each of its ``copies``; a
+    visit to each of the pieces, in one of the copies.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees = forest.value
@@ -187,15 +196,18 @@ def _pair(forest, longest: float, visit: int, pieces: dict, kind: str):
                 rows, places = [], []
                 for k, tree in enumerate(trees):
                     for i, leaf in enumerate(leaves(tree, lifted)):
-                        rows.append((i, 0))
-                        places.append((k, int(leaf), int(key[i] % pieces.get((k, int(leaf)), 1))))
+                        at = k, int(leaf)
+                        piece, every = int(key[i] % pieces.get(at, 1)), copies.get(at, 1)
+                        rows += [(i, 0)] * every
+                        places += [(*at, piece * every + copy) for copy in range(every)]
                 asked = np.flatnonzero(is_query)
                 lifted[:, -1] = 0
                 for some in np.split(asked, range(100, len(asked), 100)):
                     for q, k, leaf in visits(trees, lifted[some], visit):
+                        every, i = copies.get((k, leaf), 1), int(some[q])
                         for piece in range(pieces.get((k, leaf), 1)):
-                            rows.append((int(some[q]), 1))
-                            places.append((k, leaf, piece))
+                            rows.append((i, 1))
+                            places.append((k, leaf, piece * every + int(key[i] % every)))
                 row, side = (np.array(x) for x in zip(*rows))
                 order = np.arange(len(row))
                 for part in np.split(order, range(20_000, len(order), 20_000)):
@@ -211,76 +223,99 @@ def _pair(forest, longest: float, visit: int, pieces: dict, kind: str):
 class _Best:
     """The best members for each query, exactly scored; ``floor`` is what a member must reach to be among them."""
 
-    def __init__(self, queries: int, keep: int):
-        self.keep, self.floor, self.held, self.new = keep, np.full(queries, -np.inf), np.zeros((0, 3)), []
-        self.waiting = 0
-
-    def add(self, query: np.ndarray, member: np.ndarray, score: np.ndarray) -> None:
-        self.new.append(np.stack([query, member, score], 1))
-        self.waiting += len(query)
+    def __init__(self, keep: int):
+        self.keep = keep
+        self.clear()
+
+    def clear(self) -> None:
+        self.number, self.floor, self.ids = {}, np.zeros(0), {}
+        self.held, self.new, self.waiting = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)), [], 0
+
+    def numbers(self, queries: np.ndarray) -> np.ndarray:
+        """Consecutive numbers of the queries, by their keys."""
+        got = np.array([self.number.setdefault(q, len(self.number)) for q in queries.tolist()], np.int64)
+        self.floor = np.append(self.floor, np.full(len(self.number) - len(self.floor), -np.inf))
+        return got
+
+    def compare(self, queries: np.ndarray, q: np.ndarray, members: np.ndarray, x: np.ndarray, ids: pa.Array) -> None:
+        """Meets queries, by number, with a piece's members, by key."""
+        near = q @ x.T
+        floor = self.floor[queries]
+        if len(x) > self.keep:
+            floor = np.maximum(floor, np.partition(near, len(x) - self.keep, 1)[:, len(x) - self.keep])
+        # Products summed in another order differ by less than this from the exact scores.
+        slack = 1e-12 * np.linalg.norm(q, axis=1) * np.linalg.norm(x, axis=1).max()
+        i, j = np.nonzero(near >= (floor - slack)[:, None])
+        for at in np.unique(j):
+            if members[at] not in self.ids:
+                self.ids[members[at]] = ids[int(at)].as_py()
+        for part in range(0, len(i), 8192):
+            a, b = i[part : part + 8192], j[part : part + 8192]
+            exact = np.cumsum(q[a] * x[b], 1)[:, -1]  # in order, so that every task gets the same sum
+            self.new.append((queries[a], members[b], exact))
+            self.waiting += len(a)
         if self.waiting > 200_000:
             self.prune()
 
-    def prune(self) -> np.ndarray:
-        """(query, member, score), the best ``keep`` members of each query and those that tie with the last."""
-        rows = np.concatenate([self.held, *self.new])
-        rows = rows[np.lexsort((rows[:, 1], -rows[:, 2], rows[:, 0]))]
-        fresh = np.ones(len(rows), bool)
-        fresh[1:] = (rows[1:, :2] != rows[:-1, :2]).any(1)
-        rows = rows[fresh]
-        first = np.searchsorted(rows[:, 0], rows[:, 0], "left")
-        last = np.minimum(first + self.keep - 1, np.searchsorted(rows[:, 0], rows[:, 0], "right") - 1)
-        self.held, self.new, self.waiting = rows[rows[:, 2] >= rows[last, 2]], [], 0
+    def prune(self) -> None:
+        """Keeps the best ``keep`` members of each query and those that tie with the last."""
+        query, member, score = (np.concatenate(x) for x in zip(self.held, *self.new))
+        order = np.lexsort((member, -score, query))
+        query, member, score = query[order], member[order], score[order]
+        fresh = np.ones(len(query), bool)
+        fresh[1:] = (query[1:] != query[:-1]) | (member[1:] != member[:-1])
+        query, member, score = query[fresh], member[fresh], score[fresh]
+        first = np.searchsorted(query, query, "left")
+        last = np.minimum(first + self.keep - 1, np.searchsorted(query, query, "right") - 1)
         full = last - first == self.keep - 1
-        self.floor[rows[full, 0].astype(int)] = rows[last[full], 2]
-        return self.held
+        self.floor[query[full]] = score[last[full]]
+        kept = score >= score[last]
+        self.held, self.new, self.waiting = (query[kept], member[kept], score[kept]), [], 0
+        self.ids = {m: self.ids[m] for m in np.unique(self.held[1])}
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        """What is held, with the smallest ids of each query's best; then nothing is held."""
+        self.prune()
+        keys, (query, member, score) = list(self.number), self.held
+        starts = np.flatnonzero(np.r_[True, query[1:] != query[:-1]]) if len(query) else []
+        out: list[tuple[int, int, float]] = []
+        for at, end in zip(starts, np.append(starts[1:], len(query))):
+            flat = sorted((-s, i) for m, s in zip(member[at:end], score[at:end].tolist()) for i in self.ids[m])[: self.keep]
+            out += [(keys[query[at]], i, -s) for s, i in flat]
+        for part in range(0, len(out), 50_000):
+            columns = zip(*out[part : part + 50_000])
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, (pa.int64(), pa.int64(), pa.float64()))], ["key", "vec_id", "score"])
+        self.clear()
 
 
 def _search(keep: int, kind: str):
-    """The best members for each query among those that share a leaf's piece, exactly scored."""
+    """The best members for each query among those that share a leaf's piece, exactly scored.
+
+    Rows come sorted, a piece's members before its visits, so that a task holds
+    one piece's members, a batch of visits and the best of ``HELD`` queries.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = [b for b in batches if len(b)]
-        if not table:
-            return
-        table = pa.Table.from_batches(table)
-        place = np.stack([table.column(i).to_numpy() for i in range(3)], 1)
-        side, key = table.column("kind").to_numpy(), table.column("key").to_numpy()
-        vec = np.frombuffer(b"".join(x.as_buffer() for x in table.column("v")), kind).reshape(len(key), -1)
-        member, number = np.unique(key, return_inverse=True)
-        ids = dict(zip(number.tolist(), table.column("ids")))
-        order = np.lexsort((side, place[:, 2], place[:, 1], place[:, 0]))
-        ordered = place[order]
-        starts = np.flatnonzero(np.r_[True, (ordered[1:] != ordered[:-1]).any(1)])
-        best = _Best(len(member), keep)
-        for at, end in zip(starts, np.append(starts[1:], len(order))):
-            group = order[at:end]
-            rows, asks = group[side[group] == 0], group[side[group] == 1]
-            if not len(rows) or not len(asks):
-                continue
-            x = vec[rows].astype(np.float64)
-            for some in np.split(asks, range(500, len(asks), 500)):
-                q = vec[some].astype(np.float64)
-                near = q @ x.T
-                floor = best.floor[number[some]]
-                if len(rows) > keep:
-                    floor = np.maximum(floor, np.partition(near, len(rows) - keep, 1)[:, len(rows) - keep])
-                # Products summed in another order differ by less than this from the exact scores.
-                slack = 1e-12 * np.linalg.norm(q, axis=1) * np.linalg.norm(x, axis=1).max()
-                i, j = np.nonzero(near >= (floor - slack)[:, None])
-                for part in range(0, len(i), 8192):
-                    a, b = i[part : part + 8192], j[part : part + 8192]
-                    exact = np.cumsum(q[a] * x[b], 1)[:, -1]  # in order, so that every task gets the same sum
-                    best.add(number[some[a]], number[rows[b]], exact)
-        found = best.prune()
-        out: list[tuple[int, int, float]] = []
-        ends = np.flatnonzero(np.r_[np.diff(found[:, 0]) != 0, True]) + 1 if len(found) else []
-        for at, end in zip(np.r_[0, ends[:-1]].astype(int) if len(ends) else [], ends):
-            flat = sorted((-s, i) for _, m, s in found[at:end] for i in ids[int(m)].as_py())[:keep]
-            out += [(int(member[int(found[at, 0])]), i, -s) for s, i in flat]
-        for part in range(0, len(out), 50_000):
-            columns = zip(*out[part : part + 50_000])
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, (pa.int64(), pa.int64(), pa.float64()))], ["key", "vec_id", "score"])
+        best, place, held = _Best(keep), None, []
+        for batch in filter(len, batches):
+            where = np.stack([batch.column(i).to_numpy() for i in range(4)], 1)
+            key, vec, ids = batch.column(4).to_numpy(), _unpack(batch.column(5), kind), batch.column(6)
+            starts = np.flatnonzero(np.r_[True, (where[1:] != where[:-1]).any(1)])
+            for at, end in zip(starts, np.append(starts[1:], len(where))):
+                if place != (at_ := tuple(where[at, :3])):
+                    place, held = at_, []
+                    if len(best.number) > HELD:
+                        yield from best.flush()
+                if not where[at, 3]:
+                    held.append((key[at:end], vec[at:end].astype(np.float64), ids.slice(at, end - at)))
+                elif held:
+                    if len(held) > 1:
+                        keys, xs, lists = zip(*held)
+                        held = [(np.concatenate(keys), np.concatenate(xs), pa.concat_arrays(lists))]
+                    for some in range(at, end, 500):
+                        part = slice(some, min(some + 500, end))
+                        best.compare(best.numbers(key[part]), vec[part].astype(np.float64), *held[0])
+        yield from best.flush()
 
     return run
 
@@ -342,14 +377,18 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20, recall: float = 0.94
             near[i] = np.array([v for v in own if not np.array_equal(v, tried[i])][:k]).reshape(-1, length["n"])
     flat = np.concatenate([tried, np.zeros((len(tried), 1))], 1)
     visit = calibrate(forest, flat, [_lift(n, longest) for n in near], recall) if len(x) else 1
-    # The sample says how many rows a leaf has; a hot one is cut into pieces.
+    # The sample says how many rows a leaf has, the tried queries how many visits.
     pieces = {(t, i): int(n) for t, tree in enumerate(forest) for i, s in enumerate(tree["sizes"]) if (n := -(-s * scale // PIECE)) > 1}
+    asks, times = Counter((t, i) for _, t, i in visits(forest, flat, visit)), queries / max(len(tried), 1)
+    copies = {at: int(c) for at, n in asks.items() if (c := -(-n * times // VISITS)) > 1}
     shared = spark.sparkContext.broadcast(forest)  # of at most MOST vectors
-    pair = _pair(shared, longest, visit, pieces, kind)
+    pair = _pair(shared, longest, visit, pieces, copies, kind)
     placed = in_arrow(members.select("v", "ids", "q", "spread"), pair, "tree int, leaf int, piece int, kind int, key long, v binary, ids array<long>")
     # A query's key is its member's spread, so that searches and queries meet again by it.
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-count * trees // 100_000))
-    found = in_arrow(placed.repartition(tasks, "tree", "leaf", "piece"), _search(keep, kind), "key long, vec_id long, score double").distinct()
+    load = count * trees + sum(n * times * pieces.get(at, 1) for at, n in asks.items())
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(load // TASK) + 1)
+    met = placed.repartition(tasks, "tree", "leaf", "piece").sortWithinPartitions("tree", "leaf", "piece", "kind")
+    found = in_arrow(met, _search(keep, kind), "key long, vec_id long, score double").distinct()
     best = found.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score"), "vec_id"))).filter(F.col("r") <= k + 1).drop("r")
     best = best.join(asked.select("query_id", F.shiftrightunsigned("key", 1).alias("key")), "key").filter("query_id <> vec_id")
     best = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))

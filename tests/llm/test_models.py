@@ -206,6 +206,19 @@ def test_neighbours_of_doubles_and_ties_at_the_cut(spark):
     assert found(forest.nearest(df, F.col("vec_id") == 2000, k=20, recall=1.0)) == brute(data, lambda i: i == 2000, 20)
 
 
+def test_neighbours_by_pieces_copies_and_flushes(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    near = r.normal(size=16)  # half of all rows, and of the queries, about one point
+    data = [(i, (r.normal(size=16) if i % 2 else near + 1e-4 * r.normal(size=16)).tolist()) for i in range(1200)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    want = found(forest.nearest(df, F.col("vec_id") % 3 == 0, k=10, leaf=100))
+    for name, small in (("PIECE", 30), ("VISITS", 20), ("HELD", 10), ("TASK", 2000)):
+        monkeypatch.setattr(forest, name, small)
+    assert found(forest.nearest(df, F.col("vec_id") % 3 == 0, k=10, leaf=100)) == want
+    true = brute(data, lambda i: i % 3 == 0, 10)
+    assert np.mean([len({i for i, _ in want[q]} & {i for i, _ in true[q]}) / 10 for q in true]) >= 0.9
+
+
 def test_neighbours_of_few_and_no_rows(spark):
     schema = "vec_id long, embedding array<float>"
     assert forest.nearest(spark.createDataFrame([], schema), F.col("vec_id") % 20 == 0).count() == 0
