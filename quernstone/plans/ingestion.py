@@ -10,6 +10,7 @@ from quernstone.functions.tables import SECTION_ITEMS
 from quernstone.operators import chunking, extraction, incremental as inc
 from quernstone.plans.retrieval import CHUNKS
 from quernstone.sources import files, tables
+from quernstone.workspace import spread
 
 #: Line beginnings that become headings, contents rows and prose that looks like a heading.
 HEADED = (("\nI", "\n## item 7A I"), ("\nA", "\nItem 1. A"), ("\nO", "\nItem 9C | O"), ("\nE", "\nITEM 8 | E"), ("\nL", "\nItem 16 of L"))
@@ -212,8 +213,10 @@ def stream_holdback(spark: SparkSession, sf: str) -> DataFrame:
     said = F.when(turn % 3 == 1, text).when(turn % 3 == 0, F.concat(F.lit(PREFACES[0]), text)).otherwise(F.concat(F.lit(PREFACES[1]), F.substring(text, F.lit(1), (F.col("conv_id") % 40).cast("int"))))
     rows = tables.table(spark, sf, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("answer"), said.alias("said")).filter("said <> ''")
     size = 5 + F.crc32(F.col("answer").cast("binary")) % 11
-    starts = F.transform(F.sequence(F.lit(0).cast("long"), F.ceil(F.length("said") / size) - 1), lambda i: F.substring("said", (i * size + 1).cast("int"), size.cast("int")))
-    rows.select("answer", F.size(starts).alias("n"), F.posexplode(starts).alias("at", "token")).select("answer", F.col("at").cast("long").alias("seq"), "token", (F.col("at") == F.col("n") - 1).alias("last")).write.parquet(source)
+    # One scan of each text; pieces by position would search each from the text's begin.
+    tokens = F.regexp_extract_all("said", F.format_string("(?s).{1,%d}", size), F.lit(0))
+    rows = spread(rows).select("answer", tokens.alias("tokens"))
+    rows.select("answer", F.size("tokens").alias("n"), F.posexplode("tokens").alias("at", "token")).select("answer", F.col("at").cast("long").alias("seq"), "token", (F.col("at") == F.col("n") - 1).alias("last")).write.parquet(source)
     stream = released(spark.readStream.schema("answer string, seq long, token string, last boolean").parquet(source))
     stream.writeStream.format("parquet").option("path", target).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
     pieces = F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"])

@@ -82,3 +82,21 @@ def test_an_idle_answer_is_shown_and_goes_on(spark, tmp_path):
         assert [r["text"] for r in spark.table("shown").orderBy("seq").collect()] == ['{"never": ', "closed"]
     finally:
         query.stop()
+
+
+def test_many_answers_take_few_calls(spark, tmp_path):
+    """Over two batches; half of the answers begin in the first and end in the second, and ids are numbers."""
+    schema = "answer long, seq long, token string, last boolean"
+    text = lambda i: f'{{"n": {i}}} and then twenty characters of prose' if i % 3 else f"plain {i}"
+    n, half = 6000, 10
+    cut = lambda i: [(i, 0, text(i)[:half], False), (i, 1, text(i)[half:], True)]
+    rows = [r for i in range(n) for r in cut(i)]
+    for part in range(2):
+        spark.createDataFrame([r for r in rows if (r[1] and r[0] % 2) == part], schema).coalesce(1).write.parquet(str(tmp_path / f"in/p{part}"))
+    stream = h.released(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in")))
+    query = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out")).groupBy("answer").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), "").alias("text"))
+    assert {x["answer"]: x["text"] for x in got.collect()} == {i: after_json(text(i)) for i in range(n)}
+    states = [s["numRowsUpdated"] for p in query.recentProgress for s in p["stateOperators"]]
+    assert 0 < sum(states) <= 2 * h.BUCKETS < n
