@@ -112,13 +112,13 @@ def filing_year_prune(spark: SparkSession, sf: str) -> DataFrame:
 
 def triplet_parse(spark: SparkSession, sf: str) -> DataFrame:
     """Model outputs on all customers parsed, repaired, typed and keyed."""
-    rows = outputs(spark, sf)
+    rows = spread(outputs(spark, sf))
     return extraction.typed(extraction.parse(rows), rows).select("chunk_id", "rel", "src_label", "src", "dst_label", "dst")
 
 
 def json_repair(spark: SparkSession, sf: str) -> DataFrame:
     """Model outputs on all customers parsed, before typing."""
-    parsed = extraction.parse(outputs(spark, sf))
+    parsed = extraction.parse(spread(outputs(spark, sf)))
     props = [F.col("target_props")[k].alias(k) for k in ("value", "unit", "year")]
     return parsed.select("chunk_id", "relation", "source", "target", *props)
 
