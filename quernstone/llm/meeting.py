@@ -187,7 +187,9 @@ def connect(pairs: DataFrame, members: DataFrame, verify: Callable[[DataFrame],
     likely = _likely(pairs, sketches, possible, "likely")
     edges = materialize(verify(likely), "links", WIDE * likely.count())
     names = components(edges)
-    named = members.join(names, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("root"))
+    # A member has no more signatures than its set gives; it meets its name once, with all of them.
+    held = members.groupBy("node").agg(F.collect_list("sig").alias("sigs"))
+    named = held.join(names, "node", "left").select(F.explode("sigs").alias("sig"), "node", F.coalesce("root", "node").alias("root"))
     n = members.count()
     named = materialize(named, "named", n)
     # Of each group with several components: its members, those outside the largest, and which that is.
