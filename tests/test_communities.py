@@ -163,3 +163,37 @@ def test_modularity_of_known_divisions_and_no_edges(spark):
     assert abs(c.modularity(df, halves) - (6 / 7 - 0.5)) < 1e-12
     assert abs(c.modularity(df, halves.selectExpr("node", "1 AS community"))) < 1e-12
     assert c.modular(frame(spark, [])).count() == 0 and c.modularity(frame(spark, []), halves) == 0.0
+
+def brute_groups(rows):
+    """The edges that groups stand for, both ways."""
+    return [(x, y) for g, x, n in rows for h, y, m in rows if g == h and x != y for _ in range(n * m)]
+
+
+@pytest.mark.parametrize("seed, resolution", [(1, 1.0), (2, 1.7)])
+def test_groups_give_the_communities_of_their_pairs(spark, seed, resolution):
+    r = random.Random(seed)
+    edges = blocks(seed, groups=4, size=8, inside=0.25)[0] + [("n001", "m1"), ("n002", "m1"), ("n003", "m2")]
+    rows = {(r.randrange(4), f"n{i:03d}"): r.choice((1, 1, 2)) for i in [*range(26), *range(26), 40, 41]} | {(9, "alone"): 2}
+    rows = [(g, x, n) for (g, x), n in rows.items()]
+    groups = spark.createDataFrame(rows, "group int, node string, n long")
+    found = c.modular(frame(spark, edges), resolution, groups)
+    got = {r["node"]: r["community"] for r in found.collect()}
+    pairs = edges + brute_groups(rows)
+    assert got == brute(pairs, resolution) and "alone" not in got
+    assert c.modularity(frame(spark, edges), found, resolution, groups) == c.modularity(frame(spark, pairs), found, resolution)
+
+
+def test_members_of_a_group_are_not_paired(spark, monkeypatch):
+    made, write = {}, c.materialize
+
+    def spy(df, name, rows=None):
+        out = write(df, name, rows)
+        made[name] = max(made.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(c, "materialize", spy)
+    rows = [(i % 2, f"n{i:03d}", 1) for i in range(200)]
+    edges = [(f"n{i:03d}", f"m{i}") for i in range(200)]
+    got = {r["node"]: r["community"] for r in c.modular(frame(spark, edges), groups=spark.createDataFrame(rows, "group int, node string, n long")).collect()}
+    assert len(got) == 400 and len(set(got.values())) == 2
+    assert max(made.values()) <= 3 * 400
