@@ -108,8 +108,8 @@ def gather(packed: DataFrame, tasks: int) -> tuple[DataFrame, DataFrame]:
     made_of = members.groupBy("sig").agg(F.bit_xor(F.xxhash64("node")).alias("one"), F.bit_xor(F.xxhash64(F.lit("two"), "node")).alias("two"), F.count("*").alias("n"))
     first = made_of.groupBy("one", "two", "n").agg(F.min("sig").alias("sig")).select("sig")
     members = materialize(members.join(first, "sig", "left_semi"), "members", n)
-    weight = members.groupBy("node").agg(F.count("*").alias("w"))
-    weighed = materialize(split_join(members, weight, "node", F.col("sig")), "weighed", n)
+    weighed = held(members, "sig").select(F.explode("held").alias("sig"), "node", F.size("held").alias("w"))
+    weighed = materialize(weighed, "weighed", n)
     middle = weighed.groupBy("sig").agg(F.max(F.struct("w", "node")).alias("m")).select("sig", F.col("m.node").alias("mid"))
     stars = split_join(members, middle, "sig", F.col("node")).filter("node <> mid").select(F.least("node", "mid").alias("a"), F.greatest("node", "mid").alias("b")).distinct()
     alone = found.filter("kind = 0").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
@@ -177,6 +177,12 @@ def _likely(pairs: DataFrame, sketches: DataFrame, possible: Callable[..., np.nd
     return materialize(in_arrow(both, _near(possible), "a long, b long"), name, WIDE * pairs.count())
 
 
+def held(rows: DataFrame, *columns: str) -> DataFrame:
+    """``node, held``: a row for each member with all its rows of a table; it has no more of them than its set gives signatures."""
+    one = F.col(columns[0]) if len(columns) == 1 else F.struct(*columns)
+    return rows.groupBy("node").agg(F.collect_list(one).alias("held"))
+
+
 def connect(pairs: DataFrame, members: DataFrame, verify: Callable[[DataFrame], DataFrame], sketches: DataFrame, possible: Callable[..., np.ndarray]) -> DataFrame:
     """Verified edges (a, b) that connect every component of the links.
 
@@ -187,9 +193,7 @@ def connect(pairs: DataFrame, members: DataFrame, verify: Callable[[DataFrame],
     likely = _likely(pairs, sketches, possible, "likely")
     edges = materialize(verify(likely), "links", WIDE * likely.count())
     names = components(edges)
-    # A member has no more signatures than its set gives; it meets its name once, with all of them.
-    held = members.groupBy("node").agg(F.collect_list("sig").alias("sigs"))
-    named = held.join(names, "node", "left").select(F.explode("sigs").alias("sig"), "node", F.coalesce("root", "node").alias("root"))
+    named = held(members, "sig").join(names, "node", "left").select(F.explode("held").alias("sig"), "node", F.coalesce("root", "node").alias("root"))
     n = members.count()
     named = materialize(named, "named", n)
     # Of each group with several components: its members, those outside the largest, and which that is.
@@ -197,12 +201,16 @@ def connect(pairs: DataFrame, members: DataFrame, verify: Callable[[DataFrame],
     mixed = parts.groupBy("sig").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("most"), F.count("*").alias("parts")).filter("parts > 1")
     mixed = mixed.select("sig", F.col("most.root").alias("main"), *(F.ceil(x / CHUNK).cast("int").alias(c) for c, x in (("lefts", F.col("n") - F.col("most.n")), ("alls", F.col("n")))))
     apart = materialize(split_join(named, mixed, "sig", F.col("node")), "apart", n)
-    deal, every = (lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")), (lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)))
-    left = apart.filter("root <> main").select("sig", deal("lefts").alias("i"), every("alls").alias("j"), F.lit(True).alias("left"), "node", "root")
-    right = apart.select("sig", every("lefts").alias("i"), deal("alls").alias("j"), F.lit(False).alias("left"), "node", "root")
-    cells = materialize(left.union(right), "cells", 2 * n)
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-cells.count() // ROWS))
-    cells = split_join(cells, sketches, "node", F.xxhash64("sig", "i", "j")).select("sig", "i", "j", "left", "node", "root", "size", "sketch")
+    outside = F.col("root") != F.col("main")
+    n_cells = apart.agg(F.sum(F.col("lefts").cast("long") + F.when(outside, F.col("alls")).otherwise(0))).head()[0] or 0
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_cells // ROWS))
+    # A member meets its sketch once, before it is dealt to its cells.
+    met = held(apart, "sig", "root", "main", "lefts", "alls").join(sketches, "node").select("node", "size", "sketch", F.inline("held"))
+    deal, every = (lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")), (lambda n: F.sequence(F.lit(0), F.col(n) - 1))
+    place = lambda i, j, left: F.struct(i.alias("i"), j.alias("j"), F.lit(left).alias("left"))
+    left = F.when(outside, F.transform(every("alls"), lambda j: place(deal("lefts"), j, True))).otherwise(F.array())
+    right = F.transform(every("lefts"), lambda i: place(i, deal("alls"), False))
+    cells = met.select("sig", "node", "root", "size", "sketch", F.inline(F.concat(left, right))).select("sig", "i", "j", "left", "node", "root", "size", "sketch")
     cells = cells.repartition(tasks, "sig", "i", "j").sortWithinPartitions("sig", "i", "j")
     rest = in_arrow(cells, _across(possible), "a long, b long").distinct()
     rest = materialize(rest.join(pairs, ["a", "b"], "left_anti"), "rest", n)
