@@ -197,3 +197,24 @@ def test_members_of_a_group_are_not_paired(spark, monkeypatch):
     got = {r["node"]: r["community"] for r in c.modular(frame(spark, edges), groups=spark.createDataFrame(rows, "group int, node string, n long")).collect()}
     assert len(got) == 400 and len(set(got.values())) == 2
     assert max(made.values()) <= 3 * 400
+
+
+@pytest.mark.parametrize("most, sent", [(100, False), (100_000, True)])
+def test_tables_over_a_bound_are_not_broadcast(spark, monkeypatch, most, sent):
+    plans, write = [], c.materialize
+
+    def spy(df, name, rows=None):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name, rows)
+
+    monkeypatch.setattr(c, "materialize", spy)
+    monkeypatch.setattr(c, "BROADCAST_ROWS", most)
+    for limit in ("ROUNDS", "MERGES", "LEVELS"):
+        monkeypatch.setattr(c, limit, 1)
+    rows = [(i % 4, f"n{i:03d}", 1) for i in range(120)] + [(9, "n001", 1), (9, "n002", 1)]
+    edges = [(f"n{i:03d}", f"m{i % 50}") for i in range(120)]
+    groups = spark.createDataFrame(rows, "group int, node string, n long")
+    got = {r["node"]: r["community"] for r in c.modular(frame(spark, edges), groups=groups).collect()}
+    assert got == brute(edges + brute_groups(rows))
+    # Plans of the first rounds; a later level may be below the bound.
+    assert sent == any("BroadcastHashJoin" in p for p in plans[2:8])
